@@ -33,12 +33,12 @@ from pyspark.sql.window import Window
 from cartulary.llm.shared import ship_package
 
 UNKNOWN = "und"
-DICTIONARY_BYTES = 96 << 10
-PIECES_PER_LANGUAGE = 400
+DICTIONARY_BYTES = 256 << 10
+PIECES_PER_LANGUAGE = 800
 PIECE_CHARS = 600
-BLOCK_BYTES = 4096
-LEVEL = 1
-MIN_MARGIN = 0.004
+BLOCK_BYTES = 2048
+LEVEL = 5
+MIN_MARGIN = 0.002
 
 LETTER = regex.compile(r"\p{L}")
 
@@ -55,7 +55,7 @@ def dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "t
     best = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "piece"))).filter(F.col("n") <= PIECES_PER_LANGUAGE)
     pieces: dict[str, list[bytes]] = {}
     for row in best.orderBy("lang", F.desc("n")).toLocalIterator():
-        pieces.setdefault(row["lang"], []).append(row["piece"].encode())
+        pieces.setdefault(row["lang"], []).append(row["piece"].lower().encode())
     return {lang: b"\n".join(parts)[-DICTIONARY_BYTES:] for lang, parts in sorted(pieces.items())}
 
 
@@ -74,7 +74,7 @@ class Classifier:
         """Language and margin of a text."""
         if not text or not self.languages or not LETTER.search(text):
             return UNKNOWN, 0.0
-        data = text.encode()
+        data = text.lower().encode()
         blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
         sizes = np.array([sum(map(len, map(squeeze, blocks))) for squeeze in self.squeeze], float)
         best = int(sizes.argmin())

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.llm import byte_bpe, exact_dedup, language_id, mixture, quality
+from cartulary.llm import byte_bpe, exact_dedup, language_id, mixture, near_dup, quality, token_file, warc
 from cartulary.llm.shared import table
 
 #: Folder of the vocabulary files of public tokenizers.
@@ -41,6 +41,16 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), byte_pattern())
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text, written to files of directly addressable codes and read back."""
+    return token_file.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page in WARC archives, written and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix to target weights takes from every document."""
     return mixture.mix(table(spark, sf_dir, "documents"))
@@ -56,6 +66,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
+def op10_near_dup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -68,7 +83,10 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 
 def queries() -> dict:
     """Name to function of (spark, sf_dir)."""
-    made = (op1_quality_classifier, op2_byte_bpe, op7_source_mixture, op8_language_id, op9_exact_dedup)
+    made = (
+        op1_quality_classifier, op2_byte_bpe, op4_token_files, op6_warc, op7_source_mixture, op8_language_id,
+        op9_exact_dedup, op10_near_dup_join,
+    )
     return {f.__name__: f for f in made}
 
 

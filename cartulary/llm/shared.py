@@ -76,3 +76,24 @@ def text_or_empty(column: str = "text") -> Column:
 def one_spaced(column: str = "text") -> Column:
     """The text with each run of white space as one space; empty for null."""
     return F.regexp_replace(text_or_empty(column), SPACE, " ")
+
+
+#: Groups at least this large, and of at least a thousandth of all rows, reach their rows by broadcast.
+HOT_GROUP = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n: int) -> DataFrame:
+    """rows left joined to groups on ``key``, however uneven the groups are.
+
+    groups has one row per key, with the number of its rows in ``size``; n is the
+    number of rows. Groups of max(HOT_GROUP, n / 1000) rows or more, a thousand
+    at most, are broadcast; the others meet in a join whose keys are all small.
+    groups is read twice, so it should be a written table.
+    """
+    least = max(HOT_GROUP, n // 1000)
+    others = [c for c in groups.columns if c != key]
+    hot = groups.filter(F.col(size) >= least).select(F.col(key).alias("__hot"), *[F.col(c).alias(f"__{c}") for c in others])
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    met = marked.filter("__hot is not null").select(*rows.columns, *[F.col(f"__{c}").alias(c) for c in others])
+    rest = marked.filter("__hot is null").select(*rows.columns).join(groups.filter(F.col(size) < least), key, "left")
+    return met.unionByName(rest.select(*rows.columns, *others))
