@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.llm import byte_bpe, exact_dedup, language_id, mixture, near_dup, quality, token_file, warc
+from cartulary.llm import ann, byte_bpe, exact_dedup, language_id, mixture, near_dup, quality, substring_dedup, token_file, warc
 from cartulary.llm.shared import table
 
 #: Folder of the vocabulary files of public tokenizers.
@@ -41,11 +41,21 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), byte_pattern())
 
 
+def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text, written to files of directly addressable codes and read back."""
     return token_file.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every text without byte strings that occur before."""
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page in WARC archives, written and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -84,7 +94,7 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 def queries() -> dict:
     """Name to function of (spark, sf_dir)."""
     made = (
-        op1_quality_classifier, op2_byte_bpe, op4_token_files, op6_warc, op7_source_mixture, op8_language_id,
+        op1_quality_classifier, op2_byte_bpe, op3_learned_partitions, op4_token_files, op5_suffix_dedup, op6_warc, op7_source_mixture, op8_language_id,
         op9_exact_dedup, op10_near_dup_join,
     )
     return {f.__name__: f for f in made}
