@@ -130,14 +130,13 @@ def _logit(p: Column) -> Column:
     return F.ln(p / (1 - p))
 
 
-def _strength(groups: DataFrame, n: str, rate: str, around: Column) -> DataFrame:
-    """One row: the prior strength, by moments of group rates around their priors."""
-    inside = F.col("within")
-    excess = F.sum(F.col(n) * F.pow(F.col(rate) - around, 2)) - F.sum(inside)
-    between = excess / F.greatest(F.sum(n), F.lit(1.0))
-    spread = F.avg(around * (1 - around))
-    wanted = F.when(between > 0, spread / between - 1).otherwise(F.lit(STRONGEST))
-    return groups.agg(F.coalesce(F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), wanted)), F.lit(STRONGEST)).alias("strength"))
+def _strength(groups: DataFrame, n: str, rate: str, around: Column) -> float:
+    """The prior strength, by moments of group rates around their priors: one number for all groups."""
+    excess = F.sum(F.col(n) * F.pow(F.col(rate) - around, 2)) - F.sum("within")
+    row = groups.agg((excess / F.greatest(F.sum(n), F.lit(1.0))).alias("between"), F.avg(around * (1 - around)).alias("spread")).first()
+    if row["between"] is None or row["between"] <= 0:
+        return STRONGEST
+    return min(STRONGEST, max(WEAKEST, row["spread"] / row["between"] - 1))
 
 
 def sites(scored: DataFrame) -> DataFrame:
@@ -145,14 +144,14 @@ def sites(scored: DataFrame) -> DataFrame:
     paths = materialise(scored.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("evidence").alias("good"), F.sum(F.pow("evidence", 2)).alias("sq")), "paths")
     within = (F.col("sq") - F.col("good") * F.col("good") / F.col("n")) / F.col("n")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"), F.sum("sq").alias("host_sq"))
-    all_ = paths.agg(((F.sum("good") + 1) / (F.sum("n") + 2)).alias("global_rate"))
+    global_rate = F.lit(float(paths.agg(((F.coalesce(F.sum("good"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2))).first()[0]))
     host_within = (F.col("host_sq") - F.col("host_good") * F.col("host_good") / F.col("host_n")) / F.col("host_n")
-    hosts = materialise(hosts.crossJoin(F.broadcast(all_)).withColumn("raw", F.col("host_good") / F.col("host_n")).withColumn("within", host_within), "hosts")
-    host_strength = _strength(hosts, "host_n", "raw", F.col("global_rate"))
-    hosts = hosts.crossJoin(F.broadcast(host_strength)).withColumn("host_rate", (F.col("host_good") + F.col("strength") * F.col("global_rate")) / (F.col("host_n") + F.col("strength"))).select(F.col("host").alias("h"), "host_rate", "global_rate")
+    hosts = materialise(hosts.withColumn("raw", F.col("host_good") / F.col("host_n")).withColumn("within", host_within), "hosts")
+    strength = _strength(hosts, "host_n", "raw", global_rate)
+    hosts = hosts.select(F.col("host").alias("h"), ((F.col("host_good") + strength * global_rate) / (F.col("host_n") + strength)).alias("host_rate"))
     joined = materialise(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h").withColumn("raw", F.col("good") / F.col("n")).withColumn("within", within), "paths-hosts")
-    path_strength = _strength(joined, "n", "raw", F.col("host_rate"))
-    return joined.crossJoin(F.broadcast(path_strength)).select("host", "path", F.col("n").cast("long").alias("documents"), ((F.col("good") + F.col("strength") * F.col("host_rate")) / (F.col("n") + F.col("strength"))).alias("path_rate"), "host_rate", "global_rate")
+    strength = _strength(joined, "n", "raw", F.col("host_rate"))
+    return joined.select("host", "path", F.col("n").cast("long").alias("documents"), ((F.col("good") + strength * F.col("host_rate")) / (F.col("n") + strength)).alias("path_rate"), "host_rate", global_rate.alias("global_rate"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "quality") -> DataFrame:
