@@ -1,11 +1,835 @@
 """Every query of the engine by name, and the SQL that says the same."""
 
+from __future__ import annotations
 
-def queries() -> dict:
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cartulary.functions import exprs as E
+from cartulary.functions import stats as S
+from cartulary.operators import awards, bundle, canonical, collusion, competition, delivery, differ, durations, index, institutions, merkle, prices, suppliers, versions
+from cartulary.plans.lens_sql import with_lens
+from cartulary.schemas import TableDef
+from cartulary.sources.lens import Lens
+from cartulary.streaming.watch import activity
+
+AS_OF = "1998-08-01"
+ORDERS = {"orders": TableDef(("o_orderkey",), ("o_seen",))}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of a lens under its name, with its SQL."""
+
+    def put(f: Callable[[Lens], DataFrame]) -> Callable[[Lens], DataFrame]:
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Lens(spark, sf_dir))
+        if sql:
+            _SQL[f.__name__] = with_lens(sql)
+        return f
+
+    return put
+
+
+def r(c: str | Column, name: str | None = None, digits: int = 6) -> Column:
+    """A double rounded for comparison."""
+    out = F.round(F.col(c) if isinstance(c, str) else c, digits)
+    return out.alias(name or c) if isinstance(c, str) or name else out
+
+
+WILSON = "CASE WHEN {n} > 0 THEN round({end}(({k} / {n} + 1.9208 / {n} {sign} 1.96 * sqrt({k} / {n} * (1 - {k} / {n}) / {n} + 0.9604 / ({n} * {n}))) / (1 + 3.8416 / {n}), {edge}), 6) END"
+
+
+def wilson(k: str, n: str) -> str:
+    """SQL of both ends of the interval of two DOUBLE expressions."""
+    k, n = f"({k})::DOUBLE", f"({n})::DOUBLE"
+    return WILSON.format(k=k, n=n, end="greatest", sign="-", edge="0.0") + " AS ci_low, " + WILSON.format(k=k, n=n, end="least", sign="+", edge="1.0") + " AS ci_high"
+
+
+# Competition
+
+
+@query("SELECT nro_sicop, cedula_institucion, bidders, offers FROM bidder_counts")
+def bidder_counts(t: Lens) -> DataFrame:
+    return competition.bidder_counts(t.bid, t.tender).drop("published")
+
+
+@query("""WITH c AS (SELECT least(bidders, 4) AS b, count(*) AS n FROM bidder_counts GROUP BY 1)
+SELECT k AS bidders, CASE k WHEN 4 THEN '4+' ELSE k::VARCHAR END AS label, coalesce(n, 0) AS tenders, round(coalesce(n, 0) / (SELECT sum(n) FROM c), 6) AS share
+FROM range(1, 5) x(k) LEFT JOIN c ON c.b = k""")
+def bidder_distribution(t: Lens) -> DataFrame:
+    return competition.bidder_distribution(competition.bidder_counts(t.bid, t.tender)).withColumn("share", r("share"))
+
+
+@query(f"SELECT count(*) AS tenders_with_bids, count(*) FILTER (bidders = 1) AS single_bidder, round(count(*) FILTER (bidders = 1) / count(*), 6) AS rate, {wilson('count(*) FILTER (bidders = 1)', 'count(*)')} FROM bidder_counts")
+def single_bidder_rate(t: Lens) -> DataFrame:
+    return competition.single_bidder(competition.bidder_counts(t.bid, t.tender)).select("tenders_with_bids", "single_bidder", r("rate"), r("ci_low"), r("ci_high"))
+
+
+@query(f"""SELECT substr(published, 1, 4) AS year, count(*) AS tenders_with_bids, count(*) FILTER (bidders = 1) AS single_bidder, round(count(*) FILTER (bidders = 1) / count(*), 6) AS rate,
+{wilson('count(*) FILTER (bidders = 1)', 'count(*)')} FROM bidder_counts WHERE published IS NOT NULL GROUP BY 1""")
+def single_bidder_by_year(t: Lens) -> DataFrame:
+    counts = competition.bidder_counts(t.bid, t.tender).filter("published is not null")
+    return competition.single_bidder(counts, F.substring("published", 1, 4).alias("year")).select("year", "tenders_with_bids", "single_bidder", r("rate"), r("ci_low"), r("ci_high"))
+
+
+@query("SELECT t.nro_sicop, any_value(t.cedula_institucion) AS cedula_institucion, count(DISTINCT b.cedula_proveedor) AS bidders, count(DISTINCT b.nro_oferta) AS offers FROM bid b JOIN tender t USING (nro_sicop) WHERE fecha_publicacion BETWEEN '1996-01-01' AND '1997-06-30' GROUP BY t.nro_sicop")
+def bidder_counts_window(t: Lens) -> DataFrame:
+    return competition.bidder_counts(t.bid, t.tender, E.Window("1996-01-01", "1997-06-30")).drop("published")
+
+
+@query("SELECT count(DISTINCT nro_sicop) AS orphan_tenders FROM bid WHERE nro_sicop NOT IN (SELECT nro_sicop FROM tender)")
+def orphan_bid_tenders(t: Lens) -> DataFrame:
+    return competition.orphan_bid_tenders(t.bid, t.tender)
+
+
+@query("""SELECT cod_excepcion AS code, des_excepcion AS description, CASE WHEN des_excepcion LIKE 'escasa%' THEN 'low-value-threshold' ELSE 'substantive' END AS family, count(*) AS tenders,
+round(count(*) / (SELECT count(*) FROM tender), 6) AS share FROM tender WHERE des_excepcion IS NOT NULL GROUP BY 1, 2""")
+def exception_by_reason(t: Lens) -> DataFrame:
+    return competition.exceptions_by_reason(t.tender).withColumn("share", r("share"))
+
+
+@query("""SELECT published, with_exception, low_value, substantive, undescribed_codes, round(with_exception / published, 6) AS rate, round(substantive / published, 6) AS substantive_rate FROM (
+SELECT count(*) AS published, count(des_excepcion) AS with_exception, count(*) FILTER (des_excepcion LIKE 'escasa%') AS low_value, count(*) FILTER (des_excepcion NOT LIKE 'escasa%') AS substantive,
+count(*) FILTER (des_excepcion IS NULL AND cod_excepcion IS NOT NULL) AS undescribed_codes FROM tender)""")
+def exception_rates(t: Lens) -> DataFrame:
+    return competition.exception_rates(t.tender).select("published", "with_exception", "low_value", "substantive", "undescribed_codes", r("rate"), r("substantive_rate"))
+
+
+@query("SELECT count(*) FILTER (fecha_publicacion < '2022-12-01') AS before_regime, count(*) FILTER (fecha_publicacion >= '2022-12-01') AS from_regime FROM tender")
+def exception_regime(t: Lens) -> DataFrame:
+    return competition.exception_rates(t.tender).select("before_regime", "from_regime")
+
+
+@query("SELECT cartel_stat AS status, count(*) AS tenders, CASE cartel_stat WHEN 'Contrato' THEN 'awarded' WHEN 'Desierto' THEN 'noAward' ELSE 'inProgress' END AS status_class FROM tender GROUP BY 1")
+def status_rollup(t: Lens) -> DataFrame:
+    return competition.status_rollup(t.tender)
+
+
+@query("""SELECT *, round(no_award / published, 6) AS rate_of_published, round(no_award / (awarded + no_award), 6) AS rate_of_resolved FROM (SELECT count(*) AS published, count(*) FILTER (cartel_stat = 'Contrato') AS awarded,
+count(*) FILTER (cartel_stat = 'Desierto') AS no_award, 0::BIGINT AS annulled, count(*) FILTER (cartel_stat LIKE 'En%') AS in_progress, 0::BIGINT AS unclassified FROM tender)""")
+def deserted_rate(t: Lens) -> DataFrame:
+    return competition.deserted_rate(t.tender).withColumns({c: r(c) for c in ("rate_of_published", "rate_of_resolved")})
+
+
+@query("SELECT count(*) AS published, count(b.nro_sicop) AS joined, count(*) - count(b.nro_sicop) AS without_bids FROM tender LEFT JOIN (SELECT DISTINCT nro_sicop FROM bid) b USING (nro_sicop)")
+def tenders_without_bids(t: Lens) -> DataFrame:
+    return competition.tenders_without_bids(t.bid, t.tender)
+
+
+def _by_institution(t: Lens, least: int = 20) -> DataFrame:
+    return competition.by_institution(t.bid, t.tender, t.institution, min_tenders=least)
+
+
+@query("""SELECT cedula_institucion, nombre, tenders_published, tenders_with_bids, single_bidder, round(single_bidder / tenders_with_bids, 6) AS single_bidder_rate, exception_tenders,
+round(exception_tenders / tenders_published, 6) AS exception_rate, substantive_exceptions, round(substantive_exceptions / tenders_published, 6) AS substantive_rate, no_award, round(no_award / resolved, 6) AS deserted_rate
+FROM inst_comp LEFT JOIN institution ON cedula = cedula_institucion WHERE tenders_published >= 20""")
+def competition_by_institution(t: Lens) -> DataFrame:
+    return _by_institution(t).withColumns({c: r(c) for c in ("single_bidder_rate", "exception_rate", "substantive_rate", "deserted_rate")})
+
+
+# Awards
+
+
+@query("SELECT nro_sicop, nro_linea, nro_acto, codigo_producto, cantidad, round(precio_unitario, 6) AS precio_unitario, moneda FROM latest_award")
+def latest_award_lines(t: Lens) -> DataFrame:
+    return awards.latest_award_lines(t.award_line).select("nro_sicop", "nro_linea", "nro_acto", "codigo_producto", "cantidad", r("precio_unitario"), "moneda")
+
+
+@query("""SELECT a.n AS all_lines, round(a.v, 2) AS all_value, b.n AS latest_lines, round(b.v, 2) AS latest_value, round(a.v - b.v, 2) AS surplus FROM (SELECT count(*) AS n, sum(cantidad * precio_unitario) AS v FROM award_line) a,
+(SELECT count(*) AS n, sum(cantidad * precio_unitario) AS v FROM latest_award) b""")
+def award_double_count(t: Lens) -> DataFrame:
+    return awards.double_counting(t.award_line).withColumns({c: F.round(c, 2) for c in ("all_value", "latest_value", "surplus")})
+
+
+@query("""SELECT lines, round(value, 2) AS value, orphan_lines, round(orphan_value, 2) AS orphan_value, round(orphan_lines / lines, 6) AS line_share, round(orphan_value / value, 6) AS value_share FROM (
+SELECT count(*) AS lines, sum(cantidad * precio_unitario) AS value, count(*) FILTER (nro_sicop NOT IN (SELECT nro_sicop FROM tender)) AS orphan_lines,
+sum(cantidad * precio_unitario) FILTER (nro_sicop NOT IN (SELECT nro_sicop FROM tender)) AS orphan_value FROM latest_award)""")
+def orphan_award_lines(t: Lens) -> DataFrame:
+    return awards.orphan_awards(t.award_line, t.tender).select("lines", r("value", None, 2), "orphan_lines", r("orphan_value", None, 2), r("line_share"), r("value_share"))
+
+
+@query("SELECT cedula_proveedor, round(sum(cantidad * precio_unitario), 2) AS value, count(*) AS lines FROM latest_award WHERE moneda = 'CRC' AND cantidad > 0 AND precio_unitario > 0 GROUP BY 1")
+def supplier_award_value(t: Lens) -> DataFrame:
+    return awards.supplier_value(t.award_line, t.tender).withColumn("value", F.round("value", 2))
+
+
+@query("""WITH v AS (SELECT cedula_proveedor, sum(cantidad * precio_unitario) AS value FROM latest_award WHERE moneda = 'CRC' AND cantidad > 0 AND precio_unitario > 0 GROUP BY 1)
+SELECT groups, round(total, 2) AS total, round(hhi, 6) AS hhi, round(top / total, 6) AS top_share, round(10000 / hhi, 6) AS effective, (SELECT count(*) FROM latest_award WHERE moneda <> 'CRC') AS other_currency, 0::BIGINT AS no_amount
+FROM (SELECT count(*) AS groups, sum(value) AS total, sum(value * value) / (sum(value) * sum(value)) * 10000 AS hhi, max(value) AS top FROM v)""")
+def concentration_hhi(t: Lens) -> DataFrame:
+    return awards.concentration(t.award_line, t.tender).withColumns({"total": F.round("total", 2), **{c: r(c) for c in ("hhi", "top_share", "effective")}})
+
+
+@query("""WITH v AS (SELECT cedula_proveedor, sum(cantidad * precio_unitario) AS value, count(*) AS lines FROM latest_award WHERE moneda = 'CRC' AND cantidad > 0 AND precio_unitario > 0 GROUP BY 1)
+SELECT cedula_proveedor, round(value, 2) AS value, lines, round(value / (SELECT sum(value) FROM v), 6) AS share FROM v ORDER BY v.value DESC, cedula_proveedor LIMIT 10""")
+def concentration_top10(t: Lens) -> DataFrame:
+    return awards.top_suppliers(t.award_line, t.tender).withColumns({"value": F.round("value", 2), "share": r("share")})
+
+
+# Collusion screens
+
+
+@query("""WITH s AS (SELECT nro_sicop, array_to_string(list_sort(list(cedula_proveedor)), '|') AS members, count(*) AS size FROM tender_bidders GROUP BY 1)
+SELECT members, count(*) AS tenders, any_value(size) AS size FROM s WHERE size >= 2 GROUP BY 1""")
+def rotation_groups(t: Lens) -> DataFrame:
+    return collusion.rotation_groups(t.bid, t.tender).select(F.array_join("members", "|").alias("members"), "tenders", F.size("members").cast("long").alias("size"))
+
+
+@query("""WITH s AS (SELECT nro_sicop, list_sort(list(cedula_proveedor)) AS m FROM tender_bidders GROUP BY 1), g AS (SELECT m, count(*) AS tenders, list(nro_sicop) AS ids FROM s WHERE len(m) >= 2 GROUP BY 1 HAVING count(*) >= 2),
+a AS (SELECT cedula_proveedor, count(*) AS appearances FROM tender_bidders GROUP BY 1), p AS (SELECT g.m, g.tenders, u.c FROM g, unnest(g.m) u(c)), e AS (SELECT m, min(tenders / appearances) AS exclusivity FROM p JOIN a ON c = cedula_proveedor GROUP BY 1),
+d AS (SELECT g.m, w.nro_sicop, w.winner FROM g, unnest(g.ids) u(i) JOIN tender_winners w ON w.nro_sicop = u.i), dec AS (SELECT m, count(DISTINCT nro_sicop) AS decided FROM d GROUP BY 1),
+wins AS (SELECT p.m, p.c, count(d.winner) AS wins FROM p LEFT JOIN d ON d.m = p.m AND d.winner = p.c GROUP BY 1, 2),
+ev AS (SELECT m, sum(wins) AS total, sum(wins * wins) AS squares, count(*) FILTER (wins > 0) AS distinct_winners, count(*) AS k FROM wins GROUP BY 1)
+SELECT array_to_string(g.m, '|') AS group_key, k AS group_size, g.tenders AS co_bid_tenders, round(exclusivity, 6) AS exclusivity, coalesce(decided, 0) AS decided_tenders, distinct_winners,
+round((1 - squares / (total * total)) / (1 - 1 / k), 6) AS evenness, round((1 - squares / (total * total)) / (1 - 1 / k) * least(1, g.tenders / 4) * exclusivity, 8) AS score
+FROM g JOIN ev USING (m) JOIN e USING (m) LEFT JOIN dec USING (m) WHERE distinct_winners >= 2""")
+def rotation_screen(t: Lens) -> DataFrame:
+    return collusion.rotation(t.bid, t.award_line, t.tender, min_tenders=2, min_group=2, min_exclusivity=0).withColumns({"exclusivity": r("exclusivity"), "evenness": r("evenness"), "score": F.round("score", 8)})
+
+
+PAIRS = """pairs AS (SELECT x.cedula_proveedor AS a, y.cedula_proveedor AS b, count(*) AS encounters, count(*) FILTER (xw.winner IS NOT NULL) AS a_wins, count(*) FILTER (yw.winner IS NOT NULL) AS b_wins
+FROM tender_bidders x JOIN tender_bidders y ON x.nro_sicop = y.nro_sicop AND x.cedula_proveedor < y.cedula_proveedor
+LEFT JOIN tender_winners xw ON xw.nro_sicop = x.nro_sicop AND xw.winner = x.cedula_proveedor LEFT JOIN tender_winners yw ON yw.nro_sicop = y.nro_sicop AND yw.winner = y.cedula_proveedor
+WHERE (xw.winner IS NULL) <> (yw.winner IS NULL) GROUP BY 1, 2 HAVING count(*) >= 5)"""
+
+
+@query(f"WITH {PAIRS} SELECT * FROM pairs")
+def losing_pairs(t: Lens) -> DataFrame:
+    return collusion.losing_pairs(t.bid, t.award_line, t.tender)
+
+
+@query(f"""WITH {PAIRS}, tail AS (SELECT n, k, sum(c) OVER (PARTITION BY n ORDER BY k DESC) AS p FROM (
+  SELECT n, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)) AS c FROM range(5, 401) a(n), LATERAL (SELECT unnest(range(0, n + 1)) AS k) b))
+SELECT CASE WHEN a_wins >= b_wins THEN b ELSE a END AS loser, CASE WHEN a_wins >= b_wins THEN a ELSE b END AS winner, encounters, greatest(a_wins, b_wins) AS winner_wins, least(a_wins, b_wins) AS loser_wins,
+round(greatest(a_wins, b_wins) / encounters, 6) AS loss_rate, round(p, 8) AS p_value, round(least(1, p * (SELECT count(*) FROM pairs)), 6) AS p_adjusted FROM pairs JOIN tail ON n = encounters AND k = greatest(a_wins, b_wins)""")
+def losing_screen(t: Lens) -> DataFrame:
+    return collusion.consistent_losing(t.bid, t.award_line, t.tender, alpha=1.0).withColumns({"loss_rate": r("loss_rate"), "p_value": F.round("p_value", 8), "p_adjusted": r("p_adjusted")})
+
+
+def _by_line(df: DataFrame) -> DataFrame:
+    return df.withColumn("codigo_producto", F.concat(F.lit("L"), F.col("nro_linea")))
+
+
+SPREAD = """gaps AS (SELECT w.nro_sicop, w.nro_linea, w.cedula_proveedor AS winner, l.nro_oferta AS loser, (l.precio_unitario - w.precio_unitario) / w.precio_unitario * 100 AS gap
+FROM latest_award w JOIN tender t USING (nro_sicop) JOIN bid_line l ON l.nro_sicop = w.nro_sicop AND l.nro_linea = w.nro_linea AND l.moneda = w.moneda AND l.nro_oferta <> w.nro_oferta
+WHERE l.nro_oferta <> w.cedula_proveedor AND l.precio_unitario >= w.precio_unitario)"""
+
+
+@query(f"WITH {SPREAD} SELECT nro_sicop, nro_linea, winner, loser, round(gap, 6) AS gap_pct FROM gaps")
+def spread_lines(t: Lens) -> DataFrame:
+    return collusion.spread_lines(t.bid, _by_line(t.bid_line), _by_line(t.award_line), t.tender).select("nro_sicop", "nro_linea", "winner", "loser", r("gap_pct"))
+
+
+@query(f"""WITH {SPREAD}, by_pair AS (SELECT winner, loser, count(*) AS lines, count(DISTINCT nro_sicop) AS tenders, quantile_cont(gap, 0.5) AS median_gap, avg(gap) AS mean_gap, CASE WHEN count(*) >= 2 THEN stddev_samp(gap) / abs(avg(gap)) END AS cv FROM gaps GROUP BY 1, 2)
+SELECT winner, loser, lines, tenders, round(median_gap, 6) AS median_gap, round(mean_gap, 6) AS mean_gap, round(cv, 6) AS cv, round(coalesce(greatest(0, least(1, (0.2 - cv) / 0.12)), 0) * least(1, tenders / 4), 6) AS score
+FROM by_pair WHERE tenders >= 2 AND median_gap >= 0.5""")
+def spread_screen(t: Lens) -> DataFrame:
+    return collusion.bid_spread(t.bid, _by_line(t.bid_line), _by_line(t.award_line), t.tender, min_tenders=2, keep_unscored=True).withColumns({c: r(c) for c in ("median_gap", "mean_gap", "cv", "score")})
+
+
+@query("""WITH c AS (SELECT *, count(*) OVER (PARTITION BY nro_sicop) AS n, (nro_sicop, cedula_proveedor) IN (SELECT nro_sicop, winner FROM tender_winners) AS won FROM tender_bidders),
+p AS (SELECT cedula_proveedor, cedula_institucion, count(*) AS total, count(*) FILTER (n = 1) AS sole_bids, count(*) FILTER (n = 1 AND won) AS sole_wins FROM c GROUP BY 1, 2), s AS (SELECT cedula_institucion, count(*) FILTER (n = 1) AS singles FROM c GROUP BY 1)
+SELECT cedula_proveedor, cedula_institucion, nombre, sole_bids, sole_wins, singles AS institution_singles, total AS supplier_tenders, round(sole_bids / singles, 6) AS share_of_institution, round(sole_bids / total, 6) AS share_of_supplier,
+round(sqrt(sole_bids / singles * sole_bids / total), 6) AS score FROM p JOIN s USING (cedula_institucion) LEFT JOIN institution ON cedula = cedula_institucion WHERE sole_bids >= 3""")
+def sole_bid_pairs(t: Lens) -> DataFrame:
+    return collusion.sole_bid_pairs(t.bid, t.award_line, t.tender, t.institution).withColumns({c: r(c) for c in ("share_of_institution", "share_of_supplier", "score")})
+
+
+# Prices
+
+
+@query("SELECT codigo_producto, nro_sicop, nro_linea, cantidad, round(precio_unitario, 6) AS precio_unitario, fecha_publicacion AS fecha FROM prices LEFT JOIN tender USING (nro_sicop)")
+def price_rows(t: Lens) -> DataFrame:
+    return prices.price_rows(t.bid_line, t.tender).select("codigo_producto", "nro_sicop", "nro_linea", "cantidad", r("precio_unitario"), "fecha")
+
+
+@query("SELECT codigo_producto, count(*) FILTER (moneda <> 'CRC') AS other_currency, 0::BIGINT AS non_positive, 0::BIGINT AS missing FROM bid_line GROUP BY 1")
+def price_exclusions(t: Lens) -> DataFrame:
+    return prices.exclusions(t.bid_line, t.tender)
+
+
+@query("SELECT codigo_producto, n, round(mn, 3) AS min, round(p25, 3) AS p25, round(med, 3) AS median, round(p75, 3) AS p75, round(p90, 3) AS p90, round(mx, 3) AS max, round(p75 / p25, 6) AS iqr_ratio, round((p75 - p25) / (p75 + p25), 6) AS quartile_dispersion FROM price_stats")
+def price_summary(t: Lens) -> DataFrame:
+    s = prices.price_stats(prices.price_rows(t.bid_line, t.tender))
+    return s.select("codigo_producto", "n", *[F.round(c, 3).alias(c) for c in ("min", "p25", "median", "p75", "p90", "max")], r("iqr_ratio"), r("quartile_dispersion"))
+
+
+@query("SELECT codigo_producto, round(med, 3) AS median, round(mad, 3) AS mad, round(mean_ad, 3) AS mean_ad, round(fence, 3) AS fence, rule FROM price_fences")
+def price_mad(t: Lens) -> DataFrame:
+    return prices.fences(prices.price_rows(t.bid_line, t.tender)).select("codigo_producto", *[F.round(c, 3).alias(c) for c in ("median", "mad", "mean_ad", "fence")], "rule")
+
+
+@query("SELECT codigo_producto, decades, decade_span FROM magnitudes")
+def price_magnitude(t: Lens) -> DataFrame:
+    return prices.magnitude(prices.price_rows(t.bid_line, t.tender))
+
+
+@query("SELECT codigo_producto, n, round(iqr_ratio, 6) AS iqr_ratio, round(spread, 6) AS spread, round(quantity_one, 6) AS quantity_one, decades, decade_span, reason, reason IS NULL AS usable FROM price_verdicts")
+def price_verdict(t: Lens) -> DataFrame:
+    return prices.verdicts(t.bid_line, t.tender).select("codigo_producto", "n", r("iqr_ratio"), r("spread"), r("quantity_one"), "decades", "decade_span", "reason", "usable")
+
+
+@query("SELECT codigo_producto, nro_sicop, nro_linea, cantidad, round(ratio_to_median, 6) AS ratio_to_median, round(modified_z, 6) AS modified_z, round(excess_value, 4) AS excess_value, rule FROM price_outliers")
+def price_outliers(t: Lens) -> DataFrame:
+    return prices.outliers(t.bid_line, t.tender).select("codigo_producto", "nro_sicop", "nro_linea", "cantidad", r("ratio_to_median"), r("modified_z"), r("excess_value", None, 4), "rule")
+
+
+@query("""WITH top AS (SELECT codigo_producto, count(*) AS n FROM prices GROUP BY 1 HAVING count(*) >= 10 ORDER BY n DESC, codigo_producto LIMIT 50)
+SELECT codigo_producto, nro_sicop, nro_linea, round(excess_value, 4) AS excess_value, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY codigo_producto ORDER BY excess_value DESC, nro_sicop, nro_linea, precio_unitario) AS rn FROM price_outliers WHERE codigo_producto IN (SELECT codigo_producto FROM top)) WHERE rn <= 5""")
+def price_scan_topk(t: Lens) -> DataFrame:
+    return prices.scan(t.bid_line, t.tender).select("codigo_producto", "nro_sicop", "nro_linea", r("excess_value", None, 4), F.col("rank").cast("long").alias("rank"))
+
+
+# Durations
+
+
+def _stages(t: Lens) -> DataFrame:
+    return durations.unpivoted(t.stage_dates)
+
+
+def _disposed(t: Lens) -> DataFrame:
+    return durations.disposed(durations.procedures(_stages(t)), AS_OF)
+
+
+@query("SELECT line_id, stage, strftime(start, '%Y-%m-%d') AS start_day, strftime(stop, '%Y-%m-%d') AS end_day FROM stage_rows")
+def stage_observations_line(t: Lens) -> DataFrame:
+    return _stages(t).select("line_id", "stage", F.col("start").alias("start_day"), F.col("end").alias("end_day"))
+
+
+@query("SELECT nro_sicop, stage, strftime(start, '%Y-%m-%d') AS start_day, strftime(stop, '%Y-%m-%d') AS end_day, lines_started, lines_ended FROM stage_procs")
+def stage_observations_procedure(t: Lens) -> DataFrame:
+    return durations.procedures(_stages(t)).select("nro_sicop", "stage", F.col("start").alias("start_day"), F.col("end").alias("end_day"), "lines_started", "lines_ended")
+
+
+@query("""SELECT stage, count(*) AS n, count(*) FILTER (disposition = 'completed') AS completed, count(*) FILTER (disposition = 'censored') AS censored, count(*) FILTER (disposition = 'notStarted') AS not_started,
+count(*) FILTER (disposition = 'negative') AS negative, round(count(*) FILTER (disposition = 'censored') / count(*) FILTER (disposition IN ('completed', 'censored')), 6) AS censoring_rate FROM stage_disposed GROUP BY 1""")
+def stage_dispositions(t: Lens) -> DataFrame:
+    return durations.disposition_counts(_disposed(t)).withColumn("censoring_rate", r("censoring_rate"))
+
+
+@query("""WITH m AS (SELECT stage, quantile_cont(days, 0.5) AS med FROM stage_disposed WHERE disposition = 'completed' GROUP BY 1)
+SELECT d.stage, count(*) FILTER (disposition = 'completed') AS completed, count(*) FILTER (disposition = 'censored') AS censored, round(any_value(m.med), 6) AS median,
+round(quantile_cont(days, 0.25) FILTER (disposition = 'completed'), 6) AS p25, round(quantile_cont(days, 0.9) FILTER (disposition = 'completed'), 6) AS p90,
+count(*) FILTER (disposition = 'censored' AND days > m.med) AS censored_past_median FROM stage_disposed d LEFT JOIN m USING (stage) GROUP BY 1""")
+def stage_summary(t: Lens) -> DataFrame:
+    return durations.report(_disposed(t)).select("stage", "completed", "censored", r("median"), r("p25"), r("p90"), "censored_past_median")
+
+
+@query("""WITH s AS (SELECT stage, days, count(*) FILTER (disposition = 'completed') AS d, count(*) AS c FROM stage_disposed WHERE days IS NOT NULL GROUP BY 1, 2),
+q AS (SELECT stage, days, d, c, 1 - d / sum(c) OVER (PARTITION BY stage ORDER BY days DESC) AS f FROM s), p AS (SELECT *, list_product(list(f) OVER (PARTITION BY stage ORDER BY days)) AS surv FROM q)
+SELECT stage, sum(c)::BIGINT AS n, sum(d)::BIGINT AS events, (sum(c) - sum(d))::BIGINT AS censored, (min(days) FILTER (surv <= 0.5))::BIGINT AS km_median, min(days) FILTER (surv <= 0.5) IS NOT NULL AS reached FROM p GROUP BY 1""")
+def km_median(t: Lens) -> DataFrame:
+    rows = _disposed(t).filter("days is not null").withColumn("done", F.col("disposition") == "completed")
+    return S.kaplan_meier(rows, ["stage"], "days", "done").withColumn("km_median", F.col("km_median").cast("long"))
+
+
+@query("""SELECT cedula_institucion, nombre, procedures, award_n, CASE WHEN award_n >= 10 THEN round(award_med, 6) END AS award_median, award_censored, payment_n, CASE WHEN payment_n >= 10 THEN round(payment_med, 6) END AS payment_median, payment_censored
+FROM inst_dur LEFT JOIN institution ON cedula = cedula_institucion""")
+def duration_by_institution(t: Lens) -> DataFrame:
+    return durations.by_institution(t.stage_dates, t.tender, t.institution, AS_OF).withColumns({"award_median": r("award_median"), "payment_median": r("payment_median")})
+
+
+# Suppliers
+
+
+def _appearances(t: Lens) -> DataFrame:
+    return suppliers.appearances(t.bid, t.award_line, t.tender)
+
+
+@query("SELECT * FROM appearances")
+def supplier_appearances(t: Lens) -> DataFrame:
+    return _appearances(t)
+
+
+RATES = f"count(*) AS appearances, count(*) FILTER (decided) AS decided, count(*) FILTER (won) AS won, count(*) FILTER (NOT decided) AS undecided, CASE WHEN count(*) FILTER (decided) > 0 THEN round(count(*) FILTER (won) / count(*) FILTER (decided), 6) END AS rate, {wilson('count(*) FILTER (won)', 'count(*) FILTER (decided)')}"
+
+
+def _rounded_rates(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: r(c) for c in ("rate", "ci_low", "ci_high")})
+
+
+@query(f"SELECT cedula_proveedor, {RATES} FROM appearances GROUP BY 1")
+def supplier_win_rate(t: Lens) -> DataFrame:
+    return _rounded_rates(suppliers.win_rate(_appearances(t), "cedula_proveedor"))
+
+
+@query(f"SELECT cedula_proveedor, period, {RATES} FROM appearances GROUP BY 1, 2")
+def supplier_win_rate_period(t: Lens) -> DataFrame:
+    return _rounded_rates(suppliers.win_rate(_appearances(t), "cedula_proveedor", "period"))
+
+
+@query("SELECT cedula_proveedor, rival, count(*) AS times, array_to_string(list_sort(list(DISTINCT nro_sicop)), ',') AS tenders FROM lost GROUP BY 1, 2")
+def beaten_by(t: Lens) -> DataFrame:
+    return suppliers.beaten_by(_appearances(t), t.award_line).withColumn("tenders", F.array_join("tenders", ","))
+
+
+@query("""SELECT cedula_proveedor, rival, count(*) AS gap_lines, round(quantile_cont((m.precio_unitario - o.precio_unitario) / o.precio_unitario * 100, 0.5), 6) AS median_gap FROM lost l
+JOIN bid_line m ON m.nro_sicop = l.nro_sicop AND m.nro_oferta = l.cedula_proveedor JOIN bid_line o ON o.nro_sicop = m.nro_sicop AND o.nro_linea = m.nro_linea AND o.moneda = m.moneda AND o.nro_oferta = l.rival
+WHERE m.precio_unitario > 0 AND o.precio_unitario > 0 GROUP BY 1, 2""")
+def rival_gap(t: Lens) -> DataFrame:
+    return suppliers.rival_gaps(t.bid, _by_line(t.bid_line), _appearances(t), t.award_line).withColumn("median_gap", r("median_gap"))
+
+
+@query("""WITH b AS (SELECT nro_oferta AS cedula_proveedor, codigo_producto, count(DISTINCT nro_sicop) AS tenders_bid FROM bid_line JOIN tender USING (nro_sicop) GROUP BY 1, 2),
+w AS (SELECT cedula_proveedor, codigo_producto, count(DISTINCT nro_sicop) AS tenders_won FROM award_line JOIN tender USING (nro_sicop) GROUP BY 1, 2)
+SELECT b.*, coalesce(tenders_won, 0) AS tenders_won FROM b LEFT JOIN w USING (cedula_proveedor, codigo_producto)""")
+def product_performance(t: Lens) -> DataFrame:
+    return suppliers.product_performance(t.bid, t.bid_line, t.award_line, t.tender)
+
+
+@query("SELECT cedula_proveedor, cedula_institucion, nombre, count(*) AS tenders, count(*) FILTER (decided) AS decided, count(*) FILTER (won) AS won, CASE WHEN count(*) FILTER (decided) > 0 THEN round(count(*) FILTER (won) / count(*) FILTER (decided), 6) END AS rate FROM appearances LEFT JOIN institution ON cedula = cedula_institucion GROUP BY 1, 2, 3")
+def institution_performance(t: Lens) -> DataFrame:
+    return suppliers.institution_performance(_appearances(t), t.institution).withColumn("rate", r("rate"))
+
+
+@query("SELECT cedula_proveedor, coalesce(trim(resultado), '(none)') AS result, count(DISTINCT nro_recurso) AS appeals FROM appeal GROUP BY cedula_proveedor, resultado")
+def appeal_results(t: Lens) -> DataFrame:
+    return suppliers.appeals(t.appeal)
+
+
+@query("""WITH b AS (SELECT cedula_proveedor, resultado, count(DISTINCT nro_recurso) AS n FROM appeal GROUP BY 1, 2) SELECT *, CASE WHEN decided > 0 THEN round(upheld / decided, 6) END AS success_rate FROM (
+SELECT cedula_proveedor, coalesce(sum(n) FILTER (resultado IS NOT NULL), 0)::BIGINT AS decided, coalesce(sum(n) FILTER (lower(resultado) LIKE '%con lugar%'), 0)::BIGINT AS upheld FROM b GROUP BY 1)""")
+def appeal_success(t: Lens) -> DataFrame:
+    return suppliers.appeal_success(t.appeal).withColumn("success_rate", r("success_rate"))
+
+
+@query("""SELECT cedula_proveedor, rival, count(*) AS times, any_value(nombre) AS rival_name, (rival IN (SELECT cedula_proveedor FROM sanction))::INT::BIGINT AS sanctions, rival IN (SELECT cedula_proveedor FROM sanction) AS sanctioned
+FROM lost l LEFT JOIN (SELECT cedula_proveedor AS c, nombre FROM supplier_t) s ON s.c = l.rival GROUP BY 1, 2""")
+def sanctioned_rivals(t: Lens) -> DataFrame:
+    return suppliers.sanctioned_rivals(suppliers.beaten_by(_appearances(t), t.award_line), t.sanction, t.supplier).drop("tenders")
+
+
+@query("""SELECT cedula_proveedor, rival, count(*) AS times FROM lost WHERE cedula_proveedor = '7' GROUP BY 1, 2 ORDER BY times DESC, rival LIMIT 15""")
+def supplier_profile(t: Lens) -> DataFrame:
+    return suppliers.profile("7", t.bid, t.bid_line, t.award_line, t.tender).select("cedula_proveedor", "rival", "times")
+
+
+# Institutions
+
+
+def _metrics(t: Lens) -> DataFrame:
+    return institutions.metrics(_by_institution(t, 1), durations.by_institution(t.stage_dates, t.tender, t.institution, AS_OF))
+
+
+@query("SELECT cedula_institucion, nombre, tenders_published, metric, round(value, 6) AS value, n FROM inst_metrics")
+def institution_metrics(t: Lens) -> DataFrame:
+    return _metrics(t).withColumn("value", r("value"))
+
+
+@query("""WITH pr AS (SELECT a.cedula_institucion AS s, b.cedula_institucion AS p, b.tenders_published BETWEEN greatest(1, floor(a.tenders_published / 2)) AND ceil(a.tenders_published * 2) AS near FROM inst_comp a JOIN inst_comp b ON a.cedula_institucion <> b.cedula_institucion),
+cnt AS (SELECT s, count(*) FILTER (near) AS banded FROM pr GROUP BY 1), ch AS (SELECT pr.s, pr.p FROM pr JOIN cnt USING (s) WHERE banded < 5 OR near),
+st AS (SELECT m.cedula_institucion, m.metric, count(v.value) AS peer_n, quantile_cont(v.value, 0.25) AS p25, quantile_cont(v.value, 0.5) AS p50, quantile_cont(v.value, 0.75) AS p75,
+ count(*) FILTER (v.value < m.value) AS below, count(*) FILTER (v.value = m.value) AS equal FROM inst_metrics m JOIN ch ON ch.s = m.cedula_institucion JOIN inst_metrics v ON v.cedula_institucion = ch.p AND v.metric = m.metric WHERE v.n >= 20 AND v.value IS NOT NULL GROUP BY 1, 2)
+SELECT m.cedula_institucion, m.metric, coalesce(peer_n, 0) AS peer_n, round(p50, 6) AS peer_median, CASE WHEN m.value IS NULL THEN 'no-value' WHEN m.n < 20 THEN 'few-observations' WHEN coalesce(peer_n, 0) < 5 THEN 'few-peers' END AS suppressed,
+CASE WHEN m.value IS NOT NULL AND m.n >= 20 AND peer_n >= 5 THEN round(1 - (below + equal / 2) / peer_n, 6) END AS standing FROM inst_metrics m LEFT JOIN st USING (cedula_institucion, metric)""")
+def institution_peers(t: Lens) -> DataFrame:
+    return institutions.benchmark(_metrics(t)).select("cedula_institucion", "metric", "peer_n", r("peer_median"), "suppressed", r("standing"))
+
+
+@query("SELECT cedula_institucion, nombre, tenders_published, round(value, 6) AS value, n FROM inst_metrics WHERE metric = 'single_bidder_rate' AND n >= 20 AND value IS NOT NULL")
+def institution_ranking(t: Lens) -> DataFrame:
+    return institutions.ranking(_metrics(t), "single_bidder_rate").withColumn("value", r("value"))
+
+
+# Statistics
+
+
+@query(f"WITH c AS (SELECT cedula_institucion, count(*) AS n, count(*) FILTER (bidders = 1) AS k FROM bidder_counts GROUP BY 1) SELECT cedula_institucion, n, k, {wilson('k', 'n')} FROM c")
+def wilson_table(t: Lens) -> DataFrame:
+    c = competition.bidder_counts(t.bid, t.tender).groupBy("cedula_institucion").agg(F.count("*").alias("n"), F.count_if(F.col("bidders") == 1).alias("k"))
+    return c.select("*", r(S.wilson_low(F.col("k"), F.col("n")), "ci_low"), r(S.wilson_high(F.col("k"), F.col("n")), "ci_high"))
+
+
+@query("""WITH v AS (SELECT cedula_institucion, avg(monto_est) AS value FROM tender GROUP BY 1), w AS (SELECT *, count(*) OVER () - 1 AS others, rank() OVER (ORDER BY value) - 1 AS below, count(*) OVER (PARTITION BY value) - 1 AS ties FROM v)
+SELECT cedula_institucion, round((below + ties / 2) / others, 6) AS rank_share FROM w""")
+def percentile_rank(t: Lens) -> DataFrame:
+    v = t.tender.groupBy("cedula_institucion").agg(F.avg("monto_est").alias("value"))
+    return S.percentile_rank(v, [], "value").select("cedula_institucion", r("rank_share"))
+
+
+@query("""WITH v AS (SELECT nro_sicop, cedula_proveedor, sum(cantidad) AS q FROM award_line GROUP BY 1, 2), s AS (SELECT nro_sicop, sum(q) AS total, sum(q * q) AS squares, count(*) AS k FROM v GROUP BY 1)
+SELECT nro_sicop, k AS suppliers, round(CASE WHEN k <= 1 THEN 0.0 ELSE (1 - squares / (total * total)) / (1 - 1 / k) END, 6) AS evenness FROM s""")
+def evenness_by_group(t: Lens) -> DataFrame:
+    v = t.award_line.groupBy("nro_sicop", "cedula_proveedor").agg(F.sum("cantidad").alias("q"))
+    s = v.groupBy("nro_sicop").agg(F.sum("q").alias("total"), F.sum(F.col("q") * F.col("q")).alias("squares"), F.count("*").alias("suppliers"))
+    return s.select("nro_sicop", "suppliers", r(S.evenness(F.col("squares"), F.col("total"), F.col("suppliers"), F.lit(0)), "evenness"))
+
+
+@query("SELECT codigo_producto, count(*) AS n, CASE WHEN count(*) >= 2 THEN round(stddev_samp(precio_unitario) / abs(avg(precio_unitario)), 6) END AS cv FROM prices GROUP BY 1")
+def gap_cv(t: Lens) -> DataFrame:
+    return prices.price_rows(t.bid_line, t.tender).groupBy("codigo_producto").agg(F.count("*").alias("n"), F.round(S.variation("precio_unitario"), 6).alias("cv"))
+
+
+@query("""WITH s AS (SELECT event_id, (CASE event_id % 4 WHEN 0 THEN '00' WHEN 1 THEN '-' WHEN 2 THEN '+' ELSE '' END) || (event_id % 1000)::VARCHAR || (CASE event_id % 3 WHEN 0 THEN '.500' WHEN 1 THEN ',0' ELSE '' END) AS raw FROM events)
+SELECT event_id, raw, (CASE WHEN event_id % 4 = 1 AND (event_id % 1000 > 0 OR event_id % 3 = 0) THEN '-' ELSE '' END) || (event_id % 1000)::VARCHAR || (CASE event_id % 3 WHEN 0 THEN '.5' ELSE '' END) AS canonical FROM s""")
+def canonical_number(t: Lens) -> DataFrame:
+    k = F.col("event_id")
+    sign = F.when(k % 4 == 0, "00").when(k % 4 == 1, "-").when(k % 4 == 2, "+").otherwise("")
+    tail = F.when(k % 3 == 0, ".500").when(k % 3 == 1, ",0").otherwise("")
+    s = t.raw("events").select("event_id", F.concat(sign, (k % 1000).cast("string"), tail).alias("raw"))
+    return s.withColumn("canonical", E.canonical_number("raw"))
+
+
+# Canonical records and their differences
+
+
+def _snapshot(t: Lens, second: bool = False) -> DataFrame:
+    """Orders as a published table of texts; the second copy drops, edits, reprints, touches and adds rows."""
+    o, k = t.raw("orders"), F.col("o_orderkey")
+    if second:
+        more = o.filter(k % 101 == 0).withColumn("o_orderkey", k + 100_000_000)
+        o = o.filter(k % 97 != 0).unionByName(more)
+    price = F.round("o_totalprice").cast("long").cast("string")
+    if second:
+        price = F.concat(price, F.when(k % 83 == 0, ".000").otherwise(""))
+    edited = F.when(k % 89 == 0, "edited").otherwise(F.col("o_orderpriority")) if second else F.col("o_orderpriority")
+    seen = F.when(k % 79 == 0, "b").otherwise("a") if second else F.lit("a")
+    rows = o.select(k.alias("pos"), k.cast("string").alias("o_orderkey"), edited.alias("o_orderpriority"), "o_orderstatus", price.alias("o_price"), seen.alias("o_seen"))
+    return canonical.rows_of(rows, "orders", "pos")
+
+
+def _records(t: Lens, second: bool = False) -> DataFrame:
+    return canonical.records(_snapshot(t, second), ORDERS)
+
+
+def _changes(t: Lens) -> DataFrame:
+    return differ.diff(_records(t), _records(t, True))
+
+
+def _details(t: Lens) -> DataFrame:
+    return differ.detailed(_changes(t), canonical.fields(_records(t)), canonical.fields(_records(t, True)))
+
+
+@query("SELECT table_name, id, byte_hash, value_hash FROM snap1")
+def canonical_records(t: Lens) -> DataFrame:
+    return _records(t).select(F.col("table").alias("table_name"), "id", "byte_hash", "value_hash")
+
+
+@query(r"""WITH d AS (SELECT doc_id, substr(sha256('cartulary-canon-2' || chr(0) || 'docs' || chr(0) || chr(0) || 'lang' || chr(31) || lang || chr(30) || 'text' || chr(31) || text), 1, 32) AS digest FROM documents)
+SELECT doc_id AS row_pos, 'sha256:' || digest || '#' || (row_number() OVER (PARTITION BY digest ORDER BY doc_id) - 1) AS id FROM d""")
+def content_ids(t: Lens) -> DataFrame:
+    rows = canonical.rows_of(t.raw("documents").select("doc_id", "lang", "text"), "docs", "doc_id")
+    return canonical.identified(rows, {}).select("row_pos", "id")
+
+
+@query("SELECT 'orders' AS table_name, substr(sha256('cartulary-canon-2' || chr(0) || 'schema' || chr(0) || 'orders' || chr(0) || array_to_string(['o_orderkey', 'o_orderpriority', 'o_orderstatus', 'o_price', 'o_seen'], chr(30))), 1, 16) AS schema, count(*) AS rows, 0::BIGINT AS duplicate_keys, false AS content_addressed FROM orders")
+def schema_fingerprint(t: Lens) -> DataFrame:
+    return canonical.table_stats(_records(t)).withColumnRenamed("table", "table_name")
+
+
+@query(r"SELECT id, sha256('\x00'::BLOB || encode(table_name || chr(0) || id || chr(0) || byte_hash)) AS hash FROM snap1")
+def merkle_leaves(t: Lens) -> DataFrame:
+    rec = _records(t)
+    return rec.select("id", merkle.leaf(F.col("table"), F.col("id"), F.col("byte_hash")).alias("hash"))
+
+
+@query()
+def merkle_root(t: Lens) -> DataFrame:
+    return merkle.root(_records(t))
+
+
+@query()
+def merkle_proof_check(t: Lens) -> DataFrame:
+    checked = merkle.verified(merkle.block_proofs(merkle.leaves(_records(t))))
+    return checked.agg(F.count("*").alias("leaves"), F.count_if("ok").alias("verified"))
+
+
+@query("SELECT kind, 'orders' AS table_name, id, before_hash, after_hash FROM changes")
+def snapshot_diff(t: Lens) -> DataFrame:
+    return _changes(t).select("kind", F.col("table").alias("table_name"), "id", F.col("before.byte_hash").alias("before_hash"), F.col("after.byte_hash").alias("after_hash"))
+
+
+@query("SELECT k.kind, coalesce(n, 0) AS changes FROM (VALUES ('added'), ('recordedAmendment'), ('silentRevision'), ('reformatted'), ('removed')) k(kind) LEFT JOIN (SELECT kind, count(*) AS n FROM changes GROUP BY 1) c USING (kind)")
+def diff_counts(t: Lens) -> DataFrame:
+    return differ.kind_counts(_changes(t))
+
+
+@query("""WITH f AS (SELECT 'orders' AS t, ['o_orderkey', 'o_status'] AS a, ['o_orderkey', 'o_status', 'o_note'] AS b UNION ALL SELECT 'kept', ['x'], ['x'] UNION ALL SELECT 'gone', ['x'], NULL),
+g AS (SELECT t, substr(sha256('cartulary-canon-2' || chr(0) || 'schema' || chr(0) || t || chr(0) || array_to_string(a, chr(30))), 1, 16) AS before, CASE WHEN b IS NOT NULL THEN substr(sha256('cartulary-canon-2' || chr(0) || 'schema' || chr(0) || t || chr(0) || array_to_string(b, chr(30))), 1, 16) END AS after FROM f)
+SELECT t AS table_name, before, after FROM g WHERE before IS DISTINCT FROM after""")
+def schema_changes(t: Lens) -> DataFrame:
+    made = t.spark.createDataFrame([("orders", ["o_orderkey", "o_status"], ["o_orderkey", "o_status", "o_note"]), ("kept", ["x"], ["x"]), ("gone", ["x"], None)], "table string, a array<string>, b array<string>")
+    one = lambda c: made.filter(F.col(c).isNotNull()).select("table", canonical.schema_fingerprint(F.col("table"), F.col(c)).alias("schema"))
+    return differ.schema_changes(one("a"), one("b")).withColumnRenamed("table", "table_name")
+
+
+@query("SELECT id, kind, field, before_value, after_value FROM field_rows")
+def field_changes(t: Lens) -> DataFrame:
+    return differ.field_changes(_details(t)).select("id", "kind", "field", F.col("before").alias("before_value"), F.col("after").alias("after_value"))
+
+
+@query("""SELECT field, count(*) AS changes, 0::BIGINT AS numeric, count(*) FILTER (field = 'o_price') AS reprint, 0::BIGINT AS filled, 0::BIGINT AS cleared, count(*) FILTER (field <> 'o_price') AS text, 0::BIGINT AS up, 0::BIGINT AS down FROM field_rows GROUP BY 1""")
+def field_movement_summary(t: Lens) -> DataFrame:
+    return differ.field_summary(differ.field_changes(_details(t))).drop("table")
+
+
+@query("""WITH o AS (SELECT kind, id, CASE kind WHEN 'silentRevision' THEN 0 WHEN 'removed' THEN 1 WHEN 'reformatted' THEN 2 ELSE 4 END AS p FROM changes)
+SELECT kind, id, row_number() OVER (ORDER BY p, id) <= 300 AS detailed FROM o""")
+def detail_budget(t: Lens) -> DataFrame:
+    return differ.detail_budget(_changes(t), 300).select("kind", "id", "detailed")
+
+
+@query()
+def bundle_lines(t: Lens) -> DataFrame:
+    one, two = _records(t), _records(t, True)
+    return bundle.build(one, two, canonical.fields(one), canonical.fields(two), max_detail=500)
+
+
+@query("""WITH a AS (SELECT coalesce(x.id, y.id) AS id, x.byte_hash AS b1, y.byte_hash AS b2, x.value_hash AS v1, y.value_hash AS v2 FROM snap1 x FULL OUTER JOIN snap2 y USING (id))
+SELECT id, '20240101T000000Z' AS stamp, CASE WHEN b1 IS NULL THEN 'absent' ELSE 'present' END AS step FROM a UNION ALL
+SELECT id, '20240201T000000Z', CASE WHEN b1 IS NULL THEN 'added' WHEN b2 IS NULL THEN 'removed' WHEN b1 = b2 THEN 'unchanged' WHEN v1 = v2 THEN 'reformatted' ELSE 'silentRevision' END FROM a""")
+def record_transitions(t: Lens) -> DataFrame:
+    copies = {"20240101T000000Z": _records(t), "20240201T000000Z": _records(t, True)}
+    return differ.transitions(differ.versions_of(copies)).select("id", "stamp", "step")
+
+
+# Versions
+
+
+def _observations(t: Lens) -> DataFrame:
+    e = t.raw("events")
+    period = F.date_format("ts", "yyyyMM")
+    return e.select(F.lit("cr").alias("source"), period.alias("period"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("observed_at"), F.sha2(F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string"), period), 256).alias("sha256"), F.when(F.col("event_type") == "view", "stored").otherwise("unchanged").alias("status"), F.col("event_id").alias("content_length"))
+
+
+def _archives(t: Lens) -> DataFrame:
+    """Each month of orders as an archive, months with an odd number held twice."""
+    m = t.raw("orders").select(F.date_format("o_orderdate", "yyyyMM").alias("period")).distinct()
+    odd = F.col("period").cast("int") % 2 == 1
+    copies = m.select("period", F.explode(F.when(odd, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+    last = F.date_add(F.to_date(F.concat("period", F.lit("28")), "yyyyMMdd"), F.when(F.col("copy") == 0, F.lit(0)).otherwise(F.lit(60)))
+    text = F.concat("period", F.lit("-"), F.col("copy").cast("string"))
+    return copies.select(F.lit("cr").alias("source"), "period", F.concat(F.date_format(last, "yyyyMMdd"), F.lit("T120000Z")).alias("stamp"), F.sha2(text, 256).alias("sha256"), F.sha2(F.concat(F.lit("root"), text), 256).alias("root"), F.lit("cartulary-canon-2").alias("canon_version"), (F.col("period").cast("long") * 10 + F.col("copy")).alias("records"))
+
+
+ARCHIVES = """m AS (SELECT DISTINCT strftime(o_orderdate, '%Y%m') AS period FROM orders), c AS (SELECT period, unnest(CASE WHEN period::INT % 2 = 1 THEN [0, 1] ELSE [0] END) AS copy FROM m),
+arch AS (SELECT 'cr' AS source, period, strftime(strptime(period || '28', '%Y%m%d')::DATE + CASE copy WHEN 0 THEN 0 ELSE 60 END, '%Y%m%d') || 'T120000Z' AS stamp, sha256(period || '-' || copy) AS sha256, sha256('root' || period || '-' || copy) AS root, period::BIGINT * 10 + copy AS records FROM c)"""
+
+
+def _anchored(t: Lens) -> DataFrame:
+    """Roots on record: of periods divisible by 3 the held ones, of those divisible by 5 one that nobody holds."""
+    a = _archives(t)
+    p = F.col("period").cast("int")
+    own = a.filter(p % 3 == 0).select("period", F.substring("sha256", 1, 12).alias("id"), "canon_version", "root")
+    lost = a.filter(p % 5 == 0).select("period", F.lit("0" * 12).alias("id"), "canon_version", F.sha2(F.concat(F.lit("lost"), "period"), 256).alias("root")).distinct()
+    return own.unionByName(lost)
+
+
+@query(f"""WITH {ARCHIVES}, h AS (SELECT source, period, count(*) AS held, min(stamp) AS first, max(strptime(stamp, '%Y%m%dT%H%M%SZ') > strptime(period || '01', '%Y%m%d') + INTERVAL 1 MONTH + INTERVAL 2 DAY) AS late FROM arch GROUP BY 1, 2)
+SELECT source, period, held, CASE WHEN held > 1 THEN 'diffable' WHEN period::INT % 5 = 0 THEN 'priorAnchored' WHEN late THEN 'currentOnly' ELSE 'neverRewritten' END AS status, (period::INT % 5 = 0)::INT::BIGINT AS orphan_roots, strptime(substr(first, 1, 8), '%Y%m%d')::DATE AS served_day FROM h""")
+def recovery_inventory(t: Lens) -> DataFrame:
+    anchored = _anchored(t)
+    return versions.recovery(versions.captures(_archives(t), anchored), anchored)
+
+
+@query(f"WITH {ARCHIVES} SELECT period, stamp, strptime(stamp, '%Y%m%dT%H%M%SZ') > strptime(period || '01', '%Y%m%d') + INTERVAL 1 MONTH + INTERVAL 2 DAY AS after_close, CASE WHEN period::INT % 3 = 0 THEN root END AS anchored_root, CASE WHEN period::INT % 3 = 0 THEN true END AS anchor_matches FROM arch")
+def captures(t: Lens) -> DataFrame:
+    return versions.captures(_archives(t), _anchored(t)).select("period", "stamp", "after_close", "anchored_root", "anchor_matches")
+
+
+@query(f"WITH {ARCHIVES} SELECT source, period, max(stamp) AS stamp FROM arch GROUP BY 1, 2")
+def latest_versions(t: Lens) -> DataFrame:
+    return versions.newest(_archives(t)).select("source", "period", "stamp")
+
+
+@query(f"WITH {ARCHIVES} SELECT source, period, min(stamp) AS from_stamp, max(stamp) AS to_stamp FROM arch GROUP BY 1, 2 HAVING count(*) > 1")
+def version_pairs(t: Lens) -> DataFrame:
+    return versions.newest_pairs(_archives(t))
+
+
+@query(f"""WITH {ARCHIVES}, e AS (SELECT 'ver_cr_' || period || '_' || substr(sha256, 1, 12) || '_c2' AS key, root AS value FROM arch UNION ALL SELECT 'vmeta_cr_' || period || '_' || substr(sha256, 1, 12) || '_c2', 'cartulary-canon-2|' || records || '|' || sha256 || '|' || stamp FROM arch)
+SELECT (n // 100)::BIGINT AS batch, (n % 100)::BIGINT AS place, key, 'string' AS type, value FROM (SELECT *, row_number() OVER (ORDER BY key) - 1 AS n FROM e)""")
+def anchor_plan(t: Lens) -> DataFrame:
+    return versions.plan(versions.version_entries(_archives(t), "cr"))
+
+
+@query(f"WITH {ARCHIVES} SELECT 'cr' AS ns, period, substr(sha256, 1, 12) AS id, 2 AS canon, root, records, sha256, stamp FROM arch")
+def anchor_parse(t: Lens) -> DataFrame:
+    return versions.parse_versions(versions.version_entries(_archives(t), "cr"))
+
+
+@query("""WITH s AS (SELECT *, row_number() OVER (PARTITION BY source, period ORDER BY observed_at, sha256) AS n FROM observations WHERE status = 'stored')
+SELECT source, substr(observed_at, 1, 10) AS day, count(*) AS periods, min(period) AS first_period, max(period) AS last_period, sum(content_length)::BIGINT AS bytes FROM s WHERE n > 1 GROUP BY 1, 2""")
+def republication_events(t: Lens) -> DataFrame:
+    return versions.republications(_observations(t))
+
+
+@query("SELECT source, period, sha256, min(observed_at) AS first_seen, row_number() OVER (PARTITION BY source, period ORDER BY min(observed_at), sha256) AS version FROM observations GROUP BY 1, 2, 3")
+def versions_by_period(t: Lens) -> DataFrame:
+    return versions.versions_by_period(_observations(t)).withColumn("version", F.col("version").cast("long"))
+
+
+# Index
+
+
+def _loaded(t: Lens) -> DataFrame:
+    """Award lines as they come month by month, with the order in which they are loaded."""
+    return t.bid_line.withColumn("load_seq", F.lit(1)).withColumn("row_pos", F.col("codigo_producto").cast("long")).withColumn("nro_oferta", F.lit("1"))
+
+
+@query("""SELECT nro_sicop, nro_linea, source_month, codigo_producto FROM (SELECT *, row_number() OVER (PARTITION BY nro_sicop, nro_linea ORDER BY source_month DESC, codigo_producto::BIGINT DESC) AS rn FROM bid_line) WHERE rn = 1""")
+def latest_wins_load(t: Lens) -> DataFrame:
+    return index.load(_loaded(t), "bid_line").select("nro_sicop", "nro_linea", "source_month", "codigo_producto")
+
+
+@query("SELECT count(*) AS rows_read, 0::BIGINT AS no_key, count(DISTINCT nro_sicop || '|' || nro_linea) AS held FROM bid_line")
+def load_counts(t: Lens) -> DataFrame:
+    return index.load_counts(_loaded(t), "bid_line")
+
+
+@query("""SELECT 'contract' AS table_name, count(*) AS rows, count(fecha_notificacion) AS dated, min(fecha_notificacion) AS first_day, max(fecha_notificacion) AS last_day FROM contract UNION ALL
+SELECT 'tender', count(*), count(fecha_publicacion), min(fecha_publicacion), max(fecha_publicacion) FROM tender""")
+def index_spans(t: Lens) -> DataFrame:
+    return index.spans({"tender": (t.tender, "fecha_publicacion"), "contract": (t.contract, "fecha_notificacion")})
+
+
+@query("""WITH have AS (SELECT DISTINCT source_month AS month FROM tender WHERE substr(source_month, 5, 2) NOT IN ('02', '07'))
+SELECT strftime(d, '%Y%m') AS month FROM (SELECT unnest(generate_series((SELECT strptime(min(month) || '01', '%Y%m%d') FROM have), (SELECT strptime(max(month) || '01', '%Y%m%d') FROM have), INTERVAL 1 MONTH)) AS d) WHERE strftime(d, '%Y%m') NOT IN (SELECT month FROM have)""")
+def month_gaps(t: Lens) -> DataFrame:
+    return index.month_gaps(t.tender.filter(~F.substring("source_month", 5, 2).isin("02", "07")))
+
+
+@query("""WITH v AS (SELECT (fecha_notificacion::DATE - fecha_publicacion::DATE) AS days FROM contract JOIN tender USING (nro_sicop)), o AS (SELECT days, row_number() OVER (ORDER BY days) - 1 AS i, count(*) OVER () AS n FROM v)
+SELECT k AS share, days::BIGINT AS value FROM o, (VALUES (0.25), (0.5), (0.9)) s(k) WHERE i = floor((n - 1) * k::DOUBLE)""")
+def nearest_rank_duration(t: Lens) -> DataFrame:
+    days = index.stitched_durations(t.tender, t.contract)
+    return index.nearest_rank(days, "days", (0.25, 0.5, 0.9)).withColumn("value", F.col("value").cast("long")).withColumn("share", F.col("share").cast("decimal(3,2)"))
+
+
+@query("SELECT count(*) AS links, count(*) FILTER (c.source_month <> t.source_month) AS crossing, round(count(*) FILTER (c.source_month <> t.source_month) / count(*), 6) AS share FROM contract c JOIN tender t USING (nro_sicop)")
+def cross_month_links(t: Lens) -> DataFrame:
+    return index.cross_month(t.tender, t.contract).withColumn("share", r("share"))
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (source_month > strftime(publicacion, '%Y%m')) AS lagged FROM stage_dates")
+def lagged_stage_rows(t: Lens) -> DataFrame:
+    return index.lagged_stages(t.stage_dates)
+
+
+def _actors(t: Lens) -> DataFrame:
+    return index.actors(t.bid, t.award_line, t.contract, t.appeal, t.sanction, t.supplier)
+
+
+@query("""SELECT cedula, any_value(nombre) AS nombre FROM (SELECT cedula_proveedor AS cedula FROM bid UNION SELECT cedula_proveedor FROM award_line UNION SELECT cedula_proveedor FROM contract UNION SELECT cedula_proveedor FROM appeal
+UNION SELECT cedula_proveedor FROM sanction UNION SELECT cedula_proveedor FROM supplier_t) a LEFT JOIN (SELECT cedula_proveedor AS cedula, nombre FROM supplier_t) USING (cedula) GROUP BY 1""")
+def actors_union(t: Lens) -> DataFrame:
+    return _actors(t)
+
+
+@query("SELECT id_consorcio, cedula_proveedor, count(*) AS bids FROM bid WHERE id_consorcio IS NOT NULL GROUP BY 1, 2")
+def consortium_members(t: Lens) -> DataFrame:
+    return index.consortium_members(t.bid)
+
+
+def _companies(t: Lens) -> DataFrame:
+    """Suppliers as companies: pairs share a serial and, but for the legal form, a name."""
+    k = F.col("s_suppkey")
+    form = F.when(k % 2 == 0, " S.A.").otherwise(" SOCIEDAD ANÓNIMA")
+    serial = F.lpad((F.floor(k / 2)).cast("string"), 6, "0")
+    return t.raw("supplier").select(F.concat(F.lit("3"), F.when(k % 2 == 0, "101").otherwise("102"), serial).alias("cedula"), F.concat(F.lit("Empresa "), F.floor(k / 4).cast("string"), form).alias("nombre"))
+
+
+COMPANIES = "co AS (SELECT s_suppkey AS k, '3' || CASE WHEN s_suppkey % 2 = 0 THEN '101' ELSE '102' END || lpad((s_suppkey // 2)::VARCHAR, 6, '0') AS cedula, 'EMPRESA ' || (s_suppkey // 4) AS norm_name, lpad((s_suppkey // 2)::VARCHAR, 6, '0') AS serial, 'Empresa ' || (s_suppkey // 4) || CASE WHEN s_suppkey % 2 = 0 THEN ' S.A.' ELSE ' SOCIEDAD ANÓNIMA' END AS nombre FROM supplier)"
+
+
+@query(f"WITH {COMPANIES} SELECT norm_name, serial, 'group:' || min(cedula) AS group_id, arg_max(nombre, length(nombre)) AS group_name, count(*) AS members FROM co GROUP BY 1, 2 HAVING count(*) >= 2")
+def entity_groups(t: Lens) -> DataFrame:
+    return index.supplier_groups(index.with_names(_companies(t))).select("norm_name", "serial", "group_id", "group_name", F.size("members").cast("long").alias("members"))
+
+
+@query(f"WITH {COMPANIES} SELECT norm_name, count(DISTINCT serial) AS serials, 'name-shared-serials-differ' AS reason FROM co GROUP BY 1 HAVING count(DISTINCT serial) > 1")
+def entity_rejections(t: Lens) -> DataFrame:
+    return index.rejected_names(index.with_names(_companies(t)))
+
+
+@query(f"""WITH {COMPANIES}, g AS (SELECT norm_name, serial, 'group:' || min(cedula) AS gid, arg_max(nombre, length(nombre)) AS gname FROM co GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT cedula AS cedula_proveedor, coalesce(gid, 'supplier:' || cedula) AS entity_id, coalesce(gname, nombre) AS canonical_name FROM co LEFT JOIN g USING (norm_name, serial)""")
+def owning_entity(t: Lens) -> DataFrame:
+    return index.owning_entity(*index.resolve(index.with_names(_companies(t)), t.bid))
+
+
+# Delivery
+
+
+def _feed(t: Lens) -> DataFrame:
+    """Changes of orders as changes of tenders, detected on days that follow from the id; ids of orders divisible by 8 have no tender."""
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id").cast("long") % 30).cast("int")), "yyyy-MM-dd")
+    return _changes(t).select("kind", F.lit("DetalleCarteles").alias("table"), "id", day.alias("detected_at"), F.lit("202401").alias("month"), (F.col("id").cast("long") % 2 == 0).alias("closed_month"))
+
+
+FEED = "feed AS (SELECT kind, id, strftime(DATE '2024-01-01' + (id::BIGINT % 30)::INT, '%Y-%m-%d') AS detected_at, id::BIGINT % 2 = 0 AS closed_month FROM changes)"
+
+
+@query(f"WITH {FEED} SELECT kind, id, detected_at FROM feed WHERE kind = 'silentRevision' AND detected_at BETWEEN '2024-01-05' AND '2024-01-20'")
+def feed_filtered(t: Lens) -> DataFrame:
+    return delivery.feed(_feed(t), "2024-01-05", "2024-01-20", kind="silentRevision").select("kind", "id", "detected_at")
+
+
+@query(f"""WITH {FEED} SELECT id, kind, t.cedula_institucion AS institution, coalesce(s.suppliers, '') AS suppliers FROM feed LEFT JOIN tender t ON t.nro_sicop = id
+LEFT JOIN (SELECT nro_sicop, array_to_string(list_sort(list(DISTINCT cedula_proveedor)), ',') AS suppliers FROM bid GROUP BY 1) s ON s.nro_sicop = id""")
+def subject_suppliers(t: Lens) -> DataFrame:
+    made = delivery.subjects(delivery.static_subject(_feed(t)), t.tender, t.bid, t.award_line, t.bid_line)
+    return made.select("id", "kind", "institution", F.array_join("suppliers", ",").alias("suppliers"))
+
+
+DATES = "dates AS (SELECT t.nro_sicop, fecha_publicacion AS published, fechah_apertura AS opens, strftime(s.a, '%Y-%m-%d') AS awarded FROM tender t LEFT JOIN (SELECT nro_sicop, min(adjudicacion_firme) AS a FROM stage_dates GROUP BY 1) s USING (nro_sicop))"
+
+
+@query(f"WITH {DATES} SELECT * FROM dates")
+def key_dates(t: Lens) -> DataFrame:
+    return delivery.key_dates(t.tender, t.stage_dates)
+
+
+@query(f"""WITH {DATES} SELECT nro_sicop, strftime(published::DATE + 5, '%Y-%m-%d') AS closes_at, CASE WHEN published::DATE + 5 >= DATE '1997-01-01' THEN 'open' ELSE 'closed' END AS status, (published::DATE + 5 - DATE '1997-01-01')::BIGINT AS days_remaining FROM dates""")
+def objection_window(t: Lens) -> DataFrame:
+    made = delivery.objection_window(delivery.key_dates(t.tender, t.stage_dates), "1997-01-01")
+    return made.select("nro_sicop", "closes_at", "status", F.col("days_remaining").cast("long").alias("days_remaining"))
+
+
+@query(f"""WITH {FEED}, m AS (SELECT 'inst' AS subscription, f.* FROM feed f JOIN tender t ON t.nro_sicop = f.id WHERE t.cedula_institucion = '3' UNION ALL SELECT 'supp', f.* FROM feed f JOIN bid b ON b.nro_sicop = f.id WHERE b.cedula_proveedor = '7' AND kind = 'removed')
+SELECT DISTINCT subscription, kind, id, CASE WHEN kind = 'silentRevision' AND closed_month THEN 'high' WHEN kind IN ('silentRevision', 'removed') THEN 'medium' ELSE 'low' END AS severity FROM m""")
+def alert_matches(t: Lens) -> DataFrame:
+    subs = t.spark.createDataFrame([("inst", "institution", "3", None), ("supp", "supplier", "7", ["removed"]), ("blank", "tender", " ", None)], "id string, kind string, value string, kinds array<string>")
+    made = delivery.subjects(delivery.static_subject(_feed(t)), t.tender, t.bid, t.award_line, t.bid_line)
+    return delivery.alerts(made, subs).select("subscription", "kind", "id", "severity")
+
+
+@query("SELECT nro_sicop, nro_acto, cedula_proveedor, count(*) AS lines, CASE WHEN count(DISTINCT moneda) = 1 THEN round(sum(cantidad * precio_unitario), 2) END AS amount, CASE WHEN count(DISTINCT moneda) = 1 THEN min(moneda) END AS currency FROM latest_award GROUP BY 1, 2, 3")
+def ocds_awards(t: Lens) -> DataFrame:
+    return delivery.award_values(awards.latest_award_lines(t.award_line)).withColumn("amount", F.round("amount", 2))
+
+
+@query("SELECT nro_contrato, min(secuencia::INT)::VARCHAR AS first_sequence, count(*) - 1 AS amendments FROM contract GROUP BY 1")
+def ocds_contract_amendments(t: Lens) -> DataFrame:
+    return delivery.contract_amendments(t.contract)
+
+
+@query()
+def ocds_releases(t: Lens) -> DataFrame:
+    contract = t.contract.withColumn("cedula_institucion", F.lit(None).cast("string"))
+    return delivery.releases(t.tender, t.bid, t.bid_line, t.award_line, contract, t.supplier, t.institution)
+
+
+@query("SELECT nro_sicop, fecha_publicacion FROM tender ORDER BY fecha_publicacion DESC, nro_sicop LIMIT 50 OFFSET 100")
+def tenders_page(t: Lens) -> DataFrame:
+    return delivery.page(t.tender.select("nro_sicop", "fecha_publicacion").orderBy(F.desc("fecha_publicacion"), "nro_sicop"), 50, 100)
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_activity(t: Lens) -> DataFrame:
+    return activity(t.raw("events")).withColumn("total", F.round("total", 4))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to function of (spark, sf_dir)."""
-    return {}
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
+def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL over the same tables."""
-    return {}
+    return dict(_SQL)
+
+
