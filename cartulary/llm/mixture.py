@@ -80,9 +80,15 @@ def tilted(sources: DataFrame, steps: int = NEWTON_STEPS) -> DataFrame:
     return sources.withColumn("lambda", lam).withColumn("rate", F.coalesce(F.exp("lambda"), F.lit(0.0)))
 
 
+def _measured(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    turn = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
+    return [F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), turn.alias("turn"), F.substring(turn, 1, BUCKET_DIGITS).alias("bucket")]
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size and the order of documents, without the texts."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("turn"))
+    """doc_id, source, size, the order of documents (turn) and its bucket, without the texts."""
+    return docs.select(*_measured(id_col, text_col, source_col))
 
 
 def _with_source(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -92,12 +98,15 @@ def _with_source(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.withColumn("my_salt", mine).join(salted, (F.col("my_salt") == F.col("salt")) & F.col("source").eqNullSafe(F.col("s"))).drop("salt", "my_salt", "s")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, rate, copies, taken."""
-    rows = materialise(sized(docs, id_col, text_col, source_col).withColumn("bucket", F.substring("turn", 1, BUCKET_DIGITS)), "sizes")
+def planned(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS) -> tuple[DataFrame, DataFrame]:
+    """For sized rows: the plan of each source, and the documents of the buckets in which targets fall.
+
+    The plan has source_size, target, rate, whole (copies for all), edge (the bucket
+    before which documents take one more). The second table has a source, turn,
+    doc_id, size and extra for each document in its source's edge bucket.
+    """
     buckets = materialise(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
     sources = materialise(tilted(targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_repeats)), "rates")
-
     whole = F.floor(F.col("rate") + 1e-9)
     plan = sources.withColumn("whole", whole.cast("int")).withColumn("budget", F.round(F.col("source_size") * (F.col("rate") - whole), 3))
     inside = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,12 +115,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     edge = falls.select(F.col("b.source").alias("s2"), F.col("bucket").alias("edge"), "before")
     plan = plan.join(edge, F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2").withColumn("edge", F.coalesce("edge", F.when(F.col("budget") > 0, F.lit("~")).otherwise(F.lit("")))).withColumn("before", F.coalesce("before", F.lit(0)))
     plan = materialise(plan, "mix-plan")
-
-    planned = _with_source(rows, plan)
-    off_edge = planned.filter("bucket <> edge").withColumn("extra", (F.col("bucket") < F.col("edge")).cast("int"))
     running = Window.partitionBy("source", "bucket").orderBy("turn", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.col("before") + F.coalesce(F.sum("size").over(running), F.lit(0))
-    on_edge = planned.filter("bucket = edge").withColumn("extra", (reached + F.col("size") / 2 <= F.col("budget")).cast("int"))
+    on_edge = _with_source(rows, plan).filter("bucket = edge").withColumn("extra", (reached + F.col("size") / 2 <= F.col("budget")).cast("int"))
+    return plan, on_edge
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, rate, copies, taken."""
+    rows = materialise(sized(docs, id_col, text_col, source_col), "sizes")
+    plan, on_edge = planned(rows, **how)
+    off_edge = _with_source(rows, plan).filter("bucket <> edge").withColumn("extra", (F.col("bucket") < F.col("edge")).cast("int"))
     copies = F.col("whole") + F.col("extra")
     out = off_edge.unionByName(on_edge)
     return out.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
@@ -120,13 +134,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: rows of docs with all their columns, as often as the mix takes them.
 
-    Rows that share an id and a size share their number of copies: that of the
-    first such row, as one id stands for one document.
+    Documents meet the small plan of their source and the few rows of its edge
+    bucket; whole texts aren't counted twice or joined with each other. Rows that
+    share an id, source and size share their number of copies: that of the first one.
     """
-    made = mix(docs, id_col, text_col, source_col, **how)
-    taken = materialise(made.groupBy("doc_id", "size").agg(F.min("copies").alias("copies")), "copies")
-    names = docs.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    keyed = docs.select(row, F.col(id_col).alias("k"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("z"))
-    both = keyed.join(taken, F.col("k").eqNullSafe(F.col("doc_id")) & (F.col("z") == F.col("size")))
-    return both.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    rows = materialise(sized(docs, id_col, text_col, source_col), "sizes")
+    plan, on_edge = planned(rows, **how)
+    edges = materialise(on_edge.groupBy(F.col("source").alias("e_source"), F.col("turn").alias("e_turn"), F.col("size").alias("e_size")).agg(F.min("extra").alias("e_extra")), "edges")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col(text_col).alias("__text"))
+    mine = keyed.select("row", *_measured("__id", "__text", "__source")[1:])
+    met = _with_source(mine, plan.select("source", "whole", "edge")).withColumn("on_edge", F.col("bucket") == F.col("edge"))
+    exact = met.join(edges, F.col("on_edge") & F.col("source").eqNullSafe(F.col("e_source")) & (F.col("turn") == F.col("e_turn")) & (F.col("size") == F.col("e_size")), "left")
+    copies = F.col("whole") + F.when(F.col("on_edge"), F.coalesce("e_extra", F.lit(0))).otherwise((F.col("bucket") < F.col("edge")).cast("int"))
+    return exact.withColumn("copies", copies.cast("int")).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
