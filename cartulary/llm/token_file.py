@@ -15,9 +15,9 @@ and write files of their own; the table of files gives every file its first
 place in the whole, by a running sum over files.
 
 Tokenising uses the tokenizers library. White space always separates tokens of
-the vocabularies used here and is dropped by them, so texts are cut at spaces
-and line ends and each distinct part is encoded once and remembered (up to
-PARTS_KEPT); the ids equal those of the whole text.
+the vocabularies used here and is dropped by them, so texts are cut and distinct
+words are encoded once and remembered (two generations of PARTS_KEPT); the ids
+equal those of the whole text.
 
 Defined cases: null and empty texts have only the end id; rows with equal ids are
 separate documents next to each other; an empty table gives no files; other
@@ -27,6 +27,7 @@ columns aren't read; strings of special tokens in texts are ordinary text.
 from __future__ import annotations
 
 import os
+import re
 import struct
 
 from collections.abc import Iterator
@@ -45,7 +46,7 @@ MAGIC = b"DACIDS1\n"
 RANK_STEP = 512
 #: A file is closed after so many ids.
 FILE_IDS = 32 << 20
-PARTS_KEPT = 400_000
+PARTS_KEPT = 200_000
 LONGEST_KEPT = 64
 END_ID = 2
 
@@ -137,8 +138,40 @@ class TokenFile:
         return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+class Remembered(dict):
+    """A bounded memory in two generations: what is used again moves on, the rest is forgotten."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def lacking(self, keys: set[str]) -> list[str]:
+        """The keys that aren't known; known ones are kept."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        out = []
+        for key in keys.difference(self):
+            found = self.old.get(key)
+            if found is None:
+                out.append(key)
+            else:
+                self[key] = found
+        return out
+
+
 class Words:
-    """A tokenizer with a memory of the parts that it has encoded."""
+    """A tokenizer with a memory of the words that it has encoded.
+
+    In lower case (which the vocabulary ignores too) a text of Latin letters, ASCII
+    digits, marks and white space is a run of words, digits, marks and contractions,
+    each encoded by itself; other texts are cut at spaces and their parts go to the
+    library as they are. Many words go in one call, with the digit 0 between them,
+    which words don't hold and which is a token of its own.
+    """
+
+    PLAIN = re.compile(r"[a-zß-öø-ÿ\t-\r -@\[-`{-~]*")
+    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -146,23 +179,45 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
+        self.parts, self.words = Remembered(PARTS_KEPT // 4), Remembered(PARTS_KEPT)
+        self.zero = self._ids(["0"])[0]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        words = [p for p in pieces if p[0] >= "a" and p[0] not in "{|}~"]
+        rest = [p for p in pieces if not (p[0] >= "a" and p[0] not in "{|}~")]
+        self.words.update(zip(rest, self._ids(rest), strict=True))
+        for start in range(0, len(words), 4096):
+            some = words[start : start + 4096]
+            ids = np.array(self.tokenizer.encode(" 0 ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = 4 * np.flatnonzero(ids == np.frombuffer(self.zero, "<u4")[0])
+            data = ids.tobytes()
+            edges, ends = [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)]
+            if len(edges) != len(some):
+                raise ValueError("words and ids do not match")
+            self.words.update(zip(some, (data[i:j] for i, j in zip(edges, ends, strict=True)), strict=True))
+
+    @staticmethod
+    def _forget_long(memory: Remembered, keys: list[str]) -> None:
+        for key in keys:
+            if len(key) > LONGEST_KEPT:
+                del memory[key]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list({part for parts in cut for part in parts} - self.known.keys())
-        if len(self.known) + len(new) > PARTS_KEPT:
-            self.known = {"": b""}
-            new = list({part for parts in cut for part in parts if part})
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
-            for part, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[part] = np.array(found.ids, "<u4").tobytes()
-        out = [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
-        for part in new:
-            if len(part) > LONGEST_KEPT:
-                del self.known[part]
+        lower = [(t or "").lower() for t in texts]
+        plain = [self.PIECES.findall(t) if self.PLAIN.fullmatch(t) else None for t in lower]
+        parts = [None if p is not None else t.replace("\n", " ").split(" ") for p, t in zip(plain, texts, strict=True)]
+        new = self.words.lacking(set().union(*(p for p in plain if p)))
+        self._learn(new)
+        other = self.parts.lacking(set().union(*(p for p in parts if p)))
+        self.parts.update(zip(other, self._ids(other), strict=True))
+        word, part = self.words.__getitem__, self.parts.__getitem__
+        out = [b"".join(map(part, q)) if p is None else b"".join(map(word, p)) for p, q in zip(plain, parts, strict=True)]
+        self._forget_long(self.words, new)
+        self._forget_long(self.parts, other)
         return out
 
 
