@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cartulary.llm.shared import materialise, ship_package
+from cartulary.llm.shared import likely_first, materialise, ship_package
 
 K = 20
 SAMPLE = 16_384
@@ -238,7 +238,7 @@ def search(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id
     kept = materialise(rows.withColumn("n", F.row_number().over(alike)).filter(F.col("n") <= k + 1).select("vec_id", "v"), "vectors")
     count = kept.count()
     turn = F.md5(F.col("vec_id").cast("string").cast("binary"))
-    sample = kept.select("v", turn.alias("turn"), "vec_id").orderBy("turn", "vec_id").limit(SAMPLE).select("v").toPandas()
+    sample = kept.select("v", turn.alias("turn"), "vec_id").filter(likely_first(turn, count, SAMPLE)).orderBy("turn", "vec_id").limit(SAMPLE).select("v").toPandas()
     router = fit(np.stack(sample["v"].to_numpy()) if len(sample) else np.zeros((0, dim)), count, target)
 
     index = materialise(_routed(kept, router, dim, False), "index")

@@ -24,7 +24,7 @@ def whole_file(uri: str):
     where.create_dir(path.rpartition("/")[0], recursive=True)
     context = TaskContext.get()
     own = f"{path}.attempt-{context.taskAttemptId() if context else 0}"
-    with where.open_output_stream(own) as out:
+    with where.open_output_stream(own, compression=None) as out:
         yield out
     where.move(own, path)
 
@@ -32,7 +32,7 @@ def whole_file(uri: str):
 def read_bytes(uri: str) -> bytes:
     """All bytes of a file."""
     where, path = place(uri)
-    with where.open_input_stream(path) as stream:
+    with where.open_input_stream(path, compression=None) as stream:
         return stream.read()
 
 

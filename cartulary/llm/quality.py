@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.shared import materialise, ship_package
+from cartulary.llm.shared import likely_first, materialise, ship_package
 
 SAMPLE_ROWS = 20_000
 FEATURES = 14
@@ -106,7 +106,9 @@ def expand(x: np.ndarray, middle: np.ndarray, scale: np.ndarray) -> np.ndarray:
 
 def fit(rows: DataFrame, labels: DataFrame) -> dict | None:
     """Model from the labelled rows that rank first; None without both kinds of labels."""
-    best = rows.join(labels, rows["doc_id"] == labels["label_id"]).select("x", "good", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("turn")).orderBy("turn").limit(SAMPLE_ROWS).toPandas()
+    turn = F.md5(F.col("label_id").cast("string").cast("binary"))
+    drawn = labels.withColumn("turn", turn).filter(likely_first(turn, labels.count(), 2 * SAMPLE_ROWS))
+    best = rows.join(drawn, rows["doc_id"] == drawn["label_id"]).select("x", "good", "turn").orderBy("turn").limit(SAMPLE_ROWS).toPandas()
     if best.empty or best["good"].round().nunique() < 2:
         return None
     x, y = np.array(best["x"].tolist()), best["good"].round().to_numpy(float)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -48,8 +49,21 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Arrow batches to Python hold about so many bytes, so that long texts don't fill a worker.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")
+
+
+def give_back_memory() -> None:
+    """Return freed memory of this process to the system, where the C library can."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, unless PYTHONPATH already leads them to it."""
+    """Send this package to the executors, unless PYTHONPATH already leads them to it; bound Arrow batches."""
+    spark.conf.set(*BATCH)
     root = Path(__file__).resolve().parents[2]
     if any(p and Path(p).resolve() == root for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)):
         return
@@ -78,6 +92,15 @@ def one_spaced(column: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(column), SPACE, " ")
 
 
+def likely_first(turn: Column, rows: int, wanted: int) -> Column:
+    """Whether a row's hex digest can be among the ``wanted`` least of so many rows, but for a negligible chance.
+
+    Keeps tasks from each sending as many candidates as are wanted in all.
+    """
+    share = (1.5 * wanted + 100) / max(1, rows)
+    return F.lit(True) if share >= 1 else F.substring(turn, 1, 8) < F.lit(f"{int(share * 16**8):08x}")
+
+
 #: Groups at least this large, and of at least a thousandth of all rows, reach their rows by broadcast.
 HOT_GROUP = 1000
 
