@@ -39,6 +39,20 @@ def r(c: str | Column, name: str | None = None, digits: int = 6) -> Column:
     return out.alias(name or c) if isinstance(c, str) or name else out
 
 
+#: Prices are short decimals, so that many lie halfway between two rounded values; a shift by this share of a digit decides them.
+SHIFT = 0.0123457
+
+
+def off_half(c: str, digits: int) -> Column:
+    """A price rounded where engines agree on which way halves go."""
+    return F.round(F.col(c) + SHIFT * 10.0**-digits, digits).alias(c)
+
+
+def off_half_sql(x: str, digits: int) -> str:
+    """The same in SQL."""
+    return f"round({x} + {SHIFT}e-{digits}, {digits})"
+
+
 WILSON = "CASE WHEN {n} > 0 THEN round({end}(({k} / {n} + 1.9208 / {n} {sign} 1.96 * sqrt({k} / {n} * (1 - {k} / {n}) / {n} + 0.9604 / ({n} * {n}))) / (1 + 3.8416 / {n}), {edge}), 6) END"
 
 
@@ -133,9 +147,9 @@ def competition_by_institution(t: Lens) -> DataFrame:
 # Awards
 
 
-@query("SELECT nro_sicop, nro_linea, nro_acto, codigo_producto, cantidad, round(precio_unitario, 6) AS precio_unitario, moneda FROM latest_award")
+@query(f"SELECT nro_sicop, nro_linea, nro_acto, codigo_producto, cantidad, {off_half_sql('precio_unitario', 6)} AS precio_unitario, moneda FROM latest_award")
 def latest_award_lines(t: Lens) -> DataFrame:
-    return awards.latest_award_lines(t.award_line).select("nro_sicop", "nro_linea", "nro_acto", "codigo_producto", "cantidad", r("precio_unitario"), "moneda")
+    return awards.latest_award_lines(t.award_line).select("nro_sicop", "nro_linea", "nro_acto", "codigo_producto", "cantidad", off_half("precio_unitario", 6), "moneda")
 
 
 @query("""SELECT a.n AS all_lines, round(a.v, 2) AS all_value, b.n AS latest_lines, round(b.v, 2) AS latest_value, round(a.v - b.v, 2) AS surplus FROM (SELECT count(*) AS n, sum(cantidad * precio_unitario) AS v FROM award_line) a,
@@ -241,9 +255,9 @@ def sole_bid_pairs(t: Lens) -> DataFrame:
 # Prices
 
 
-@query("SELECT codigo_producto, nro_sicop, nro_linea, cantidad, round(precio_unitario, 6) AS precio_unitario, fecha_publicacion AS fecha FROM prices LEFT JOIN tender USING (nro_sicop)")
+@query(f"SELECT codigo_producto, nro_sicop, nro_linea, cantidad, {off_half_sql('precio_unitario', 6)} AS precio_unitario, fecha_publicacion AS fecha FROM prices LEFT JOIN tender USING (nro_sicop)")
 def price_rows(t: Lens) -> DataFrame:
-    return prices.price_rows(t.bid_line, t.tender).select("codigo_producto", "nro_sicop", "nro_linea", "cantidad", r("precio_unitario"), "fecha")
+    return prices.price_rows(t.bid_line, t.tender).select("codigo_producto", "nro_sicop", "nro_linea", "cantidad", off_half("precio_unitario", 6), "fecha")
 
 
 @query("SELECT codigo_producto, count(*) FILTER (moneda <> 'CRC') AS other_currency, 0::BIGINT AS non_positive, 0::BIGINT AS missing FROM bid_line GROUP BY 1")
@@ -251,15 +265,15 @@ def price_exclusions(t: Lens) -> DataFrame:
     return prices.exclusions(t.bid_line, t.tender)
 
 
-@query("SELECT codigo_producto, n, round(mn, 3) AS min, round(p25, 3) AS p25, round(med, 3) AS median, round(p75, 3) AS p75, round(p90, 3) AS p90, round(mx, 3) AS max, round(p75 / p25, 6) AS iqr_ratio, round((p75 - p25) / (p75 + p25), 6) AS quartile_dispersion FROM price_stats")
+@query(f"SELECT codigo_producto, n, {off_half_sql('mn', 3)} AS min, {off_half_sql('p25', 3)} AS p25, {off_half_sql('med', 3)} AS median, {off_half_sql('p75', 3)} AS p75, {off_half_sql('p90', 3)} AS p90, {off_half_sql('mx', 3)} AS max, round(p75 / p25, 6) AS iqr_ratio, round((p75 - p25) / (p75 + p25), 6) AS quartile_dispersion FROM price_stats")
 def price_summary(t: Lens) -> DataFrame:
     s = prices.price_stats(prices.price_rows(t.bid_line, t.tender))
-    return s.select("codigo_producto", "n", *[F.round(c, 3).alias(c) for c in ("min", "p25", "median", "p75", "p90", "max")], r("iqr_ratio"), r("quartile_dispersion"))
+    return s.select("codigo_producto", "n", *[off_half(c, 3) for c in ("min", "p25", "median", "p75", "p90", "max")], r("iqr_ratio"), r("quartile_dispersion"))
 
 
-@query("SELECT codigo_producto, round(med, 3) AS median, round(mad, 3) AS mad, round(mean_ad, 3) AS mean_ad, round(fence, 3) AS fence, rule FROM price_fences")
+@query(f"SELECT codigo_producto, {off_half_sql('med', 3)} AS median, {off_half_sql('mad', 3)} AS mad, {off_half_sql('mean_ad', 3)} AS mean_ad, {off_half_sql('fence', 3)} AS fence, rule FROM price_fences")
 def price_mad(t: Lens) -> DataFrame:
-    return prices.fences(prices.price_rows(t.bid_line, t.tender)).select("codigo_producto", *[F.round(c, 3).alias(c) for c in ("median", "mad", "mean_ad", "fence")], "rule")
+    return prices.fences(prices.price_rows(t.bid_line, t.tender)).select("codigo_producto", *[off_half(c, 3) for c in ("median", "mad", "mean_ad", "fence")], "rule")
 
 
 @query("SELECT codigo_producto, decades, decade_span FROM magnitudes")
@@ -272,15 +286,15 @@ def price_verdict(t: Lens) -> DataFrame:
     return prices.verdicts(t.bid_line, t.tender).select("codigo_producto", "n", r("iqr_ratio"), r("spread"), r("quantity_one"), "decades", "decade_span", "reason", "usable")
 
 
-@query("SELECT codigo_producto, nro_sicop, nro_linea, cantidad, round(ratio_to_median, 6) AS ratio_to_median, round(modified_z, 6) AS modified_z, round(excess_value, 4) AS excess_value, rule FROM price_outliers")
+@query(f"SELECT codigo_producto, nro_sicop, nro_linea, cantidad, round(ratio_to_median, 6) AS ratio_to_median, round(modified_z, 6) AS modified_z, {off_half_sql('excess_value', 4)} AS excess_value, rule FROM price_outliers")
 def price_outliers(t: Lens) -> DataFrame:
-    return prices.outliers(t.bid_line, t.tender).select("codigo_producto", "nro_sicop", "nro_linea", "cantidad", r("ratio_to_median"), r("modified_z"), r("excess_value", None, 4), "rule")
+    return prices.outliers(t.bid_line, t.tender).select("codigo_producto", "nro_sicop", "nro_linea", "cantidad", r("ratio_to_median"), r("modified_z"), off_half("excess_value", 4), "rule")
 
 
-@query("""WITH top AS (SELECT codigo_producto, count(*) AS n FROM prices GROUP BY 1 HAVING count(*) >= 10 ORDER BY n DESC, codigo_producto LIMIT 50)
-SELECT codigo_producto, nro_sicop, nro_linea, round(excess_value, 4) AS excess_value, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY codigo_producto ORDER BY excess_value DESC, nro_sicop, nro_linea, precio_unitario) AS rn FROM price_outliers WHERE codigo_producto IN (SELECT codigo_producto FROM top)) WHERE rn <= 5""")
+@query(f"""WITH top AS (SELECT codigo_producto, count(*) AS n FROM prices GROUP BY 1 HAVING count(*) >= 10 ORDER BY n DESC, codigo_producto LIMIT 50)
+SELECT codigo_producto, nro_sicop, nro_linea, {off_half_sql('excess_value', 4)} AS excess_value, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY codigo_producto ORDER BY excess_value DESC, nro_sicop, nro_linea, precio_unitario) AS rn FROM price_outliers WHERE codigo_producto IN (SELECT codigo_producto FROM top)) WHERE rn <= 5""")
 def price_scan_topk(t: Lens) -> DataFrame:
-    return prices.scan(t.bid_line, t.tender).select("codigo_producto", "nro_sicop", "nro_linea", r("excess_value", None, 4), F.col("rank").cast("long").alias("rank"))
+    return prices.scan(t.bid_line, t.tender).select("codigo_producto", "nro_sicop", "nro_linea", off_half("excess_value", 4), F.col("rank").cast("long").alias("rank"))
 
 
 # Durations
