@@ -43,18 +43,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.shared import materialise, ship_package, text_or_empty
+from cartulary.llm.shared import give_back_memory, materialise, ship_package, text_or_empty
 from cartulary.llm.suffixes import common_prefixes, suffix_array, words
 
 LENGTH = 100
 SEED = 32
 #: Starts that are hashed at once, pieces that a task gathers before it sends them.
-REGION = 1 << 18
-GATHERED = 1 << 20
-#: Pieces for a range, and the documents of the sample.
+REGION = 1 << 17
+GATHERED = 250_000
+#: Pieces for a range, parts in which a range's suffixes are sorted, and the documents of the sample.
 RANGE_PIECES = 200_000
-SAMPLE = 8192
-SAMPLE_CHARS = 20_000
+SORT_PARTS = 32
+SAMPLE = 1536
+SAMPLE_CHARS = 6000
 
 _RANDOM = np.random.default_rng(1)
 _BYTES = _RANDOM.integers(1 << 63, dtype=np.uint64, size=256)
@@ -139,7 +140,8 @@ def pieces(data: np.ndarray, ends: np.ndarray, first: int, last: int, avoid: Fre
         return (h64[i] * _ODD[8] + h32[i + 64]) * _ODD[9] + h4[i + 96]
 
     content = _mixed(whole(start) * _ODD[10] + whole(stop) * _ODD[11] + count.astype(np.uint64))
-    return start + first, count, seeds[at[start]], content
+    # the least hashes are small numbers; multiplied they are spread evenly over the ranges
+    return start + first, count, seeds[at[start]] * _ODD[12], content
 
 
 def _places(offsets: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,12 +184,17 @@ def _ordered(ids: pa.Array) -> np.ndarray:
 
 
 def _settle(seed: np.ndarray, content: np.ndarray, d: np.ndarray, x: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by seed, content and place, and which in that order come first with their content."""
+    """Order by seed, content and place, and which in that order come first with their content.
+
+    A piece in the place of its content's first one comes from a row equal in id and text, and is left out.
+    """
     order = np.lexsort((start, x, d, content, seed))
     s, c = seed[order], content[order]
     fresh = np.ones(len(order), bool)
     fresh[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-    return order, fresh
+    first = order[fresh][np.cumsum(fresh) - 1]
+    kept = fresh | (d[order] != d[first]) | (x[order] != x[first]) | (start[order] != start[first])
+    return order[kept], fresh[kept]
 
 
 SPAN = "d long, x long, start long, stop long"
@@ -242,13 +249,16 @@ def scanned(keyed: DataFrame, ranges: int, avoid: np.ndarray) -> DataFrame:
                     if size >= GATHERED:
                         yield from flush(held)
                         held, size = [], 0
+                        give_back_memory()
         if size:
             yield from flush(held)
+        held = []
+        give_back_memory()
 
     return keyed.mapInArrow(run, schema)
 
 
-def _cut(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _cut(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about so many bytes."""
     width = max(1, batch.num_rows * most // max(1, batch.nbytes))
     for start in range(0, batch.num_rows, width):
@@ -265,7 +275,7 @@ def _buffers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def matched(group: pd.DataFrame) -> pd.DataFrame:
-    """A range's repeated stretches (want null), and the pieces whose bytes are wanted (want = the range)."""
+    """A range's repeated stretches (want -1), and the pieces whose bytes are wanted, by part of the range."""
     columns = [np.concatenate(c) for c in zip(*(_unpacked(b) for b in group["blob"]), strict=True)]
     seed, content, d, x, start, count = columns
     order, fresh = _settle(seed, content, d, x, start)
@@ -275,7 +285,8 @@ def matched(group: pd.DataFrame) -> pd.DataFrame:
     edge[1:-1] = s[1:] != s[:-1]
     shared = first[~(edge[:-1] & edge[1:])]
     took = np.concatenate([order[~fresh], shared])
-    want = np.concatenate([np.full(len(order) - len(first), -1), np.full(len(shared), group["range"].iloc[0])])
+    part = int(group["range"].iloc[0]) * SORT_PARTS + (seed[shared] % np.uint64(SORT_PARTS)).astype(np.int64)
+    want = np.concatenate([np.full(len(order) - len(first), -1), part])
     arrays = _spans(d[took], x[took], start[took], count[took])
     return pd.DataFrame({"want": want.astype(np.int32), **{c: a.to_numpy() for c, a in zip(("d", "x", "start", "stop"), arrays, strict=True)}})
 
@@ -322,7 +333,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     null_key = (1 << 63) - 1
     x = F.lit(0).cast("long") if unique else F.xxhash64(t)
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null_key)).alias("d"), x.alias("x"), F.col(id_col).alias("doc_id"), t.cast("binary").alias("data"))
-    every = max(1, n // SAMPLE)
+    every = max(1, -(-n // SAMPLE))
     sample = [bytes(r["s"]) for r in docs.filter(F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(every)) == 0).select(F.substring(t, 1, SAMPLE_CHARS).cast("binary").alias("s")).limit(2 * SAMPLE).toLocalIterator()]
     average = sum(map(len, sample)) / max(1, len(sample))
     ranges = int(min(65536, max(32, n * average / ((LENGTH - SEED + 2) / 2) / RANGE_PIECES)))
