@@ -4,7 +4,8 @@ Writing: each row becomes a record. Of rows with equal payloads (of at least
 ``min_bytes``) the one with the smallest id is a response, the others are
 revisits that refer to it and carry no payload. Payloads go out in chunked
 transfer framing; a record whose block exceeds ``segment_bytes`` is cut into a
-first segment and continuation records. Tasks write files of their own.
+first segment and continuation records. Every record is a gzip member of its own.
+Tasks write files of their own, closed at about FILE_BYTES of records.
 
 Reading: tasks parse whole files. Unsegmented records are decoded in place.
 Segments are grouped by the identifier of the record that they continue, ordered
@@ -22,7 +23,9 @@ columns aren't read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterator
 
@@ -36,7 +39,8 @@ from cartulary.llm.shared import fresh_dir, materialise, ship_package, text_or_e
 
 CHUNK_BYTES = 8192
 SEGMENT_BYTES = 65536
-FILE_BYTES = 128 << 20
+FILE_BYTES = 64 << 20
+GZIP_LEVEL = 4
 #: Groups of equal payloads at least this large, and of a thousandth of the rows, are joined by broadcast.
 HOT_GROUP = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -136,11 +140,11 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         pending = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         page = next(pending, None)
         while page is not None:
-            path, records, size = f"{folder}/part-{task:06d}-{number:04d}.warc", 0, 0
+            path, records, size = f"{folder}/part-{task:06d}-{number:04d}.warc.gz", 0, 0
             with whole_file(path) as out:
                 while page is not None and size < FILE_BYTES:
                     for data in records_of(*page[:3], page[3], page[4], f"{task}-{row}", segment_bytes):
-                        out.write(data)
+                        out.write(gzip.compress(data, GZIP_LEVEL, mtime=0))
                         records, size = records + 1, size + len(data)
                     row += 1
                     page = next(pending, None)
@@ -202,7 +206,7 @@ def read(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows, size = [], 0
-                for fields, block in parse(read_bytes(path)):
+                for fields, block in parse(gzip.GzipFile(fileobj=io.BytesIO(read_bytes(path))).read()):
                     if "warc-segment-number" in fields:
                         own = fields["warc-record-id"].strip("<>")
                         rows.append({"record_id": own, "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "payload_digest": fields.get("warc-payload-digest"), "payload": block, "origin_id": fields.get("warc-segment-origin-id", own).strip("<>"), "segment": int(fields["warc-segment-number"]), "total_length": int(fields["warc-segment-total-length"]) if "warc-segment-total-length" in fields else None})
