@@ -13,6 +13,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartulary.deploy import ship
+
 
 def _text(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
@@ -31,6 +33,7 @@ class Lens:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        ship(spark)
 
     def raw(self, name: str) -> DataFrame:
         """A table of the star schema."""
