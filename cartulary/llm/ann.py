@@ -9,7 +9,8 @@ number that finds ``TARGET`` of the sampled vectors' neighbours.
 
 Indexing: every vector goes to its most probable part. A part is cut into blocks of
 bounded size. Searching: each query goes to all blocks of its most probable
-parts, is compared exactly there, and the best of all blocks are ranked again.
+parts, is compared exactly there, and the best of all blocks are ranked again. The
+likeliest parts come first: their k-th best score bounds what the others return.
 
 Of equal vectors only the k + 1 with the least ids can be among any query's k
 nearest (one may be the query itself), so the others are left out first; no group
@@ -46,6 +47,8 @@ HIDDEN = 96
 TARGET = 0.95
 BLOCK = 8192
 TILE = 256
+#: One of so many of a query's parts, the likeliest, are searched first.
+LEAD_SHARE = 6
 
 
 def nearest(x: np.ndarray, k: int) -> np.ndarray:
@@ -184,7 +187,7 @@ def _stacked(values: pa.Array, dim: int) -> np.ndarray:
 
 
 def _routed(rows: DataFrame, router: Router, dim: int, queries: bool) -> DataFrame:
-    """vec_id, v, part: each row with its part, or each query with all parts that it visits."""
+    """vec_id, v, part, turn: each row with its part, or each query with all parts that it visits, likeliest first."""
     sent = rows.sparkSession.sparkContext.broadcast(router)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,26 +197,28 @@ def _routed(rows: DataFrame, router: Router, dim: int, queries: bool) -> DataFra
                 x = _stacked(some.column(1), dim)
                 found = sent.value.parts(x) if queries else sent.value.part(x)[:, None]
                 at = pa.array(np.repeat(np.arange(len(x)), found.shape[1]))
-                yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(1).take(at), pa.array(found.ravel(), pa.int32())], names=["vec_id", "v", "part"])
+                turn = np.tile(np.arange(found.shape[1]), len(x))
+                yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(1).take(at), pa.array(found.ravel(), pa.int32()), pa.array(turn, pa.int32())], names=["vec_id", "v", "part", "turn"])
 
-    return rows.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, part int")
+    return rows.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, part int, turn int")
 
 
 FOUND = "query_id long, vec_id long, score double"
 
 
 def compare(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest rows of a block for each query."""
+    """The k nearest rows of a block for each query, of those that its bound doesn't rule out."""
     if queries.empty or rows.empty:
         return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
     q, x = np.stack(queries["v"].to_numpy()), np.stack(rows["v"].to_numpy())
-    qid, xid = queries["vec_id"].to_numpy(), rows["vec_id"].to_numpy()
+    qid, xid, bound = queries["vec_id"].to_numpy(), rows["vec_id"].to_numpy(), queries["bound"].to_numpy()
     scale = np.abs(x).max() * np.abs(q).max() * x.shape[1]
     out = []
     for i in range(0, len(q), TILE):
         s = q[i : i + TILE] @ x.T
         s[qid[i : i + TILE, None] == xid[None, :]] = -np.inf
         least = np.partition(s, -k, axis=1)[:, -k] if len(xid) > k else np.full(len(s), -np.inf)
+        least = np.maximum(least, bound[i : i + TILE])
         a, b = np.nonzero((s >= least[:, None] - 1e-12 * scale) & (s > -np.inf))
         exact = (q[i + a] * x[b]).sum(axis=1)
         order = np.lexsort((xid[b], -exact, a))
@@ -248,10 +253,18 @@ def search(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id
     spread = asked.join(F.broadcast(blocks), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # queries of a block come in groups too, so that none grows with the table
     groups = int(max(1, count // 20 // 20_000))
-    near = spread.withColumn("g", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(groups)).cast("int"))
-    far = placed.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    names = ("part", "block", "g", "vec_id", "v")
-    near, far = near.select(*names), far.select(*names)
-    found = near.groupBy("part", "block", "g").cogroup(far.groupBy("part", "block", "g")).applyInPandas(lambda q, r: compare(q, r, k), FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = spread.withColumn("g", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(groups)).cast("int")).select("part", "block", "g", "vec_id", "v", "turn")
+    far = placed.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("part", "block", "g", "vec_id", "v")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def met(asking: DataFrame) -> DataFrame:
+        return asking.groupBy("part", "block", "g").cogroup(far.groupBy("part", "block", "g")).applyInPandas(lambda q, r: compare(q, r, k), FOUND)
+
+    # the likeliest parts give each query a score that its k-th nearest can't be under; the others return only what reaches it
+    lead = -(-router.probes // LEAD_SHARE)
+    first_found = materialise(met(near.filter(F.col("turn") < lead).withColumn("bound", F.lit(float("-inf"))).drop("turn")), "likeliest")
+    top = first_found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    bounds = top.groupBy(F.col("query_id").alias("q")).agg(F.when(F.count("*") == k, F.min("score")).alias("b"))
+    later = near.filter(F.col("turn") >= lead).join(bounds, F.col("vec_id") == F.col("q"), "left").select("part", "block", "g", "vec_id", "v", F.coalesce("b", F.lit(float("-inf"))).alias("bound"))
+    found = first_found.unionByName(met(later))
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

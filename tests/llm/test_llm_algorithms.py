@@ -240,10 +240,11 @@ def test_balanced_parts_and_router():
 
 def test_compare_breaks_ties_by_id():
     v = [1.0, 2.0]
-    q = pd.DataFrame({"vec_id": [0], "v": [v]})
+    q = pd.DataFrame({"vec_id": [0], "v": [v], "bound": [-np.inf]})
     rows = pd.DataFrame({"vec_id": [9, 3, 0, 5], "v": [v, v, v, [0.5, 1.0]]})
     got = ann.compare(q, rows, 2)
     assert got["vec_id"].tolist() == [3, 9] and got["score"].tolist() == [5.0, 5.0]
+    assert ann.compare(q.assign(bound=5.0), rows, 3)["vec_id"].tolist() == [3, 9]
 
 
 def test_base32_digest():
