@@ -31,35 +31,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartulary.llm.shared import ship_package
+from cartulary.llm.shared import give_back_memory, ship_package
 
 #: Pieces and pairs of tokens that a worker remembers.
-PIECES_KEPT = 250_000
-PAIRS_KEPT = 1_000_000
+PIECES_KEPT = 200_000
+PAIRS_KEPT = 300_000
 #: Pieces longer than this aren't remembered.
 LONGEST_KEPT = 64
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Tokens and their ranks from a file with a base64 token and its rank on each line."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
+def by_rank(ranks: dict[bytes, int]) -> list[bytes]:
+    """The token of each rank."""
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
+def decoded(bytes_of: list[bytes], ids: bytes) -> bytes:
+    """Joined tokens of ids."""
+    return b"".join(map(bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 class Vocabulary:
     """Ranks of byte strings with encoding and decoding."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = token
+        self.bytes_of = by_rank(ranks)
         self.finder = ahocorasick.Automaton()
         for token, rank in ranks.items():
             self.finder.add_word(token.decode("latin-1"), rank)
         self.finder.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.pieces = _Pieces(self)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Vocabulary:
         """From a file with a base64 token and its rank on each line."""
-        with open(path, "rb") as lines:
-            return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}, pattern)
+        return cls(read_ranks(path), pattern)
 
     def merged(self, data: bytes) -> list[bytes]:
         """The merges applied one after another, lowest rank first: for short strings."""
@@ -75,12 +91,13 @@ class Vocabulary:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the joined bytes of two tokens are merged to the same two tokens."""
-        known = self.pairs.get((left, right))
+        pair = left << 32 | right
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= PAIRS_KEPT:
                 self.pairs.clear()
             a, b = self.bytes_of[left], self.bytes_of[right]
-            known = self.pairs[left, right] = self.merged(a + b) == [a, b]
+            known = self.pairs[pair] = self.merged(a + b) == [a, b]
         return known
 
     def encode_piece(self, data: bytes) -> list[int]:
@@ -121,7 +138,7 @@ class Vocabulary:
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of such ids."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return decoded(self.bytes_of, ids)
 
 
 class _Pieces(dict):
@@ -146,6 +163,12 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary.load(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """The tokens of a file by rank: all that decoding needs."""
+    return by_rank(read_ranks(path))
+
+
 def _mapped(df: DataFrame, column: str, to: str, work) -> DataFrame:
     """df with the binary column ``to``, which work(values) makes from ``column``."""
     ship_package(df.sparkSession)
@@ -160,6 +183,7 @@ def _mapped(df: DataFrame, column: str, to: str, work) -> DataFrame:
                 part = batch.slice(start, width)
                 made = pa.array(work(part.column(at)), pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=names)
+        give_back_memory()
 
     return df.mapInArrow(run, schema)
 
@@ -174,12 +198,12 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", to: s
     return _mapped(df, text_col, to, work)
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """df with the bytes of each row's ids; null ids give no bytes."""
 
     def work(values: pa.Array) -> list[bytes]:
-        code = vocabulary(path, pattern).decode
-        return [code(v or b"") for v in values.to_pylist()]
+        tokens = token_bytes(path)
+        return [decoded(tokens, v or b"") for v in values.to_pylist()]
 
     return _mapped(df, ids_col, to, work)
 
@@ -188,4 +212,4 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row's text."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ids = encode(rows, path, pattern).select("doc_id", "ids")
-    return decode(ids, path, pattern).select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decode(ids, path).select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
