@@ -65,8 +65,8 @@ def _merge(a: tuple[np.ndarray, np.ndarray], once: np.ndarray, twice: np.ndarray
     return a[0] | once, a[1] | twice | (a[0] & once)
 
 
-def repeated_filter(hashes: DataFrame, rows: int, max_filter_bytes: int = MAX_FILTER_BYTES) -> np.ndarray:
-    """Bits that at least two of the hashes in the one column set.
+def bloom_filter(hashes: DataFrame, rows: int, max_filter_bytes: int = MAX_FILTER_BYTES, repeated: bool = False) -> np.ndarray:
+    """Bits that the hashes in the one column set, or with ``repeated`` those that at least two of them set.
 
     Tasks send compressed blocks; blocks meet in two levels, so that no task
     gets a block from every other task. The driver gets the merged filter only,
@@ -105,17 +105,15 @@ def repeated_filter(hashes: DataFrame, rows: int, max_filter_bytes: int = MAX_FI
 
     merged = hashes.mapInArrow(local, schema).groupBy("block", "slot").applyInPandas(merge, schema).groupBy("block").applyInPandas(merge, schema)
     out = np.zeros((bits // 8 // BLOCK_BYTES, BLOCK_BYTES), np.uint8)
-    for row in merged.select("block", "twice").toLocalIterator():
-        out[row["block"]] = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
+    kept = "twice" if repeated else "once"
+    for row in merged.select("block", kept).toLocalIterator():
+        out[row["block"]] = np.frombuffer(zlib.decompress(row[kept]), np.uint8)
     return out.ravel()
 
 
-def possibly_repeated(df: DataFrame, hashed: Column, max_filter_bytes: int = MAX_FILTER_BYTES, rows: int | None = None) -> Column:
-    """A condition on rows of df: true for every row whose hash occurs more than once, and few others."""
-    spark = df.sparkSession
-    ship_package(spark)
-    bits_of = repeated_filter(df.select(hashed.alias("h")), df.count() if rows is None else rows, max_filter_bytes)
-    sent = spark.sparkContext.broadcast(bits_of)
+def probed(df: DataFrame, hashed: Column, bits_of: np.ndarray) -> Column:
+    """A condition on rows of df: whether all bits of a hash are set in the filter."""
+    sent = df.sparkSession.sparkContext.broadcast(bits_of)
 
     @F.pandas_udf("boolean")
     def probe(h: pd.Series) -> pd.Series:
@@ -125,6 +123,19 @@ def possibly_repeated(df: DataFrame, hashed: Column, max_filter_bytes: int = MAX
     return probe(hashed)
 
 
+def possibly_among(df: DataFrame, hashed: Column, keys: DataFrame) -> Column:
+    """A condition on rows of df: true for every row whose hash is in the one column of keys, and few others."""
+    ship_package(df.sparkSession)
+    return probed(df, hashed, bloom_filter(keys, keys.count()))
+
+
+def possibly_repeated(df: DataFrame, hashed: Column, max_filter_bytes: int = MAX_FILTER_BYTES, rows: int | None = None) -> Column:
+    """A condition on rows of df: true for every row whose hash occurs more than once, and few others."""
+    ship_package(df.sparkSession)
+    bits_of = bloom_filter(df.select(hashed.alias("h")), df.count() if rows is None else rows, max_filter_bytes, True)
+    return probed(df, hashed, bits_of)
+
+
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 

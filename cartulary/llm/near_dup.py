@@ -42,7 +42,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cartulary.llm.components import components
-from cartulary.llm.shared import join_groups, materialise, ship_package, text_or_empty
+from cartulary.llm.exact_dedup import possibly_among
+from cartulary.llm.shared import give_back_memory, join_groups, materialise, ship_package, text_or_empty
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -54,7 +55,7 @@ BLOCK_SETS = 4096
 TILE = 1024
 #: N-grams with more owners than this go into the matrix product.
 COMMON = 24
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -137,6 +138,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
                 sizes.append(len(grams))
                 hashed.append(signer.bands_of(grams))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary()), pa.array(texts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(hashed, pa.list_(pa.int64()))], names=["doc_id", "row", "fetch", "set_key", "text_key", "grams", "bands"])
+        del shingler, signer
+        give_back_memory()
 
     return base.mapInArrow(run, "doc_id long, row long, fetch long, set_key binary, text_key long, grams int, bands array<long>")
 
@@ -275,6 +278,8 @@ def _sets_of(rows: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             made = [shingler.ngrams(v.as_py()).tobytes() for v in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), *batch.columns[1:]], names=["set", *batch.schema.names[1:]])
+        del shingler
+        give_back_memory()
 
     return rows.mapInArrow(run, "set binary, node long, comp long, weight long, blocks int, block int")
 
@@ -303,7 +308,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
     t = text_or_empty(text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(t).alias("x"), t.cast("binary").alias("text"))
-    fetched = texts.join(wanted, F.col("d").eqNullSafe(F.col("first_id")) & (F.col("x") == F.col("fetch"))).select("text", "node", "comp", "weight", "blocks", "block")
+    # a Bloom filter of the wanted texts lets the others go before the shuffle
+    few = texts.filter(possibly_among(texts, F.col("x"), wanted.select("fetch")))
+    fetched = few.join(wanted.hint("merge"), F.col("d").eqNullSafe(F.col("first_id")) & (F.col("x") == F.col("fetch"))).select("text", "node", "comp", "weight", "blocks", "block")
     with_sets = _sets_of(fetched, n)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = with_sets.withColumn("other", other).select("set", "node", "comp", "weight", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "blocks")
@@ -325,14 +332,24 @@ def classes(docs: DataFrame, **how) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """Rows of docs with all their columns: of each class the one with the least id stays."""
-    made = join(docs, id_col, text_col, **how)
-    lead = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "row", "fetch"))
-    kept = materialise(made.groupBy("root").agg(lead.alias("f")).select(F.col("f.doc_id").alias("k"), F.col("f.fetch").alias("x")), "kept")
+    """Rows of docs with all their columns: of each class the one with the least id stays.
+
+    Only rows that may be dropped are shuffled: those with an id and text that is
+    dropped or occurs more than once, found by a Bloom filter. The rest pass through.
+    """
+    made = materialise(join(docs, id_col, text_col, **how).select("doc_id", "row", "fetch", "root"), "joined")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "row"))
+    leads = made.groupBy("root").agg(lead.alias("f")).select(F.col("f.row").alias("lead"))
+    marked = made.join(leads, made["row"] == leads["lead"], "left")
+    keys = marked.groupBy("doc_id", "fetch").agg(F.count("*").alias("copies"), F.max(F.col("lead").isNotNull()).alias("stays"))
+    touched = materialise(keys.filter("not stays or copies > 1").select(F.col("doc_id").alias("k"), F.col("fetch").alias("x"), "stays"), "touched")
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     keyed = docs.select(row, F.col(id_col).cast("long").alias("own"), F.xxhash64(text_or_empty(text_col)).alias("fx"))
+    maybe = possibly_among(keyed, F.xxhash64("own", "fx"), touched.select(F.xxhash64("k", "x").alias("h")))
+    split = keyed.withColumn("maybe", maybe)
+    both = split.filter("maybe").join(touched.hint("merge"), F.col("own").eqNullSafe(F.col("k")) & (F.col("fx") == F.col("x")), "left")
     # rows equal in id and text are copies: one of them stays
     turn = Window.partitionBy("own", "fx").orderBy(F.lit(1))
-    both = keyed.join(kept, F.col("own").eqNullSafe(F.col("k")) & (F.col("fx") == F.col("x"))).select("row", "own", "fx")
-    return both.withColumn("n", F.row_number().over(turn)).filter("n = 1").select("row.*")
+    copies = both.filter("stays").withColumn("n", F.row_number().over(turn)).filter("n = 1")
+    return split.filter("not maybe").select("row").unionByName(both.filter("stays is null").select("row")).unionByName(copies.select("row")).select("row.*")
