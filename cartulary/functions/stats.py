@@ -67,19 +67,33 @@ def variation(c: str) -> Column:
     return F.when((F.count(c) >= 2) & (mean != 0), F.stddev_samp(c) / F.abs(mean))
 
 
-def binomial_tail(k: Column, n: Column, most: int = 400) -> Column:
-    """Chance of k or more heads in n fair tosses, by exact sums of binomials up to ``most`` tosses.
+#: Sums of binomials are halved by so many powers of two whenever a term passes that size.
+SCALE = 500
 
-    Beyond that, terms come from differences of log factorials (log gamma has no
-    Column form, so a running product over the tail stands for it).
+
+def binomial_tail(k: Column, n: Column) -> Column:
+    """Chance of k or more heads in n fair tosses, by sums of binomials, for any n.
+
+    Terms run from C(n, 0) on and are scaled down by powers of two, which is exact,
+    so that none overflows; 2^-n comes in at the end, so that none vanishes.
     """
-    def term(acc: Column, i: Column) -> Column:
-        # C(n, i+1) = C(n, i) * (n - i) / (i + 1), in units of 2^-n
-        return F.struct((acc["sum"] + acc["at"]).alias("sum"), (acc["at"] * (n - i) / (i + 1)).alias("at"))
+    big, down = F.lit(2.0**SCALE), F.lit(2.0**-SCALE)
 
-    start = F.struct(F.lit(0.0).alias("sum"), F.pow(F.lit(0.5), n.cast("double")).alias("at"))
+    def term(acc: Column, i: Column) -> Column:
+        # C(n, i+1) = C(n, i) * (n - i) / (i + 1), in units of 2^(shift - n)
+        total, at = acc["sum"] + acc["at"], acc["at"] * (n - i) / (i + 1)
+        factor, step = F.when(at > big, down).otherwise(F.lit(1.0)), F.when(at > big, F.lit(SCALE)).otherwise(F.lit(0))
+        return F.struct((total * factor).alias("sum"), (at * factor).alias("at"), (acc["shift"] + step).alias("shift"))
+
+    def value(acc: Column) -> Column:
+        # in two steps: 2^(shift - n) alone can be too small for a double where the product isn't
+        up = acc["shift"] - n
+        half = F.floor(up / 2)
+        return acc["sum"] * F.pow(F.lit(2.0), half.cast("double")) * F.pow(F.lit(2.0), (up - half).cast("double"))
+
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("at"), F.lit(0).cast("int").alias("shift"))
     # from the high end: P(X >= k) = P(X <= n - k) for fair tosses
-    tail = F.aggregate(F.sequence(F.lit(0), n - k), start, term, lambda acc: acc["sum"])
+    tail = F.aggregate(F.sequence(F.lit(0), n - k), start, term, value)
     return F.when((n <= 0) | (k <= 0), 1.0).when(k > n, 0.0).otherwise(F.least(F.lit(1.0), tail))
 
 

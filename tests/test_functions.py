@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from cartulary.functions import exprs as E
 from cartulary.functions import stats as S
 from cartulary.functions.names import initials_joined, normalised_name
+from cartulary.operators import collusion
 
 
 def values(spark, column, inputs, kind="string"):
@@ -74,6 +76,23 @@ def test_binomial_tail(spark):
         assert p == pytest.approx(want, abs=1e-12)
 
 
+def test_binomial_tail_of_many_tosses(spark):
+    cases = [(550, 1100), (600, 1100), (2500, 5000), (2600, 5000), (5000, 5000), (1070, 1070), (1010, 1023), (4000, 6000)]
+    df = spark.createDataFrame(cases, "k long, n long")
+    got = [r[0] for r in df.select(S.binomial_tail(F.col("k"), F.col("n"))).collect()]
+    for (k, n), p in zip(cases, got, strict=True):
+        assert p == pytest.approx(float(Fraction(sum(math.comb(n, i) for i in range(k, n + 1)), 2**n)), rel=1e-10, abs=5e-324)
+
+
+def test_balanced_pair_of_many_encounters_is_not_significant(spark):
+    tender = spark.range(1100).select(F.col("id").cast("string").alias("nro_sicop"), F.lit("i").alias("cedula_institucion"))
+    bid = tender.select("nro_sicop", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("cedula_proveedor"))
+    award = tender.select("nro_sicop", F.when(F.col("nro_sicop").cast("int") < 550, "a").otherwise("b").alias("cedula_proveedor"))
+    assert collusion.consistent_losing(bid, award, tender).count() == 0
+    row = collusion.consistent_losing(bid, award, tender, alpha=1.0).first()
+    assert row["encounters"] == 1100 and row["p_value"] == pytest.approx(0.512, abs=1e-3)
+
+
 def test_kaplan_meier_survival_reaches_zero(spark):
     df = spark.createDataFrame([("a", 1, True), ("a", 2, True), ("b", 1, True), ("b", 5, False), ("b", 5, False)], "g string, t int, done boolean")
     rows = {r["g"]: r for r in S.kaplan_meier(df, ["g"], "t", "done").collect()}
