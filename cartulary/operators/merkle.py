@@ -91,17 +91,31 @@ class Step:
     side: str
 
 
-def path(nodes: Sequence[str], at: int) -> list[Step]:
-    """Siblings from one of the nodes up to their single ancestor."""
+def rows_above(nodes: Sequence[str]) -> list[list[str]]:
+    """The nodes and every row above them, without their single ancestor."""
     out, row = [], list(nodes)
     while len(row) > 1:
+        out.append(row)
+        row = climb(row, 1)
+    return out
+
+
+def along(rows: Sequence[Sequence[str]], at: int) -> list[Step]:
+    """Siblings on the way from a place in the first row up through all rows."""
+    out = []
+    for row in rows:
         other = at ^ 1
         if other < len(row):
             out.append(Step(row[other], "left" if other < at else "right"))
-        row, at = climb(row, 1), at >> 1
+        at >>= 1
     return out
 
 
+def path(nodes: Sequence[str], at: int) -> list[Step]:
+    """Siblings from one of the nodes up to their single ancestor."""
+    return along(rows_above(nodes), at)
+
+
 def proof(tree: list[DataFrame], at: int) -> list[Step]:
     """The inclusion proof of a leaf; reads one block of at most 1024 nodes of each stored level."""
     out = []
@@ -135,14 +149,25 @@ def verified(proofs: DataFrame) -> DataFrame:
     return proofs.withColumn("ok", F.lower(F.hex(F.aggregate("steps", start, up))) == F.col("root"))
 
 
-def block_proofs(numbered: DataFrame) -> DataFrame:
-    """Every leaf of a tree of at most 1024 leaves per block with its steps inside the block and the block's root."""
+def proofs(tree: list[DataFrame]) -> DataFrame:
+    """idx, hash, steps, root: every leaf of levels() with its whole path to the tree's root.
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
+    From the root down, each table's blocks meet the one path that leads on from
+    their block in the table above, so a task holds 1024 nodes and one path.
+    """
+    schema = "idx long, hash string, others array<string>, sides array<string>"
+
+    def work(group: pd.DataFrame, up: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("idx")
         nodes = group["hash"].tolist()
-        top = climb(nodes, BLOCK_LEVELS)[0]
-        steps = [[(s.hash, s.side) for s in path(nodes, k)] for k in range(len(nodes))]
-        return pd.DataFrame({"idx": group["idx"], "hash": group["hash"], "steps": steps, "root": top})
-
-    return numbered.groupBy(F.shiftright("idx", BLOCK_LEVELS).alias("block")).applyInPandas(work, "idx long, hash string, steps array<struct<hash:string,side:string>>, root string")
+        on = (list(up["others"].iloc[0]), list(up["sides"].iloc[0])) if len(up) else ([], [])
+        rows = rows_above(nodes)
+        steps = [along(rows, k) for k in range(len(nodes))]
+        return pd.DataFrame({"idx": group["idx"], "hash": group["hash"], "others": [[s.hash for s in p] + on[0] for p in steps], "sides": [[s.side for s in p] + on[1] for p in steps]})
+
+    none = F.array().cast("array<string>")
+    out = tree[-1].select("idx", "hash", none.alias("others"), none.alias("sides"))
+    for table in reversed(tree[:-1]):
+        out = table.groupBy(F.shiftright("idx", BLOCK_LEVELS).alias("block")).cogroup(out.groupBy("idx")).applyInPandas(work, schema)
+    steps = F.zip_with("others", "sides", lambda h, s: F.struct(h.alias("hash"), s.alias("side"))).alias("steps")
+    return out.select("idx", "hash", steps).crossJoin(F.broadcast(tree[-1].select(F.col("hash").alias("root"))))  # one row

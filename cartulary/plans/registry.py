@@ -547,7 +547,7 @@ def merkle_root(t: Lens) -> DataFrame:
 
 @query()
 def merkle_proof_check(t: Lens) -> DataFrame:
-    checked = merkle.verified(merkle.block_proofs(merkle.leaves(_records(t))))
+    checked = merkle.verified(merkle.proofs(merkle.levels(merkle.leaves(_records(t)))))
     return checked.agg(F.count("*").alias("leaves"), F.count_if("ok").alias("verified"))
 
 

@@ -76,6 +76,26 @@ def test_distributed_root_equals_a_flat_tree(spark):
     assert merkle.root(recs.limit(0)).first()["root"] == merkle.EMPTY_ROOT
 
 
+def test_proofs_lead_through_all_levels_to_the_root(spark):
+    recs = spark.range(2500).select(F.lit("T").alias("table"), F.lpad(F.col("id").cast("string"), 5, "0").alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("byte_hash"))
+    tree = merkle.levels(merkle.leaves(recs))
+    want = flat_root([r["hash"] for r in tree[0].orderBy("idx").collect()])
+    rows = merkle.verified(merkle.proofs(tree)).collect()
+    assert len(rows) == 2500 and all(r["ok"] and r["root"] == want for r in rows)
+    assert {r["idx"]: len(r["steps"]) for r in rows}[0] == 12
+    some = next(r for r in rows if r["idx"] == 2049)
+    assert [(s["hash"], s["side"]) for s in some["steps"]] == [(s.hash, s.side) for s in merkle.proof(tree, 2049)]
+    # a wrong node above the blocks, a wrong root, a missing node
+    wrong = F.when(F.col("idx") == 1, F.sha2(F.lit("x"), 256)).otherwise(F.col("hash")).alias("hash")
+    count = lambda t: merkle.verified(merkle.proofs(t)).filter("ok").count()
+    assert count([tree[0], tree[1].select("idx", wrong), tree[2]]) == 1024
+    assert count([*tree[:2], tree[2].withColumn("hash", F.sha2(F.lit("x"), 256))]) == 0
+    assert count([tree[0], tree[1].filter("idx < 2"), tree[2]]) < 2500
+    alone = merkle.verified(merkle.proofs(merkle.levels(merkle.leaves(recs.limit(1))))).collect()
+    assert [(r["ok"], r["steps"]) for r in alone] == [(True, [])]
+    assert merkle.proofs(merkle.levels(merkle.leaves(recs.limit(0)))).count() == 0
+
+
 def recs(spark, *items):
     return spark.createDataFrame([(t, i, b, v) for t, i, b, v in items], "table string, id string, byte_hash string, value_hash string")
 
