@@ -25,7 +25,9 @@ A seed in a passage that very many documents share would gather a piece from
 each of them. Seeds that are frequent in a sample of documents are therefore chosen
 only where a string has no other, that is, only inside such a passage, where pieces
 are equal and settle early. The sample decides how work is dealt out, never what
-is found.
+is found, and bounds nothing: seeds with HOT different pieces or more are counted
+over all documents. Their pieces are dealt out anew as single starts, each by the
+hash of its whole string, so that no range and no sort part gathers them.
 
 Defined cases: null counts as empty; a null id comes after all ids; rows that share
 an id come in the order of a hash of their text; rows with equal id and text are
@@ -56,6 +58,9 @@ RANGE_PIECES = 200_000
 SORT_PARTS = 32
 SAMPLE = 1536
 SAMPLE_CHARS = 6000
+#: Pieces from which on a seed is hot, and pieces of a seed in one sending from which on they are counted.
+HOT = 4096
+COUNTED = 8
 
 _RANDOM = np.random.default_rng(1)
 _BYTES = _RANDOM.integers(1 << 63, dtype=np.uint64, size=256)
@@ -98,6 +103,11 @@ class Frequent:
         return out
 
 
+def _low(seeds: np.ndarray) -> np.ndarray:
+    """The part of seeds that is sent."""
+    return seeds & np.uint64((1 << 8 * _KEPT[0]) - 1)
+
+
 def frequent(texts: list[bytes]) -> np.ndarray:
     """Seeds in many of the texts: 8 at least, and a 512th of them."""
     least = max(8, len(texts) // 512)
@@ -106,9 +116,10 @@ def frequent(texts: list[bytes]) -> np.ndarray:
     return seeds[count >= least]
 
 
-def pieces(data: np.ndarray, ends: np.ndarray, first: int, last: int, avoid: Frequent) -> tuple[np.ndarray, ...]:
+def pieces(data: np.ndarray, ends: np.ndarray, first: int, last: int, avoid: Frequent, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Start, number of starts, seed and content hash of the pieces whose starts are in [first, last).
 
+    With hot, only of pieces with these seeds, start by start, the whole string's hash as seed.
     data holds documents end to end; ends has, for each place in the range, the end of its document.
     """
     part = data[first : min(len(data), last + LENGTH - 1)]
@@ -141,7 +152,19 @@ def pieces(data: np.ndarray, ends: np.ndarray, first: int, last: int, avoid: Fre
 
     content = _mixed(whole(start) * _ODD[10] + whole(stop) * _ODD[11] + count.astype(np.uint64))
     # the least hashes are small numbers; multiplied they are spread evenly over the ranges
-    return start + first, count, seeds[at[start]] * _ODD[12], content
+    seed = seeds[at[start]] * _ODD[12]
+    if hot is not None:
+        among = np.isin(_low(seed), hot)
+        start = np.repeat(start[among], count[among]) + _steps(count[among])
+        count = np.ones(len(start), np.int64)
+        string = whole(start)
+        return start + first, count, _mixed(string) * _ODD[13], _mixed(string * _ODD[10] + count.astype(np.uint64))
+    return start + first, count, seed, content
+
+
+def _steps(count: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each count, end to end."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
 def _places(offsets: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,12 +229,12 @@ def _spans(d: np.ndarray, x: np.ndarray, start: np.ndarray, count: np.ndarray) -
     return [pa.array((d ^ _SIGN).view(np.int64)), pa.array(x.view(np.int64)), pa.array(start), pa.array(start + count.astype(np.int64) + LENGTH - 1)]
 
 
-def scanned(keyed: DataFrame, ranges: int, avoid: np.ndarray) -> DataFrame:
-    """Packed pieces by range, and (in range -1) the stretches that are repeats within a task.
+def scanned(keyed: DataFrame, ranges: int, avoid: np.ndarray, hot: np.ndarray | None = None) -> DataFrame:
+    """Packed pieces by range, (in range -1) the stretches that are repeats within a task, and (in range -2) seeds (d) with a count (x) of pieces.
 
-    keyed has d (id), x (hash among equal ids) and data (bytes).
+    With hot, only pieces with these seeds, as single starts. keyed has d (id), x (hash among equal ids) and data (bytes).
     """
-    sent = keyed.sparkSession.sparkContext.broadcast(avoid)
+    sent = keyed.sparkSession.sparkContext.broadcast((avoid, hot))
     schema = f"range int, blob binary, {SPAN}"
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -224,6 +247,12 @@ def scanned(keyed: DataFrame, ranges: int, avoid: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1), pa.int32()), pa.nulls(n, pa.binary()), *_spans(d[again], x[again], start[again], count[again])], names=names)
         first = order[fresh]
         columns = tuple(c[first] for c in (seed, content, d, x, start, count))
+        edge = np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1]))
+        many = np.diff(np.append(edge, len(first)))
+        noted = many >= COUNTED
+        if hot is None and noted.any():
+            n, none = int(noted.sum()), pa.nulls(int(noted.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -2), pa.int32()), pa.nulls(n, pa.binary()), pa.array(_low(columns[0][edge[noted]]).astype(np.int64)), pa.array(many[noted]), none, none], names=names)
         to = (columns[0] >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)
         cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
         for some in range(0, len(cuts) - 1, 256):
@@ -233,7 +262,7 @@ def scanned(keyed: DataFrame, ranges: int, avoid: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a, _ in pairs], pa.int32()), pa.array(blobs, pa.binary()), *[pa.nulls(n, pa.int64())] * 4], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = Frequent(sent.value)
+        often, only = Frequent(sent.value[0]), sent.value[1]
         held, size = [], 0
         for batch in batches:
             for some in _cut(batch):
@@ -242,7 +271,7 @@ def scanned(keyed: DataFrame, ranges: int, avoid: np.ndarray) -> DataFrame:
                 for first in range(0, len(data), REGION):
                     last = min(len(data), first + REGION)
                     doc, ends = _places(offsets, first, last)
-                    start, count, seed, content = pieces(data, ends, first, last, often)
+                    start, count, seed, content = pieces(data, ends, first, last, often, only)
                     mine = doc[start - first]
                     held.append((seed, content, d[mine], x[mine], (start - offsets[mine]).astype(np.uint64), count.astype(np.uint64)))
                     size += len(start)
@@ -258,6 +287,37 @@ def scanned(keyed: DataFrame, ranges: int, avoid: np.ndarray) -> DataFrame:
     return keyed.mapInArrow(run, schema)
 
 
+def without(found: DataFrame, hot: np.ndarray) -> DataFrame:
+    """range and blob of scanned pieces, without those of hot seeds."""
+    sent = found.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = []
+            for blob in batch.column(1).to_pylist():
+                columns = _unpacked(blob)
+                other = ~np.isin(columns[0], sent.value)
+                blobs.append(blob if other.all() else _packed(tuple(c[other] for c in columns)) or None)
+            made = pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["range", "blob"])
+            yield made.filter(made.column(1).is_valid())
+
+    return found.mapInArrow(run, "range int, blob binary")
+
+
+def dealt(keyed: DataFrame, ranges: int, avoid: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Packed pieces by range (range, blob), in which no seed has many different ones, and stretches (SPAN) that are repeats."""
+    found = materialise(scanned(keyed, ranges, avoid), "pieces")
+    counts = found.filter("range = -2").groupBy("d").agg(F.sum("x").alias("n")).filter(F.col("n") >= HOT)
+    # a seed for HOT pieces at most
+    hot = np.sort(np.array([r["d"] for r in counts.select("d").toLocalIterator()], np.uint64))
+    packed = found.filter("range >= 0").select("range", "blob")
+    local = found.filter("range = -1").select("d", "x", "start", "stop")
+    if not len(hot):
+        return packed, local
+    again = materialise(scanned(keyed, ranges, avoid, hot), "starts")
+    return without(packed, hot).unionByName(again.filter("range >= 0").select("range", "blob")), local.unionByName(again.filter("range = -1").select("d", "x", "start", "stop"))
+
+
 def _cut(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about so many bytes."""
     width = max(1, batch.num_rows * most // max(1, batch.nbytes))
@@ -328,18 +388,17 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ship_package(spark)
     t = text_or_empty(text_col)
     ids = docs.select(F.col(id_col).cast("long").alias("i"))
-    n = docs.count()
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(t)), F.lit(0)).alias("n_bytes")).first()
+    n, n_bytes = size["n"], size["n_bytes"]
     unique = not ids.groupBy("i").count().filter("count > 1").limit(1).count()
     null_key = (1 << 63) - 1
     x = F.lit(0).cast("long") if unique else F.xxhash64(t)
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null_key)).alias("d"), x.alias("x"), F.col(id_col).alias("doc_id"), t.cast("binary").alias("data"))
     every = max(1, -(-n // SAMPLE))
     sample = [bytes(r["s"]) for r in docs.filter(F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(every)) == 0).select(F.substring(t, 1, SAMPLE_CHARS).cast("binary").alias("s")).limit(2 * SAMPLE).toLocalIterator()]
-    average = sum(map(len, sample)) / max(1, len(sample))
-    ranges = int(min(65536, max(32, n * average / ((LENGTH - SEED + 2) / 2) / RANGE_PIECES)))
-    found = materialise(scanned(keyed.select("d", "x", "data"), ranges, frequent(sample)), "pieces")
-    local = found.filter(F.col("range") < 0).select("d", "x", "start", "stop")
-    settled = materialise(found.filter(F.col("range") >= 0).select("range", "blob").groupBy("range").applyInPandas(matched, f"want int, {SPAN}"), "settled")
+    ranges = int(min(65536, max(32, n_bytes / ((LENGTH - SEED + 2) / 2) / RANGE_PIECES)))
+    packed, local = dealt(keyed.select("d", "x", "data"), ranges, frequent(sample))
+    settled = materialise(packed.groupBy("range").applyInPandas(matched, f"want int, {SPAN}"), "settled")
     wanted = settled.filter("want >= 0")
     per_doc = wanted.groupBy("d", "x").agg(F.collect_list(F.struct("want", "start", "stop")).alias("wanted"))
     joined = keyed.select("d", "x", "data").join(per_doc, ["d", "x"])

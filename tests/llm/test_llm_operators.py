@@ -283,6 +283,27 @@ def test_substring_dedup_random_small_alphabet(spark, monkeypatch):
     assert got == brute_cut(list(enumerate(texts)))
 
 
+def test_substring_dedup_deals_out_passages_that_no_sample_shows(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SAMPLE_CHARS", 0)
+    monkeypatch.setattr(substring_dedup, "HOT", 40)
+    monkeypatch.setattr(substring_dedup, "COUNTED", 2)
+    rng = random.Random(12)
+    passage = "".join(rng.choices("abcdefgh", k=300))
+    texts = ["".join(rng.choices("ijklmnop ", k=rng.randint(120, 200))) + passage + "".join(rng.choices("ijklmnop ", k=rng.randint(120, 200))) for _ in range(120)]
+    texts += [texts[5][:250], texts[6] + "!"]
+    docs = documents(spark, texts)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.digests(docs).collect()}
+    assert got == brute_cut(list(enumerate(texts)))
+    taken = []
+    whole = substring_dedup.materialise
+    monkeypatch.setattr(substring_dedup, "materialise", lambda df, what: taken.append((what, whole(df, what))) or taken[-1][1])
+    substring_dedup.removed_spans(docs)
+    tables = dict(taken)
+    assert set(tables) == {"pieces", "starts", "settled", "repeats"}
+    # what a sort part gets: before, about one piece of every document with one of the passage's seeds
+    assert max([r["count"] for r in tables["settled"].filter("want >= 0").groupBy("want").count().collect()], default=0) < 40
+
+
 def test_substring_dedup_shared_ids_and_empty(spark):
     rng = random.Random(11)
     t = prose(rng, 60)
