@@ -107,7 +107,9 @@ def expand(x: np.ndarray, middle: np.ndarray, scale: np.ndarray) -> np.ndarray:
 def fit(rows: DataFrame, labels: DataFrame) -> dict | None:
     """Model from the labelled rows that rank first; None without both kinds of labels."""
     turn = F.md5(F.col("label_id").cast("string").cast("binary"))
-    drawn = labels.withColumn("turn", turn).filter(likely_first(turn, labels.count(), 2 * SAMPLE_ROWS))
+    # only labels of documents that are there count as candidates
+    present = materialise(labels.join(rows.select("doc_id"), F.col("label_id") == F.col("doc_id"), "left_semi"), "labels")
+    drawn = present.withColumn("turn", turn).filter(likely_first(turn, present.count(), 2 * SAMPLE_ROWS))
     best = rows.join(drawn, rows["doc_id"] == drawn["label_id"]).select("x", "good", "turn").orderBy("turn").limit(SAMPLE_ROWS).toPandas()
     if best.empty or best["good"].round().nunique() < 2:
         return None

@@ -283,6 +283,15 @@ def test_substring_dedup_random_small_alphabet(spark, monkeypatch):
     assert got == brute_cut(list(enumerate(texts)))
 
 
+def test_quality_fit_thins_only_labels_of_documents_that_are_there(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 50)
+    rng = random.Random(13)
+    rows = spark.createDataFrame([(k, [rng.random() + k % 2 for _ in range(quality.FEATURES)]) for k in range(40)], "doc_id long, x array<double>")
+    labels = spark.range(100_000).select(F.col("id").alias("label_id"), (F.col("id") % 2).cast("double").alias("good"))
+    alone = quality.fit(rows, labels.filter("label_id < 40"))
+    assert alone is not None and quality.fit(rows, labels)["middle"] == pytest.approx(alone["middle"])
+
+
 def test_substring_dedup_deals_out_passages_that_no_sample_shows(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SAMPLE_CHARS", 0)
     monkeypatch.setattr(substring_dedup, "HOT", 40)
