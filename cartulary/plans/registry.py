@@ -589,7 +589,7 @@ def detail_budget(t: Lens) -> DataFrame:
 @query()
 def bundle_lines(t: Lens) -> DataFrame:
     one, two = _records(t), _records(t, True)
-    return bundle.build(one, two, canonical.fields(one), canonical.fields(two), max_detail=500)
+    return bundle.build(one, two, canonical.fields(one), canonical.fields(two))
 
 
 @query("""WITH a AS (SELECT coalesce(x.id, y.id) AS id, x.byte_hash AS b1, y.byte_hash AS b2, x.value_hash AS v1, y.value_hash AS v2 FROM snap1 x FULL OUTER JOIN snap2 y USING (id))

@@ -51,3 +51,9 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_sql_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_bundle_lines_have_all_values(spark):
+    lines = registry.queries()["bundle_lines"](spark, str(DATA.parent / "sf0.01"))
+    kept = lines.selectExpr("count(*) as n", "count_if(line like '%\"valuesOmitted\":true%') as omitted").first()
+    assert kept["n"] > 500 and kept["omitted"] == 0
