@@ -71,11 +71,13 @@ def month_gaps(rows: DataFrame, column: str = "source_month") -> DataFrame:
 
 def nearest_rank(df: DataFrame, value: str, shares: tuple[float, ...], *keys: str) -> DataFrame:
     """keys, share, value: the value at place floor((n - 1) * share) in order; it is a value that occurs."""
-    w = W.partitionBy(*keys).orderBy(value)
-    n = F.count("*").over(W.partitionBy(*keys))
-    at = F.explode(F.array(*map(F.lit, shares)))
-    ranked = df.filter(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(w) - 1).alias("at"), n.alias("n"))
-    return ranked.withColumn("share", at).filter(F.col("at") == F.floor((F.col("n") - 1) * F.col("share"))).select(*keys, "share", F.col(value).alias("value"))
+    # windows run over distinct values, with the number of rows up to each
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("here"))
+    upto = F.sum("here").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    n = F.sum("here").over(W.partitionBy(*keys))
+    ranked = counted.select(*keys, value, "here", upto.alias("upto"), n.alias("n")).withColumn("share", F.explode(F.array(*map(F.lit, shares))))
+    at = F.floor((F.col("n") - 1) * F.col("share"))
+    return ranked.filter((F.col("upto") > at) & (F.col("upto") - F.col("here") <= at)).select(*keys, "share", F.col(value).alias("value"))
 
 
 def cross_month(tender: DataFrame, contract: DataFrame) -> DataFrame:

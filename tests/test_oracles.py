@@ -8,6 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from cartulary.operators import index
 from cartulary.plans import registry
 
 DATA = Path("/root/testdata/sf0.001")
@@ -57,3 +58,12 @@ def test_bundle_lines_have_all_values(spark):
     lines = registry.queries()["bundle_lines"](spark, str(DATA.parent / "sf0.01"))
     kept = lines.selectExpr("count(*) as n", "count_if(line like '%\"valuesOmitted\":true%') as omitted").first()
     assert kept["n"] > 500 and kept["omitted"] == 0
+
+
+def test_nearest_rank_windows_run_over_distinct_values(spark):
+    df = spark.createDataFrame([(v,) for v in [3, 1, 1, 2, 2, 2, 9, None]], "days int")
+    out = index.nearest_rank(df, "days", (0.25, 0.5, 0.9))
+    ordered = [1, 1, 2, 2, 2, 3, 9]
+    assert {float(r["share"]): r["value"] for r in out.collect()} == {s: ordered[math.floor(6 * s)] for s in (0.25, 0.5, 0.9)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.rindex("Window"):]
