@@ -10,11 +10,14 @@ number of different texts as its weight.
 2. Band hashes shuffle; sets that share one point to the least of them, a row for
    each set and band. The connected groups of these pointers hold every pair
    that shares a band.
-3. Within a group all pairs of sets are verified on their full n-grams: common
-   n-grams by matrix products, rare ones by their short lists of owners. Pairs
-   never become rows: a set gets the weight of the sets it links to, and a root.
-   A large group is cut into blocks by n-grams and sets, and each pair of blocks
-   is verified in a task of its own, so memory is bounded and no pair is left out.
+3. Pairs are verified on their full n-grams, all of a group at once or bucket by
+   bucket, whichever copies fewer n-grams: copies of one text are cheapest as one
+   group, while a long chain of chance candidates only meets within its buckets. A
+   pair that shares several buckets counts in the one of its least shared band.
+   Common n-grams are compared by matrix products, rare ones by their short lists
+   of owners. Pairs never become rows: a set gets the weight of the sets it links
+   to, and a root. Groups and buckets are cut into blocks by n-grams and sets, each
+   pair of blocks is verified by itself, so memory is bounded and no pair left out.
 4. Roots of blocks are joined; the least document id of a class names it.
 
 Result: a row per document with class_id (its class's least document id, classes
@@ -50,12 +53,14 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MOST_HASHES = 128
 #: A block of a group holds about so many n-grams, and so many sets.
-BLOCK_NGRAMS = 1_000_000
-BLOCK_SETS = 4096
+BLOCK_NGRAMS = 250_000
+BLOCK_SETS = 512
 TILE = 1024
 #: N-grams with more owners than this go into the matrix product.
 COMMON = 24
 WORDS_KEPT = 250_000
+#: Where a set is verified: a group (band -1) or a bucket of a band, cut into so many blocks.
+PLACE = "struct<part:long,band:int,blocks:int,block:int>"
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -237,37 +242,40 @@ def _roots(link: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray | None]
     return mine, (None if same else theirs)
 
 
-def _weighed(link: np.ndarray, weight: pd.Series) -> np.ndarray:
-    """For each row the weight of its links."""
-    w = weight.to_numpy(np.int64)
-    return np.array([w[row].sum() for row in link], np.int64)
+def _fresh(link: np.ndarray, a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    """The links of pairs that share no band before this one."""
+    rows, cols = np.nonzero(link)
+    kept = np.ones(len(rows), bool)
+    for k in range(band):
+        kept &= a[rows, k] != b[cols, k]
+    out = np.zeros_like(link)
+    out[rows[kept], cols[kept]] = True
+    return out
 
 
 def verify(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Roots and link weights of the sets in a block, or across a pair of blocks."""
+    """Roots and link weights of the sets in a block, or across a pair of blocks.
+
+    ``band`` is that of the bucket, or -1 for a group in which every pair meets once.
+    """
     group = group.drop_duplicates("node").sort_values("node")
-    i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+    band, i, j = int(group["band"].iloc[0]), int(group["i"].iloc[0]), int(group["j"].iloc[0])
     left = group[group["block"] == i]
+    right = left if i == j else group[group["block"] == j]
+    if left.empty or right.empty:
+        return pd.DataFrame({k: pd.Series(dtype="int64") for k in ("node", "root", "links")})
     a = [np.frombuffer(x, np.uint64) for x in left["set"]]
-    empty = pd.DataFrame({"node": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64")})
+    link = linked(a, None if i == j else [np.frombuffer(x, np.uint64) for x in right["set"]], threshold)
+    mine, theirs = _roots(link, i == j)
+    if band > 0:
+        link = _fresh(link, np.stack(left["bands"].to_list()), np.stack(right["bands"].to_list()), band)
+    w, v = left["weight"].to_numpy(np.int64), right["weight"].to_numpy(np.int64)
+    nodes = left["node"].to_numpy()
+    out = pd.DataFrame({"node": nodes, "root": nodes[mine], "links": link @ v})
     if i == j:
-        if not a:
-            return empty
-        link = linked(a, None, threshold)
-        mine, _ = _roots(link, True)
-        nodes = left["node"].to_numpy()
-        return pd.DataFrame({"node": nodes, "root": nodes[mine], "links": _weighed(link, left["weight"])})
-    right = group[group["block"] == j]
-    b = [np.frombuffer(x, np.uint64) for x in right["set"]]
-    if not a or not b:
-        return empty
-    link = linked(a, b, threshold)
-    mine, theirs = _roots(link, False)
-    nodes, others = left["node"].to_numpy(), right["node"].to_numpy()
-    return pd.DataFrame({
-        "node": np.concatenate([nodes, others]), "root": np.concatenate([nodes[mine], np.where(theirs >= 0, nodes[theirs], others)]),
-        "links": np.concatenate([_weighed(link, right["weight"]), _weighed(link.T, left["weight"])]),
-    })
+        return out
+    others = right["node"].to_numpy()
+    return pd.concat([out, pd.DataFrame({"node": others, "root": np.where(theirs >= 0, nodes[theirs], others), "links": link.T @ w})])
 
 
 def _sets_of(rows: DataFrame, n: int) -> DataFrame:
@@ -281,7 +289,7 @@ def _sets_of(rows: DataFrame, n: int) -> DataFrame:
         del shingler
         give_back_memory()
 
-    return rows.mapInArrow(run, "set binary, node long, comp long, weight long, blocks int, block int")
+    return rows.mapInArrow(run, f"set binary, node long, weight long, bands array<long>, places array<{PLACE}>")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -294,28 +302,39 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     by_text = signed.groupBy("set_key", "text_key").agg(first.alias("f"), F.count("*").alias("docs"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
     sets = materialise(by_text.groupBy("set_key").agg(F.min("f").alias("f"), F.sum("docs").alias("docs"), F.count("*").alias("weight"), F.first("grams").alias("grams"), F.first("bands").alias("bands")).select("set_key", F.col("f.row").alias("node"), F.col("f.doc_id").alias("first_id"), F.col("f.fetch").alias("fetch"), "docs", "weight", "grams", "bands"), "sets")
 
-    keyed = sets.select("node", F.posexplode("bands").alias("band", "h")).select("node", F.xxhash64("band", "h").alias("k"))
-    hubs = materialise(keyed.groupBy("k").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1"), "hubs")
-    pointers = join_groups(keyed, hubs, "k", "size", count * bands)
+    hashed = F.posexplode("bands").alias("band", "h")
+    keyed = sets.select("node", "grams", hashed).select("node", "grams", F.xxhash64("band", "h").alias("k"))
+    blocks = F.greatest(F.ceil(F.col("total") / BLOCK_NGRAMS), F.ceil(F.col("size") / BLOCK_SETS)).cast("int").alias("blocks")
+    hubs = keyed.groupBy("k").agg(F.min("node").alias("hub"), F.count("*").alias("size"), F.sum("grams").alias("total")).filter("size > 1")
+    hubs = materialise(hubs.select("*", blocks), "hubs")
+    pointers = join_groups(keyed.select("node", "k"), hubs.select("k", "hub", "size"), "k", "size", count * bands)
     found = materialise(components(pointers.filter("hub <> node").select(F.col("node").alias("u"), F.col("hub").alias("v"))), "candidate-groups")
 
-    # groups and their blocks
-    members = sets.join(found, "node").select("node", F.col("root").alias("comp"), "first_id", "fetch", "weight", "grams")
-    sizes = materialise(members.groupBy("comp").agg(F.count("*").alias("size"), F.sum("grams").alias("total")), "group-sizes")
-    blocks = F.greatest(F.ceil(F.col("total") / BLOCK_NGRAMS), F.ceil(F.col("size") / BLOCK_SETS)).cast("int")
-    placed = join_groups(members, sizes, "comp", "size", count).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wanted = materialise(placed.select("node", "comp", "first_id", "fetch", "weight", "blocks", "block"), "wanted")
+    # a group as a whole, or its buckets one by one: what copies fewer n-grams
+    members = sets.join(found, "node").select("node", F.col("root").alias("comp"), "first_id", "fetch", "weight", "grams", "bands")
+    by_bucket = hubs.join(found, F.col("hub") == F.col("node")).groupBy("root").agg(F.sum(F.col("total") * F.col("blocks")).alias("copied"))
+    whole = (F.col("total") * F.col("blocks") <= F.col("copied")).alias("whole")
+    groups = members.groupBy("comp").agg(F.count("*").alias("size"), F.sum("grams").alias("total")).select("*", blocks).join(by_bucket, F.col("comp") == F.col("root"))
+    groups = materialise(groups.select("comp", "size", "blocks", whole), "groups")
+    placed = materialise(join_groups(members.drop("grams"), groups, "comp", "size", count), "placed")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    at_once = placed.filter("whole").withColumn("places", F.array(F.struct(F.col("comp").alias("part"), F.lit(-1).alias("band"), "blocks", block)))
+    apart = placed.filter("not whole")
+    keys = apart.select("node", hashed).select("node", "band", F.xxhash64("band", "h").alias("k"))
+    met = join_groups(keys, hubs.select("k", "size", "blocks"), "k", "size", count * bands).filter("blocks is not null")
+    lists = met.groupBy("node").agg(F.collect_list(F.struct(F.col("k").alias("part"), "band", "blocks", block)).alias("places"))
+    columns = ["node", "first_id", "fetch", "weight", "bands", "places"]
+    wanted = materialise(at_once.select(*columns).unionByName(apart.join(lists, "node").select(*columns)), "wanted")
 
     t = text_or_empty(text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(t).alias("x"), t.cast("binary").alias("text"))
     # a Bloom filter of the wanted texts lets the others go before the shuffle
     few = texts.filter(possibly_among(texts, F.col("x"), wanted.select("fetch")))
-    fetched = few.join(wanted.hint("merge"), F.col("d").eqNullSafe(F.col("first_id")) & (F.col("x") == F.col("fetch"))).select("text", "node", "comp", "weight", "blocks", "block")
-    with_sets = _sets_of(fetched, n)
+    fetched = few.join(wanted.hint("merge"), F.col("d").eqNullSafe(F.col("first_id")) & (F.col("x") == F.col("fetch"))).select("text", "node", "weight", "bands", "places")
+    each = _sets_of(fetched, n).select("set", "node", "weight", "bands", F.inline("places"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = with_sets.withColumn("other", other).select("set", "node", "comp", "weight", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "blocks")
-    schema = "node long, root long, links long"
-    out = spread.groupBy("comp", "i", "j").applyInPandas(lambda g: verify(g, threshold), schema)
+    spread = each.withColumn("other", other).select("set", "node", "weight", "bands", "part", "band", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    out = spread.groupBy("part", "band", "i", "j").applyInPandas(lambda g: verify(g, threshold), "node long, root long, links long")
     verified = materialise(out, "verified")
 
     roots = materialise(components(verified.select(F.col("node").alias("u"), F.col("root").alias("v"))), "classes")

@@ -20,13 +20,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    The cluster names it in spark.checkpoint.dir. Where that is unset (tests on
-    one machine), a temporary folder is made and remembered in the session.
+    The cluster names it in spark.checkpoint.dir. Only where that is unset and the
+    session runs on one machine (tests), a temporary folder is made and remembered.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("cartulary.shared.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("cartulary.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cartulary-")
         spark.conf.set("cartulary.shared.dir", found)
     return found.rstrip("/")
@@ -50,7 +50,7 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
 
 
 #: Arrow batches to Python hold about so many bytes, so that long texts don't fill a worker.
-BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "2097152")
 
 
 def give_back_memory() -> None:
