@@ -38,13 +38,19 @@ def _by_table(defs: dict[str, TableDef], part: str) -> Column:
     return F.create_map(*entries) if entries else F.create_map().cast("map<string,array<string>>")
 
 
+#: Columns of published rows; any others, such as an archive's path, tell copies apart and stay.
+_ROW = ("table", "row_pos", "header", "cells")
+
+
 def identified(rows: DataFrame, defs: dict[str, TableDef], version: str = CANON_VERSION) -> DataFrame:
     """rows with pairs, id and whether the id comes from the content.
 
     The key names a row if all its columns exist and not all are blank; the first
     row in file order keeps it. Other rows are named by their content and an
-    occurrence number. Blank keys never meet in a window on the key.
+    occurrence number. Blank keys never meet in a window on the key. Rows are read
+    once: the window on the key and that on the name follow each other.
     """
+    own = [c for c in rows.columns if c not in _ROW]
     keys = F.coalesce(F.try_element_at(_by_table(defs, "key"), F.col("table")), F.array().cast("array<string>"))
     usable = (F.size(keys) > 0) & F.forall(keys, lambda k: F.array_contains("header", k))
     cell = lambda k: F.coalesce(F.get(F.col("cells"), F.array_position("header", k).cast("int") - 1), F.lit(""))
@@ -52,32 +58,40 @@ def identified(rows: DataFrame, defs: dict[str, TableDef], version: str = CANON_
     raw = F.when(usable & F.exists(parts, lambda p: p != ""), F.array_join(parts, "|"))
     # a header may repeat a name; cells beyond the header fall away, missing ones are empty
     pairs = F.transform(F.col("header"), lambda k, i: F.struct(k.alias("k"), F.coalesce(F.get(F.col("cells"), i), F.lit("")).alias("v")))
-    base = rows.select("table", "row_pos", "header", pairs.alias("pairs"), raw.alias("key"))
-    turn = W.partitionBy("table", "key").orderBy("row_pos")
-    keyed = base.filter("key is not null").withColumn("turn", F.row_number().over(turn))
-    named = keyed.filter("turn = 1").select("table", "row_pos", "header", "pairs", F.col("key").alias("id"), F.lit(False).alias("content_addressed"), F.lit(False).alias("duplicate_key"))
-    loose = keyed.filter("turn > 1").select("table", "row_pos", "header", "pairs", F.lit(True).alias("duplicate_key")).unionByName(base.filter("key is null").select("table", "row_pos", "header", "pairs", F.lit(False).alias("duplicate_key")))
+    base = rows.select(*own, "table", "row_pos", "header", pairs.alias("pairs"), raw.alias("key"))
+    # rows without a key are spread by their content
+    apart = F.when(F.col("key").isNull(), F.xxhash64("pairs"))
+    turn = F.row_number().over(W.partitionBy(*own, "table", "key", apart).orderBy("row_pos"))
+    keyed = base.withColumn("duplicate_key", F.col("key").isNotNull() & (turn > 1)).withColumn("content_addressed", F.col("key").isNull() | F.col("duplicate_key"))
     digest = F.substring(F.sha2(encode(F.col("table"), F.lit(""), F.col("pairs"), version), 256), 1, 32)
-    again = W.partitionBy("table", "digest").orderBy("row_pos")
-    content = loose.withColumn("digest", digest).withColumn("n", F.row_number().over(again) - 1)
-    content = content.select("table", "row_pos", "header", "pairs", F.concat(F.lit("sha256:"), F.col("digest"), F.lit("#"), F.col("n").cast("string")).alias("id"), F.lit(True).alias("content_addressed"), "duplicate_key")
-    return named.unionByName(content)
+    named = keyed.withColumn("name", F.when(F.col("content_addressed"), digest).otherwise(F.col("key")))
+    again = F.row_number().over(W.partitionBy(*own, "table", "content_addressed", "name").orderBy("row_pos")) - 1
+    id_ = F.when(F.col("content_addressed"), F.concat(F.lit("sha256:"), F.col("name"), F.lit("#"), F.col("n").cast("string"))).otherwise(F.col("name"))
+    return named.withColumn("n", again).select(*own, "table", "row_pos", "header", "pairs", id_.alias("id"), "content_addressed", "duplicate_key")
 
 
 def records(rows: DataFrame, defs: dict[str, TableDef], version: str = CANON_VERSION) -> DataFrame:
     """table, id, byte_hash (fields as published), value_hash (without volatile fields, numbers in canonical form), fields, row_pos."""
+    own = [c for c in rows.columns if c not in _ROW]
     volatile = F.coalesce(F.try_element_at(_by_table(defs, "volatile"), F.col("table")), F.array().cast("array<string>"))
     kept = F.filter("pairs", lambda p: ~F.array_contains(volatile, p["k"]))
     values = F.transform(kept, lambda p: F.struct(p["k"].alias("k"), F.coalesce(canonical_number(p["v"]), _trim(p["v"])).alias("v")))
     t, i = F.col("table"), F.col("id")
-    return identified(rows, defs, version).select("table", "id", F.sha2(encode(t, i, F.col("pairs"), version), 256).alias("byte_hash"), F.sha2(encode(t, i, values, version), 256).alias("value_hash"), "content_addressed", "duplicate_key", "header", "pairs", "row_pos")
+    return identified(rows, defs, version).select(*own, "table", "id", F.sha2(encode(t, i, F.col("pairs"), version), 256).alias("byte_hash"), F.sha2(encode(t, i, values, version), 256).alias("value_hash"), "content_addressed", "duplicate_key", "header", "pairs", "row_pos")
+
+
+def table_measures(version: str = CANON_VERSION) -> list[Column]:
+    """Aggregates of a table's records: rows, schema, content_addressed, duplicate_keys."""
+    return [F.count("*").alias("rows"), F.first(schema_fingerprint(F.col("table"), F.col("header"), version)).alias("schema"), F.max("content_addressed").alias("content_addressed"), F.count_if("duplicate_key").alias("duplicate_keys")]
 
 
 def table_stats(recs: DataFrame, version: str = CANON_VERSION) -> DataFrame:
     """table, rows, schema, content_addressed, duplicate_keys."""
-    return recs.groupBy("table").agg(F.count("*").alias("rows"), F.first(schema_fingerprint(F.col("table"), F.col("header"), version)).alias("schema"), F.max("content_addressed").alias("content_addressed"), F.count_if("duplicate_key").alias("duplicate_keys"))
+    return recs.groupBy("table").agg(*table_measures(version))
 
 
 def fields(recs: DataFrame) -> DataFrame:
     """table, id, values: a record's fields as a map; of a repeated name the last value."""
-    return recs.select("table", "id", F.map_from_entries(F.array_distinct(F.col("pairs"))).alias("values"))
+    names = F.transform("pairs", lambda p: p["k"])
+    last = F.filter("pairs", lambda p, i: F.size("pairs") - F.array_position(F.reverse(names), p["k"]) == i)
+    return recs.select("table", "id", F.map_from_entries(last).alias("values"))

@@ -28,20 +28,26 @@ def leaf(table: Column, id_: Column, byte_hash: Column) -> Column:
     return F.sha2(F.concat(F.unhex(F.lit("00")), F.concat(table, F.lit(PART_MARK), id_, F.lit(PART_MARK), byte_hash).cast("binary")), 256)
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """idx, table, id, hash: leaves numbered in order of (table, id).
+def leaves(records: DataFrame, *trees: str) -> DataFrame:
+    """idx, table, id, hash: leaves numbered in order of (table, id), from 0 on in each tree.
 
-    Rows are range-partitioned and sorted; a partition's first number is the sum of
-    the sizes before it, over one row per partition.
+    ``trees`` are columns that say to which tree a record belongs; without them
+    there is one. Rows are range-partitioned and sorted; a partition's first number
+    is the sum of the sizes before it, over one row per partition.
     """
-    ordered = records.select("table", "id", leaf(F.col("table"), F.col("id"), F.col("byte_hash")).alias("hash")).repartitionByRange("table", "id").sortWithinPartitions("table", "id")
-    placed = written(ordered.select("table", "id", "hash", F.monotonically_increasing_id().alias("at")), "leaves")
+    order = [*trees, "table", "id"]
+    ordered = records.select(*order, leaf(F.col("table"), F.col("id"), F.col("byte_hash")).alias("hash")).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(ordered.select(*order, "hash", F.monotonically_increasing_id().alias("at")), "leaves")
     part = F.shiftright("at", 33)
     sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
     before = F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("part", before.alias("start"))
     inside = F.col("at") - F.shiftleft(F.col("part"), 33)
-    return placed.withColumn("part", part).join(starts, "part").select((F.col("start") + inside).cast("long").alias("idx"), "table", "id", "hash")
+    out = placed.withColumn("part", part).join(starts, "part").select(*trees, (F.col("start") + inside).cast("long").alias("idx"), "table", "id", "hash")
+    if not trees:
+        return out
+    first = out.groupBy(*trees).agg(F.min("idx").alias("first"))
+    return out.join(first, [*trees]).select(*trees, (F.col("idx") - F.col("first")).alias("idx"), "table", "id", "hash")
 
 
 def node(left: str, right: str) -> str:
@@ -58,17 +64,19 @@ def climb(nodes: list[str], levels: int) -> list[str]:
     return nodes
 
 
-def _reduce(group: pd.DataFrame) -> pd.DataFrame:
+def _reduce(group: pd.DataFrame, trees: tuple[str, ...] = ()) -> pd.DataFrame:
     group = group.sort_values("idx")
-    return pd.DataFrame({"idx": [group["idx"].iloc[0] >> BLOCK_LEVELS], "hash": climb(group["hash"].tolist(), BLOCK_LEVELS)})
+    return pd.DataFrame({**{t: [group[t].iloc[0]] for t in trees}, "idx": [group["idx"].iloc[0] >> BLOCK_LEVELS], "hash": climb(group["hash"].tolist(), BLOCK_LEVELS)})
 
 
-def levels(numbered: DataFrame) -> list[DataFrame]:
-    """Tables (idx, hash) of the leaves and of every tenth level above them, up to the root."""
-    out = [numbered.select("idx", "hash")]
-    count = out[0].count()
+def levels(numbered: DataFrame, *trees: str) -> list[DataFrame]:
+    """Tables (trees, idx, hash) of the leaves and of every tenth level above them, up to the roots."""
+    out = [numbered.select(*trees, "idx", "hash")]
+    kinds = ", ".join(f"{t} {numbered.schema[t].dataType.simpleString()}" for t in trees)
+    schema = f"{kinds}, idx long, hash string" if trees else "idx long, hash string"
+    count = (out[0].agg(F.max("idx")).first()[0] or 0) + 1
     while count > 1:
-        up = out[-1].groupBy(F.shiftright("idx", BLOCK_LEVELS).alias("block")).applyInPandas(lambda g: _reduce(g), "idx long, hash string")
+        up = out[-1].groupBy(*trees, F.shiftright("idx", BLOCK_LEVELS).alias("block")).applyInPandas(lambda g: _reduce(g, trees), schema)
         out.append(written(up, "tree"))
         count = -(-count // (1 << BLOCK_LEVELS))
     return out
@@ -83,6 +91,13 @@ def root(records: DataFrame) -> DataFrame:
     return spark.createDataFrame([(top["hash"] if top else EMPTY_ROOT, numbered.count())], "root string, records long")
 
 
+def roots(records: DataFrame, *trees: str) -> DataFrame:
+    """trees, root, records: a row for each tree, all of them in the same jobs."""
+    numbered = leaves(records, *trees)
+    top = levels(numbered, *trees)[-1].filter("idx = 0").select(*trees, F.col("hash").alias("root"))
+    return top.join(numbered.groupBy(*trees).agg(F.count("*").alias("records")), [*trees])
+
+
 @dataclass(frozen=True)
 class Step:
     """A sibling on the way to the root, and the side on which it stands."""
@@ -149,13 +164,14 @@ def verified(proofs: DataFrame) -> DataFrame:
     return proofs.withColumn("ok", F.lower(F.hex(F.aggregate("steps", start, up))) == F.col("root"))
 
 
-def proofs(tree: list[DataFrame]) -> DataFrame:
-    """idx, hash, steps, root: every leaf of levels() with its whole path to the tree's root.
+def proofs(tree: list[DataFrame], *trees: str) -> DataFrame:
+    """trees, idx, hash, steps, root: every leaf of levels() with its whole path to its tree's root.
 
-    From the root down, each table's blocks meet the one path that leads on from
+    From the roots down, each table's blocks meet the one path that leads on from
     their block in the table above, so a task holds 1024 nodes and one path.
     """
-    schema = "idx long, hash string, others array<string>, sides array<string>"
+    kinds = "".join(f"{t} {tree[0].schema[t].dataType.simpleString()}, " for t in trees)
+    schema = f"{kinds}idx long, hash string, others array<string>, sides array<string>"
 
     def work(group: pd.DataFrame, up: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("idx")
@@ -163,11 +179,13 @@ def proofs(tree: list[DataFrame]) -> DataFrame:
         on = (list(up["others"].iloc[0]), list(up["sides"].iloc[0])) if len(up) else ([], [])
         rows = rows_above(nodes)
         steps = [along(rows, k) for k in range(len(nodes))]
-        return pd.DataFrame({"idx": group["idx"], "hash": group["hash"], "others": [[s.hash for s in p] + on[0] for p in steps], "sides": [[s.side for s in p] + on[1] for p in steps]})
+        return pd.DataFrame({**{t: group[t] for t in trees}, "idx": group["idx"], "hash": group["hash"], "others": [[s.hash for s in p] + on[0] for p in steps], "sides": [[s.side for s in p] + on[1] for p in steps]})
 
     none = F.array().cast("array<string>")
-    out = tree[-1].select("idx", "hash", none.alias("others"), none.alias("sides"))
+    out = tree[-1].select(*trees, "idx", "hash", none.alias("others"), none.alias("sides"))
     for table in reversed(tree[:-1]):
-        out = table.groupBy(F.shiftright("idx", BLOCK_LEVELS).alias("block")).cogroup(out.groupBy("idx")).applyInPandas(work, schema)
+        out = table.groupBy(*trees, F.shiftright("idx", BLOCK_LEVELS).alias("block")).cogroup(out.groupBy(*trees, "idx")).applyInPandas(work, schema)
     steps = F.zip_with("others", "sides", lambda h, s: F.struct(h.alias("hash"), s.alias("side"))).alias("steps")
-    return out.select("idx", "hash", steps).crossJoin(F.broadcast(tree[-1].select(F.col("hash").alias("root"))))  # one row
+    top = tree[-1].filter("idx = 0").select(*trees, F.col("hash").alias("root"))
+    made = out.select(*trees, "idx", "hash", steps)
+    return made.join(top, [*trees]) if trees else made.crossJoin(F.broadcast(top))  # one row

@@ -4,33 +4,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import types as T
-
-
-def _struct(text: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "d": T.DoubleType(), "i": T.IntegerType()}
-    return T.StructType([T.StructField(n.rstrip(":di"), kinds[n.split(":")[1] if ":" in n else "s"]) for n in text.split()])
-
-
-#: The longitudinal index: ids and dates are text, amounts are doubles.
-TABLES: dict[str, T.StructType] = {
-    "tender": _struct("nro_sicop nro_procedimiento cedula_institucion fecha_publicacion fechah_apertura tipo_procedimiento modalidad cartel_stat cartel_nm monto_est:d clas_obj cod_excepcion des_excepcion fecha_mod source_month archive_stamp"),
-    "bid": _struct("nro_sicop nro_oferta cedula_proveedor fecha_presenta tipo_oferta id_consorcio source_month archive_stamp"),
-    "bid_line": _struct("nro_sicop nro_oferta nro_linea codigo_producto cantidad:d precio_unitario:d moneda source_month"),
-    "award_line": _struct("nro_sicop nro_oferta nro_linea nro_acto cedula_proveedor codigo_producto cantidad:d precio_unitario:d moneda source_month"),
-    "contract": _struct("nro_contrato secuencia nro_sicop nro_procedimiento cedula_proveedor cedula_institucion tipo_contrato tipo_modificacion fecha_notificacion fecha_elaboracion moneda vigencia fecha_modificacion source_month archive_stamp"),
-    "stage_dates": _struct("nro_sicop cartel_seq partida linea nro_procedimiento publicacion fecha_apertura adjudicacion_firme fecha_notificacion fecha_elaboracion_contrato fecha_1ra_sol_pago fecha_ult_sol_pago fecha_resul_pago source_month"),
-    "appeal": _struct("nro_recurso linea_objetada cedula_proveedor nro_sicop nro_acto tipo_recurso resultado causa_resultado fecha_presentacion nro_procedimiento recurso_stat source_month"),
-    "supplier": _struct("cedula_proveedor nombre tipo tamano zona_geo fecha_constitucion source_month"),
-    "institution": _struct("cedula nombre zona_geo fecha_ingreso source_month"),
-    "sanction": _struct("cedula_proveedor cedula_institucion no_resolucion codigo_producto tipo_sancion descr_sancion inicio_sancion final_sancion estado source_month"),
-    "inhibition": _struct("ced_institucion ced_funcionario nom_funcionario fecha_inicio fecha_fin estado source_month"),
-    "entity": _struct("entity_id canonical_name kind member_count:i evidence"),
-    "entity_member": _struct("entity_id cedula_proveedor role"),
-    "loaded_archive": _struct("source_month archive_stamp sha256 loaded_at row_counts"),
+# The longitudinal index. Ids and dates are text, amounts are doubles.
+TABLES: dict[str, str] = {
+    "tender": "nro_sicop string, nro_procedimiento string, cedula_institucion string, fecha_publicacion string, fechah_apertura string, tipo_procedimiento string, modalidad string, cartel_stat string, cartel_nm string, monto_est double, clas_obj string, cod_excepcion string, des_excepcion string, fecha_mod string, source_month string, archive_stamp string",
+    "bid": "nro_sicop string, nro_oferta string, cedula_proveedor string, fecha_presenta string, tipo_oferta string, id_consorcio string, source_month string, archive_stamp string",
+    "bid_line": "nro_sicop string, nro_oferta string, nro_linea string, codigo_producto string, cantidad double, precio_unitario double, moneda string, source_month string",
+    "award_line": "nro_sicop string, nro_oferta string, nro_linea string, nro_acto string, cedula_proveedor string, codigo_producto string, cantidad double, precio_unitario double, moneda string, source_month string",
+    "contract": "nro_contrato string, secuencia string, nro_sicop string, nro_procedimiento string, cedula_proveedor string, cedula_institucion string, tipo_contrato string, tipo_modificacion string, fecha_notificacion string, fecha_elaboracion string, moneda string, vigencia string, fecha_modificacion string, source_month string, archive_stamp string",
+    "stage_dates": "nro_sicop string, cartel_seq string, partida string, linea string, nro_procedimiento string, publicacion string, fecha_apertura string, adjudicacion_firme string, fecha_notificacion string, fecha_elaboracion_contrato string, fecha_1ra_sol_pago string, fecha_ult_sol_pago string, fecha_resul_pago string, source_month string",
+    "appeal": "nro_recurso string, linea_objetada string, cedula_proveedor string, nro_sicop string, nro_acto string, tipo_recurso string, resultado string, causa_resultado string, fecha_presentacion string, nro_procedimiento string, recurso_stat string, source_month string",
+    "supplier": "cedula_proveedor string, nombre string, tipo string, tamano string, zona_geo string, fecha_constitucion string, source_month string",
+    "institution": "cedula string, nombre string, zona_geo string, fecha_ingreso string, source_month string",
+    "sanction": "cedula_proveedor string, cedula_institucion string, no_resolucion string, codigo_producto string, tipo_sancion string, descr_sancion string, inicio_sancion string, final_sancion string, estado string, source_month string",
+    "inhibition": "ced_institucion string, ced_funcionario string, nom_funcionario string, fecha_inicio string, fecha_fin string, estado string, source_month string",
+    "entity": "entity_id string, canonical_name string, kind string, member_count int, evidence string",
+    "entity_member": "entity_id string, cedula_proveedor string, role string",
+    "loaded_archive": "source_month string, archive_stamp string, sha256 string, loaded_at string, row_counts string",
 }
 
-#: Columns that name a row of the index; the newest source month wins for each.
+# Columns that name a row of the index; the newest source month wins for each.
 INDEX_KEYS: dict[str, tuple[str, ...]] = {
     "tender": ("nro_sicop",),
     "bid": ("nro_sicop", "nro_oferta"),
@@ -44,7 +36,7 @@ INDEX_KEYS: dict[str, tuple[str, ...]] = {
     "sanction": ("cedula_proveedor", "cedula_institucion", "no_resolucion", "codigo_producto"),
     "inhibition": ("ced_institucion", "ced_funcionario", "fecha_inicio"),
 }
-#: Tables whose missing key parts count as the empty string instead of making the row unusable.
+# Tables whose missing key parts count as the empty string instead of making the row unusable.
 COALESCED_KEYS = frozenset({"sanction", "inhibition"})
 
 # Status texts of the publisher, in its own wording.
@@ -79,6 +71,7 @@ class Stage:
     end: str
 
 
+# The stages of a procedure.
 STAGES = (
     Stage("publication_to_award", "publicacion", "adjudicacion_firme"),
     Stage("award_to_contract", "adjudicacion_firme", "fecha_elaboracion_contrato"),
@@ -112,3 +105,68 @@ class Source:
 CANON_VERSION = "cartulary-canon-2"
 BUNDLE_VERSION = "cartulary-bundle-2"
 FIELD_MARK, RECORD_MARK, PART_MARK = "\x1f", "\x1e", "\x00"
+
+
+# Published tables of the first publisher, with their keys and volatile columns.
+CR_TABLES: dict[str, TableDef] = {
+    "AdjudicacionesFirme": TableDef(("NRO_SICOP", "NRO_ACTO"), ("FECHA_REV",)),
+    "Contratos": TableDef(("NRO_CONTRATO", "SECUENCIA")),
+    "DetalleCarteles": TableDef(("NRO_SICOP",), ("FECHA_MOD",)),
+    "DetalleLineaCartel": TableDef(("NRO_SICOP", "NUMERO_LINEA", "NUMERO_PARTIDA")),
+    "FechaPorEtapas": TableDef(("NRO_SICOP", "CARTEL_SEQ", "PARTIDA", "LINEA")),
+    "FuncionariosInhibicion": TableDef(("CED_INSTITUCION", "CED_FUNCIONARIO", "FECHA_INICIO"), ("fecha_registro",)),
+    "Garantias": TableDef(("NRO_SICOP", "nro_garantia", "gara_seq"), ("fecha_registro",)),
+    "InstitucionesRegistradas": TableDef(("CEDULA",), ("FECHA_MOD",)),
+    "InvitacionProcedimiento": TableDef(("NRO_SICOP", "CEDULA_PROVEEDOR", "SECUENCIA")),
+    "LineasAdjudicadas": TableDef(("NRO_SICOP", "NRO_OFERTA", "NRO_LINEA", "NRO_ACTO")),
+    "LineasContratadas": TableDef(("NRO_SICOP", "NRO_CONTRATO", "SECUENCIA", "NRO_LINEA_CONTRATO")),
+    "LineasOfertadas": TableDef(("NRO_SICOP", "NRO_OFERTA", "NRO_LINEA")),
+    "LineasRecibidas": TableDef(("NRO_SICOP", "NRO_CONTRATO", "SECUENCIA", "NRO_LINEA", "ENTREGA", "NRO_RECEP_DEFINITIVA")),
+    "Ofertas": TableDef(("NRO_SICOP", "NRO_OFERTA")),
+    "OrdenPedido": TableDef(("NRO_SICOP", "NRO_ORDEN", "LINEA_ORD_PEDIDO", "FECHA_ELABORACION_ORDEN"), ("FECHAREGISTRO",)),
+    "ProcedimientoADM": TableDef(("NRO_SICOP", "NUMERO_PA", "CEDULA_PROVEEDOR")),
+    "ProcedimientoAdjudicacion": TableDef(("NRO_SICOP", "LINEA", "CEDULA_PROVEEDOR"), ("fecha_rev",)),
+    "Proveedores": TableDef(("CEDULA_PROVEEDOR",), ("fecha_registro", "fecha_mod")),
+    "ReajustePrecios": TableDef(("NRO_SICOP", "NRO_CONTRATO", "NRO_LINEA_CONTRATO", "NUMERO_REAJUSTE")),
+    "Recepciones": TableDef(("NRO_SICOP", "NRO_CONTRATO", "NRO_RECEP_DEFINITIVA")),
+    "RecursosObjecion": TableDef(("NRO_RECURSO", "LINEA_OBJETADA")),
+    "Remates": TableDef(("NRO_SICOP", "CED_PROVEEDOR", "MONTO_PUJA"), ("fecha_mod",)),
+    "SancionProveedores": TableDef(("CEDULA_PROVEEDOR", "CEDULA_INSTITUCION", "NO_RESOLUCION", "CODIGO_PRODUCTO"), ("fecha_registro",)),
+    "SistemaEvaluacionOfertas": TableDef(("NRO_SICOP", "EVAL_ITEM_SEQNO"), ("fecha_registro",)),
+    "Sistemas": TableDef(("NRO_SICOP", "NUMERO_LINEA", "NUMERO_PARTIDA")),
+}
+#: Its tables whose ids start with the number of the procedure.
+PROCEDURE_TABLES = tuple(name for name, d in CR_TABLES.items() if d.key[0] == "NRO_SICOP")
+
+_OCID, _AWARD, _BID, _PARTY = "ocid", "compiledRelease/awards/0/id", "compiledRelease/bids/details/0/id", "compiledRelease/parties/0/id"
+# Published tables of the second publisher, with their keys.
+PA_TABLES: dict[str, TableDef] = {
+    "com_awa_items": TableDef((_OCID, _AWARD, "compiledRelease/awards/0/items/0/id")),
+    "com_awa_suppliers": TableDef((_OCID, _AWARD)),
+    "com_awards": TableDef((_OCID, _AWARD)),
+    "com_bid_det_documents": TableDef((_OCID, _BID, "compiledRelease/bids/details/0/documents/0/id")),
+    "com_bid_det_items": TableDef((_OCID, _BID, "compiledRelease/bids/details/0/items/0/id")),
+    "com_bid_det_tenderers": TableDef((_OCID, _BID)),
+    "com_bid_details": TableDef((_OCID, _BID)),
+    "com_con_documents": TableDef((_OCID, "compiledRelease/contracts/0/documents/0/id")),
+    "com_par_additionalIdentifiers": TableDef((_OCID, _PARTY)),
+    "com_parties": TableDef((_OCID, _PARTY)),
+    "com_pla_bud_budgetBreakdown": TableDef((_OCID, "compiledRelease/planning/budget/budgetBreakdown/0/id")),
+    "com_relatedProcesses": TableDef((_OCID,)),
+    "com_sources": TableDef((_OCID,)),
+    "com_ten_items": TableDef((_OCID, "compiledRelease/tender/items/0/id")),
+    "com_ten_tenderers": TableDef((_OCID, "compiledRelease/tender/tenderers/0/id")),
+    "records": TableDef((_OCID,)),
+    "releases": TableDef((_OCID, "releases/0/url")),
+}
+SOURCES = {
+    "cr": Source("cr", "CR", "month", "201012", 2, CR_TABLES),
+    "pa": Source("pa", "PA", "month", "202309", 2, PA_TABLES),
+}
+
+
+def source(id_: str) -> Source:
+    """A publisher by its id."""
+    if id_ not in SOURCES:
+        raise ValueError(f"unknown source: {id_}")
+    return SOURCES[id_]

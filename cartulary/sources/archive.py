@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
 import io
 import re
 import zipfile
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartulary.storage import written
+
 ROWS = "path string, table string, row_pos long, header array<string>, cells array<string>"
 OBSERVATION = "source string, period string, month string, observedAt string, lastModified string, contentLength long, sha256 string, path string, status string, tlsVerified boolean, error string"
 ARCHIVE_NAME = r"([0-9]{8}T[0-9]{6}Z)-([0-9a-f]{12})\.zip$"
@@ -97,26 +104,73 @@ def entries(data: bytes) -> Iterator[tuple[str, bytes]]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """path, table, row_pos, header, cells of all rows of all archives; an archive is one task's work."""
+    """path, table, row_pos, header, cells of all rows of all archives.
+
+    First the central directories are read, then each CSV entry is a row of its own
+    and one task's work, so a large entry doesn't hold up the others of its archive.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for where, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for table, content in entries(data):
-                    rows = parse_csv(content.decode("utf-8", "replace"), delimiter(content))
-                    header = clean_header(next(rows, []))
-                    held: list[list[str]] = []
-                    first = 0
-                    for row in rows:
-                        held.append(row)
-                        if len(held) == 5000:
-                            yield _batch(where, table, first, header, held)
-                            first, held = first + len(held), []
-                    if held:
+                    yield pa.RecordBatch.from_arrays([pa.array([where]), pa.array([table]), pa.array([content], pa.binary())], names=["path", "table", "content"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for where, table, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                rows = parse_csv(content.decode("utf-8", "replace"), delimiter(content))
+                header = clean_header(next(rows, []))
+                held: list[list[str]] = []
+                first = 0
+                for row in rows:
+                    held.append(row)
+                    if len(held) == 5000:
                         yield _batch(where, table, first, header, held)
+                        first, held = first + len(held), []
+                if held:
+                    yield _batch(where, table, first, header, held)
+
+    each = files.mapInArrow(split, "path string, table string, content binary")
+    return each.repartition(max(2, 2 * spark.sparkContext.defaultParallelism), "path", "table").mapInArrow(work, ROWS)
+
+
+def archive_sums(spark: SparkSession, path: str) -> DataFrame:
+    """path, sha256, length of every archive; contents stay in the tasks."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.sha2("content", 256).alias("sha256"), "length")
+
+
+def write_archives(rows: DataFrame, folder: str, sep: str = ";") -> DataFrame:
+    """Write rows (period, stamp, table, row_pos, header, cells) as archives; period, stamp, sha256, path for each.
+
+    An archive is immutable: its name carries its stamp and the start of its digest,
+    and it is complete once it has that name. One archive is one task's work.
+    """
 
-    return files.mapInArrow(work, ROWS)
+    def put(group: pd.DataFrame) -> pd.DataFrame:
+        period, stamp = group["period"].iloc[0], group["stamp"].iloc[0]
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            for table, mine in group.sort_values(["table", "row_pos"]).groupby("table"):
+                text = io.StringIO()
+                out = csv.writer(text, delimiter=sep, lineterminator="\r\n")
+                out.writerow(list(mine["header"].iloc[0]))
+                out.writerows(mine["cells"])
+                z.writestr(zipfile.ZipInfo(f"{table}.csv"), text.getvalue())
+        data = held.getvalue()
+        sha = hashlib.sha256(data).hexdigest()
+        where, base = fs.FileSystem.from_uri(folder)
+        name = f"{base}/{period}/{stamp}-{sha[:12]}.zip"
+        where.create_dir(f"{base}/{period}", recursive=True)
+        own = f"{name}.attempt-{TaskContext.get().taskAttemptId()}"
+        with where.open_output_stream(own) as out:
+            out.write(data)
+        where.move(own, name)
+        return pd.DataFrame({"period": [period], "stamp": [stamp], "sha256": [sha], "path": [f"{folder}/{period}/{stamp}-{sha[:12]}.zip"]})
+
+    return written(rows.groupBy("period", "stamp").applyInPandas(put, "period string, stamp string, sha256 string, path string"), "archives")
 
 
 def _batch(where: str, table: str, first: int, header: list[str], rows: list[list[str]]) -> pa.RecordBatch:

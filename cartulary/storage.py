@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset, a temporary folder of this machine."""
+    """spark.checkpoint.dir; only where that is unset, on one machine (tests), a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("cartulary.folder", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cartulary-")
         spark.conf.set("cartulary.folder", folder)
     return folder.rstrip("/")
@@ -23,3 +25,33 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(spark)}/cartulary/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder."""
+    where, fs = _hadoop(spark, path)
+    return bool(fs.exists(where))
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    where, fs = _hadoop(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def replace(spark: SparkSession, made: str, target: str) -> None:
+    """Put a finished folder in the place of another: readers find the old one or the new one, never a part."""
+    new, fs = _hadoop(spark, made)
+    old, _ = _hadoop(spark, target)
+    before, _ = _hadoop(spark, f"{target}.before-{uuid.uuid4().hex}")
+    if fs.exists(old):
+        fs.rename(old, before)
+    fs.mkdirs(old.getParent())
+    if not fs.rename(new, old):
+        raise OSError(f"{made} can't be moved to {target}")
+    fs.delete(before, True)
