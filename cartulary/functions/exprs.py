@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal, localcontext
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -142,6 +144,50 @@ def direction(before: str | Column, after: str | Column) -> Column:
     return F.when(nb.isNotNull() & na.isNotNull() & (nb != na), F.when(up, "up").otherwise("down"))
 
 
+def _differences(before: pd.Series, after: pd.Series) -> pd.Series:
+    def one(b: str | None, a: str | None) -> str | None:
+        if b is None or a is None:
+            return None
+        with localcontext() as exact:
+            exact.prec = len(a) + len(b) + 2
+            d = Decimal(a) - Decimal(b)
+            text = format(d.normalize() if d else Decimal(0), "f")
+        return f"+{text}" if d > 0 else text
+
+    return pd.Series([one(b, a) for b, a in zip(before, after, strict=True)], dtype=object)
+
+
+def delta(before: str | Column, after: str | Column) -> Column:
+    """after - before as signed decimal text, exact for numbers of any length; null unless both are numbers."""
+    return F.pandas_udf(_differences, "string")(canonical_number(before), canonical_number(after))
+
+
+def periods(first: str | Column, last: str | Column, yearly: bool = False) -> Column:
+    """All months (yyyyMM) or years (yyyy) between two, both included; empty if the last is before the first."""
+    a, b = _col(first), _col(last)
+    tail, form = ("0101", "yyyy") if yearly else ("01", "yyyyMM")
+    start, end = F.try_to_date(F.concat(a, F.lit(tail)), "yyyyMMdd"), F.try_to_date(F.concat(b, F.lit(tail)), "yyyyMMdd")
+    step = F.expr("interval 1 year") if yearly else F.expr("interval 1 month")
+    return F.when(start.isNull() | end.isNull(), None).when(start > end, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(start, F.greatest(start, end), step), lambda d: F.date_format(d, form)))
+
+
+def current_period(now: str | Column, yearly: bool = False) -> Column:
+    """The month or year that an instant lies in."""
+    return F.date_format(_col(now), "yyyy" if yearly else "yyyyMM")
+
+
+def compact_stamp(http_date: str | Column) -> Column:
+    """An HTTP date (Thu, 01 Jan 2026 12:00:00 GMT) as yyyyMMddTHHmmssZ; null if it isn't one."""
+    text = F.regexp_extract(_col(http_date), r"^\s*[A-Za-z]{3},\s+(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT\s*$", 1)
+    at = F.try_to_timestamp(F.nullif(text, F.lit("")), F.lit("d MMM yyyy HH:mm:ss"))
+    return F.date_format(at, "yyyyMMdd'T'HHmmss'Z'")
+
+
+def http_date(stamp: str | Column) -> Column:
+    """yyyyMMddTHHmmssZ as an HTTP date."""
+    return F.concat(F.date_format(stamp_time(stamp), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+
+
 @dataclass(frozen=True)
 class Window:
     """Inclusive dates of publication, source month and institution; None means any."""

@@ -97,18 +97,65 @@ def binomial_tail(k: Column, n: Column) -> Column:
     return F.when((n <= 0) | (k <= 0), 1.0).when(k > n, 0.0).otherwise(F.least(F.lit(1.0), tail))
 
 
+#: From here on Stirling's series gives the factorial's logarithm to double precision.
+_STIRLING = 16
+
+
+def log_factorial(n: Column) -> Column:
+    """ln n! of whole numbers from 0 on: the product of the first factors, then Stirling's series."""
+    x = n.cast("double")
+    small = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n, F.lit(_STIRLING)).cast("int"))), F.lit(0.0), lambda acc, k: acc + F.ln(k.cast("double")))
+    series = 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3.0))) + 1 / (1260 * F.pow(x, F.lit(5.0))) - 1 / (1680 * F.pow(x, F.lit(7.0)))
+    large = x * F.ln(x) - x + 0.5 * F.ln(2 * F.pi() * x) + series
+    return F.when(n < 0, None).when(n <= _STIRLING, small).otherwise(large)
+
+
+def log_choose(n: Column, k: Column) -> Column:
+    """ln of the number of ways to choose k of n; null if there is none."""
+    return F.when((k >= 0) & (k <= n), log_factorial(n) - log_factorial(k) - log_factorial(n - k))
+
+
+def binomial_tail_at(k: Column, n: Column, p: Column | float) -> Column:
+    """Chance of k or more successes in n trials of chance p.
+
+    The first term comes from logarithms, the others from their ratios, so any
+    number of trials works; the sum runs from the side of the tail that has its
+    largest term first.
+    """
+    p = F.lit(p) if isinstance(p, float) else p
+    odds = p / (1 - p)
+
+    def total(a: Column, b: Column, up: bool) -> Column:
+        # sum of the terms from a on, to b
+        start = F.exp(log_choose(n, a) + a * F.ln(p) + (n - a) * F.ln(1 - p))
+
+        def term(acc: Column, i: Column) -> Column:
+            ratio = (n - i) / (i + 1) * odds if up else i / (n - i + 1) / odds
+            return F.struct((acc["sum"] + acc["at"]).alias("sum"), (acc["at"] * ratio).alias("at"))
+
+        steps = F.sequence(a, b) if up else F.sequence(a, b, F.lit(-1))
+        return F.aggregate(steps, F.struct(F.lit(0.0).alias("sum"), start.alias("at")), term, lambda acc: acc["sum"])
+
+    upper = k.cast("double") > n * p
+    inside = F.when(upper, total(k.cast("int"), n.cast("int"), True)).otherwise(1 - total((k - 1).cast("int"), F.lit(0), False))
+    return F.when((n <= 0) | (k <= 0), 1.0).when((k > n) | (p <= 0), 0.0).when(p >= 1, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), inside)))
+
+
 def bonferroni(p: Column, tests: Column) -> Column:
     """p times the number of tests, at most 1."""
     return F.least(F.lit(1.0), p * F.greatest(F.lit(1), tests))
 
 
-def kaplan_meier(df: DataFrame, keys: list[str], time: str, completed: str) -> DataFrame:
+def kaplan_meier(df: DataFrame, keys: list[str], time: str, completed: str, cases: str | None = None) -> DataFrame:
     """keys, n, events, censored, km_median, reached: the first time at which survival is at most a half.
 
+    A row stands for as many cases as the column ``cases`` says, else for one.
+
     Times are pre-aggregated, so windows run over distinct times. Survival is a
     true product: a last factor of 0 makes it 0.
     """
-    steps = df.groupBy(*keys, time).agg(F.sum(F.col(completed).cast("long")).alias("d"), F.count("*").alias("c"))
+    one = F.col(cases) if cases else F.lit(1)
+    steps = df.groupBy(*keys, time).agg(F.sum(F.col(completed).cast("long") * one).alias("d"), F.sum(one).alias("c"))
     at_risk = Window.partitionBy(*keys).orderBy(F.col(time).desc())
     risk = steps.withColumn("risk", F.sum("c").over(at_risk))
     so_far = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)

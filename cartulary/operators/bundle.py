@@ -1,4 +1,10 @@
-"""Evidence bundles: ordered lines, digest, checks."""
+"""Evidence bundles: ordered lines, digest, checks, writing and reading.
+
+The digest of a bundle covers its lines one after another, so they pass through one
+hash: partitions are sorted by all executors and stream through the driver, which
+holds one of them at a time (some 200 MB of lines a second). Lines are written by
+the executors as gzipped JSON lines, one file for each sorted partition.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +13,21 @@ import json
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.operators import differ
+from cartulary.functions import exprs as E
+from cartulary.operators import canonical, differ
 from cartulary.schemas import BUNDLE_VERSION, CHANGE_KINDS
+from cartulary.storage import written
 
 #: What the digest covers, in this order.
 DIGEST_FIELDS = ("bundle_version", "canon_version", "source", "period", "from_stamp", "from_sha256", "from_root", "to_stamp", "to_sha256", "to_root", "counts", "line_policy", "max_detail", "changes_sha256", "lines")
+#: Fields of the first version, which had no line policy: every kind was written.
+DIGEST_FIELDS_1 = tuple(f for f in DIGEST_FIELDS if f != "line_policy")
+FIRST_VERSION = "cartulary-bundle-1"
+#: A policy for open periods, which mostly grow: everything but plain additions.
+REVISIONS_ONLY = tuple(k for k in CHANGE_KINDS if k != "added")
 
 
 def serialize(line: dict) -> str:
@@ -63,8 +76,9 @@ def changes_digest(lines: DataFrame) -> tuple[str, int]:
 
 
 def digest(manifest: dict) -> str:
-    """SHA-256 over the manifest's fields as a JSON array; the time of building isn't part of it."""
-    body = [manifest[f] for f in DIGEST_FIELDS]
+    """SHA-256 over the manifest's fields as a JSON array, by the rules of its version; the time of building isn't part of it."""
+    fields = DIGEST_FIELDS_1 if manifest["bundle_version"] == FIRST_VERSION else DIGEST_FIELDS
+    body = [manifest[f] for f in fields]
     return hashlib.sha256(json.dumps(body, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
 
@@ -101,8 +115,8 @@ def parsed(json_lines: DataFrame) -> DataFrame:
     return json_lines.select(F.from_json("line", schema).alias("l")).select("l.*")
 
 
-def filtered(lines: DataFrame, kind: str | None = None, table: str | None = None, field: str | None = None, readable: bool = False) -> DataFrame:
-    """Parsed lines by kind, table, a field that changed, and whether values are written."""
+def filtered(lines: DataFrame, kind: str | None = None, table: str | None = None, field: str | None = None, readable: bool = False, numeric: bool = False) -> DataFrame:
+    """Parsed lines by kind, table, a field that changed, whether values are written and whether a field moved as a number."""
     out = lines
     if kind:
         out = out.filter(F.col("kind") == kind)
@@ -112,4 +126,61 @@ def filtered(lines: DataFrame, kind: str | None = None, table: str | None = None
         out = out.filter(F.exists("fields", lambda f: f["field"] == field))
     if readable:
         out = out.filter(~F.coalesce("valuesOmitted", F.lit(False)))
+    if numeric:
+        out = out.filter(F.exists("fields", lambda f: E.movement(f["before"], f["after"]) == "numeric"))
     return out
+
+
+def folder_of(root: str, source: str, period: str, from_stamp: str, to_stamp: str, canon_version: str, bundle_version: str = BUNDLE_VERSION) -> str:
+    """Where a bundle is kept; the first bundle version adds no suffix."""
+    tail = "" if bundle_version == FIRST_VERSION else f"-{bundle_version}"
+    return f"{root}/{source}/{period}/{from_stamp}-{to_stamp}-{canon_version}{tail}"
+
+
+def write(lines: DataFrame, m: dict, folder: str) -> None:
+    """Write lines in order as gzipped text files, then manifest.json: a folder without one isn't a bundle."""
+    spark = lines.sparkSession
+    lines.repartitionByRange("table", "id").sortWithinPartitions("table", "id").select("line").withColumn("line", F.rtrim(F.col("line"), F.lit("\n"))).write.mode("overwrite").option("compression", "gzip").text(f"{folder}/changes")
+    spark.createDataFrame([(json.dumps(m, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest.json")
+
+
+def read(spark: SparkSession, folder: str) -> tuple[dict, DataFrame]:
+    """The manifest, and the lines (table, id, kind, line) of a written bundle."""
+    m = json.loads(spark.read.text(f"{folder}/manifest.json").first()["value"])
+    raw = spark.read.text(f"{folder}/changes").select(F.concat("value", F.lit("\n")).alias("line"))
+    return m, raw.select(F.get_json_object("line", "$.table").alias("table"), F.get_json_object("line", "$.id").alias("id"), F.get_json_object("line", "$.kind").alias("kind"), "line")
+
+
+def verify_against(m: dict, lines: DataFrame, before: DataFrame, after: DataFrame, before_header: dict, after_header: dict) -> list[tuple[str, bool, str]]:
+    """Checks of a bundle against both copies: their digests and roots, and whether the bundle built anew is the same.
+
+    Copies are canonical records; headers have stamp, sha256 and root as computed from the archives at hand.
+    """
+    checks = [(f"{name} archive", h["sha256"] == m[f"{side}_sha256"], h["sha256"]) for name, side, h in (("earlier", "from", before_header), ("later", "to", after_header))]
+    if not all(ok for _, ok, _ in checks):
+        return checks
+    checks += [(f"{name} root", h["root"] == m[f"{side}_root"], h["root"]) for name, side, h in (("earlier", "from", before_header), ("later", "to", after_header))]
+    kinds = tuple(m["line_policy"])
+    made = written(build(before, after, canonical.fields(before), canonical.fields(after), kinds, m["max_detail"]), "rebuilt")
+    counts = {r["kind"]: r["changes"] for r in differ.kind_counts(differ.diff(before, after)).collect()}  # five rows
+    again = manifest(made, counts, m["source"], m["period"], before_header, after_header, kinds, m["max_detail"], m["canon_version"], m["bundle_version"])
+    published, _ = changes_digest(lines)
+    return [
+        *checks,
+        ("rebuilt changes", again["changes_sha256"] == m["changes_sha256"], again["changes_sha256"]),
+        ("rebuilt digest", again["digest"] == m["digest"], again["digest"]),
+        ("published changes", published == again["changes_sha256"], published),
+    ]
+
+
+def summary_text(period: str, counts: dict[str, int], records: tuple[int, int], schema_changes: list[tuple[str, str | None, str | None]] = (), rules_differ: bool = False) -> str:
+    """A comparison of two copies in words."""
+    out = [f"period {period}", f"  records {records[0]:,} -> {records[1]:,}"]
+    names = {"added": "added", "recordedAmendment": "recorded amendment", "silentRevision": "SILENT REVISION", "reformatted": "reformatted only", "removed": "removed"}
+    out += [f"  {names[k]:<18} {counts.get(k, 0):,}" for k in CHANGE_KINDS]
+    if schema_changes:
+        out.append(f"  columns changed in {len(schema_changes)} tables:")
+        out += [f"    {t}: {a or '(absent)'} -> {b or '(absent)'}" for t, a, b in schema_changes]
+    if rules_differ:
+        out.append("  the copies were made under different canonical rules; this comparison isn't sound")
+    return "\n".join(out)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cartulary.functions import exprs as E
 from cartulary.operators.awards import latest_award_lines
-
-#: Published tables whose ids start with the procedure number.
-PROCEDURE_TABLES = ("DetalleCarteles", "Ofertas", "LineasOfertadas", "LineasAdjudicadas", "FechaPorEtapas")
+from cartulary.schemas import PROCEDURE_TABLES
 
 
 def flatten(reports: DataFrame) -> DataFrame:
@@ -20,10 +20,26 @@ def flatten(reports: DataFrame) -> DataFrame:
     return c.select(F.col("ran_at").alias("detected_at"), "source", "month", "closed_month", "c.*")
 
 
-def feed(changes: DataFrame, since: str | None = None, until: str | None = None, month: str | None = None, kind: str | None = None, table: str | None = None) -> DataFrame:
-    """Changes within bounds, newest first."""
+def read_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """ran_at, source, findings of the watch reports (``*.json``) under a folder; other files and unreadable ones are left out."""
+    change = "struct<kind:string,table:string,id:string,beforeHash:string,afterHash:string>"
+    schema = f"ran_at string, source string, findings array<struct<month:string,closed_month:boolean,changes:array<{change}>>>, broken string"
+    found = spark.read.schema(schema).option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").option("multiLine", "true").option("columnNameOfCorruptRecord", "broken").json(folder)
+    return found.filter("broken is null and ran_at is not null").drop("broken")
+
+
+def report_summaries(reports: DataFrame) -> DataFrame:
+    """day, ran_at, months_checked, months_updated (sorted), changes of each report."""
+    found = F.coalesce("findings", F.array())
+    changed = F.filter("findings", lambda f: F.size(f["changes"]) > 0)
+    total = F.aggregate(F.transform("findings", lambda f: F.size(f["changes"])), F.lit(0), lambda a, n: a + n)
+    return reports.select(F.substring("ran_at", 1, 10).alias("day"), "ran_at", F.size(found).alias("months_checked"), F.array_sort(F.transform(changed, lambda f: f["month"])).alias("months_updated"), total.alias("changes"))
+
+
+def feed(changes: DataFrame, since: str | None = None, until: str | None = None, month: str | None = None, kind: str | None = None, table: str | None = None, institution: str | None = None, tender: str | None = None) -> DataFrame:
+    """Changes within bounds, newest first; institution and tender ask for changes with their subject (static_subject, subjects)."""
     out = changes
-    for column, value in (("month", month), ("kind", kind), ("table", table)):
+    for column, value in (("month", month), ("kind", kind), ("table", table), ("institution", institution), ("nro_sicop", tender)):
         if value:
             out = out.filter(F.col(column) == value)
     if since:
@@ -33,18 +49,36 @@ def feed(changes: DataFrame, since: str | None = None, until: str | None = None,
     return out.orderBy(F.desc("detected_at"), "table", "id")
 
 
+def by_kind(changes: DataFrame) -> DataFrame:
+    """kind, changes: how many of each kind there are."""
+    return changes.groupBy("kind").agg(F.count("*").alias("changes"))
+
+
+def from_sources(parts: dict[str, DataFrame]) -> DataFrame:
+    """Rows of several publishers together, each with its source."""
+    out = None
+    for name, df in sorted(parts.items()):
+        one = df.withColumn("source", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no source given")
+    return out
+
+
 def page(df: DataFrame, limit: int = 100, offset: int = 0, most: int = 1000) -> DataFrame:
     """A page of an ordered table; the limit is held between 1 and most."""
     return df.offset(max(0, offset)).limit(min(most, max(1, limit)))
 
 
 def static_subject(changes: DataFrame) -> DataFrame:
-    """changes with nro_sicop, supplier and institution as far as a record's id alone tells."""
-    first, by_content = F.split("id", r"\|")[0], F.col("id").startswith("sha256:")
-    def of(*tables: str) -> Column:
-        return F.when(F.col("table").isin(*tables) & ~by_content, first)
+    """changes with nro_sicop, supplier, institution and product as far as a record's id alone tells."""
+    parts, by_content = F.split("id", r"\|"), F.col("id").startswith("sha256:")
 
-    return changes.withColumn("nro_sicop", of(*PROCEDURE_TABLES)).withColumn("supplier", of("Proveedores", "SancionProveedores")).withColumn("institution", of("InstitucionesRegistradas", "FuncionariosInhibicion"))
+    def of(at: int, *tables: str) -> Column:
+        return F.when(F.col("table").isin(*tables) & ~by_content, F.nullif(F.get(parts, F.lit(at)), F.lit("")))
+
+    institution = F.coalesce(of(0, "InstitucionesRegistradas", "FuncionariosInhibicion"), of(1, "SancionProveedores"))
+    return changes.withColumn("nro_sicop", of(0, *PROCEDURE_TABLES)).withColumn("supplier", of(0, "Proveedores", "SancionProveedores")).withColumn("institution", institution).withColumn("product", of(3, "SancionProveedores"))
 
 
 def subjects(changes: DataFrame, tender: DataFrame, bid: DataFrame, award: DataFrame, bid_line: DataFrame) -> DataFrame:
@@ -56,7 +90,7 @@ def subjects(changes: DataFrame, tender: DataFrame, bid: DataFrame, award: DataF
     where = tender.select("nro_sicop", F.col("cedula_institucion").alias("tender_institution"))
     out = changes.join(where, "nro_sicop", "left").join(people, "nro_sicop", "left").join(goods, "nro_sicop", "left")
     none = F.array().cast("array<string>")
-    return out.withColumn("institution", F.coalesce("institution", "tender_institution")).drop("tender_institution").withColumn("suppliers", F.coalesce("suppliers", F.when(F.col("supplier").isNotNull(), F.array("supplier")), none)).withColumn("products", F.coalesce("products", none))
+    return out.withColumn("institution", F.coalesce("institution", "tender_institution")).drop("tender_institution").withColumn("suppliers", F.coalesce("suppliers", F.when(F.col("supplier").isNotNull(), F.array("supplier")), none)).withColumn("products", F.coalesce("products", F.when(F.col("product").isNotNull(), F.array("product")), none))
 
 
 def key_dates(tender: DataFrame, stage_dates: DataFrame) -> DataFrame:
@@ -91,6 +125,85 @@ def alerts(changes: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return met.select("subscription", "kind", "table", "id", severity.alias("severity")).distinct()
 
 
+def alert_list(matches: DataFrame) -> DataFrame:
+    """alerts with a stable id, gravest first: high, medium, low, then by subscription, table and record."""
+    id_ = F.substring(F.sha2(F.concat_ws("|", "subscription", "kind", "table", "id"), 256), 1, 16)
+    grade = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    return matches.withColumn("alert_id", id_).orderBy(grade, "subscription", "table", "id", "kind")
+
+
+# Payloads of single things and of the whole
+
+
+def _listed(df: DataFrame, order: Sequence[Column], most: int, name: str) -> DataFrame:
+    """One row: the number of rows and the first ones, in order, as an array."""
+    first = df.orderBy(*order).limit(most).agg(F.collect_list(F.struct(*df.columns)).alias(name))
+    return df.agg(F.count("*").alias(f"n_{name}")).crossJoin(first)  # one row each, of at most ``most`` elements
+
+
+def supplier_entity(cedula: str, supplier: DataFrame, bid: DataFrame, award: DataFrame, contract: DataFrame, appeal: DataFrame, sanction: DataFrame, most: int = 500) -> DataFrame:
+    """One row: a supplier with its bids, awards, contracts, appeals and sanctions, newest first, at most so many of each; all filters reach the scans."""
+    mine = F.col("cedula_proveedor") == cedula
+    out = supplier.filter(mine).agg(F.max("nombre").alias("nombre")).select(F.lit(cedula).alias("cedula"), "nombre")
+    for df, order, name, n in ((bid, "nro_sicop", "bids", most), (award, "nro_sicop", "awards", most), (contract, "fecha_notificacion", "contracts", most), (appeal, "nro_recurso", "appeals", min(most, 200)), (sanction, "cedula_proveedor", "sanctions", most)):
+        rows = df.filter(mine)
+        out = out.crossJoin(_listed(rows, [F.desc(order), *[F.col(c) for c in rows.columns if c != order]], n, name))  # one row each
+    return out
+
+
+def institution_entity(cedula: str, institution: DataFrame, tender: DataFrame, contract: DataFrame, most: int = 500) -> DataFrame:
+    """One row: an institution with its tenders, newest first, and the number of its contracts."""
+    tenders = tender.filter(F.col("cedula_institucion") == cedula).select("nro_sicop", "nro_procedimiento", "fecha_publicacion", "tipo_procedimiento", "cartel_stat", "monto_est", "source_month")
+    out = institution.filter(F.col("cedula") == cedula).agg(F.max("nombre").alias("nombre")).select(F.lit(cedula).alias("cedula"), "nombre")
+    agreed = contract.join(tenders.select("nro_sicop"), "nro_sicop", "left_semi") if "cedula_institucion" not in contract.columns else contract.filter(F.col("cedula_institucion") == cedula)
+    return out.crossJoin(_listed(tenders, (F.desc("fecha_publicacion"), F.col("nro_sicop")), most, "tenders")).crossJoin(agreed.agg(F.count("*").alias("n_contracts")))  # one row each
+
+
+def tender_entities(tender: DataFrame, bid: DataFrame, bid_line: DataFrame, award: DataFrame, contract: DataFrame, appeal: DataFrame | None, institution: DataFrame, dates: DataFrame) -> DataFrame:
+    """nro_sicop, the institution's name, key dates and the numbers of bids, lines, awards, contracts and appeals around each tender; filter by nro_sicop for one."""
+    out = tender.join(institution.select(F.col("cedula").alias("cedula_institucion"), "nombre"), "cedula_institucion", "left").select("nro_sicop", "cedula_institucion", "nombre", "cartel_stat").join(dates, "nro_sicop", "left")
+    parts = {"bids": bid, "bid_lines": bid_line, "award_lines": award, "contracts": contract} | ({"appeals": appeal} if appeal is not None else {})
+    for name, df in parts.items():
+        out = out.join(df.groupBy("nro_sicop").agg(F.count("*").alias(name)), "nro_sicop", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+    proof = F.concat(F.lit("/proof/DetalleCarteles/"), F.url_encode("nro_sicop"))
+    return out.withColumn("proof", proof)
+
+
+def counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, rows of each table."""
+    out = None
+    for name, df in sorted(tables.items()):
+        one = df.agg(F.lit(name).alias("name"), F.count("*").alias("rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def entity_kinds(entity: DataFrame) -> DataFrame:
+    """kind, entities, members: how many entities of each kind there are."""
+    return entity.groupBy("kind").agg(F.count("*").alias("entities"), F.sum("member_count").cast("long").alias("members"))
+
+
+def months(archives: DataFrame) -> DataFrame:
+    """source, period, versions, stamps (sorted): what is held of each period."""
+    return archives.groupBy("source", "period").agg(F.countDistinct("stamp").alias("versions"), F.array_sort(F.collect_set("stamp")).alias("stamps"))
+
+
+def health(index_tables: dict[str, DataFrame], snapshots: DataFrame) -> DataFrame:
+    """One row: status (ok, or degraded without an index or a snapshot), whether there is an index, and snapshots."""
+    ready = all(df.limit(1).count() for df in index_tables.values())
+    return snapshots.agg(F.count("*").alias("snapshots")).select(F.when(F.lit(ready) & (F.col("snapshots") > 0), "ok").otherwise("degraded").alias("status"), F.lit("ready" if ready else "missing").alias("index"), "snapshots")
+
+
+def bundle_status(bundles: DataFrame, recorded: DataFrame) -> DataFrame:
+    """bundles (period, canon, from_sha256, to_sha256, digest) with the digest on record and whether it matches; both null if there is none.
+
+    recorded are entries as versions.parse_diffs gives them; of several for a bundle the least digest counts.
+    """
+    on = recorded.groupBy("period", "from_id", "to_id", "canon").agg(F.min("digest").alias("recorded_digest"))
+    mine = bundles.withColumn("from_id", F.substring("from_sha256", 1, 12)).withColumn("to_id", F.substring("to_sha256", 1, 12))
+    return mine.join(on, ["period", "from_id", "to_id", "canon"], "left").withColumn("digest_matches", F.col("digest") == F.col("recorded_digest"))
+
+
 # Release packages
 
 
@@ -155,3 +268,17 @@ def releases(tender: DataFrame, bid: DataFrame, bid_line: DataFrame, award: Data
         "awards", "contracts",
     )
     return out.select(F.concat(F.lit(prefix), F.col("nro_sicop")).alias("ocid"), "source_month", F.to_json(body).alias("release"))
+
+
+def release_packages(made: DataFrame, tender: DataFrame, published: str, publisher: str, month: str | None = None, size: int = 1000) -> DataFrame:
+    """source_month, page, releases, package (JSON): releases packed by month, in order of ocid, so many to a page.
+
+    made are releases() of the tenders. A page is one row; numbers within a month come from a window over that month.
+    """
+    rows = made.filter(F.col("source_month") == month) if month else made
+    n = F.row_number().over(W.partitionBy("source_month").orderBy("ocid")) - 1
+    paged = rows.withColumn("n", n).withColumn("page", F.floor(F.col("n") / size).cast("int"))
+    packed = paged.groupBy("source_month", "page").agg(F.count("*").alias("releases"), F.array_sort(F.collect_list(F.struct("n", "release"))).alias("all"))
+    head = F.to_json(F.struct(F.concat(F.lit("urn:package:"), F.col("source_month"), F.lit(":"), F.col("page").cast("string")).alias("uri"), F.lit("1.1").alias("version"), F.lit(published).alias("publishedDate"), F.struct(F.lit(publisher).alias("name")).alias("publisher")))
+    body = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"releases":['), F.array_join(F.transform("all", lambda r: r["release"]), ","), F.lit("]}"))
+    return packed.select("source_month", "page", "releases", body.alias("package"))

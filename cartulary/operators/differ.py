@@ -76,6 +76,11 @@ def field_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("table", "field").agg(F.count("*").alias("changes"), *[of("movement", m) for m in ("numeric", "reprint", "filled", "cleared", "text")], *[of("direction", d) for d in ("up", "down")])
 
 
+def table_summary(lines: DataFrame) -> DataFrame:
+    """Per table: changes, and how many of each kind."""
+    return lines.groupBy("table").agg(F.count("*").alias("changes"), *[F.count_if(F.col("kind") == k).alias(k) for k in CHANGE_KINDS])
+
+
 def line_policy(changes: DataFrame, kinds: Sequence[str] = CHANGE_KINDS) -> DataFrame:
     """Changes of the kinds that a bundle lists."""
     unknown = set(kinds) - set(CHANGE_KINDS)

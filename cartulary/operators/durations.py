@@ -11,6 +11,7 @@ from cartulary.functions import exprs as E
 from cartulary.functions import stats as S
 from cartulary.functions.exprs import ALL, Window
 from cartulary.schemas import STAGES, Stage
+from cartulary.storage import written
 
 
 def unpivoted(stage_dates: DataFrame, w: Window = ALL, stages: Sequence[Stage] = STAGES, tender: DataFrame | None = None) -> DataFrame:
@@ -57,13 +58,25 @@ def disposition_counts(rows: DataFrame) -> DataFrame:
 
 
 def report(rows: DataFrame) -> DataFrame:
-    """Per stage: counts, summary of completed days, the Kaplan-Meier median, censored cases beyond the median."""
-    done = F.when(F.col("disposition") == "completed", F.col("days").cast("double"))
-    stats = rows.groupBy("stage").agg(*S.summary(done))
-    known = rows.filter("days is not null").withColumn("done", F.col("disposition") == "completed")
-    km = S.kaplan_meier(known, ["stage"], "days", "done").select("stage", "km_median", "reached")
-    late = rows.filter("disposition = 'censored'").join(stats.select("stage", "median"), "stage").groupBy("stage").agg(F.count_if(F.col("days") > F.col("median")).alias("censored_past_median"))
-    out = disposition_counts(rows).join(stats.drop("n"), "stage").join(km, "stage", "left").join(late, "stage", "left")
+    """Per stage: counts, summary of completed days, the Kaplan-Meier median, censored cases beyond the median.
+
+    Cases are counted once by stage, disposition and days; all figures come from that small table.
+    """
+    by = written(rows.groupBy("stage", "disposition", "days").agg(F.count("*").alias("cases")), "stage-days")
+    done = F.col("disposition") == "completed"
+
+    def of(kind: str):
+        return F.coalesce(F.sum(F.when(F.col("disposition") == kind, F.col("cases"))), F.lit(0)).cast("long")
+
+    counts = by.groupBy("stage").agg(F.sum("cases").alias("n"), of("completed").alias("completed"), of("censored").alias("censored"), of("notStarted").alias("not_started"), of("negative").alias("negative"))
+    counts = counts.withColumn("censoring_rate", E.ratio("censored", F.col("completed") + F.col("censored")))
+    days = F.col("days").cast("double")
+    q = F.percentile(days, F.array(*(F.lit(p) for p in (0.25, 0.5, 0.75, 0.9))), F.col("cases"))
+    ended = by.filter(done).groupBy("stage").agg(F.min(days).alias("min"), *(q[k].alias(name) for k, name in enumerate(("p25", "median", "p75", "p90"))), F.max(days).alias("max"))
+    known = by.filter("days is not null").withColumn("done", done)
+    km = S.kaplan_meier(known, ["stage"], "days", "done", "cases").select("stage", "km_median", "reached")
+    late = by.filter("disposition = 'censored'").join(ended.select("stage", "median"), "stage").groupBy("stage").agg(F.sum(F.when(F.col("days") > F.col("median"), F.col("cases"))).alias("censored_past_median"))
+    out = counts.join(ended, "stage", "left").join(km, "stage", "left").join(late, "stage", "left")
     return out.withColumn("censored_past_median", F.coalesce("censored_past_median", F.lit(0)).cast("long")).withColumn("reached", F.coalesce("reached", F.lit(False)))
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cartulary.functions import exprs as E
 from cartulary.functions.names import initials_joined, normalised_name
 from cartulary.schemas import COALESCED_KEYS, INDEX_KEYS
+from cartulary.storage import replace
 
 
 def latest_wins(rows: DataFrame, keys: tuple[str, ...], coalesce: bool = False, order: tuple[str, ...] = ("source_month", "load_seq", "row_pos")) -> DataFrame:
@@ -51,6 +53,35 @@ def not_loaded(archives: DataFrame, ledger: DataFrame, force: bool = False) -> D
     return archives if force else archives.join(ledger.select("source_month", "archive_stamp"), ["source_month", "archive_stamp"], "left_anti")
 
 
+def load_range(current: DataFrame | None, rows: DataFrame, table: str, ledger: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The index table after loading archives that the ledger lacks, and the ledger's new rows.
+
+    rows are a table's rows of several archives (with source_month, archive_stamp,
+    sha256, row_pos); archives load in order of month and stamp, so a later copy of
+    a month wins over an earlier one, and rows that are held lose only to rows of
+    the same month or a newer one.
+    """
+    archives = rows.select("source_month", "archive_stamp", "sha256").distinct()
+    new = not_loaded(archives, ledger, force)
+    fresh = rows.join(new.select("source_month", "archive_stamp"), ["source_month", "archive_stamp"], "left_semi")
+    # stamps sort as text, so their order is the order of loading
+    ranked = fresh.withColumn("load_seq", F.col("archive_stamp"))
+    if current is not None:
+        held = current.withColumn("load_seq", F.lit("")).withColumn("row_pos", F.lit(-1).cast("long"))
+        ranked = ranked.unionByName(held, allowMissingColumns=True)
+    out = latest_wins(ranked, INDEX_KEYS[table], table in COALESCED_KEYS).drop("load_seq", "row_pos")
+    counts = fresh.groupBy("source_month", "archive_stamp").agg(F.count("*").alias("n"))
+    entries = new.join(counts, ["source_month", "archive_stamp"], "left").select("source_month", "archive_stamp", "sha256", F.lit(table).alias("table"), F.coalesce("n", F.lit(0)).alias("rows"))
+    return out.drop("sha256"), entries
+
+
+def save(spark: SparkSession, folder: str, table: str, rows: DataFrame) -> None:
+    """Put a new state of an index table in the place of the old one: whole or not at all."""
+    made = f"{folder}/.{table}-{uuid.uuid4().hex}"
+    rows.write.parquet(made)
+    replace(spark, made, f"{folder}/{table}")
+
+
 def spans(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """table, rows, dated, first_day, last_day for tables given with their date column."""
     out = None

@@ -90,6 +90,75 @@ def diff_entries(diffs: DataFrame, ns: str | None = None) -> DataFrame:
     return diffs.select(F.explode(rows).alias("e")).select("e.key", F.lit("string").alias("type"), "e.value")
 
 
+def day_entries(day: str, snapshots: DataFrame, ns: str | None = None) -> DataFrame:
+    """key, type, value: a root and a meta entry for each snapshot (period, root, canon_version, records, sha256) of a day, and the marker of the latest day."""
+    prefix = f"{ns}_" if ns else ""
+    tail = F.concat(F.lit(f"{prefix}{day}_"), F.col("period"))
+    meta = F.concat_ws("|", "canon_version", F.col("records").cast("string"), "sha256")
+    rows = F.array(F.struct(F.concat(F.lit("root_"), tail).alias("key"), F.col("root").alias("value")), F.struct(F.concat(F.lit("meta_"), tail).alias("key"), meta.alias("value")))
+    latest = snapshots.sparkSession.createDataFrame([(f"latest_{ns}" if ns else "latest", day)], "key string, value string")
+    return snapshots.select(F.explode(rows).alias("e")).select("e.key", "e.value").unionByName(latest).select("key", F.lit("string").alias("type"), "value")
+
+
+def day_plan(entries: DataFrame, most: int = MAX_ENTRIES) -> DataFrame:
+    """day entries with batch and place: a period's two entries stay together, and the latest marker ends the last batch."""
+    marker = F.col("key").startswith("latest")
+    per = (most - 1) // 2
+    if per < 1:
+        raise ValueError("a batch has to hold a period and the marker")
+    period = F.when(~marker, F.substring_index("key", "_", -1))
+    numbered = entries.withColumn("period", period).withColumn("n", F.dense_rank().over(W.orderBy(marker, "period")) - 1)
+    last = numbered.filter(~marker).agg(F.coalesce(F.max("n"), F.lit(0)).alias("last"))  # one row
+    batch = F.floor(F.when(marker, F.col("last")).otherwise(F.col("n")) / per).cast("long")
+    out = numbered.crossJoin(F.broadcast(last)).withColumn("batch", batch)
+    place = F.row_number().over(W.partitionBy("batch").orderBy(marker, "n", F.desc("key"))) - 1
+    return out.select("batch", place.cast("long").alias("place"), "key", "type", "value")
+
+
+def repeated_keys(entries: DataFrame) -> DataFrame:
+    """key, times: keys that more than one entry has; a plan with any of them is an error."""
+    return entries.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1")
+
+
+def checked(entries: DataFrame) -> DataFrame:
+    """The entries, or an error that names a repeated key."""
+    found = repeated_keys(entries).orderBy("key").first()
+    if found:
+        raise ValueError(f"{found['times']} entries have the key {found['key']}")
+    return entries
+
+
+def parse_days(entries: DataFrame) -> DataFrame:
+    """ns, day, period, root, canon_version, records, sha256 from day entries; a lacking meta entry leaves nulls."""
+    pattern = r"^root_(?:([a-z]{2})_)?([0-9]{4}-[0-9]{2}-[0-9]{2})_([0-9]+)$"
+    key = F.col("key")
+    roots = entries.filter(key.rlike(pattern)).select(F.substring(key, 6, 10_000).alias("tail"), F.nullif(F.regexp_extract(key, pattern, 1), F.lit("")).alias("ns"), F.regexp_extract(key, pattern, 2).alias("day"), F.regexp_extract(key, pattern, 3).alias("period"), F.col("value").alias("root"))
+    meta = F.split("value", r"\|")
+    metas = entries.filter(key.startswith("meta_")).select(F.substring(key, 6, 10_000).alias("tail"), F.get(meta, F.lit(0)).alias("canon_version"), F.get(meta, F.lit(1)).try_cast("long").alias("records"), F.nullif(F.get(meta, F.lit(2)), F.lit("")).alias("sha256"))
+    return roots.join(metas, "tail", "left").drop("tail")
+
+
+def pair(archives: DataFrame, period: str, first: str | None = None, second: str | None = None) -> tuple[str, str]:
+    """Stamps of the two copies to compare, the earlier one first: the named ones, or the two newest."""
+    stamps = sorted(r["stamp"] for r in archives.filter(F.col("period") == period).select("stamp").distinct().collect())  # copies of one period
+    named = [s for s in (first, second) if s]
+    lacking = [s for s in named if s not in stamps]
+    if lacking:
+        raise ValueError(f"no copy of {period} has the stamp {lacking[0]}")
+    chosen = sorted({*named, *[s for s in reversed(stamps) if s not in named][: 2 - len(named)]})
+    if len(chosen) != 2:
+        raise ValueError(f"{period} has no two different copies")
+    return chosen[0], chosen[1]
+
+
+def survey(observations: DataFrame) -> DataFrame:
+    """source, periods, versions, observations, rewritten (periods with more than one version), bytes: totals of a publisher's archives."""
+    by = versions_by_period(observations).groupBy("source", "period").agg(F.count("*").alias("versions"))
+    held = by.groupBy("source").agg(F.count("*").alias("periods"), F.sum("versions").alias("versions"), F.count_if(F.col("versions") > 1).alias("rewritten"))
+    seen = observations.groupBy("source").agg(F.count("*").alias("observations"), F.coalesce(F.sum(F.when(F.col("status") == "stored", F.col("content_length"))), F.lit(0)).alias("bytes"))
+    return seen.join(held, "source", "left").select("source", F.coalesce("periods", F.lit(0)).alias("periods"), F.coalesce("versions", F.lit(0)).alias("versions"), "observations", F.coalesce("rewritten", F.lit(0)).alias("rewritten"), "bytes")
+
+
 def plan(entries: DataFrame, most: int = MAX_ENTRIES) -> DataFrame:
     """entries with batch and place: transactions of at most so many entries, in order of key.
 
