@@ -131,4 +131,6 @@ def with_lens(sql: str) -> str:
         return sql
     head = ",\n".join(ctes)
     stripped = sql.strip()
+    if stripped.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{stripped[15:]}"
     return f"WITH {head},\n{stripped[5:]}" if stripped.upper().startswith("WITH ") else f"WITH {head}\n{stripped}"

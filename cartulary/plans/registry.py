@@ -13,6 +13,7 @@ from cartulary.operators import awards, bundle, canonical, collusion, competitio
 from cartulary.plans.lens_sql import with_lens
 from cartulary.schemas import TableDef
 from cartulary.sources.lens import Lens
+from cartulary.storage import written
 from cartulary.streaming.watch import activity
 
 AS_OF = "1998-08-01"
@@ -39,18 +40,14 @@ def r(c: str | Column, name: str | None = None, digits: int = 6) -> Column:
     return out.alias(name or c) if isinstance(c, str) or name else out
 
 
-#: Prices are short decimals, so that many lie halfway between two rounded values; a shift by this share of a digit decides them.
-SHIFT = 0.0123457
-
-
 def off_half(c: str, digits: int) -> Column:
-    """A price rounded where engines agree on which way halves go."""
-    return F.round(F.col(c) + SHIFT * 10.0**-digits, digits).alias(c)
+    """A price as a decimal of nine places, rounded half up: exact halves are decided the same way by every engine."""
+    return F.round(F.col(c).cast("decimal(24,9)"), digits).cast("double").alias(c)
 
 
 def off_half_sql(x: str, digits: int) -> str:
     """The same in SQL."""
-    return f"round({x} + {SHIFT}e-{digits}, {digits})"
+    return f"round(({x})::DECIMAL(24,9), {digits})::DOUBLE"
 
 
 WILSON = "CASE WHEN {n} > 0 THEN round({end}(({k} / {n} + 1.9208 / {n} {sign} 1.96 * sqrt({k} / {n} * (1 - {k} / {n}) / {n} + 0.9604 / ({n} * {n}))) / (1 + 3.8416 / {n}), {edge}), 6) END"
@@ -201,7 +198,7 @@ SELECT array_to_string(g.m, '|') AS group_key, k AS group_size, g.tenders AS co_
 round((1 - squares / (total * total)) / (1 - 1 / k), 6) AS evenness, round((1 - squares / (total * total)) / (1 - 1 / k) * least(1, g.tenders / 4) * exclusivity, 8) AS score
 FROM g JOIN ev USING (m) JOIN e USING (m) LEFT JOIN dec USING (m) WHERE distinct_winners >= 2""")
 def rotation_screen(t: Lens) -> DataFrame:
-    return collusion.rotation(t.bid, t.award_line, t.tender, min_tenders=2, min_group=2, min_exclusivity=0).withColumns({"exclusivity": r("exclusivity"), "evenness": r("evenness"), "score": F.round("score", 8)})
+    return collusion.rotation(t.bid, t.award_line, t.tender, min_tenders=2, min_group=2, min_exclusivity=0).drop("institutions").withColumns({"exclusivity": r("exclusivity"), "evenness": r("evenness"), "score": F.round("score", 8)})
 
 
 PAIRS = """pairs AS (SELECT x.cedula_proveedor AS a, y.cedula_proveedor AS b, count(*) AS encounters, count(*) FILTER (xw.winner IS NOT NULL) AS a_wins, count(*) FILTER (yw.winner IS NOT NULL) AS b_wins
@@ -223,6 +220,10 @@ def losing_screen(t: Lens) -> DataFrame:
     return collusion.consistent_losing(t.bid, t.award_line, t.tender, alpha=1.0).withColumns({"loss_rate": r("loss_rate"), "p_value": F.round("p_value", 8), "p_adjusted": r("p_adjusted")})
 
 
+#: Rivals rarely offer a line's very product in these data, so lines meet by number and currency.
+BY_LINE = ("nro_linea", "moneda")
+
+
 def _by_line(df: DataFrame) -> DataFrame:
     return df.withColumn("codigo_producto", F.concat(F.lit("L"), F.col("nro_linea")))
 
@@ -234,14 +235,15 @@ WHERE l.nro_oferta <> w.cedula_proveedor AND l.precio_unitario >= w.precio_unita
 
 @query(f"WITH {SPREAD} SELECT nro_sicop, nro_linea, winner, loser, round(gap, 6) AS gap_pct FROM gaps")
 def spread_lines(t: Lens) -> DataFrame:
-    return collusion.spread_lines(t.bid, _by_line(t.bid_line), _by_line(t.award_line), t.tender).select("nro_sicop", "nro_linea", "winner", "loser", r("gap_pct"))
+    return collusion.spread_lines(t.bid, t.bid_line, t.award_line, t.tender, same=BY_LINE).select("nro_sicop", "nro_linea", "winner", "loser", r("gap_pct"))
 
 
 @query(f"""WITH {SPREAD}, by_pair AS (SELECT winner, loser, count(*) AS lines, count(DISTINCT nro_sicop) AS tenders, quantile_cont(gap, 0.5) AS median_gap, avg(gap) AS mean_gap, CASE WHEN count(*) >= 2 THEN stddev_samp(gap) / abs(avg(gap)) END AS cv FROM gaps GROUP BY 1, 2)
 SELECT winner, loser, lines, tenders, round(median_gap, 6) AS median_gap, round(mean_gap, 6) AS mean_gap, round(cv, 6) AS cv, round(coalesce(greatest(0, least(1, (0.2 - cv) / 0.12)), 0) * least(1, tenders / 4), 6) AS score
 FROM by_pair WHERE tenders >= 2 AND median_gap >= 0.5""")
 def spread_screen(t: Lens) -> DataFrame:
-    return collusion.bid_spread(t.bid, _by_line(t.bid_line), _by_line(t.award_line), t.tender, min_tenders=2, keep_unscored=True).withColumns({c: r(c) for c in ("median_gap", "mean_gap", "cv", "score")})
+    made = collusion.bid_spread(t.bid, t.bid_line, t.award_line, t.tender, min_tenders=2, keep_unscored=True, same=BY_LINE).drop("gaps")
+    return made.withColumns({c: r(c) for c in ("median_gap", "mean_gap", "cv", "score")})
 
 
 @query("""WITH c AS (SELECT *, count(*) OVER (PARTITION BY nro_sicop) AS n, (nro_sicop, cedula_proveedor) IN (SELECT nro_sicop, winner FROM tender_winners) AS won FROM tender_bidders),
@@ -514,7 +516,9 @@ def _changes(t: Lens) -> DataFrame:
 
 
 def _details(t: Lens) -> DataFrame:
-    return differ.detailed(_changes(t), canonical.fields(_records(t)), canonical.fields(_records(t, True)))
+    # both copies are read by the comparison and for their fields, so they are made once
+    one, two = written(_records(t), "before"), written(_records(t, True), "after")
+    return differ.detailed(differ.diff(one, two), canonical.fields(one), canonical.fields(two))
 
 
 @query("SELECT table_name, id, byte_hash, value_hash FROM snap1")
@@ -540,12 +544,18 @@ def merkle_leaves(t: Lens) -> DataFrame:
     return rec.select("id", merkle.leaf(F.col("table"), F.col("id"), F.col("byte_hash")).alias("hash"))
 
 
-@query()
+#: Rows of a tree, pairs of nodes by pairs of nodes, up to the root.
+TREE = r"""lv AS (SELECT 0 AS level, idx, h, n FROM leaf UNION ALL SELECT level + 1, idx // 2, CASE WHEN count(*) = 2 THEN sha256('\x01'::BLOB || unhex(arg_min(h, idx)) || unhex(arg_max(h, idx))) ELSE max(h) END, (any_value(n) + 1) // 2
+FROM lv WHERE n > 1 GROUP BY level, idx // 2)"""
+
+
+@query(rf"""WITH RECURSIVE leaf AS (SELECT row_number() OVER (ORDER BY table_name, id) - 1 AS idx, sha256('\x00'::BLOB || encode(table_name || chr(0) || id || chr(0) || byte_hash)) AS h, count(*) OVER () AS n FROM snap1), {TREE}
+SELECT h AS root, (SELECT count(*) FROM orders) AS records FROM lv WHERE n = 1""")
 def merkle_root(t: Lens) -> DataFrame:
     return merkle.root(_records(t))
 
 
-@query()
+@query("SELECT count(*) AS leaves, count(*) AS verified FROM orders")
 def merkle_proof_check(t: Lens) -> DataFrame:
     checked = merkle.verified(merkle.proofs(merkle.levels(merkle.leaves(_records(t)))))
     return checked.agg(F.count("*").alias("leaves"), F.count_if("ok").alias("verified"))
@@ -586,9 +596,17 @@ def detail_budget(t: Lens) -> DataFrame:
     return differ.detail_budget(_changes(t), 300).select("kind", "id", "detailed")
 
 
-@query()
+_HASHES = """CASE WHEN {x}.id IS NULL THEN 'null' ELSE '{{"byteHash":"' || {x}.byte_hash || '","valueHash":"' || {x}.value_hash || '"}}' END"""
+_VALUES = """'{{' || array_to_string(list_transform({x}.pairs, lambda p: to_json(p.k)::VARCHAR || ':' || to_json(p.v)::VARCHAR), ',') || '}}'"""
+
+
+@query(f"""WITH c AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'removed' WHEN a.id IS NULL THEN 'added' WHEN a.value_hash = b.value_hash THEN 'reformatted' ELSE 'silentRevision' END AS kind,
+{_HASHES.format(x='a')} AS before_side, {_HASHES.format(x='b')} AS after_side, {_VALUES.format(x='a')} AS old, {_VALUES.format(x='b')} AS new, a.pairs AS ap, b.pairs AS bp
+FROM snap1 a FULL OUTER JOIN snap2 b USING (id) WHERE a.byte_hash IS DISTINCT FROM b.byte_hash)
+SELECT 'orders' AS "table", id, kind, '{{"kind":"' || kind || '","table":"orders","id":"' || id || '","beforeHash":' || before_side || ',"afterHash":' || after_side || CASE kind WHEN 'removed' THEN ',"before":' || old WHEN 'added' THEN ',"after":' || new
+ELSE ',"fields":[' || array_to_string(list_transform(list_filter(range(1, 6), lambda i: ap[i].v <> bp[i].v), lambda i: '{{"field":' || to_json(ap[i].k)::VARCHAR || ',"before":' || to_json(ap[i].v)::VARCHAR || ',"after":' || to_json(bp[i].v)::VARCHAR || '}}'), ',') || ']' END || '}}' || chr(10) AS line FROM c""")
 def bundle_lines(t: Lens) -> DataFrame:
-    one, two = _records(t), _records(t, True)
+    one, two = written(_records(t), "before"), written(_records(t, True), "after")
     return bundle.build(one, two, canonical.fields(one), canonical.fields(two))
 
 
