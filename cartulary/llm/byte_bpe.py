@@ -13,14 +13,15 @@ entry is that token. Whole texts are processed; pieces seen before come from a
 bounded memory.
 
 Defined cases: null text counts as empty and gives no ids; null ids decode to
-no bytes; an id outside the vocabulary is an error; any byte string that the
+no bytes; an id outside the vocabulary is an error, and so is a byte of a text that
+the vocabulary lacks (public ones hold all 256); any byte string that the
 pattern leaves whole, of any length, is encoded; other columns pass unread.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -29,7 +30,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cartulary.llm.shared import give_back_memory, ship_package
 
@@ -169,23 +169,17 @@ def token_bytes(path: str) -> list[bytes]:
     return by_rank(read_ranks(path))
 
 
-def _mapped(df: DataFrame, column: str, to: str, work) -> DataFrame:
-    """df with the binary column ``to``, which work(values) makes from ``column``."""
+def _mapped(df: DataFrame, column: str, to: str, work: Callable[[pa.Array], list[bytes]]) -> DataFrame:
+    """df with the binary column ``to``, which work(values) makes from ``column``; only that column comes back from Python."""
     ship_package(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, T.StructField(to, T.BinaryType())])
-    at, names = df.columns.index(column), [*df.columns, to]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(at)
-            width = max(1, batch.num_rows * (8 << 20) // max(1, values.nbytes))  # about 8 MB at a time
-            for start in range(0, batch.num_rows, width):
-                part = batch.slice(start, width)
-                made = pa.array(work(part.column(at)), pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names=names)
+
+    @F.arrow_udf("binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            yield pa.array(work(values), pa.binary())
         give_back_memory()
 
-    return df.mapInArrow(run, schema)
+    return df.withColumn(to, run(F.col(f"`{column}`")))
 
 
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", to: str = "ids") -> DataFrame:
@@ -193,7 +187,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", to: s
 
     def work(values: pa.Array) -> list[bytes]:
         code = vocabulary(path, pattern).encode
-        return [code(v or "") for v in values.to_pylist()]
+        return [code(v.as_py() or "") for v in values]
 
     return _mapped(df, text_col, to, work)
 
@@ -203,13 +197,29 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", to: str = "decoded")
 
     def work(values: pa.Array) -> list[bytes]:
         tokens = token_bytes(path)
-        return [decoded(tokens, v or b"") for v in values.to_pylist()]
+        return [decoded(tokens, v.as_py() or b"") for v in values]
 
     return _mapped(df, ids_col, to, work)
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """df with ``ids`` and ``decoded``: each text's ids, and the bytes that these decode to; one Python worker a task does both."""
+    ship_package(df.sparkSession)
+
+    @F.arrow_udf("struct<ids:binary,decoded:binary>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        code, tokens = vocabulary(path, pattern).encode, token_bytes(path)
+        for values in batches:
+            ids = [code(v.as_py() or "") for v in values]
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([decoded(tokens, i) for i in ids], pa.binary())], names=["ids", "decoded"])
+        give_back_memory()
+
+    made = df.withColumn("__made", run(F.col(f"`{text_col}`")))
+    return made.select(*[F.col(f"`{c}`") for c in df.columns], "__made.ids", "__made.decoded")
+
+
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row's text."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ids = encode(rows, path, pattern).select("doc_id", "ids")
-    return decode(ids, path).select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    made = round_trip(rows, path, pattern)
+    return made.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
