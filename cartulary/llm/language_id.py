@@ -1,15 +1,17 @@
 """Language identification by compression.
 
 Each language has a zstandard raw-content dictionary: pieces of training texts,
-the shortest digest of their id first, up to ``DICTIONARY_BYTES``. A text is cut
+those with the least digest of their id last, where references are shortest. A text is cut
 into blocks, every block is compressed with every dictionary, and the language
 whose blocks come out smallest in all is predicted. The score is the margin to
 the second smallest as a share of it; a text whose margin is under
 ``MIN_MARGIN`` is rejected, as is one without a letter.
 
-Only the dictionaries are fitted on a bounded sample (``PIECES_PER_LANGUAGE``
-texts of at most ``PIECE_CHARS`` characters each per language); every whole text
-is classified.
+Only the dictionaries are fitted on a bounded sample: of each language the first
+``PIECE_CHARS`` characters of the ``PIECES_PER_LANGUAGE`` texts whose ids have the
+least digest, and of these as many as fit in ``DICTIONARY_BYTES``, the least digest
+first (somewhat fewer where most of a language's texts have no letter). Every whole
+text is classified.
 
 Defined cases: null text, or text without a letter, gives ``und``, score 0 and
 is rejected; ties go to the language that comes first by code point; without
@@ -18,7 +20,6 @@ training rows every text gives ``und``; other columns are passed unread.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,6 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from cartulary.llm.shared import ship_package
@@ -51,8 +51,13 @@ def dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "t
     how rows are dealt out.
     """
     turn = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, PIECE_CHARS).alias("piece"), turn.alias("turn"))
-    best = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "piece"))).filter(F.col("n") <= PIECES_PER_LANGUAGE)
+    texts = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    # a language's threshold lets few more texts through than are wanted, so a hot language doesn't gather in a task
+    counts = F.broadcast(labelled.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("rows")))
+    rows = texts.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, PIECE_CHARS).alias("piece"), turn.alias("turn"))
+    share = (F.lit(3.0 * PIECES_PER_LANGUAGE + 100)) / F.col("rows")
+    drawn = rows.join(counts, F.col("lang") == F.col("l")).filter(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long") < share * 16**8)
+    best = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "piece"))).filter(F.col("n") <= PIECES_PER_LANGUAGE).select("lang", "piece", "n")
     pieces: dict[str, list[bytes]] = {}
     for row in best.orderBy("lang", F.desc("n")).toLocalIterator():
         pieces.setdefault(row["lang"], []).append(row["piece"].lower().encode())
@@ -94,16 +99,15 @@ def predict(docs: DataFrame, content: dict[str, bytes], text_col: str = "text",
     spark = docs.sparkSession
     ship_package(spark)
     sent = spark.sparkContext.broadcast(tuple(sorted(content.items())))
-    schema = T.StructType([*docs.schema.fields, T.StructField(to[0], T.StringType()), T.StructField(to[1], T.DoubleType())])
-    at, names = docs.columns.index(text_col), [*docs.columns, *to]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang:string,margin:double>")
+    def run(texts: pa.Array) -> pa.Array:
         classify = _classifier(sent.value).predict
-        for batch in batches:
-            found = [classify(v.as_py()) for v in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=names)
+        found = [classify(v.as_py()) for v in texts]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["lang", "margin"])
 
-    return docs.mapInArrow(run, schema)
+    made = docs.withColumn("__found", run(F.col(f"`{text_col}`").cast("string")))
+    return made.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__found.lang").alias(to[0]), F.col("__found.margin").alias(to[1]))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.llm import ann, byte_bpe, exact_dedup, language_id, mixture, near_dup, quality, substring_dedup, token_file, warc
 from cartulary.llm.shared import table
 
-#: Folder of the vocabulary files of public tokenizers.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-
-
 def tokenizer_path(name: str) -> str:
-    """A vocabulary file: from the public_tokenizers package, else from TOKENIZERS."""
-    try:
-        import public_tokenizers
-    except ModuleNotFoundError:
-        return f"{TOKENIZERS}/{name}"
+    """A vocabulary file of the public_tokenizers package."""
+    import public_tokenizers
+
     return public_tokenizers.path(name)
 
 
