@@ -4,19 +4,24 @@ Every source s gets a target number of words: weights share the wanted total,
 a target stops at ``max_repeats`` times the source's size and the excess is
 shared again by weight, until none is above (``targets``).
 
-Document rates are the exponential tilt rate = exp(lambda_s) that is closest in
-relative entropy (weighted by words) to taking every document once, subject to
-sum(size * rate) = target for each source. The convex dual, sum over s of
-size_s * exp(lambda_s) - target_s * lambda_s, is solved by Newton iterations; the
-sums over documents that gradient and curvature need are exp(lambda_s) times the
-source's size, which one grouped aggregation of all documents gives, so every
-iteration runs on the table of sources, in parallel (``tilted``).
+Document rates are the exponential tilt rate = exp(sum of lambdas) that is closest
+in relative entropy (weighted by words) to taking every document once, subject to
+sum(size * rate) = target for every group of every grouping: sources, and if wanted
+others such as languages (``balanced``). A rate stops at max_repeats, in the dual too.
+The convex dual is solved by Newton iterations: each takes one grouped aggregation
+for the words that every group takes at present (the gradient is that minus the
+target) and for those of them whose rate isn't stopped (the curvature: within a
+grouping documents are in one group each, so its block of the Hessian is diagonal).
+With several groupings their blocks take turns. Documents of the same groups share
+their rate, so sums run over one row for each combination of groups that occurs.
 
 Rates become whole copies: floor(rate) for all, and one more for the documents
 that come first by the MD5 of their id until the source's target is reached.
-Their running sum needs no global sort: bucket totals by the first hex digits
-show the bucket in which a source's target falls; buckets before it take the
-extra copy, those after don't, and only that one bucket is summed row by row.
+Their running sum needs no global sort: totals by the first hex digits, in two
+levels of at most 256 each, show the bucket in which a source's target falls; buckets
+before it take the extra copy, those after don't, and only that one bucket is summed
+row by row. Documents meet their source's plan by broadcast up to SMALL sources,
+beyond that by ``join_groups``.
 
 Defined cases: null text has size 0; a null source is a source of its own, last
 in order; a null id hashes as the empty string; sources without words get target
@@ -32,16 +37,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cartulary.llm.shared import WORD, materialise, text_or_empty
+from cartulary.llm.shared import WORD, join_groups, materialise, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_REPEATS = 2
 NEWTON_STEPS = 60
+#: Groups take their target to this share of it.
+CLOSE = 1e-12
 #: Hex digits of a bucket: 65,536 buckets, so that a bucket of the largest source stays small at any size.
 BUCKET_DIGITS = 4
-#: Each source is joined in so many parts.
-SALTS = 32
+#: So many sources are broadcast.
+SMALL = 10_000
 
 
 def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -64,20 +71,55 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
     return levels.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(shared["level"] * F.col("w")).alias("target"))
 
 
-def tilted(sources: DataFrame, steps: int = NEWTON_STEPS) -> DataFrame:
-    """sources with lambda and rate: Newton iterations on each source's dual.
+def balanced(cells: DataFrame, groupings: Sequence[tuple[str, DataFrame]], cap: float = MAX_REPEATS, steps: int = NEWTON_STEPS) -> DataFrame:
+    """cells (a column for each grouping, and size) with rate: entropy balancing under all groupings' targets.
 
-    A step is (words taken - target) / words taken, at most 1 either way, so that
-    far starts stay stable; once converged it is 0.
+    groupings name the columns, each with its table (group, target). Groups without
+    words or with target 0 get rate 0. Iterations end when every group is CLOSE to its
+    target, or after so many steps, as when targets contradict each other.
     """
-    size, target = F.col("source_size").cast("double"), F.col("target")
-
-    def newton(lam: Column, _: Column) -> Column:
-        taken = size * F.exp(lam)
-        return lam - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (taken - target) / taken))
-
-    lam = F.when((size > 0) & (target > 0), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), newton))
-    return sources.withColumn("lambda", lam).withColumn("rate", F.coalesce(F.exp("lambda"), F.lit(0.0)))
+    lambdas = [materialise(t.select(F.col("group").alias(f"g{k}"), F.col("target").cast("double").alias(f"t{k}"), F.lit(0.0).alias(f"l{k}")), "lambdas") for k, (_, t) in enumerate(groupings)]
+
+    def rated() -> DataFrame:
+        out = cells
+        for k, (name, _) in enumerate(groupings):
+            out = _met(out, lambdas[k], F.col(name).eqNullSafe(F.col(f"g{k}")))
+        tilt = F.exp(sum((F.col(f"l{k}") for k in range(len(groupings))), F.lit(0.0)))
+        wanted = F.lit(True)
+        for k in range(len(groupings)):
+            wanted = wanted & (F.col(f"t{k}") > 0)
+        rate = F.when(wanted & (F.col("size") > 0), F.least(tilt, F.lit(float(cap)))).otherwise(0.0)
+        return out.withColumn("rate", rate).withColumn("stopped", tilt >= cap)
+
+    settled = 0
+    for step in range(steps * len(groupings)):
+        k = step % len(groupings)
+        taken = F.col("size") * F.col("rate")
+        sums = rated().groupBy(f"g{k}", f"t{k}", f"l{k}").agg(F.sum(taken).alias("taken"), F.sum(F.when(~F.col("stopped"), taken)).alias("free"))
+        off = F.col(f"t{k}") - F.col("taken")
+        # at most 1 either way, so that far starts stay stable; a wholly stopped group that takes too much comes down too
+        curve = F.coalesce(F.nullif(F.col("free"), F.lit(0.0)), F.col("taken"))
+        move = F.when((F.col("taken") > 0) & (off != 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(off, curve)))).otherwise(0.0)
+        up = materialise(sums.select(f"g{k}", f"t{k}", (F.col(f"l{k}") + move).alias(f"l{k}"), F.try_divide(F.abs(off), F.col(f"t{k}")).alias("off")), "lambdas")
+        far = up.agg(F.max(F.when(F.col(f"t{k}") > 0, F.col("off")))).first()[0]
+        lambdas[k] = up.drop("off")
+        settled = settled + 1 if far is None or far < CLOSE else 0
+        if settled == len(groupings):
+            break
+    drop = [f"{c}{k}" for k in range(len(groupings)) for c in "gtl"]
+    return rated().drop("stopped", *drop)
+
+
+def _met(rows: DataFrame, groups: DataFrame, on: Column) -> DataFrame:
+    """rows joined with groups, which are broadcast if they are few."""
+    return rows.join(F.broadcast(groups) if groups.count() <= SMALL else groups, on)
+
+
+def tilted(sources: DataFrame, cap: float = MAX_REPEATS) -> DataFrame:
+    """sources (source, source_size, target) with rate."""
+    cells = sources.select(F.col("source").alias("cell"), F.col("source_size").cast("double").alias("size"))
+    rates = balanced(cells, [("cell", sources.select(F.col("source").alias("group"), "target"))], cap)
+    return sources.join(rates.select("cell", "rate"), F.col("source").eqNullSafe(F.col("cell"))).drop("cell")
 
 
 def _measured(id_col: str, text_col: str, source_col: str) -> list[Column]:
@@ -91,11 +133,18 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return docs.select(*_measured(id_col, text_col, source_col))
 
 
+def _key(source: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-"))
+
+
 def _with_source(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows with their source's plan; each source is in SALTS parts, so a hot one is split."""
-    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("source", "s")
-    mine = F.pmod(F.hash("turn"), F.lit(SALTS))
-    return rows.withColumn("my_salt", mine).join(salted, (F.col("my_salt") == F.col("salt")) & F.col("source").eqNullSafe(F.col("s"))).drop("salt", "my_salt", "s")
+    """rows with their source's plan, however large a source is."""
+    keyed = plan.withColumn("key", _key("source")).drop("source")
+    mine = rows.withColumn("key", _key("source"))
+    if plan.count() <= SMALL:
+        return mine.join(F.broadcast(keyed), "key").drop("key", "documents")
+    total = plan.agg(F.sum("documents")).first()[0]
+    return join_groups(mine, materialise(keyed, "keyed-plan"), "key", "documents", total).drop("key", "documents")
 
 
 def planned(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS) -> tuple[DataFrame, DataFrame]:
@@ -105,14 +154,25 @@ def planned(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SH
     before which documents take one more). The second table has a source, turn,
     doc_id, size and extra for each document in its source's edge bucket.
     """
-    buckets = materialise(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
-    sources = materialise(tilted(targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_repeats)), "rates")
+    buckets = materialise(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"), F.count("*").alias("documents")), "buckets")
+    sizes = buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size"), F.sum("documents").alias("documents"))
+    sources = materialise(targets(sizes.drop("documents"), weights, share, max_repeats).join(sizes.select(F.col("source").alias("s"), "documents"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "targets")
+    sources = materialise(tilted(sources, max_repeats), "rates")
     whole = F.floor(F.col("rate") + 1e-9)
     plan = sources.withColumn("whole", whole.cast("int")).withColumn("budget", F.round(F.col("source_size") * (F.col("rate") - whole), 3))
-    inside = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = buckets.withColumn("before", F.coalesce(F.sum("bucket_size").over(inside), F.lit(0)))
-    falls = before.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).filter("before < budget and before + bucket_size >= budget")
-    edge = falls.select(F.col("b.source").alias("s2"), F.col("bucket").alias("edge"), "before")
+
+    def falling(parts: DataFrame, at: str) -> DataFrame:
+        """source, at, before: of a source's parts (part_size, start) the one in which its budget falls, and the words before it; there are 256 at most."""
+        inside = Window.partitionBy("s").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        upto = parts.withColumn("before", F.col("start") + F.coalesce(F.sum("part_size").over(inside), F.lit(0)))
+        met = upto.join(plan.select("source", "budget"), F.col("s").eqNullSafe(F.col("source")))
+        return met.filter("before < budget and before + part_size >= budget").select("s", at, "before")
+
+    coarse = F.substring("bucket", 1, BUCKET_DIGITS // 2)
+    first = falling(buckets.groupBy(F.col("source").alias("s"), coarse.alias("coarse")).agg(F.sum("bucket_size").alias("part_size")).withColumn("start", F.lit(0)), "coarse")
+    first = materialise(first.select(F.col("s").alias("fs"), F.col("coarse").alias("fc"), F.col("before").alias("start")), "coarse-edges")
+    inner = buckets.join(first, F.col("source").eqNullSafe(F.col("fs")) & (coarse == F.col("fc"))).select(F.col("source").alias("s"), "bucket", F.col("bucket_size").alias("part_size"), "start")
+    edge = falling(inner, "bucket").select(F.col("s").alias("s2"), F.col("bucket").alias("edge"), "before")
     plan = plan.join(edge, F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2").withColumn("edge", F.coalesce("edge", F.when(F.col("budget") > 0, F.lit("~")).otherwise(F.lit("")))).withColumn("before", F.coalesce("before", F.lit(0)))
     plan = materialise(plan, "mix-plan")
     running = Window.partitionBy("source", "bucket").orderBy("turn", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -144,7 +204,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(row, F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col(text_col).alias("__text"))
     mine = keyed.select("row", *_measured("__id", "__text", "__source")[1:])
-    met = _with_source(mine, plan.select("source", "whole", "edge")).withColumn("on_edge", F.col("bucket") == F.col("edge"))
+    met = _with_source(mine, plan.select("source", "documents", "whole", "edge")).withColumn("on_edge", F.col("bucket") == F.col("edge"))
     exact = met.join(edges, F.col("on_edge") & F.col("source").eqNullSafe(F.col("e_source")) & (F.col("turn") == F.col("e_turn")) & (F.col("size") == F.col("e_size")), "left")
     copies = F.col("whole") + F.when(F.col("on_edge"), F.coalesce("e_extra", F.lit(0))).otherwise((F.col("bucket") < F.col("edge")).cast("int"))
     return exact.withColumn("copies", copies.cast("int")).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
