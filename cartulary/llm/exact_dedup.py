@@ -8,8 +8,10 @@ always is. Pass 2 probes that filter: only possibly repeated rows are shuffled
 and compared exactly, the rest pass straight through.
 
 The filter has a fixed upper size (``max_filter_bytes``), so what is sent to
-executors doesn't grow without bound. Beyond it the filter fills up and more
-rows take the exact path; results never change.
+executors doesn't grow without bound. As it fills, hashes set fewer bits (down to
+one), which keeps most single rows out of the shuffle up to about two rows a bit;
+beyond that more and more rows take the exact path, of which only hashes are
+shuffled in ``decisions``. Results never change.
 
 Defined cases: a null text counts as empty; a null id counts as larger than any
 id; rows equal in id and text are copies of each other; an empty table gives an
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -45,11 +48,23 @@ def filter_bits(rows: int, max_filter_bytes: int = MAX_FILTER_BYTES) -> int:
     return min(1 << (wanted - 1).bit_length(), 1 << ((max_filter_bytes * 8).bit_length() - 1))
 
 
-def probes(hashes: np.ndarray, bits: int) -> np.ndarray:
+class Filter(NamedTuple):
+    """Bits as bytes, and how many of them a hash sets."""
+
+    bitmap: np.ndarray
+    count: int
+
+
+def probe_count(rows: int, bits: int) -> int:
+    """How many bits a hash sets: PROBES while there is room, one in a crowded filter."""
+    return max(1, min(PROBES, bits // (4 * max(1, rows))))
+
+
+def probes(hashes: np.ndarray, bits: int, count: int = PROBES) -> np.ndarray:
     """Bit positions of each hash, one row per hash, by double hashing."""
     h = hashes.astype(np.int64, copy=False).view(np.uint64)
     step = (h >> np.uint64(32)) | np.uint64(1)
-    at = h[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)[None, :]
+    at = h[:, None] + step[:, None] * np.arange(count, dtype=np.uint64)[None, :]
     return (at * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(17)) & np.uint64(bits - 1)
 
 
@@ -65,7 +80,7 @@ def _merge(a: tuple[np.ndarray, np.ndarray], once: np.ndarray, twice: np.ndarray
     return a[0] | once, a[1] | twice | (a[0] & once)
 
 
-def bloom_filter(hashes: DataFrame, rows: int, max_filter_bytes: int = MAX_FILTER_BYTES, repeated: bool = False) -> np.ndarray:
+def bloom_filter(hashes: DataFrame, rows: int, max_filter_bytes: int = MAX_FILTER_BYTES, repeated: bool = False) -> Filter:
     """Bits that the hashes in the one column set, or with ``repeated`` those that at least two of them set.
 
     Tasks send compressed blocks; blocks meet in two levels, so that no task
@@ -73,6 +88,7 @@ def bloom_filter(hashes: DataFrame, rows: int, max_filter_bytes: int = MAX_FILTE
     of at most ``max_filter_bytes``.
     """
     bits = filter_bits(rows, max_filter_bytes)
+    count_of = probe_count(rows, bits)
     schema = "block int, slot int, once binary, twice binary"
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +100,7 @@ def bloom_filter(hashes: DataFrame, rows: int, max_filter_bytes: int = MAX_FILTE
                 continue
             if not seen:
                 slot, seen = int(h[0]) & 63, True
-            at, count = np.unique(probes(h, bits).ravel(), return_counts=True)
+            at, count = np.unique(probes(h, bits, count_of).ravel(), return_counts=True)
             _set(twice, at[(count > 1) | _get(once, at)])
             _set(once, at)
         blocks = once.reshape(-1, BLOCK_BYTES)
@@ -108,17 +124,17 @@ def bloom_filter(hashes: DataFrame, rows: int, max_filter_bytes: int = MAX_FILTE
     kept = "twice" if repeated else "once"
     for row in merged.select("block", kept).toLocalIterator():
         out[row["block"]] = np.frombuffer(zlib.decompress(row[kept]), np.uint8)
-    return out.ravel()
+    return Filter(out.ravel(), count_of)
 
 
-def probed(df: DataFrame, hashed: Column, bits_of: np.ndarray) -> Column:
+def probed(df: DataFrame, hashed: Column, made: Filter) -> Column:
     """A condition on rows of df: whether all bits of a hash are set in the filter."""
-    sent = df.sparkSession.sparkContext.broadcast(bits_of)
+    sent = df.sparkSession.sparkContext.broadcast(made)
 
     @F.pandas_udf("boolean")
     def probe(h: pd.Series) -> pd.Series:
-        bitmap = sent.value
-        return pd.Series(_get(bitmap, probes(h.to_numpy(), len(bitmap) * 8)).all(axis=1))
+        bitmap, count = sent.value
+        return pd.Series(_get(bitmap, probes(h.to_numpy(), len(bitmap) * 8, count)).all(axis=1))
 
     return probe(hashed)
 
@@ -132,8 +148,8 @@ def possibly_among(df: DataFrame, hashed: Column, keys: DataFrame) -> Column:
 def possibly_repeated(df: DataFrame, hashed: Column, max_filter_bytes: int = MAX_FILTER_BYTES, rows: int | None = None) -> Column:
     """A condition on rows of df: true for every row whose hash occurs more than once, and few others."""
     ship_package(df.sparkSession)
-    bits_of = bloom_filter(df.select(hashed.alias("h")), df.count() if rows is None else rows, max_filter_bytes, True)
-    return probed(df, hashed, bits_of)
+    made = bloom_filter(df.select(hashed.alias("h")), df.count() if rows is None else rows, max_filter_bytes, True)
+    return probed(df, hashed, made)
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
@@ -166,12 +182,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that surely have no copy aren't shuffled. For the others each task first
     drops all but its own first row of a text, so a hot text doesn't gather anywhere.
+    Of rows that share an id, the one whose raw text has the least hash comes first.
     """
     t = one_spaced(text_col)
     hit = possibly_repeated(docs, F.xxhash64(t), max_filter_bytes)
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    marked = docs.select(row, F.sha2(t, 256).alias("sha"), F.col(id_col).alias("k"), hit.alias("maybe"))
-    order = Window.partitionBy("sha").orderBy(F.col("k").asc_nulls_last())
+    marked = docs.select(row, F.sha2(t, 256).alias("sha"), F.col(id_col).alias("k"), F.xxhash64(text_col).alias("raw"), hit.alias("maybe"))
+    order = Window.partitionBy("sha").orderBy(F.col("k").asc_nulls_last(), "raw")
     first = marked.filter("maybe").withColumn("n", F.row_number().over(order)).filter("n = 1").select("row")
     return marked.filter("not maybe").select("row").unionByName(first).select("row.*")
