@@ -36,6 +36,14 @@ def read_bytes(uri: str) -> bytes:
         return stream.read()
 
 
+@contextmanager
+def ranged(uri: str):
+    """A function of (place, length) that reads so many bytes of a file."""
+    where, path = place(uri)
+    with where.open_input_file(path) as file:
+        yield lambda at, n: file.read_at(n, at)
+
+
 def task_number() -> int:
     """The index of the partition that this task works on."""
     context = TaskContext.get()

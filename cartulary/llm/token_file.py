@@ -21,7 +21,8 @@ equal those of the whole text.
 
 Defined cases: null and empty texts have only the end id; rows with equal ids are
 separate documents next to each other; an empty table gives no files; other
-columns aren't read; strings of special tokens in texts are ordinary text.
+columns aren't read; the string of a special token in a text is that token, as the
+library's plain call has it, so such texts go to the library as a whole.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ from __future__ import annotations
 import os
 import re
 import struct
-
-from collections.abc import Iterator
-from functools import lru_cache
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cartulary.llm.files import read_bytes, task_number, whole_file
+from cartulary.llm.files import ranged, read_bytes, task_number, whole_file
 from cartulary.llm.shared import fresh_dir, materialise, ship_package
 
 MAGIC = b"DACIDS1\n"
 RANK_STEP = 512
 #: A file is closed after so many ids.
-FILE_IDS = 32 << 20
+FILE_IDS = 8 << 20
+#: Files that one task reads back, on average, once there are enough for all cores.
+FILES_READ = 8
 PARTS_KEPT = 200_000
 LONGEST_KEPT = 64
 END_ID = 2
@@ -78,42 +81,53 @@ def to_bytes(doc_ids: list[int | None], starts: np.ndarray, ids: np.ndarray) ->
 
 
 class TokenFile:
-    """A file's documents and ids, by place."""
+    """A file's documents and ids, by place. Only the parts that are asked for are read."""
 
-    def __init__(self, data: bytes) -> None:
-        if data[: len(MAGIC)] != MAGIC:
+    def __init__(self, data: bytes | Callable[[int, int], bytes]) -> None:
+        self.fetch = data if callable(data) else lambda at, n: data[at : at + n]
+        head = self.fetch(0, len(MAGIC) + 24)
+        if head[: len(MAGIC)] != MAGIC:
             raise ValueError("this isn't a file of token ids")
-        self.data, self.at = data, len(MAGIC)
-        documents, self.n, levels = struct.unpack("<QQQ", self._take("u1", 24).tobytes())
-        ids, known = self._take("<i8", documents), self._take("u1", documents)
-        self.doc_ids = [int(d) if k else None for d, k in zip(ids, known, strict=True)]
-        self.starts = self._take("<u8", documents + 1)
-        self.levels = []
+        self.documents, self.n, levels = struct.unpack("<QQQ", head[len(MAGIC) :])
+        self.base = len(MAGIC) + 24
+        at = self.base + 9 * self.documents + 8 * (self.documents + 1)
+        self.levels = []  # places of chunks, bitmap and rank directory, and number of ranks
         for _ in range(levels):
-            a, b, c = struct.unpack("<QQQ", self._take("u1", 24).tobytes())
-            self.levels.append((self._take("u1", a), self._take("u1", b), self._take("<u8", c)))
+            a, b, c = struct.unpack("<QQQ", self.fetch(at, 24))
+            self.levels.append((at + 24, at + 24 + a, at + 24 + a + b, c))
+            at += 24 + a + b + 8 * c
 
-    def _take(self, kind: str, count: int) -> np.ndarray:
-        out = np.frombuffer(self.data, kind, count, self.at)
-        self.at += out.nbytes
-        return out
+    def _read(self, kind: str, at: int, first: int, count: int) -> np.ndarray:
+        width = np.dtype(kind).itemsize
+        return np.frombuffer(self.fetch(at + first * width, count * width), kind, count)
+
+    @cached_property
+    def doc_ids(self) -> list[int | None]:
+        """The documents' ids, in order."""
+        ids, known = self._read("<i8", self.base, 0, self.documents), self._read("u1", self.base + 8 * self.documents, 0, self.documents)
+        return [int(d) if k else None for d, k in zip(ids, known, strict=True)]
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """The first place of each document, and the end."""
+        return self._read("<u8", self.base + 9 * self.documents, 0, self.documents + 1)
 
     def rank(self, level: int, at: int) -> int:
         """Set bits of a level's bitmap before a place."""
-        _, bits, ranks = self.levels[level]
-        block = min(at // RANK_STEP, len(ranks) - 1)
+        _, bits, ranks, n = self.levels[level]
+        block = min(at // RANK_STEP, n - 1)
         start = block * RANK_STEP
-        inside = np.unpackbits(bits[start // 8 : -(-at // 8)], bitorder="little")[: at - start]
-        return int(ranks[block]) + int(inside.sum())
+        inside = np.unpackbits(self._read("u1", bits, start // 8, -(-at // 8) - start // 8), bitorder="little")[: at - start]
+        return int(self._read("<u8", ranks, block, 1)[0]) + int(inside.sum())
 
     def __getitem__(self, at: int) -> int:
         """The id at one place: a look-up in each of its levels."""
         if not 0 <= at < self.n:
             raise IndexError(at)
         value = 0
-        for level, (chunks, bits, _) in enumerate(self.levels):
-            value |= int(chunks[at]) << 8 * level
-            if not len(bits) or not bits[at >> 3] >> (at & 7) & 1:
+        for level, (chunks, bits, _, n) in enumerate(self.levels):
+            value |= int(self._read("u1", chunks, at, 1)[0]) << 8 * level
+            if not n or not self._read("u1", bits, at >> 3, 1)[0] >> (at & 7) & 1:
                 return value
             at = self.rank(level, at)
         return value
@@ -122,12 +136,12 @@ class TokenFile:
         """The ids from one place to another: one rank look-up in each level, then a scan of the places asked for."""
         out = np.zeros(end - start, np.uint32)
         which = np.arange(end - start)
-        for level, (chunks, bits, _) in enumerate(self.levels):
-            out[which] |= chunks[start:end].astype(np.uint32) << np.uint32(8 * level)
-            if not len(bits) or start == end:
+        for level, (chunks, bits, _, n) in enumerate(self.levels):
+            out[which] |= self._read("u1", chunks, start, end - start).astype(np.uint32) << np.uint32(8 * level)
+            if not n or start == end:
                 break
             lead = start & 7
-            more = np.unpackbits(bits[start >> 3 : -(-end // 8)], bitorder="little")[lead : lead + end - start].astype(bool)
+            more = np.unpackbits(self._read("u1", bits, start >> 3, -(-end // 8) - (start >> 3)), bitorder="little")[lead : lead + end - start].astype(bool)
             which = which[more]
             start = self.rank(level, start)
             end = start + len(which)
@@ -178,7 +192,8 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = re.compile("|".join(re.escape(t.content) for t in added)) if added else None
         self.parts, self.words = Remembered(PARTS_KEPT // 4), Remembered(PARTS_KEPT)
         self.zero = self._ids(["0"])[0]
 
@@ -199,6 +214,27 @@ class Words:
                 raise ValueError("words and ids do not match")
             self.words.update(zip(some, (data[i:j] for i, j in zip(edges, ends, strict=True)), strict=True))
 
+    def _learn_parts(self, parts: list[str]) -> None:
+        self.parts.update(zip(parts, self._ids(parts), strict=True))
+
+    @staticmethod
+    def _joined(texts: list[list[str] | None], memory: Remembered, learn: Callable[[list[str]], None], out: list[bytes]) -> list[str]:
+        """Put the ids of texts given by their pieces into out; the pieces that had to be learned. Most texts have no new ones."""
+        known, lacking = memory.__getitem__, []
+        for k, pieces in enumerate(texts):
+            if pieces is not None:
+                try:
+                    out[k] = b"".join(map(known, pieces))
+                except KeyError:
+                    lacking.append(k)
+        if not lacking:
+            return []
+        new = memory.lacking(set().union(*(texts[k] for k in lacking)))
+        learn(new)
+        for k in lacking:
+            out[k] = b"".join(map(known, texts[k]))
+        return new
+
     @staticmethod
     def _forget_long(memory: Remembered, keys: list[str]) -> None:
         for key in keys:
@@ -208,16 +244,19 @@ class Words:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         lower = [(t or "").lower() for t in texts]
+        whole = {}
+        if self.special is not None:
+            odd = [k for k, t in enumerate(texts) if t and self.special.search(t)]
+            whole = dict(zip(odd, self._ids([texts[k] for k in odd]), strict=True))
+            lower = ["" if k in whole else t for k, t in enumerate(lower)]
         plain = [self.PIECES.findall(t) if self.PLAIN.fullmatch(t) else None for t in lower]
         parts = [None if p is not None else t.replace("\n", " ").split(" ") for p, t in zip(plain, texts, strict=True)]
-        new = self.words.lacking(set().union(*(p for p in plain if p)))
-        self._learn(new)
-        other = self.parts.lacking(set().union(*(p for p in parts if p)))
-        self.parts.update(zip(other, self._ids(other), strict=True))
-        word, part = self.words.__getitem__, self.parts.__getitem__
-        out = [b"".join(map(part, q)) if p is None else b"".join(map(word, p)) for p, q in zip(plain, parts, strict=True)]
-        self._forget_long(self.words, new)
-        self._forget_long(self.parts, other)
+        out: list[bytes] = [b""] * len(texts)
+        long = [self._joined(plain, self.words, self._learn, out), self._joined(parts, self.parts, self._learn_parts, out)]
+        for memory, keys in zip((self.words, self.parts), long, strict=True):
+            self._forget_long(memory, keys)
+        for k, ids in whole.items():
+            out[k] = ids
         return out
 
 
@@ -285,22 +324,31 @@ def read(files: DataFrame) -> DataFrame:
             for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 file = TokenFile(read_bytes(path))
                 for at in range(0, len(file.doc_ids), 512):
-                    ks = range(at, min(at + 512, len(file.doc_ids)))
+                    end = min(at + 512, len(file.doc_ids))
+                    edges = file.starts[at : end + 1].astype(np.int64)
+                    data = file.slice(int(edges[0]), int(edges[-1])).astype("<u4").tobytes()
+                    cuts = 4 * (edges - edges[0])
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([file.doc_ids[k] for k in ks], pa.int64()), pa.array([first + int(file.starts[k]) for k in ks], pa.int64()),
-                        pa.array([file.document(k).astype("<u4").tobytes() for k in ks], pa.binary()),
+                        pa.array(file.doc_ids[at:end], pa.int64()), pa.array(first + edges[:-1], pa.int64()),
+                        pa.array([data[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                     ], names=["doc_id", "start", "ids"])
 
-    return with_starts(files).select("path", "start").repartition("path").mapInArrow(run, "doc_id long, start long, ids binary")
+    # a fixed number of parts: what the names of files weigh says nothing about the work
+    parts = max(1, min(files.count(), max(2 * files.sparkSession.sparkContext.defaultParallelism, -(-files.count() // FILES_READ))))
+    return with_starts(files).select("path", "start").repartition(parts).mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def ids_at(files: DataFrame, places: list[int]) -> list[int]:
-    """Single ids by their place in the whole, each read from its file by direct addressing."""
-    table = with_starts(files).select("path", "start", "ids").collect()  # one row per file
+    """Single ids by their place in the whole, each by direct addressing: some short reads of its file."""
+    table = with_starts(files).select("path", "start", "ids").orderBy("start", "ids").collect()  # one row per file
+    firsts = [r["start"] for r in table]
     out = []
     for at in places:
-        row = next(r for r in table if r["start"] <= at < r["start"] + r["ids"])
-        out.append(TokenFile(read_bytes(row["path"]))[at - row["start"]])
+        k = bisect_right(firsts, at) - 1
+        if k < 0 or at >= firsts[k] + table[k]["ids"]:
+            raise IndexError(at)
+        with ranged(table[k]["path"]) as fetch:
+            out.append(TokenFile(fetch)[at - firsts[k]])
     return out
 
 
@@ -308,6 +356,3 @@ def round_trip(docs: DataFrame, tokenizer: str, folder: str | None = None, **how
     """doc_id, start, n_tokens, ids_crc32 of every document, from files written and read back."""
     files = write(docs, folder or fresh_dir(docs.sparkSession, "tokens"), tokenizer, **how)
     return read(files).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-
-
-
