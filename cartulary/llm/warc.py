@@ -31,18 +31,19 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.llm.exact_dedup import bloom_filter, probed
 from cartulary.llm.files import read_bytes, task_number, whole_file
-from cartulary.llm.shared import fresh_dir, materialise, ship_package, text_or_empty
+from cartulary.llm.shared import fresh_dir, join_groups, materialise, ship_package, text_or_empty
 
 CHUNK_BYTES = 8192
 SEGMENT_BYTES = 65536
 FILE_BYTES = 64 << 20
 GZIP_LEVEL = 4
-#: Groups of equal payloads at least this large, and of a thousandth of the rows, are joined by broadcast.
-HOT_GROUP = 1000
+#: Files that one task reads back, on average, once there are enough for all cores.
+FILES_READ = 4
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "record_id string, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -88,11 +89,11 @@ def _record(kind: str, record_id: str, block: bytes, **fields: object) -> bytes:
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
-def records_of(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, unique: str, segment_bytes: int) -> Iterator[bytes]:
-    """The record of a page, or its segments."""
+def records_of(page_id: int | None, url: str | None, payload: bytes | None, sha: bytes, size: int, refers_to: int | None, revisit: bool, unique: str, segment_bytes: int) -> Iterator[bytes]:
+    """The record of a page, or its segments; a revisit needs no payload, only its SHA-1 and size."""
     own = f"urn:page:{'' if page_id is None else page_id}:{unique}"
-    shared = {"WARC_Target_URI": _clean(url), "WARC_Payload_Digest": f"sha1:{digest(payload)}", "Content_Type": "application/http; msgtype=response"}
-    start = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Payload-Length: {len(payload)}\r\n".encode()
+    shared = {"WARC_Target_URI": _clean(url), "WARC_Payload_Digest": f"sha1:{base64.b32encode(sha).decode()}", "Content_Type": "application/http; msgtype=response"}
+    start = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Payload-Length: {size}\r\n".encode()
     if revisit:
         target = "" if refers_to is None else refers_to
         yield _record("revisit", own, start + b"\r\n", WARC_Profile=PROFILE, WARC_Refers_To=f"<urn:page:{target}:>", **shared)
@@ -111,28 +112,54 @@ def records_of(page_id: int | None, url: str | None, payload: bytes, refers_to:
             yield _record("continuation", f"{own}:{k}", part, WARC_Segment_Origin_ID=f"<{own}>", WARC_Segment_Number=k, WARC_Segment_Total_Length=total)
 
 
-def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """page, sha, refers_to: one row for each id and payload that revisits another page."""
+def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
+    """All keys (page, sha) of payloads that are long enough, and those that revisit another page, with refers_to; no payload is shuffled."""
     t = text_or_empty(payload_col)
     ids = materialise(pages.filter(F.octet_length(t) >= min_bytes).select(F.col(id_col).cast("long").alias("page"), F.unhex(F.sha1(t.cast("binary"))).alias("sha")), "payloads")
-    n = ids.count()
     first = F.min(F.struct(F.col("page").isNull().alias("null_id"), "page"))
-    groups = materialise(ids.groupBy("sha").agg(first.alias("f"), F.count("*").alias("n")).filter("n > 1").select(F.col("sha").alias("g"), F.col("f.page").alias("refers_to"), "n"), "payload-groups")
-    least = max(HOT_GROUP, n // 1000)
-    hot = ids.join(F.broadcast(groups.filter(F.col("n") >= least)), F.col("sha") == F.col("g"), "left")
-    rest = hot.filter("g is null").select("page", "sha").join(groups.filter(F.col("n") < least), F.col("sha") == F.col("g"))
-    both = hot.filter("g is not null").select("page", "sha", "refers_to").unionByName(rest.select("page", "sha", "refers_to"))
-    return both.filter(~F.col("page").eqNullSafe(F.col("refers_to"))).distinct()
+    groups = materialise(ids.groupBy("sha").agg(first.alias("f"), F.count("*").alias("n")).filter("n > 1").select("sha", F.col("f.page").alias("refers_to"), "n"), "payload-groups")
+    both = join_groups(ids, groups.withColumn("again", F.lit(True)), "sha", "n", ids.count()).filter("again")
+    return ids, both.filter(~F.col("page").eqNullSafe(F.col("refers_to"))).select("page", "sha", "refers_to").distinct()
+
+
+def _key(page: str, sha: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(page), F.lit(-1)), F.col(page).isNull(), F.col(sha))
+
+
+def _kinds(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int) -> DataFrame:
+    """page_id, url, payload (null for revisits), own_sha, size, refers_to, revisit of every page.
+
+    A Bloom filter of the revisits' keys says which pages surely are responses: their
+    payloads stay where they are. Of the others those that surely are revisits
+    leave their payloads behind; a second filter, of the few keys that passed the
+    first by chance, finds the rest, which are joined as they are.
+    """
+    t = text_or_empty(payload_col)
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), t.cast("binary").alias("payload"), F.unhex(F.sha1(t.cast("binary"))).alias("own_sha"), F.octet_length(t).cast("long").alias("size"))
+    keys, seen = revisits(pages, id_col, payload_col, min_bytes)
+    seen = materialise(seen, "revisits")
+    of_seen = bloom_filter(seen.select(_key("page", "sha").alias("h")), seen.count())
+    on = F.col("page").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s"))
+    chance = keys.filter(probed(keys, _key("page", "sha"), of_seen)).join(seen.select(F.col("page").alias("p"), F.col("sha").alias("s")), on, "left_anti")
+    chance = materialise(chance.select(_key("page", "sha").alias("h")).distinct(), "not-revisits")
+    if min_bytes:
+        # payloads that are too short have no key; whether they pass the first filter is settled by the join
+        chance = chance.unionByName(rows.filter(F.col("size") < min_bytes).select(_key("page_id", "own_sha").alias("h")))
+    of_chance = bloom_filter(chance, chance.count())
+    marked = rows.withColumn("maybe", probed(rows, _key("page_id", "own_sha"), of_seen)).withColumn("unsure", probed(rows, _key("page_id", "own_sha"), of_chance))
+    names = ["page_id", "url", "payload", "own_sha", "size"]
+    surely = marked.filter("not maybe").select(*names, F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit"))
+    meets = F.col("page_id").eqNullSafe(F.col("page")) & (F.col("own_sha") == F.col("sha"))
+    light = marked.filter("maybe and not unsure").select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "own_sha", "size")
+    again = light.join(seen.hint("merge"), meets).select(*names, "refers_to", F.lit(True).alias("revisit"))
+    rest = marked.filter("maybe and unsure").select(*names).join(seen.hint("merge"), meets, "left").select(*names, "refers_to", F.col("sha").isNotNull().alias("revisit"))
+    return surely.unionByName(again).unionByName(rest)
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Write the archives; a row (path, records, bytes) for each file."""
     ship_package(pages.sparkSession)
-    t = text_or_empty(payload_col)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), t.cast("binary").alias("payload"), F.unhex(F.sha1(t.cast("binary"))).alias("own_sha"))
-    seen = revisits(pages, id_col, payload_col, min_bytes)
-    both = rows.join(seen, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("own_sha") == F.col("sha")), "left")
-    both = both.select("page_id", "url", "payload", "refers_to", F.col("sha").isNotNull().alias("revisit"))
+    both = _kinds(pages, id_col, url_col, payload_col, min_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, row = task_number(), 0, 0
@@ -143,7 +170,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
             path, records, size = f"{folder}/part-{task:06d}-{number:04d}.warc.gz", 0, 0
             with whole_file(path) as out:
                 while page is not None and size < FILE_BYTES:
-                    for data in records_of(*page[:3], page[3], page[4], f"{task}-{row}", segment_bytes):
+                    for data in records_of(*page, f"{task}-{row}", segment_bytes):
                         out.write(gzip.compress(data, GZIP_LEVEL, mtime=0))
                         records, size = records + 1, size + len(data)
                     row += 1
@@ -219,7 +246,9 @@ def read(files: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    parts = files.select("path").repartition("path").mapInArrow(run, PARTS)
+    # a fixed number of parts: what the names of files weigh says nothing about the work
+    n = files.count()
+    parts = files.select("path").repartition(max(1, min(n, max(2 * files.sparkSession.sparkContext.defaultParallelism, -(-n // FILES_READ))))).mapInArrow(run, PARTS)
     names = [c.split()[0] for c in RECORDS.split(", ")]
     whole = parts.filter("segment is null").select(*names)
     joined = parts.filter("segment is not null").groupBy("origin_id").applyInPandas(reassemble, RECORDS)
