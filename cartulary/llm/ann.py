@@ -7,10 +7,18 @@ their neighbours while it has room. A small network learns, for a vector, the
 parts in which its neighbours lie. How many parts a query visits is the least
 number that finds ``TARGET`` of the sampled vectors' neighbours.
 
+Parts that hold more than twice PART_ROWS vectors are cut once more, each from a
+sample of its own vectors and with a network of its own, in a task for each part.
+So the number of parts grows with the table, up to MOST_PARTS squared (65,536, of
+PART_ROWS vectors each for 10^8 vectors; beyond that parts grow). Networks are
+broadcast; their number and size are bounded by MOST_PARTS.
+
 Indexing: every vector goes to its most probable part. A part is cut into blocks of
 bounded size. Searching: each query goes to all blocks of its most probable
 parts, is compared exactly there, and the best of all blocks are ranked again. The
 likeliest parts come first: their k-th best score bounds what the others return.
+Queries of a part come in groups of bounded size; only parts that very many queries
+visit are compared with several groups.
 
 Of equal vectors only the k + 1 with the least ids can be among any query's k
 nearest (one may be the query itself), so the others are left out first; no group
@@ -26,6 +34,7 @@ other columns aren't read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,10 +51,15 @@ SAMPLE = 16_384
 #: Vectors for a part: of the sample at least, and of the table about.
 PART_SAMPLE, PART_ROWS = 64, 1500
 MOST_PARTS = 256
+#: Small tables have so many parts all the same, and every query visits them all.
+LEAST_PARTS = 4
 NEIGHBOURS = 10
 HIDDEN = 96
-TARGET = 0.95
+#: Shares of the sampled vectors' neighbours that the parts visited have to hold, and of those within a part its own parts.
+TARGET, INNER_TARGET = 0.95, 0.98
 BLOCK = 8192
+#: Queries of a part that are compared with a block at once.
+QUERIES = 16_384
 TILE = 256
 #: One of so many of a query's parts, the likeliest, are searched first.
 LEAD_SHARE = 6
@@ -155,9 +169,9 @@ def train(x: np.ndarray, wanted: np.ndarray, epochs: int = 40, rate: float = 0.0
 
 def fit(sample: np.ndarray, rows: int, target: float = TARGET) -> Router:
     """A router for a table of so many rows, from a sample of its vectors."""
-    parts = int(max(1, min(MOST_PARTS, len(sample) // PART_SAMPLE, rows // PART_ROWS)))
     dim = sample.shape[1] if len(sample) else 1
-    if parts == 1:
+    parts = int(min(MOST_PARTS, len(sample) // PART_SAMPLE, max(LEAST_PARTS, rows // PART_ROWS)))
+    if parts <= 1:
         return Router(np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
     graph = nearest(sample, min(NEIGHBOURS, len(sample) - 1))
     label = balanced(sample, graph, parts)
@@ -167,6 +181,8 @@ def fit(sample: np.ndarray, rows: int, target: float = TARGET) -> Router:
     # probes are set on vectors that the network hasn't seen
     seen = np.arange(len(sample)) % 5 > 0
     router = train(sample[seen], wanted[seen] / wanted[seen].sum(axis=1, keepdims=True))
+    if parts <= LEAST_PARTS:
+        return router
     held = np.flatnonzero(~seen)
     ranks = np.argsort(np.argsort(-router.scores(sample[held]), axis=1, kind="stable"), axis=1)
     places = router.part(sample)[graph[held]]
@@ -175,6 +191,57 @@ def fit(sample: np.ndarray, rows: int, target: float = TARGET) -> Router:
     return router
 
 
+def _log_shares(scores: np.ndarray) -> np.ndarray:
+    top = scores - scores.max(axis=1, keepdims=True)
+    return top - np.log(np.exp(top).sum(axis=1, keepdims=True))
+
+
+class Routers:
+    """The router of the table and those of its large parts; places count all parts through."""
+
+    def __init__(self, top: Router, inner: dict[int, Router]) -> None:
+        self.top, self.inner = top, inner
+        widths = [len(inner[p].b2) if p in inner else 1 for p in range(len(top.b2))]
+        self.first = np.concatenate([[0], np.cumsum(widths)])
+
+    def part(self, x: np.ndarray) -> np.ndarray:
+        """The most probable place of each row."""
+        out = self.top.part(x)
+        place = self.first[out]
+        for p, router in self.inner.items():
+            mine = np.flatnonzero(out == p)
+            if len(mine):
+                place[mine] += router.part(x[mine])
+        return place
+
+    def parts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, place and turn (likeliest first) of every place that the rows visit as queries."""
+        shares = _log_shares(self.top.scores(x))
+        seen = np.argsort(-shares, axis=1, kind="stable")[:, : self.top.probes]
+        row, part = np.repeat(np.arange(len(x)), seen.shape[1]), seen.ravel()
+        plain = ~np.isin(part, list(self.inner))
+        rows, places, likely = [row[plain]], [self.first[part[plain]]], [shares[row[plain], part[plain]]]
+        for p, router in self.inner.items():
+            mine = row[part == p]
+            if not len(mine):
+                continue
+            inside = _log_shares(router.scores(x[mine]))
+            best = np.argsort(-inside, axis=1, kind="stable")[:, : router.probes]
+            rows.append(np.repeat(mine, best.shape[1]))
+            places.append(self.first[p] + best.ravel())
+            likely.append((shares[mine, p][:, None] + np.take_along_axis(inside, best, axis=1)).ravel())
+        rows, places, likely = np.concatenate(rows), np.concatenate(places), np.concatenate(likely)
+        order = np.lexsort((places, -likely, rows))
+        rows, places = rows[order], places[order]
+        return rows, places, np.arange(len(rows)) - np.searchsorted(rows, rows)
+
+    @property
+    def most(self) -> int:
+        """Places that a query visits at most."""
+        probes = sorted((self.inner[p].probes if p in self.inner else 1 for p in range(len(self.top.b2))), reverse=True)
+        return sum(probes[: self.top.probes])
+
+
 def usable(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, v: the rows that take part, with vectors of doubles."""
     v = F.col(vector_col).cast("array<double>")
@@ -186,23 +253,42 @@ def _stacked(values: pa.Array, dim: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _routed(rows: DataFrame, router: Router, dim: int, queries: bool) -> DataFrame:
-    """vec_id, v, part, turn: each row with its part, or each query with all parts that it visits, likeliest first."""
-    sent = rows.sparkSession.sparkContext.broadcast(router)
+def _routed(rows: DataFrame, routers: Routers, dim: int, queries: bool) -> DataFrame:
+    """vec_id, v, part, turn: each row with its place, or each query with all places that it visits, likeliest first."""
+    sent = rows.sparkSession.sparkContext.broadcast(routers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 some = batch.slice(start, 2048)
                 x = _stacked(some.column(1), dim)
-                found = sent.value.parts(x) if queries else sent.value.part(x)[:, None]
-                at = pa.array(np.repeat(np.arange(len(x)), found.shape[1]))
-                turn = np.tile(np.arange(found.shape[1]), len(x))
-                yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(1).take(at), pa.array(found.ravel(), pa.int32()), pa.array(turn, pa.int32())], names=["vec_id", "v", "part", "turn"])
+                row, place, turn = sent.value.parts(x) if queries else (np.arange(len(x)), sent.value.part(x), np.zeros(len(x)))
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(turn.astype(np.int32))], names=["vec_id", "v", "part", "turn"])
 
     return rows.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, part int, turn int")
 
 
+def _turn() -> Column:
+    return F.md5(F.col("vec_id").cast("string").cast("binary"))
+
+
+def inner_routers(rows: DataFrame, top: Router, dim: int) -> dict[int, Router]:
+    """Routers of the parts that hold more than twice PART_ROWS rows, each fitted in a task on a sample of the part's rows."""
+    placed = materialise(_routed(rows, Routers(top, {}), dim, False).select("vec_id", "v", "part"), "parts")
+    sizes = materialise(placed.groupBy("part").agg(F.count("*").alias("size")).filter(F.col("size") > 2 * PART_ROWS), "part-sizes")
+    share = (F.lit(1.5 * SAMPLE + 100)) / F.col("size")
+    drawn = placed.join(F.broadcast(sizes), "part").withColumn("turn", _turn()).filter(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long") < share * 16**8)  # MOST_PARTS rows at most
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        first = group.sort_values(["turn", "vec_id"]).head(SAMPLE)
+        made = fit(np.stack(first["v"].to_numpy()), int(group["size"].iloc[0]), INNER_TARGET)
+        return pd.DataFrame({"part": [int(group["part"].iloc[0])], "router": [pickle.dumps(made)]})
+
+    fitted = drawn.groupBy("part").applyInPandas(run, "part int, router binary")
+    return {r["part"]: pickle.loads(r["router"]) for r in fitted.toLocalIterator()}  # MOST_PARTS of them at most
+
+
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -242,29 +328,31 @@ def search(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id
     alike = Window.partitionBy("v").orderBy("vec_id")
     kept = materialise(rows.withColumn("n", F.row_number().over(alike)).filter(F.col("n") <= k + 1).select("vec_id", "v"), "vectors")
     count = kept.count()
-    turn = F.md5(F.col("vec_id").cast("string").cast("binary"))
+    turn = _turn()
     sample = kept.select("v", turn.alias("turn"), "vec_id").filter(likely_first(turn, count, SAMPLE)).orderBy("turn", "vec_id").limit(SAMPLE).select("v").toPandas()
-    router = fit(np.stack(sample["v"].to_numpy()) if len(sample) else np.zeros((0, dim)), count, target)
-
-    index = materialise(_routed(kept, router, dim, False), "index")
-    blocks = index.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # one row per part
-    placed = index.join(F.broadcast(blocks), "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    asked = _routed(rows.filter(is_query), router, dim, True)
-    spread = asked.join(F.broadcast(blocks), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # queries of a block come in groups too, so that none grows with the table
-    groups = int(max(1, count // 20 // 20_000))
-    near = spread.withColumn("g", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(groups)).cast("int")).select("part", "block", "g", "vec_id", "v", "turn")
-    far = placed.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("part", "block", "g", "vec_id", "v")
+    top = fit(np.stack(sample["v"].to_numpy()) if len(sample) else np.zeros((0, dim)), count, target)
+    routers = Routers(top, inner_routers(kept, top, dim))
+
+    index = materialise(_routed(kept, routers, dim, False), "index")
+    asked = materialise(_routed(rows.filter(is_query), routers, dim, True), "asked")
+    blocks = index.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # queries of a part come in groups too, so that none grows with the table
+    groups = asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups"))
+    parts = F.broadcast(materialise(blocks.join(groups, "part"), "part-plan"))  # MOST_PARTS squared rows at most
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    near = asked.join(parts, "part").withColumn("block", each).withColumn("g", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("groups")).cast("int")).select("part", "block", "g", "vec_id", "v", "turn")
+    placed = index.join(parts, "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    far = placed.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("part", "block", "g", "vec_id", "v")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def met(asking: DataFrame) -> DataFrame:
         return asking.groupBy("part", "block", "g").cogroup(far.groupBy("part", "block", "g")).applyInPandas(lambda q, r: compare(q, r, k), FOUND)
 
     # the likeliest parts give each query a score that its k-th nearest can't be under; the others return only what reaches it
-    lead = -(-router.probes // LEAD_SHARE)
+    lead = -(-routers.most // LEAD_SHARE)
     first_found = materialise(met(near.filter(F.col("turn") < lead).withColumn("bound", F.lit(float("-inf"))).drop("turn")), "likeliest")
-    top = first_found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    bounds = top.groupBy(F.col("query_id").alias("q")).agg(F.when(F.count("*") == k, F.min("score")).alias("b"))
+    top_found = first_found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    bounds = top_found.groupBy(F.col("query_id").alias("q")).agg(F.when(F.count("*") == k, F.min("score")).alias("b"))
     later = near.filter(F.col("turn") >= lead).join(bounds, F.col("vec_id") == F.col("q"), "left").select("part", "block", "g", "vec_id", "v", F.coalesce("b", F.lit(float("-inf"))).alias("bound"))
     found = first_found.unionByName(met(later))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
