@@ -72,9 +72,9 @@ def test_words_equal_the_library():
     tokenizers = pytest.importorskip("tokenizers")
     path = tokenizer_path("word_bpe_49k.json")
     t = tokenizers.Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rng = random.Random(7)
     more = ["".join(rng.choices("abzßéÉ 0!'*~{s.tß\n\t×ª²KİΣ日", k=rng.randint(1, 50))) for _ in range(500)]
+    more += ["a <|endoftext|> b", "<|STARTOFTEXT|> x", "x<|startoftext|>y <|endoftext|>\n<|endoftext|>", "<|endoftext|", "日<|endoftext|>É"]
     got = token_file.Words(path).encode([*TEXTS, *more, None])
     for text, ids in zip([*TEXTS, *more, ""], got, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
@@ -199,7 +199,7 @@ def test_chunked_framing():
 
 def test_segments_are_checked():
     payload = b"z" * 1000
-    parts = [next(warc.parse(r)) for r in warc.records_of(7, "http://a/ b", payload, None, False, "0-0", 300)]
+    parts = [next(warc.parse(r)) for r in warc.records_of(7, "http://a/ b", payload, hashlib.sha1(payload).digest(), len(payload), None, False, "0-0", 300)]
     rows = [{"record_id": f["warc-record-id"].strip("<>"), "url": f.get("warc-target-uri"), "record_type": f["warc-type"], "payload_digest": f.get("warc-payload-digest"), "payload": b, "origin_id": "o", "segment": int(f["warc-segment-number"]), "total_length": int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None} for f, b in parts]
     assert len(rows) > 3
     shuffled = pd.DataFrame(rows[::-1])
@@ -249,3 +249,57 @@ def test_compare_breaks_ties_by_id():
 
 def test_base32_digest():
     assert warc.digest(b"") == base64.b32encode(hashlib.sha1(b"").digest()).decode()
+
+
+def test_single_ids_need_few_bytes():
+    ids = np.random.default_rng(2).integers(0, 49408, 200_000)
+    data = token_file.to_bytes([1], np.array([0, len(ids)]), ids.astype(np.uint32))
+    read = []
+
+    def fetch(at, n):
+        read.append(n)
+        return data[at : at + n]
+
+    f = token_file.TokenFile(fetch)
+    assert [f[k] for k in (0, 77_777, 199_999)] == ids[[0, 77_777, 199_999]].tolist() and sum(read) < 1000
+
+
+def test_parts_of_parts_find_neighbours(monkeypatch):
+    monkeypatch.setattr(ann, "PART_ROWS", 60)
+    monkeypatch.setattr(ann, "MOST_PARTS", 8)
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(60, 16)) * 4
+    x = np.concatenate([c + rng.normal(size=(60, 16)) * 0.4 for c in centers])
+    top = ann.fit(x, len(x))
+    place = top.part(x)
+    inner = {p: ann.fit(x[place == p], int((place == p).sum()), ann.INNER_TARGET) for p in range(8) if (place == p).sum() > 120}
+    routers = ann.Routers(top, inner)
+    assert routers.first[-1] > 20 and routers.most < routers.first[-1] / 2
+    places = routers.part(x)
+    rows, seen, turn = routers.parts(x[::20])
+    assert (np.diff(rows) >= 0).all() and (turn[np.append(True, np.diff(rows) > 0)] == 0).all()
+    visited = [set(seen[rows == k]) for k in range(len(x[::20]))]
+    near = ann.nearest(x, 20)[::20]
+    assert np.mean([places[v] in visited[k] for k in range(len(near)) for v in near[k]]) >= 0.9
+
+
+def test_crowded_filters_set_fewer_bits():
+    assert [exact_dedup.probe_count(n, 1 << 20) for n in (1, 1 << 16, 1 << 17, 1 << 18, 1 << 30)] == [4, 4, 2, 1, 1]
+    h = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 1 << 16)
+    bits = 1 << 17
+    seen = {}
+    for count in (1, 4):
+        n = np.bincount(exact_dedup.probes(h, bits, count).ravel().astype(np.int64), minlength=bits)
+        seen[count] = (n[exact_dedup.probes(h, bits, count).astype(np.int64)] > 1).all(axis=1).mean()
+    assert seen[1] < 0.5 < seen[4]
+
+
+def test_logistic_learns_words():
+    bins, rng = quality.Bins(), random.Random(9)
+    good = [rng.random() < 0.5 for _ in range(400)]
+    texts = [" ".join(rng.choices(["tea", "cup", "sun", "good" if g else "bad"], k=20)) for g in good]
+    x, grams = np.zeros((400, 28)), [bins(t) for t in texts]
+    w, v = quality.logistic(x[:300], np.array(good[:300], float), grams[:300])
+    found = [w[0] + v[g].sum() / np.sqrt(len(g)) > 0 for g in grams[300:]]
+    assert np.mean([a == b for a, b in zip(found, good[300:], strict=True)]) > 0.97
+    assert len(bins(None)) == len(bins("  ")) == 0

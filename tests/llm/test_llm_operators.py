@@ -286,10 +286,52 @@ def test_substring_dedup_random_small_alphabet(spark, monkeypatch):
 def test_quality_fit_thins_only_labels_of_documents_that_are_there(spark, monkeypatch):
     monkeypatch.setattr(quality, "SAMPLE_ROWS", 50)
     rng = random.Random(13)
-    rows = spark.createDataFrame([(k, [rng.random() + k % 2 for _ in range(quality.FEATURES)]) for k in range(40)], "doc_id long, x array<double>")
+    docs = documents(spark, [prose(rng, rng.randint(5, 60)) for _ in range(40)])
     labels = spark.range(100_000).select(F.col("id").alias("label_id"), (F.col("id") % 2).cast("double").alias("good"))
-    alone = quality.fit(rows, labels.filter("label_id < 40"))
-    assert alone is not None and quality.fit(rows, labels)["middle"] == pytest.approx(alone["middle"])
+    alone = quality.fit(docs, labels.filter("label_id < 40"))
+    assert alone is not None and quality.fit(docs, labels).middle == pytest.approx(alone.middle)
+
+
+def test_quality_posteriors_leave_the_document_out(spark):
+    """Against the posteriors computed one by one; ties, repeated ids and null sites among them."""
+    rng = random.Random(14)
+    texts = [prose(rng, 20) if k % 4 else "JUNK!! *** " * 10 for k in range(120)]
+    hosts = [None if k % 11 == 0 else f"h{k % 5}" if k % 3 else f"lone{k}" for k in range(120)]
+    ids = [k if k % 10 else 0 for k in range(120)]
+    docs = documents(spark, texts, ids=ids, sources=hosts, langs=["aa" if k % 7 else None for k in range(120)])
+    labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(1, 60)] + [(5, 0)], "doc_id long, quality int")
+    got = quality.classify(docs, labels, F.col("source"), F.col("lang")).collect()
+    assert len(got) == 120
+    good = {k: float(k % 4 > 0) for k in range(1, 60)} | {5: 0.5}
+    strengths = {}
+    rows = [(r["doc_id"], r["doc_score"]) for r in got]
+    assert Counter(i for i, _ in rows) == Counter(ids)
+    # the scores of equal texts are equal, so evidence can be put together from the result
+    score = {}
+    made = quality.scored(docs, quality.fit(docs, labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.avg("quality").alias("good"))), "doc_id", "text", F.col("source"), F.col("lang"))
+    evidence = [(r["doc_id"], r["host"], r["path"], good.get(r["doc_id"], 1 / (1 + np.exp(-r["odds"])))) for r in made.collect()]
+    frame = spark.createDataFrame([(h, p, float(e)) for _, h, p, e in evidence], "host string, path string, evidence double")
+    one = quality.posteriors(frame).first()
+    strengths = one["host_strength"], one["path_strength"]
+    rate = (sum(e for *_, e in evidence) + 1) / (len(evidence) + 2)
+    want = Counter()
+    for k, (i, h, p, e) in enumerate(evidence):
+        others = [x for j, x in enumerate(evidence) if j != k]
+        host = [x[3] for x in others if x[1] == h]
+        path = [x[3] for x in others if x[1:3] == (h, p)]
+        host_rate = (sum(host) + strengths[0] * rate) / (len(host) + strengths[0])
+        path_rate = (sum(path) + strengths[1] * host_rate) / (len(path) + strengths[1])
+        want[(i, round(host_rate, 6), round(path_rate, 6))] += 1
+    assert Counter((r["doc_id"], round(r["host_rate"], 6), round(r["path_rate"], 6)) for r in got) == want
+
+
+def test_quality_held_out(spark):
+    rng = random.Random(15)
+    good = [rng.random() < 0.6 for _ in range(300)]
+    texts = [prose(rng, 40) if g else prose(rng, 20) + " JUNK!! *** " * 5 for g in good]
+    labels = spark.createDataFrame([(k, int(good[k])) for k in range(300)], "doc_id long, quality int")
+    got = {r["terms"]: r for r in quality.held_out(documents(spark, texts), labels, F.col("source"), F.col("lang")).collect()}
+    assert set(got) == {"document", "document and site"} and all(r["accuracy"] > 0.9 and r["log_loss"] < 0.4 for r in got.values())
 
 
 def test_substring_dedup_deals_out_passages_that_no_sample_shows(spark, monkeypatch):
@@ -376,3 +418,68 @@ def test_ann(spark):
     few = ann.search(table.filter("vec_id < 3"), F.col("vec_id") % 20 == 0).collect()
     assert [r["vec_id"] for r in few] and len(few) == 2
     assert ann.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_near_dup_chain_of_candidates_that_are_not_links(spark, monkeypatch):
+    """Neighbours in a sliding window share bands but not enough n-grams; the long chain is verified bucket by bucket."""
+    monkeypatch.setattr(near_dup, "BLOCK_SETS", 5)
+    rng = random.Random(16)
+    words = prose(rng, 900).split()
+    texts = [" ".join(words[k : k + 120]) for k in range(0, 780, 16)] + [" ".join(words[k : k + 120]) for k in range(0, 780, 130)] + near_copies(rng, 12)
+    roots, links = brute_links(texts)
+    assert max(Counter(roots).values()) < 20
+    got = {r["doc_id"]: r for r in near_dup.classes(documents(spark, texts)).collect()}
+    assert [got[k]["class_id"] for k in range(len(texts))] == roots and [got[k]["n_links"] for k in range(len(texts))] == links
+
+
+def test_ann_many_parts_of_parts(spark, monkeypatch):
+    """Planted clusters, two levels of parts, several blocks and groups: recall against brute force."""
+    for name, value in (("PART_ROWS", 60), ("MOST_PARTS", 8), ("BLOCK", 40), ("QUERIES", 16)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(21)
+    x = np.concatenate([c + rng.normal(size=(60, 16)) * 0.4 for c in rng.normal(size=(50, 16)) * 4])
+    table = spark.createDataFrame([(k, [float(v) for v in x[k]]) for k in range(len(x))], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in ann.search(table, F.col("vec_id") % 20 == 0).collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    hits = 0
+    for q in range(0, len(x), 20):
+        s = (x * x[q]).sum(axis=1)
+        order = [k for k in np.lexsort((np.arange(len(x)), -s)) if k != q][:20]
+        assert sorted(r for r, _, _ in found[q]) == list(range(1, 21)) and all(abs(z - s[v]) < 1e-9 for _, v, z in found[q])
+        hits += len({v for _, v, _ in found[q]} & set(order))
+    assert hits / (20 * len(found)) >= 0.9
+
+
+def test_balancing_of_two_groupings_equals_brute_force(spark):
+    """Sources and languages at once, with the cap on rates, against proportional fitting in plain numbers."""
+    rng = random.Random(17)
+    cells = [(s, g, float(rng.randint(50, 500))) for s in ("a", "b", None) for g in ("x", "y", "z")]
+    hidden = {(s, g): min(2.0, {"a": 0.7, "b": 1.6, None: 1.1}[s] * {"x": 1.3, "y": 0.8, "z": 1.9}[g]) for s, g, _ in cells}
+    targets = [defaultdict(float), defaultdict(float)]
+    for s, g, z in cells:
+        targets[0][s] += z * hidden[s, g]
+        targets[1][g] += z * hidden[s, g]
+    tables = [spark.createDataFrame(list(t.items()), "group string, target double") for t in targets]
+    got = {(r["s"], r["g"]): r["rate"] for r in mixture.balanced(spark.createDataFrame(cells, "s string, g string, size double"), [("s", tables[0]), ("g", tables[1])], steps=60).collect()}
+    # the rates that meet the targets and have this form are unique
+    assert all(got[k] == pytest.approx(hidden[k], rel=1e-5) for k in hidden)
+    alone = {r["s"]: r["rate"] for r in mixture.balanced(spark.createDataFrame([("a", 10.0), ("b", 0.0), (None, 4.0)], "s string, size double"), [("s", spark.createDataFrame([("a", 5.0), ("b", 0.0), (None, 8.0)], "group string, target double"))]).collect()}
+    assert alone == {"a": pytest.approx(0.5), "b": 0.0, None: pytest.approx(2.0)}
+
+
+def test_bpe_null_ids_and_repeated_rows(spark):
+    path, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), byte_pattern()
+    rows = byte_bpe.digests(documents(spark, ["a b", "a b", None], ids=[None, None, 3]), path, pattern).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter({None: 2, 3: 1}) and len({r["ids_sha256"] for r in rows}) == 2
+    back = byte_bpe.decode(byte_bpe.encode(documents(spark, ["é x", None]), path, pattern), path).select("ids", "decoded").collect()
+    assert sorted(bytes(r["decoded"]) for r in back) == [b"", "é x".encode()]
+
+
+def test_language_id_repeated_rows_ties_and_hot_language(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "PIECES_PER_LANGUAGE", 5)
+    texts = ["same words here"] * 40 + ["casa grande perro"] * 4
+    rows = language_id.classify(documents(spark, texts, ids=[k // 2 for k in range(44)], langs=["aa"] * 40 + ["bb"] * 4)).collect()
+    assert len(rows) == 44 and {r["lang_pred"] for r in rows} <= {"aa", "bb"}
+    tie = documents(spark, ["mismo texto", "mismo texto"], langs=["bb", "aa"], ids=[3, 4])
+    assert {(r["lang_pred"], r["rejected"]) for r in language_id.classify(tie).collect()} == {("aa", True)} or not tie.filter(~language_id.held_out()).count() == 2
