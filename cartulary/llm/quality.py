@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.shared import give_back_memory, join_groups, likely_first, materialise, ship_package
+from cartulary.llm.shared import distinct_sorted, give_back_memory, join_groups, likely_first, materialise, ship_package
 
 SAMPLE_ROWS = 20_000
 SAMPLE_GRAMS = 4_000_000
@@ -91,13 +91,16 @@ class Bins:
         words, known = (text or "").lower().split(), self.known
         if not words:
             return np.zeros(0, np.int32)
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        try:
+            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        except KeyError:
+            if len(known) > WORDS_KEPT:
+                known.clear()
+            for w in set(words).difference(known):
+                known[w] = xxhash.xxh3_64_intdigest(w)
+            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique((np.concatenate([h, pairs]) >> np.uint64(46)).astype(np.int32))
+        return distinct_sorted((np.concatenate([h, pairs]) >> np.uint64(46)).astype(np.int32))
 
 
 def expand(x: np.ndarray, middle: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -106,7 +109,7 @@ def expand(x: np.ndarray, middle: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.hstack([z, z * z])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, grams: list[np.ndarray], penalty: float = 1.0, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
+def logistic(x: np.ndarray, y: np.ndarray, grams: list[np.ndarray], penalty: float = 1.0, steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the measures (intercept first) and of the bins: ridge logistic regression by accelerated gradients.
 
     A text's bins weigh 1 / sqrt(their number) each, and the measures are scaled to

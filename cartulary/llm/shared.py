@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,12 @@ def give_back_memory() -> None:
         return
 
 
+def distinct_sorted(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order; for arrays of some hundred numbers much faster than a hash table."""
+    out = np.sort(values)
+    return out[np.append(True, out[1:] != out[:-1])] if len(out) else out
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, unless PYTHONPATH already leads them to it; keep batches small."""
     for name, value in BATCHES.items():
