@@ -46,7 +46,7 @@ from pyspark.sql.window import Window
 
 from cartulary.llm.components import components
 from cartulary.llm.exact_dedup import possibly_among
-from cartulary.llm.shared import give_back_memory, join_groups, materialise, ship_package, text_or_empty
+from cartulary.llm.shared import distinct_sorted, give_back_memory, join_groups, materialise, ship_package, text_or_empty
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -84,11 +84,14 @@ class Shingler:
     def words(self, data: bytes) -> np.ndarray:
         """64-bit hashes of the words."""
         parts, known = data.split(), self.known
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        for w in set(parts).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
+        try:
+            return np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
+        except KeyError:
+            if len(known) > WORDS_KEPT:
+                known.clear()
+            for w in set(parts).difference(known):
+                known[w] = xxhash.xxh3_64_intdigest(w)
+            return np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
 
     def ngrams(self, data: bytes) -> np.ndarray:
         """Sorted distinct hashes of the n-grams."""
@@ -102,7 +105,7 @@ class Shingler:
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
-        return np.unique(h)
+        return distinct_sorted(h)
 
 
 class Signer:
