@@ -184,7 +184,7 @@ def _unplaned(data: bytes, n: int, at: int, keep: int) -> tuple[np.ndarray, int]
     return out.view(np.uint64).ravel(), at + n * keep
 
 
-_KEPT = (6, 6, 8, 8, 5, 1)
+_KEPT = (6, 8, 8, 8, 5, 1)
 
 
 def _packed(columns: tuple[np.ndarray, ...]) -> bytes:
@@ -253,7 +253,7 @@ def scanned(keyed: DataFrame, ranges: int, avoid: np.ndarray, hot: np.ndarray |
         if hot is None and noted.any():
             n, none = int(noted.sum()), pa.nulls(int(noted.sum()), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -2), pa.int32()), pa.nulls(n, pa.binary()), pa.array(_low(columns[0][edge[noted]]).astype(np.int64)), pa.array(many[noted]), none, none], names=names)
-        to = (columns[0] >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)
+        to = (columns[0] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
         cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
         for some in range(0, len(cuts) - 1, 256):
             pairs = list(zip(cuts[some : some + 256], cuts[some + 1 : some + 257], strict=False))
@@ -348,7 +348,7 @@ def matched(group: pd.DataFrame) -> pd.DataFrame:
     part = int(group["range"].iloc[0]) * SORT_PARTS + (seed[shared] % np.uint64(SORT_PARTS)).astype(np.int64)
     want = np.concatenate([np.full(len(order) - len(first), -1), part])
     arrays = _spans(d[took], x[took], start[took], count[took])
-    return pd.DataFrame({"want": want.astype(np.int32), **{c: a.to_numpy() for c, a in zip(("d", "x", "start", "stop"), arrays, strict=True)}})
+    return pd.DataFrame({"want": want, **{c: a.to_numpy() for c, a in zip(("d", "x", "start", "stop"), arrays, strict=True)}})
 
 
 def repeats(group: pd.DataFrame) -> pd.DataFrame:
@@ -396,9 +396,9 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null_key)).alias("d"), x.alias("x"), F.col(id_col).alias("doc_id"), t.cast("binary").alias("data"))
     every = max(1, -(-n // SAMPLE))
     sample = [bytes(r["s"]) for r in docs.filter(F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(every)) == 0).select(F.substring(t, 1, SAMPLE_CHARS).cast("binary").alias("s")).limit(2 * SAMPLE).toLocalIterator()]
-    ranges = int(min(65536, max(32, n_bytes / ((LENGTH - SEED + 2) / 2) / RANGE_PIECES)))
+    ranges = int(min(1 << 31, max(32, n_bytes / ((LENGTH - SEED + 2) / 2) / RANGE_PIECES)))
     packed, local = dealt(keyed.select("d", "x", "data"), ranges, frequent(sample))
-    settled = materialise(packed.groupBy("range").applyInPandas(matched, f"want int, {SPAN}"), "settled")
+    settled = materialise(packed.groupBy("range").applyInPandas(matched, f"want long, {SPAN}"), "settled")
     wanted = settled.filter("want >= 0")
     per_doc = wanted.groupBy("d", "x").agg(F.collect_list(F.struct("want", "start", "stop")).alias("wanted"))
     joined = keyed.select("d", "x", "data").join(per_doc, ["d", "x"])
