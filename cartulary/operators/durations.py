@@ -80,6 +80,24 @@ def report(rows: DataFrame) -> DataFrame:
     return out.withColumn("censored_past_median", F.coalesce("censored_past_median", F.lit(0)).cast("long")).withColumn("reached", F.coalesce("reached", F.lit(False)))
 
 
+# Completed cases under which percentiles only indicate; shares of open cases from which the median runs fast, and describes a minority.
+FEW_CASES, MANY_OPEN, MOSTLY_OPEN = 30, 0.2, 0.5
+
+
+def warnings(made: DataFrame) -> DataFrame:
+    """stage, warning: what a reader of report() has to know next to a stage's figures."""
+    done, rate = F.col("completed"), F.col("censoring_rate")
+    said = F.array(
+        F.when(done == 0, "no-completed-cases").when(done < FEW_CASES, "few-completed-cases"),
+        F.when(rate >= MOSTLY_OPEN, "most-cases-still-open").when(rate >= MANY_OPEN, "many-cases-still-open"),
+        F.when(F.col("censored_past_median") > 0, "open-cases-past-the-median"),
+        F.when(F.col("negative") > 0, "ends-before-starts-left-out"),
+        F.when(F.col("reached") & (F.col("km_median") > F.col("median")), "survival-median-is-longer"),
+        F.when(~F.col("reached") & (F.col("censored") > 0), "median-beyond-observation"),
+    )
+    return made.select("stage", F.explode(F.array_compact(said)).alias("warning"))
+
+
 def by_institution(stage_dates: DataFrame, tender: DataFrame, institution: DataFrame, as_of: str, w: Window = ALL, min_completed: int = 10) -> DataFrame:
     """Per institution: procedures, and n, median (from min_completed on) and censored of two stages. The window's institution is ignored."""
     two = [s for s in STAGES if s.key in ("publication_to_award", "award_to_payment")]

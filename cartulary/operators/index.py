@@ -12,7 +12,8 @@ from pyspark.sql.window import Window as W
 
 from cartulary.functions import exprs as E
 from cartulary.functions.names import initials_joined, normalised_name
-from cartulary.schemas import COALESCED_KEYS, INDEX_KEYS
+from cartulary.schemas import COALESCED_KEYS, INDEX_KEYS, TABLES
+from cartulary.sources.archive import table_or_empty
 from cartulary.storage import replace
 
 
@@ -82,6 +83,13 @@ def save(spark: SparkSession, folder: str, table: str, rows: DataFrame) -> None:
     replace(spark, made, f"{folder}/{table}")
 
 
+def ask(spark: SparkSession, folder: str, sql: str, args: dict | None = None) -> DataFrame:
+    """SQL with named parameters over the saved index; tables that aren't there are empty."""
+    for name, schema in TABLES.items():
+        table_or_empty(spark, f"{folder}/{name}", schema).createOrReplaceTempView(name)
+    return spark.sql(sql, args=args or {})
+
+
 def spans(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """table, rows, dated, first_day, last_day for tables given with their date column."""
     out = None

@@ -116,14 +116,22 @@ def outliers(lines: DataFrame, tender: DataFrame, rules: Rules = RULES, w: Windo
 
 
 def scan(lines: DataFrame, tender: DataFrame, rules: Rules = RULES, codes: int = 50, per_code: int = 5, w: Window = ALL) -> DataFrame:
-    """The largest outliers of the most frequent codes, all codes in one job.
+    """The largest outliers of the most frequent codes, all codes in one job."""
+    top = frequent_codes(lines, rules, codes, w)
+    found = outliers(lines, tender, rules, w).join(F.broadcast(top.select("codigo_producto")), "codigo_producto", "left_semi")  # codes rows at most
+    order = W.partitionBy("codigo_producto").orderBy(F.desc("excess_value"), "nro_sicop", "nro_linea", "precio_unitario")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_code)
 
-    Codes rank by lines in the currency and month alone, as the scan picks them; ties go to the lesser code.
-    """
+
+def frequent_codes(lines: DataFrame, rules: Rules = RULES, codes: int = 50, w: Window = ALL) -> DataFrame:
+    """codigo_producto, rows: the most frequent codes of the scan, which rank by lines in the currency and month alone; ties go to the lesser code."""
     picked = lines.filter(E.filled("codigo_producto") & (F.col("moneda") == rules.currency) & (F.col("precio_unitario") > 0) & (F.col("cantidad") > 0))
     if w.month:
         picked = picked.filter(F.col("source_month") == w.month)
-    top = picked.groupBy("codigo_producto").agg(F.count("*").alias("rows")).filter(F.col("rows") >= rules.min_sample).orderBy(F.desc("rows"), "codigo_producto").limit(codes)
-    found = outliers(lines, tender, rules, w).join(F.broadcast(top.select("codigo_producto")), "codigo_producto", "left_semi")  # codes rows at most
-    order = W.partitionBy("codigo_producto").orderBy(F.desc("excess_value"), "nro_sicop", "nro_linea", "precio_unitario")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_code)
+    return picked.groupBy("codigo_producto").agg(F.count("*").alias("rows")).filter(F.col("rows") >= rules.min_sample).orderBy(F.desc("rows"), "codigo_producto").limit(codes)
+
+
+def rejected(lines: DataFrame, tender: DataFrame, rules: Rules = RULES, codes: int = 50, w: Window = ALL) -> DataFrame:
+    """codigo_producto, rows, reason: codes of the scan that a guard rejects."""
+    top = frequent_codes(lines, rules, codes, w)
+    return verdicts(lines, tender, rules, w).filter("not usable").select("codigo_producto", "reason").join(F.broadcast(top), "codigo_producto").select("codigo_producto", "rows", "reason")  # codes rows at most

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -90,6 +90,11 @@ def diff_entries(diffs: DataFrame, ns: str | None = None) -> DataFrame:
     return diffs.select(F.explode(rows).alias("e")).select("e.key", F.lit("string").alias("type"), "e.value")
 
 
+def read_entries(spark: SparkSession, path: str) -> DataFrame:
+    """key, type, value of landed anchor entries: JSON files that hold an array of entries each; values are kept as text."""
+    return spark.read.schema("key string, type string, value string").option("multiLine", "true").option("recursiveFileLookup", "true").json(path).filter("key is not null")
+
+
 def day_entries(day: str, snapshots: DataFrame, ns: str | None = None) -> DataFrame:
     """key, type, value: a root and a meta entry for each snapshot (period, root, canon_version, records, sha256) of a day, and the marker of the latest day."""
     prefix = f"{ns}_" if ns else ""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,9 +9,9 @@ from pyspark.sql import functions as F
 
 from cartulary.functions import exprs as E
 from cartulary.functions import stats as S
-from cartulary.operators import awards, bundle, canonical, collusion, competition, delivery, differ, index, merkle, reports, snapshots, versions
-from cartulary.plans.registry import ARCHIVES, AS_OF, BY_LINE, COMPANIES, DATES, FEED, PAIRS, SPREAD, TREE, _archives, _companies, _feed, _loaded, _observations, _records, query, r, wilson
-from cartulary.schemas import CANON_VERSION, REGIME_DATE
+from cartulary.operators import bundle, canonical, collusion, competition, delivery, differ, durations, index, merkle, prices, reports, snapshots, versions
+from cartulary.plans.registry import ARCHIVES, AS_OF, BY_LINE, COMPANIES, DATES, FEED, PAIRS, SPREAD, TREE, _archives, _companies, _feed, _loaded, _observations, _records, _stages, query, r, wilson
+from cartulary.schemas import CANON_VERSION
 from cartulary.sources import archive
 from cartulary.sources.lens import Lens
 from cartulary.storage import shared_folder, written
@@ -468,3 +467,83 @@ def version_pair(t: Lens) -> DataFrame:
 def all_sources(t: Lens) -> DataFrame:
     a = _archives(t).select("period", "stamp")
     return delivery.from_sources({"cr": a, "pa": a}).select("source", "period", "stamp")
+
+
+# Further sections
+
+
+@query("""WITH top AS (SELECT codigo_producto, count(*) AS rows FROM prices GROUP BY 1 HAVING count(*) >= 10 ORDER BY rows DESC, codigo_producto LIMIT 50) SELECT codigo_producto, rows, reason FROM top JOIN price_verdicts USING (codigo_producto) WHERE reason IS NOT NULL""")
+def price_rejected(t: Lens) -> DataFrame:
+    return prices.rejected(t.bid_line, t.tender)
+
+
+LINE_DAYS = """lines AS (SELECT stage, CASE WHEN start IS NULL THEN 'notStarted' WHEN stop IS NULL THEN CASE WHEN DATE '1998-08-01' >= start THEN 'censored' ELSE 'negative' END WHEN stop < start THEN 'negative' ELSE 'completed' END AS disposition, start, stop FROM stage_rows),
+days AS (SELECT stage, disposition, CASE disposition WHEN 'completed' THEN stop - start WHEN 'censored' THEN DATE '1998-08-01' - start END AS days FROM lines)"""
+
+
+@query(f"""WITH {LINE_DAYS} SELECT stage, count(*) AS n, count(*) FILTER (disposition = 'completed') AS completed, count(*) FILTER (disposition = 'censored') AS censored, count(*) FILTER (disposition = 'negative') AS negative,
+round(quantile_cont(days, 0.5) FILTER (disposition = 'completed'), 6) AS median FROM days GROUP BY 1""")
+def stage_summary_lines(t: Lens) -> DataFrame:
+    """Stages by line instead of by procedure."""
+    made = durations.report(durations.disposed(_stages(t), AS_OF))
+    return made.select("stage", "n", "completed", "censored", "negative", r("median"))
+
+
+@query(f"""WITH {LINE_DAYS}, m AS (SELECT stage, quantile_cont(days, 0.5) AS med FROM days WHERE disposition = 'completed' GROUP BY 1), s AS (SELECT stage, count(*) FILTER (disposition = 'completed') AS done, count(*) FILTER (disposition = 'censored') AS waiting, count(*) FILTER (disposition = 'negative') AS negative,
+count(*) FILTER (disposition = 'censored' AND days > med) AS late, any_value(med) AS med FROM days LEFT JOIN m USING (stage) GROUP BY 1),
+e AS (SELECT stage, days, count(*) FILTER (disposition = 'completed') AS d, count(*) AS c FROM days WHERE days IS NOT NULL GROUP BY 1, 2), q AS (SELECT stage, days, 1 - d / sum(c) OVER (PARTITION BY stage ORDER BY days DESC) AS f FROM e),
+k AS (SELECT stage, min(days) FILTER (surv <= 0.5) AS km FROM (SELECT stage, days, list_product(list(f) OVER (PARTITION BY stage ORDER BY days)) AS surv FROM q) GROUP BY 1)
+SELECT stage, 'no-completed-cases' AS warning FROM s WHERE done = 0 UNION ALL SELECT stage, 'few-completed-cases' FROM s WHERE done BETWEEN 1 AND 29 UNION ALL SELECT stage, 'most-cases-still-open' FROM s WHERE waiting / (done + waiting) >= 0.5
+UNION ALL SELECT stage, 'many-cases-still-open' FROM s WHERE waiting / (done + waiting) >= 0.2 AND waiting / (done + waiting) < 0.5 UNION ALL SELECT stage, 'open-cases-past-the-median' FROM s WHERE late > 0 UNION ALL SELECT stage, 'ends-before-starts-left-out' FROM s WHERE negative > 0
+UNION ALL SELECT stage, 'survival-median-is-longer' FROM s JOIN k USING (stage) WHERE km > med UNION ALL SELECT stage, 'median-beyond-observation' FROM s JOIN k USING (stage) WHERE km IS NULL AND waiting > 0""")
+def stage_warnings(t: Lens) -> DataFrame:
+    return durations.warnings(durations.report(durations.disposed(_stages(t), AS_OF)))
+
+
+@query("""WITH c AS (SELECT *, count(*) OVER (PARTITION BY nro_sicop) AS n FROM tender_bidders), p AS (SELECT cedula_proveedor, cedula_institucion, count(*) AS total, count(*) FILTER (n = 1) AS sole_bids FROM c GROUP BY 1, 2), s AS (SELECT cedula_institucion, count(*) FILTER (n = 1) AS singles FROM c GROUP BY 1)
+SELECT cedula_proveedor, cedula_institucion, sole_bids, round(sqrt(sole_bids / singles * sole_bids / total), 6) AS score FROM p JOIN s USING (cedula_institucion) WHERE sole_bids >= 2 ORDER BY sqrt(sole_bids / singles * sole_bids / total) DESC, sole_bids DESC, cedula_proveedor, cedula_institucion LIMIT 25""")
+def screen_listed(t: Lens) -> DataFrame:
+    """The first 25 hits of a screen, best first."""
+    hits = collusion.sole_bid_pairs(t.bid, t.award_line, t.tender, t.institution, min_tenders=2)
+    return collusion.listed("single-bidder-concentration", hits).select("cedula_proveedor", "cedula_institucion", "sole_bids", r("score"))
+
+
+@query("SELECT nro_sicop FROM tender ORDER BY nro_sicop LIMIT 1")
+def page_clamped(t: Lens) -> DataFrame:
+    """A limit of 0 counts as 1, an offset below 0 as 0."""
+    return delivery.page(t.tender.select("nro_sicop").orderBy("nro_sicop"), 0, -5)
+
+
+@query(f"""WITH {FEED}, m AS (SELECT DISTINCT 'inst' AS subscription, f.* FROM feed f JOIN tender t ON t.nro_sicop = f.id WHERE t.cedula_institucion = '3'), g AS (SELECT subscription, kind, id, CASE WHEN kind = 'silentRevision' AND closed_month THEN 'high' WHEN kind IN ('silentRevision', 'removed') THEN 'medium' ELSE 'low' END AS severity FROM m)
+SELECT substr(sha256(subscription || '|' || kind || '|DetalleCarteles|' || id), 1, 16) AS alert_id, id, severity FROM g""")
+def alert_list(t: Lens) -> DataFrame:
+    subs = t.spark.createDataFrame([("inst", "institution", "3", None)], "id string, kind string, value string, kinds array<string>")
+    made = delivery.subjects(delivery.static_subject(_feed(t)), t.tender, t.bid, t.award_line, t.bid_line)
+    return delivery.alert_list(delivery.alerts(made, subs)).select("alert_id", "id", "severity")
+
+
+@query("SELECT nro_linea, count(*) AS lines FROM bid_line WHERE moneda = 'USD' GROUP BY 1")
+def index_sql(t: Lens) -> DataFrame:
+    """SQL with parameters over a saved index."""
+    folder = f"{shared_folder(t.spark)}/cartulary/index-{uuid.uuid4().hex}"
+    index.save(t.spark, folder, "bid_line", t.bid_line)
+    return index.ask(t.spark, folder, "SELECT nro_linea, count(*) AS lines FROM bid_line WHERE moneda = :currency AND nro_sicop NOT IN (SELECT nro_sicop FROM tender) GROUP BY nro_linea", {"currency": "USD"})
+
+
+@query("SELECT source, period, observed_at, sha256, status, content_length, true AS tls_verified FROM observations")
+def manifest_scan(t: Lens) -> DataFrame:
+    """Observations appended to a manifest in two turns and read again."""
+    path = f"{shared_folder(t.spark)}/cartulary/manifest-{uuid.uuid4().hex}"
+    seen = _observations(t)
+    archive.append_manifest(seen.filter("content_length % 2 = 0"), path)
+    archive.append_manifest(seen.filter("content_length % 2 = 1"), path)
+    return archive.read_manifest(t.spark, path).select("source", "period", "observed_at", "sha256", "status", "content_length", "tls_verified")
+
+
+@query(f"WITH {ARCHIVES} SELECT period, substr(sha256, 1, 12) AS id, root FROM arch")
+def entries_landed(t: Lens) -> DataFrame:
+    """Anchor entries landed as JSON arrays, read and taken apart."""
+    folder = f"{shared_folder(t.spark)}/cartulary/entries-{uuid.uuid4().hex}"
+    made = versions.version_entries(_archives(t), "cr")
+    made.groupBy(F.crc32("key") % 7).agg(F.to_json(F.collect_list(F.struct("key", "type", "value"))).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    return versions.parse_versions(versions.read_entries(t.spark, folder)).select("period", "id", "root")

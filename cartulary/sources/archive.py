@@ -190,6 +190,12 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("source", F.coalesce("period", "month").alias("period"), F.col("observedAt").alias("observed_at"), F.col("lastModified").alias("last_modified"), F.col("contentLength").alias("content_length"), "sha256", "path", "status", F.coalesce("tlsVerified", F.lit(True)).alias("tls_verified"), "error")
 
 
+def append_manifest(observations: DataFrame, path: str) -> None:
+    """Append observations to a manifest: JSON lines under the published names, a new file each time; what is there stays."""
+    names = {"period": "period", "observed_at": "observedAt", "last_modified": "lastModified", "content_length": "contentLength", "tls_verified": "tlsVerified"}
+    observations.select(*[F.col(c).alias(names.get(c, c)) for c in observations.columns]).write.mode("append").json(path)
+
+
 def named_columns(rows: DataFrame, table: str, columns: dict[str, tuple[str, ...]]) -> DataFrame:
     """A table's rows as columns found by header name, whatever its case and place; absent ones are null.
 

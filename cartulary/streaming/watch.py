@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cartulary.operators import differ
+from cartulary.functions import exprs as E
+from cartulary.operators import differ, index
+from cartulary.storage import exists
 
 RECORD = "source string, period string, stamp string, table string, id string, byte_hash string, value_hash string"
 
@@ -46,6 +48,38 @@ def watch(spark: SparkSession, folder: str, state: str, feed: str, checkpoint: s
     return snapshots(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def reporter(spark: SparkSession, folder: str, source: str, grace_days: int = 2) -> Callable[[DataFrame], None]:
+    """A function for watch's on_diff that writes each comparison as a watch report: JSON, one file, named by the copy's stamp."""
+
+    def report(changes: DataFrame) -> None:
+        one = F.struct("kind", "table", "id", F.col("before.byte_hash").alias("beforeHash"), F.col("after.byte_hash").alias("afterHash"))
+        closed = E.after_close("period", "detected", grace_days)
+        # a report lists its changes, so it is one row; line policies keep open periods out of it
+        made = changes.groupBy("period", "detected").agg(F.array_sort(F.collect_list(one)).alias("changes")).select(F.col("detected").alias("ran_at"), F.lit(source).alias("source"), F.array(F.struct(F.col("period").alias("month"), closed.alias("closed_month"), "changes")).alias("findings"))
+        made.coalesce(1).write.mode("append").json(folder)
+
+    return report
+
+
+def fold(spark: SparkSession, landed: str, state: str, table: str, checkpoint: str) -> StreamingQuery:
+    """Keep an index table current from landed rows: each batch is folded into the state, newest month first, and replaces it whole.
+
+    Rows have the table's columns with source_month and archive_stamp. A batch that
+    is run again changes nothing, as the same rows win again.
+    """
+
+    def batch(rows: DataFrame, _: int) -> None:
+        session = rows.sparkSession
+        ranked = rows.withColumn("load_seq", F.col("archive_stamp")).withColumn("row_pos", F.lit(0).cast("long"))
+        if exists(session, f"{state}/{table}"):
+            held = session.read.parquet(f"{state}/{table}")
+            ranked = ranked.unionByName(held.withColumn("load_seq", F.col("archive_stamp")).withColumn("row_pos", F.lit(-1).cast("long")), allowMissingColumns=True)
+        index.save(session, state, table, index.load(ranked, table).drop("load_seq", "row_pos"))
+
+    schema = spark.read.parquet(landed).schema
+    return spark.readStream.schema(schema).parquet(landed).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _newest_before(spark: SparkSession, state: str, source: str, period: str, stamp: str) -> DataFrame | None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(f"{state}/source={source}/period={period}")
