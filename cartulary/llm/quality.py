@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from cartulary.llm.shared import distinct_sorted, give_back_memory, join_groups, likely_first, materialise, ship_package
 
 SAMPLE_ROWS = 20_000
-SAMPLE_GRAMS = 4_000_000
+SAMPLE_GRAMS = 2_000_000
 FEATURES = 14
 BINS = 1 << 18
 WORDS_KEPT = 250_000
@@ -161,7 +161,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tu
     ids = docs.select(F.col(id_col).alias("doc_id"))
     present = materialise(labels.join(ids, F.col("label_id") == F.col("doc_id"), "left_semi"), "labels")
     drawn = present.withColumn("turn", turn).filter(likely_first(turn, present.count(), 2 * SAMPLE_ROWS))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("label_id"))
+    # ids are ranked first, so only the texts of the sample are turned into bins
+    best = materialise(drawn.orderBy("turn", "label_id").limit(SAMPLE_ROWS), "sample-ids")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(best), F.col("doc_id") == F.col("label_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = Bins()
@@ -169,15 +171,14 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tu
             found = [v.as_py() for v in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([measures(t).tobytes() for t in found], pa.binary()), pa.array([bins(t).tobytes() for t in found], pa.binary()), *batch.columns[1:]], names=["x", "grams", "good", "turn"])
 
-    made = texts.select("text", "good", "turn").mapInArrow(run, "x binary, grams binary, good double, turn string")
-    x, y, grams, total = [], [], [], 0
-    for row in made.orderBy("turn", "x").limit(SAMPLE_ROWS).toLocalIterator():
-        x.append(np.frombuffer(row["x"]))
-        y.append(round(row["good"]))
-        grams.append(np.frombuffer(row["grams"], np.int32))
-        total += len(grams[-1])
-        if total >= SAMPLE_GRAMS:
-            break
+    featured = texts.select("text", "good", "turn").mapInArrow(run, "x binary, grams binary, good double, turn string")
+    # rows that share an id count once
+    made = materialise(featured.groupBy("turn").agg(F.min(F.struct("x", "grams", "good")).alias("m")).select("turn", "m.*"), "sample")
+    sizes = made.select("turn", (F.length("grams") / 4).cast("long").alias("n")).orderBy("turn").collect()  # SAMPLE_ROWS at most
+    upto = np.cumsum([r["n"] for r in sizes])
+    kept = made.filter(F.col("turn") <= sizes[int(min(np.searchsorted(upto, SAMPLE_GRAMS), len(sizes) - 1))]["turn"]) if sizes else made
+    rows = sorted((r["turn"], bytes(r["x"]), r["good"], bytes(r["grams"])) for r in kept.toLocalIterator())
+    x, y, grams = [np.frombuffer(r[1]) for r in rows], [round(r[2]) for r in rows], [np.frombuffer(r[3], np.int32) for r in rows]
     return np.array(x).reshape(-1, FEATURES), np.array(y, float), grams
 
 
