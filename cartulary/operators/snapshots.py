@@ -1,8 +1,8 @@
 """Snapshots: archives to canonical records and Merkle roots, stored and read again.
 
-A stored snapshot is two Parquet tables under
-``folder/source=S/period=P/stamp=T/canon=V``: ``records`` in order of (table, id) and
-``header``, one row, so that a root or a count is known without reading records.
+Snapshots are stored in two Parquet tables of a folder, each in parts by source,
+period, stamp and canonical rules: ``records`` in order of (table, id), and
+``headers``, a row for each, so that a root is known without reading records.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ def headers_of(spark: SparkSession, path: str, records: DataFrame, source_id: st
     return both.select("path", F.lit(version).alias("canon_version"), F.lit(source_id).alias("source"), "period", "stamp", "archive_sha256", root.alias("root"), n.alias("records"), "tables")
 
 
-def _place(folder: str, source_id: str, period: str, stamp: str, version: str) -> str:
-    return f"{folder}/source={source_id}/period={period}/stamp={stamp}/canon={version}"
+def _place(source_id: str, period: str, stamp: str) -> str:
+    return f"source={source_id}/period={period}/stamp={stamp}"
 
 
 def store(folder: str, records: DataFrame, headers: DataFrame) -> None:
@@ -46,8 +46,9 @@ def store(folder: str, records: DataFrame, headers: DataFrame) -> None:
     rows = records.select("path", "table", "id", "byte_hash", "value_hash").join(own, "path").drop("path")
     ordered = rows.repartitionByRange(*keys, "table", "id").sortWithinPartitions(*keys, "table", "id")
     ordered.write.mode("append").partitionBy(*keys).parquet(f"{folder}/records")
-    # headers come last: a snapshot without one isn't complete
-    head.drop("path").withColumns({"source": F.col("source"), "header_source": F.col("source"), "header_period": F.col("period"), "header_stamp": F.col("stamp")}).write.mode("append").partitionBy(*keys).parquet(f"{folder}/headers")
+    # headers come last: a snapshot without one isn't complete; folder names read back as numbers, so the texts stay in the rows
+    said = {f"header_{c}": F.col(c) for c in ("source", "period", "stamp")}
+    head.drop("path").withColumns(said).write.mode("append").partitionBy(*keys).parquet(f"{folder}/headers")
 
 
 def headers(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,21 +56,20 @@ def headers(spark: SparkSession, folder: str) -> DataFrame:
     if not exists(spark, f"{folder}/headers"):
         return spark.createDataFrame([], HEADER)
     found = spark.read.option("basePath", f"{folder}/headers").parquet(f"{folder}/headers")
-    names = [c.split()[0] for c in HEADER.split(", ") if ">" not in c and "<" not in c]
-    said = {"source": "header_source", "period": "header_period", "stamp": "header_stamp"}
-    return found.select(*[F.col(said.get(c, c)).alias(c) for c in names if c != "tables"], "tables")
+    texts = [F.col(f"header_{c}").alias(c) for c in ("source", "period", "stamp")]
+    return found.select("canon_version", *texts, "archive_sha256", "root", "records", "tables")
 
 
 def stored(spark: SparkSession, folder: str, source_id: str, period: str, stamp: str, current: str = CANON_VERSION) -> list[str]:
     """Rules under which a copy is stored: the current ones first, then others, newest first."""
-    base = f"{folder}/headers/source={source_id}/period={period}/stamp={stamp}"
+    base = f"{folder}/headers/{_place(source_id, period, stamp)}"
     found = sorted((n.removeprefix("canon=") for n in names_in(spark, base) if n.startswith("canon=")), reverse=True)
     return sorted(found, key=lambda v: v != current)
 
 
 def read(spark: SparkSession, folder: str, source_id: str, period: str, stamp: str, version: str = CANON_VERSION) -> DataFrame:
     """Records of one stored snapshot; only its folder is read."""
-    return spark.read.schema(RECORD).parquet(f"{folder}/records/source={source_id}/period={period}/stamp={stamp}/canon={version}")
+    return spark.read.schema(RECORD).parquet(f"{folder}/records/{_place(source_id, period, stamp)}/canon={version}")
 
 
 def load_or_build(spark: SparkSession, folder: str, archives: str, source_id: str, period: str, stamp: str, version: str = CANON_VERSION) -> DataFrame:
