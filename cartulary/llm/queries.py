@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.llm import ann, byte_bpe, exact_dedup, language_id, mixture, near_dup, quality, substring_dedup, token_file, warc
+from cartulary.llm import ann, byte_bpe, exact_dedup, language_id, mixture, near_dup, periodic, quality, repair, rules, substring_dedup, token_file, warc
 from cartulary.llm.shared import table
+from cartulary.llm.wording import words_of
+
 
 def tokenizer_path(name: str) -> str:
     """A vocabulary file of the public_tokenizers package."""
@@ -73,6 +76,49 @@ def op10_near_dup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents"))
 
 
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """doc_id and text of documents, where one in ten, by the CRC-32 of its id, repeats a stretch of itself to its end."""
+
+    @F.arrow_udf("string")
+    def repeating(texts: pa.Array, hashes: pa.Array) -> pa.Array:
+        out = []
+        for text, h in zip(texts.to_pylist(), hashes.to_pylist(), strict=True):
+            words = words_of(text) if h is not None and h % 10 == 0 else []
+            if words:
+                n, g = len(words), h // 10
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                text = b" ".join([*words[:a], *(words[a + k % p] for k in range(n - a))]).decode()
+            out.append(text)
+        return pa.array(out, pa.string())
+
+    return docs.select("doc_id", repeating(F.col("text").cast("string"), F.crc32(F.col("doc_id").cast("string").cast("binary"))).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every document, of which one in ten is made periodic first."""
+    found = periodic.with_runs(made_periodic(table(spark, sf_dir, "documents"))).select("doc_id", "periodic.*")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("l", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("l.start")).alias("start"), F.col("l.length").alias("length"), (-F.col("l.period")).alias("period"),
+        F.expr("1000 * l.length div -l.period").alias("exponent_milli"),
+        F.sha2(F.concat(lines, F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and the cheapest repair of every conversation, after known damage."""
+    return repair.digests(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and the verdict of a decision list learned from labels."""
+    docs = table(spark, sf_dir, "documents")
+    made = rules.judged(docs, rules.fitted(docs, table(spark, sf_dir, "labels")))
+    return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 OP9_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -87,7 +133,7 @@ def queries() -> dict:
     """Name to function of (spark, sf_dir)."""
     made = (
         op1_quality_classifier, op2_byte_bpe, op3_learned_partitions, op4_token_files, op5_suffix_dedup, op6_warc, op7_source_mixture, op8_language_id,
-        op9_exact_dedup, op10_near_dup_join,
+        op9_exact_dedup, op10_near_dup_join, op11_periodic_runs, op12_conversation_repair, op13_quality_rules,
     )
     return {f.__name__: f for f in made}
 
