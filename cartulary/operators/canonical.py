@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from cartulary.functions.exprs import canonical_number
+from cartulary.operators import occurrences
 from cartulary.schemas import CANON_VERSION, FIELD_MARK, PART_MARK, RECORD_MARK, TableDef
+from cartulary.storage import written
 
 
 def _trim(c: Column) -> Column:
@@ -47,8 +48,9 @@ def identified(rows: DataFrame, defs: dict[str, TableDef], version: str = CANON_
 
     The key names a row if all its columns exist and not all are blank; the first
     row in file order keeps it. Other rows are named by their content and an
-    occurrence number. Blank keys never meet in a window on the key. Rows are read
-    once: the window on the key and that on the name follow each other.
+    occurrence number. Blank keys never meet in a window on the key. Rows are written
+    once and then numbered; equal rows and repeated keys may be any share of a table
+    (see ``occurrences``).
     """
     own = [c for c in rows.columns if c not in _ROW]
     keys = F.coalesce(F.try_element_at(_by_table(defs, "key"), F.col("table")), F.array().cast("array<string>"))
@@ -61,13 +63,15 @@ def identified(rows: DataFrame, defs: dict[str, TableDef], version: str = CANON_
     base = rows.select(*own, "table", "row_pos", "header", pairs.alias("pairs"), raw.alias("key"))
     # rows without a key are spread by their content
     apart = F.when(F.col("key").isNull(), F.xxhash64("pairs"))
-    turn = F.row_number().over(W.partitionBy(*own, "table", "key", apart).orderBy("row_pos"))
-    keyed = base.withColumn("duplicate_key", F.col("key").isNotNull() & (turn > 1)).withColumn("content_addressed", F.col("key").isNull() | F.col("duplicate_key"))
+    base = written(base.withColumn("apart", apart), "identified")
+    n = base.count()
+    turned = occurrences.numbered(base, [*own, "table", "key", "apart"], "row_pos", "turn", n=n)
+    keyed = turned.withColumn("duplicate_key", F.col("key").isNotNull() & (F.col("turn") > 1)).withColumn("content_addressed", F.col("key").isNull() | F.col("duplicate_key"))
     digest = F.substring(F.sha2(encode(F.col("table"), F.lit(""), F.col("pairs"), version), 256), 1, 32)
     named = keyed.withColumn("name", F.when(F.col("content_addressed"), digest).otherwise(F.col("key")))
-    again = F.row_number().over(W.partitionBy(*own, "table", "content_addressed", "name").orderBy("row_pos")) - 1
-    id_ = F.when(F.col("content_addressed"), F.concat(F.lit("sha256:"), F.col("name"), F.lit("#"), F.col("n").cast("string"))).otherwise(F.col("name"))
-    return named.withColumn("n", again).select(*own, "table", "row_pos", "header", "pairs", id_.alias("id"), "content_addressed", "duplicate_key")
+    counted = occurrences.numbered(named, [*own, "table", "content_addressed", "name"], "row_pos", "n", n=n)
+    id_ = F.when(F.col("content_addressed"), F.concat(F.lit("sha256:"), F.col("name"), F.lit("#"), (F.col("n") - 1).cast("string"))).otherwise(F.col("name"))
+    return counted.select(*own, "table", "row_pos", "header", "pairs", id_.alias("id"), "content_addressed", "duplicate_key")
 
 
 def records(rows: DataFrame, defs: dict[str, TableDef], version: str = CANON_VERSION) -> DataFrame:

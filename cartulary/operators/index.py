@@ -17,15 +17,22 @@ from cartulary.sources.archive import table_or_empty
 from cartulary.storage import replace
 
 
+#: Columns that say where a row comes from or in which order it was loaded.
+_NOT_CONTENT = {"load_seq", "row_pos", "sha256", "archive_stamp", "source_month"}
+
+
 def latest_wins(rows: DataFrame, keys: tuple[str, ...], coalesce: bool = False, order: tuple[str, ...] = ("source_month", "load_seq", "row_pos")) -> DataFrame:
     """Of each key the row of the newest month; of equal months the one loaded last.
 
     Rows without a whole key are left out; with coalesce, missing parts count as the
-    empty string. The limit to the first row works within each task before the shuffle.
+    empty string. Rows that agree in all of ``order`` are told apart by their content, so the
+    winner doesn't depend on how rows are dealt out. The limit to the first row works
+    within each task before the shuffle.
     """
     parts = [F.coalesce(F.col(k), F.lit("")) if coalesce else F.col(k) for k in keys]
     usable = rows if coalesce else rows.filter(_all(E.filled(k) for k in keys))
-    w = W.partitionBy(*parts).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    content = F.xxhash64(*sorted(c for c in rows.columns if c not in _NOT_CONTENT))
+    w = W.partitionBy(*parts).orderBy(*[F.col(c).desc_nulls_last() for c in order], content)
     return usable.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 

@@ -8,7 +8,7 @@ in a task of its own, which gives the same root as one tree over all leaves.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -164,8 +164,24 @@ def verified(proofs: DataFrame) -> DataFrame:
     return proofs.withColumn("ok", F.lower(F.hex(F.aggregate("steps", start, up))) == F.col("root"))
 
 
-def proofs(tree: list[DataFrame], *trees: str) -> DataFrame:
-    """trees, idx, hash, steps, root: every leaf of levels() with its whole path to its tree's root.
+def _asked(tree: list[DataFrame], wanted: DataFrame, *trees: str) -> list[DataFrame]:
+    """The rows of each table whose block holds a wanted node, or the block of one, with the column wanted.
+
+    Blocks of a table meet the wanted numbers by a semi-join, so what is read goes by
+    the wanted leaves: at most 1024 rows of each table for each of them.
+    """
+    out, asked = [], wanted.select(*trees, F.col("idx").cast("long")).distinct()
+    for table in tree:
+        asked = written(asked, "asked")
+        blocks = asked.select(*trees, F.shiftright("idx", BLOCK_LEVELS).alias("block")).distinct()
+        rows = table.withColumn("block", F.shiftright("idx", BLOCK_LEVELS)).join(blocks, [*trees, "block"], "left_semi")
+        out.append(rows.join(asked.withColumn("wanted", F.lit(True)), [*trees, "idx"], "left").withColumn("wanted", F.coalesce("wanted", F.lit(False))))
+        asked = blocks.select(*trees, F.col("block").alias("idx"))
+    return out
+
+
+def proofs(tree: list[DataFrame], *trees: str, wanted: DataFrame | None = None) -> DataFrame:
+    """trees, idx, hash, steps, root: the leaves of levels(), or those that are wanted (trees, idx), with their paths to their roots.
 
     From the roots down, each table's blocks meet the one path that leads on from
     their block in the table above, so a task holds 1024 nodes and one path.
@@ -175,17 +191,100 @@ def proofs(tree: list[DataFrame], *trees: str) -> DataFrame:
 
     def work(group: pd.DataFrame, up: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("idx")
-        nodes = group["hash"].tolist()
         on = (list(up["others"].iloc[0]), list(up["sides"].iloc[0])) if len(up) else ([], [])
-        rows = rows_above(nodes)
-        steps = [along(rows, k) for k in range(len(nodes))]
-        return pd.DataFrame({**{t: group[t] for t in trees}, "idx": group["idx"], "hash": group["hash"], "others": [[s.hash for s in p] + on[0] for p in steps], "sides": [[s.side for s in p] + on[1] for p in steps]})
-
+        rows = rows_above(group["hash"].tolist())
+        places = [k for k, asked in enumerate(group["wanted"]) if asked]
+        steps = [along(rows, k) for k in places]
+        mine = group.iloc[places]
+        return pd.DataFrame({**{t: mine[t] for t in trees}, "idx": mine["idx"], "hash": mine["hash"], "others": [[s.hash for s in p] + on[0] for p in steps], "sides": [[s.side for s in p] + on[1] for p in steps]})
+
+    if wanted is None:
+        tables = [table.withColumn("wanted", F.lit(True)).withColumn("block", F.shiftright("idx", BLOCK_LEVELS)) for table in tree]
+    else:
+        tables = _asked(tree, wanted, *trees)
     none = F.array().cast("array<string>")
-    out = tree[-1].select(*trees, "idx", "hash", none.alias("others"), none.alias("sides"))
-    for table in reversed(tree[:-1]):
-        out = table.groupBy(*trees, F.shiftright("idx", BLOCK_LEVELS).alias("block")).cogroup(out.groupBy(*trees, "idx")).applyInPandas(work, schema)
+    out = tables[-1].filter("wanted").select(*trees, "idx", "hash", none.alias("others"), none.alias("sides"))
+    for table in reversed(tables[:-1]):
+        out = table.groupBy(*trees, "block").cogroup(out.groupBy(*trees, "idx")).applyInPandas(work, schema)
     steps = F.zip_with("others", "sides", lambda h, s: F.struct(h.alias("hash"), s.alias("side"))).alias("steps")
     top = tree[-1].filter("idx = 0").select(*trees, F.col("hash").alias("root"))
     made = out.select(*trees, "idx", "hash", steps)
     return made.join(top, [*trees]) if trees else made.crossJoin(F.broadcast(top))  # one row
+
+
+def _siblings(base: int, trees: tuple[str, ...]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A function of a block's nodes, ``base`` levels up: those that prove its wanted ones."""
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("idx")
+        first = int(group["idx"].iloc[0])
+        known = {k for k, asked in enumerate(group["wanted"]) if asked}
+        found = []
+        for level, row in enumerate(rows_above(group["hash"].tolist())):
+            found += [(base + level, (first >> level) + (k ^ 1), row[k ^ 1]) for k in sorted(known) if k ^ 1 < len(row) and k ^ 1 not in known]
+            known = {k >> 1 for k in known}
+        made = pd.DataFrame(found, columns=["level", "idx", "hash"])
+        return made.assign(**{t: group[t].iloc[0] for t in trees})[[*trees, "level", "idx", "hash"]]
+
+    return work
+
+
+def frontier(tree: list[DataFrame], wanted: DataFrame, *trees: str) -> DataFrame:
+    """trees, level, idx, hash: the nodes that prove all wanted leaves (trees, idx) of a tree together.
+
+    Level by level a node is needed if it is the sibling of a known one and isn't
+    known itself; siblings that several leaves share are there once.
+    """
+    kinds = "".join(f"{t} {tree[0].schema[t].dataType.simpleString()}, " for t in trees)
+    schema = f"{kinds}level int, idx long, hash string"
+    out = tree[0].sparkSession.createDataFrame([], schema)
+    for number, table in enumerate(_asked(tree, wanted, *trees)[:-1]):
+        out = out.unionByName(table.groupBy(*trees, "block").applyInPandas(_siblings(number * BLOCK_LEVELS, trees), schema))
+    return out
+
+
+def _known_above(base: int, trees: tuple[str, ...]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A function of known nodes of a block from ``base`` levels up on: what follows from them BLOCK_LEVELS higher; null if it can't be told."""
+
+    def agreed(row: dict[int, str | None], k: int, hash_: str) -> None:
+        row[k] = hash_ if row.get(k, hash_) == hash_ else None
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        records = int(group["records"].iloc[0])
+        said: dict[int, list[tuple[int, str]]] = {}
+        for level, idx, hash_ in zip(group["level"], group["idx"], group["hash"], strict=True):
+            said.setdefault(int(level) - base, []).append((int(idx), hash_))
+        row: dict[int, str | None] = {}
+        for level in range(BLOCK_LEVELS + 1):
+            for k, hash_ in said.get(level, ()):
+                agreed(row, k, hash_)
+            size = -(-records // (1 << (base + level)))
+            if level == BLOCK_LEVELS or size <= 1:
+                break
+            pairs = {k >> 1: (row.get(k & ~1), row.get(k | 1)) for k in row}
+            row = {k: a if 2 * k + 1 >= size else node(a, b) if a and b else None for k, (a, b) in pairs.items()}
+        made = pd.DataFrame({"idx": list(row), "hash": list(row.values())}).astype({"idx": "int64", "hash": "object"})
+        return made.assign(**{t: group[t].iloc[0] for t in trees})[[*trees, "idx", "hash"]]
+
+    return work
+
+
+def proven_together(leaves_: DataFrame, siblings: DataFrame, sizes: DataFrame, *trees: str) -> DataFrame:
+    """trees, ok: whether leaves (trees, idx, hash) and the nodes of ``frontier`` lead to each tree's root; sizes have trees, records, root.
+
+    Ten levels are climbed in a step, from known nodes alone. A node that is missing
+    or altered anywhere fails its tree; a tree of which no leaf is asked for holds.
+    """
+    kinds = "".join(f"{t} {leaves_.schema[t].dataType.simpleString()}, " for t in trees)
+    most = sizes.agg(F.max("records")).first()[0] or 0
+    known = leaves_.select(*trees, "idx", "hash")
+    for base in range(0, max(1, (most - 1).bit_length()), BLOCK_LEVELS):
+        here = siblings.filter((F.col("level") >= base) & (F.col("level") < base + BLOCK_LEVELS)).select(*trees, "level", "idx", "hash")
+        rows = known.select(*trees, F.lit(base).alias("level"), "idx", "hash").unionByName(here)
+        counted = rows.join(sizes.select(*trees, "records"), [*trees]) if trees else rows.crossJoin(F.broadcast(sizes.select("records")))  # one row
+        block = F.expr(f"shiftright(idx, {base + BLOCK_LEVELS} - level)").alias("block")
+        known = counted.withColumn("block", block).groupBy(*trees, "block").applyInPandas(_known_above(base, trees), f"{kinds}idx long, hash string")
+    ends = known.groupBy(*trees).agg(F.count("*").alias("ends"), F.max("hash").alias("top"), F.count("hash").alias("told"))
+    met = sizes.join(ends, [*trees], "left") if trees else sizes.crossJoin(ends)  # one row each
+    right = (F.col("ends") == 1) & (F.col("told") == 1) & (F.col("top") == F.col("root"))
+    return met.select(*trees, (F.coalesce(F.col("ends"), F.lit(0)) == 0).alias("none"), right.alias("right")).select(*trees, F.when(F.col("none"), True).otherwise(F.coalesce("right", F.lit(False))).alias("ok"))

@@ -39,16 +39,20 @@ def _place(source_id: str, period: str, stamp: str) -> str:
 
 
 def store(folder: str, records: DataFrame, headers: DataFrame) -> None:
-    """Write the snapshots of archives (records and headers as above), all archives in two jobs."""
+    """Write the snapshots of archives (records and headers as above), all archives in two jobs.
+
+    A snapshot's own folders are replaced as a whole, so a store that is run again, also after a failure between the
+    two jobs, leaves each record once; other snapshots aren't touched.
+    """
     keys = ["source", "period", "stamp", "canon"]
     head = headers.withColumn("canon", F.col("canon_version"))
     own = head.select("path", *keys)
     rows = records.select("path", "table", "id", "byte_hash", "value_hash").join(own, "path").drop("path")
     ordered = rows.repartitionByRange(*keys, "table", "id").sortWithinPartitions(*keys, "table", "id")
-    ordered.write.mode("append").partitionBy(*keys).parquet(f"{folder}/records")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{folder}/records")
     # headers come last: a snapshot without one isn't complete; folder names read back as numbers, so the texts stay in the rows
     said = {f"header_{c}": F.col(c) for c in ("source", "period", "stamp")}
-    head.drop("path").withColumns(said).write.mode("append").partitionBy(*keys).parquet(f"{folder}/headers")
+    head.drop("path").withColumns(said).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{folder}/headers")
 
 
 def headers(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,9 +101,9 @@ def proof_documents(headers_: DataFrame, records: DataFrame, wanted: DataFrame,
     """
     numbered = written(merkle.leaves(records, "path"), "numbered")
     picked = written(numbered.join(wanted.select("path", "table", "id").distinct(), ["path", "table", "id"]), "picked")
-    # whole paths only for trees that hold a wanted record
-    trees = numbered.join(picked.select("path").distinct(), "path", "left_semi")
-    steps = merkle.proofs(merkle.levels(trees, "path"), "path")
+    # blocks are reduced only for trees that hold a wanted record, and paths are made only for wanted leaves
+    trees = written(numbered.join(picked.select("path").distinct(), "path", "left_semi"), "trees")
+    steps = merkle.proofs(merkle.levels(trees, "path"), "path", wanted=picked.select("path", "idx"))
     first = anchored.groupBy("period", "root").agg(F.min("day").alias("anchored_day"))
     rows = picked.join(steps.select("path", "idx", "steps"), ["path", "idx"]).join(headers_, "path").join(records.select("path", "table", "id", "byte_hash"), ["path", "table", "id"]).join(first, ["period", "root"], "left")
     body = F.struct("period", "anchored_day", "table", "id", "byte_hash", F.col("idx").alias("leaf_index"), F.col("records").alias("leaf_count"), "root", "archive_sha256", "canon_version", "stamp", F.col("steps").alias("proof"))

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from cartulary.plans import extended, registry  # noqa: F401  importing a module registers its queries
+from cartulary.plans import deep, extended, registry  # noqa: F401  importing a module registers its queries
 
 queries, oracle_sql = registry.queries, registry.oracle_sql

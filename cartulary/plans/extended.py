@@ -420,12 +420,15 @@ def stamps(t: Lens) -> DataFrame:
     return rows.withColumn("http_date", E.http_date("stamp"))
 
 
-@query("""WITH g AS (SELECT n, k FROM range(1, 61) a(n), LATERAL (SELECT unnest(range(0, n + 1)) AS k) b), c AS (SELECT n, k, lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) AS lc FROM g)
-SELECT n, k, round(lgamma(n + 1), 6) AS log_factorial, round(lc, 6) AS log_choose, round(least(1.0, sum(exp(lc + k * ln(1 / 3) + (n - k) * ln(2 / 3))) OVER (PARTITION BY n ORDER BY k DESC)), 6) AS tail FROM c""")
+@query("""WITH c AS (SELECT o_custkey AS c, count(*) AS n, count(*) FILTER (o_totalprice > 150000) AS k FROM orders GROUP BY 1), d AS (SELECT DISTINCT n, k FROM c),
+g AS (SELECT DISTINCT n, unnest(range(0, n + 1)) AS i FROM d), p AS (SELECT n, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(1 / 3) + (n - i) * ln(2 / 3)) AS third, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) AS fair FROM g),
+s AS (SELECT n, i AS k, least(1.0, sum(third) OVER w) AS tail, least(1.0, sum(fair) OVER w) AS fair_tail FROM p WINDOW w AS (PARTITION BY n ORDER BY i DESC))
+SELECT c, n, k, round(lgamma(n + 1), 6) AS log_factorial, round(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1), 6) AS log_choose, round(tail, 6) AS tail, round(fair_tail, 6) AS fair_tail FROM c JOIN s USING (n, k)""")
 def binomial_table(t: Lens) -> DataFrame:
-    g = t.spark.range(1, 61).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), "id")).alias("k"))
+    """Large orders among those of each customer: how likely so many or more would be."""
+    g = t.raw("orders").groupBy(F.col("o_custkey").alias("c")).agg(F.count("*").alias("n"), F.count_if(F.col("o_totalprice") > 150000).alias("k"))
     n, k = F.col("n"), F.col("k")
-    return g.select("n", "k", r(S.log_factorial(n), "log_factorial"), r(S.log_choose(n, k), "log_choose"), r(S.binomial_tail_at(k, n, 1 / 3), "tail"))
+    return g.select("c", "n", "k", r(S.log_factorial(n), "log_factorial"), r(S.log_choose(n, k), "log_choose"), r(S.binomial_tail_at(k, n, 1 / 3), "tail"), r(S.binomial_tail(k, n), "fair_tail"))
 
 
 # Anchors

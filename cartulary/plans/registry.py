@@ -571,13 +571,16 @@ def diff_counts(t: Lens) -> DataFrame:
     return differ.kind_counts(_changes(t))
 
 
-@query("""WITH f AS (SELECT 'orders' AS t, ['o_orderkey', 'o_status'] AS a, ['o_orderkey', 'o_status', 'o_note'] AS b UNION ALL SELECT 'kept', ['x'], ['x'] UNION ALL SELECT 'gone', ['x'], NULL),
-g AS (SELECT t, substr(sha256('cartulary-canon-2' || chr(0) || 'schema' || chr(0) || t || chr(0) || array_to_string(a, chr(30))), 1, 16) AS before, CASE WHEN b IS NOT NULL THEN substr(sha256('cartulary-canon-2' || chr(0) || 'schema' || chr(0) || t || chr(0) || array_to_string(b, chr(30))), 1, 16) END AS after FROM f)
-SELECT t AS table_name, before, after FROM g WHERE before IS DISTINCT FROM after""")
+@query("""WITH s AS (SELECT DISTINCT o_orderstatus AS st, ['o_orderkey', 'o_orderstatus', 'o_orderpriority'] AS a FROM orders), g AS (SELECT 'orders-' || st AS t, CASE WHEN st <> 'P' THEN a END AS a, CASE st WHEN 'F' THEN a ELSE list_concat(a, ['o_note']) END AS b FROM s),
+h AS (SELECT t, CASE WHEN a IS NOT NULL THEN substr(sha256('cartulary-canon-2' || chr(0) || 'schema' || chr(0) || t || chr(0) || array_to_string(a, chr(30))), 1, 16) END AS before, substr(sha256('cartulary-canon-2' || chr(0) || 'schema' || chr(0) || t || chr(0) || array_to_string(b, chr(30))), 1, 16) AS after FROM g)
+SELECT t AS table_name, before, after FROM h WHERE before IS DISTINCT FROM after""")
 def schema_changes(t: Lens) -> DataFrame:
-    made = t.spark.createDataFrame([("orders", ["o_orderkey", "o_status"], ["o_orderkey", "o_status", "o_note"]), ("kept", ["x"], ["x"]), ("gone", ["x"], None)], "table string, a array<string>, b array<string>")
-    one = lambda c: made.filter(F.col(c).isNotNull()).select("table", canonical.schema_fingerprint(F.col("table"), F.col(c)).alias("schema"))
-    return differ.schema_changes(one("a"), one("b")).withColumnRenamed("table", "table_name")
+    """A table for each status of orders: one is new in the later copy, one has the same columns, others have one more."""
+    one = t.raw("orders").select(F.concat(F.lit("orders-"), "o_orderstatus").alias("table"), F.col("o_orderkey").alias("row_pos"), F.array(*map(F.lit, ("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("header"), F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority").alias("cells"))
+    grown = F.col("table") != "orders-F"
+    two = one.select("table", "row_pos", F.when(grown, F.array_append("header", F.lit("o_note"))).otherwise(F.col("header")).alias("header"), F.when(grown, F.array_append("cells", F.lit("-"))).otherwise(F.col("cells")).alias("cells"))
+    stats = lambda rows: canonical.table_stats(canonical.records(rows, {}))
+    return differ.schema_changes(stats(one.filter("table <> 'orders-P'")), stats(two)).withColumnRenamed("table", "table_name")
 
 
 @query("SELECT id, kind, field, before_value, after_value FROM field_rows")

@@ -8,6 +8,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 import pyarrow as pa
@@ -16,10 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartulary.sources import chunks
 from cartulary.storage import written
 
 ROWS = "path string, table string, row_pos long, header array<string>, cells array<string>"
 OBSERVATION = "source string, period string, month string, observedAt string, lastModified string, contentLength long, sha256 string, path string, status string, tlsVerified boolean, error string"
+CHUNK = pa.schema([("path", pa.string()), ("entry", pa.int32()), ("chunk", pa.int32()), ("table", pa.string()), ("sep", pa.string()), ("header", pa.list_(pa.string())), ("content", pa.binary())])
 ARCHIVE_NAME = r"([0-9]{8}T[0-9]{6}Z)-([0-9a-f]{12})\.zip$"
 
 
@@ -92,48 +95,35 @@ def clean_header(cells: list[str]) -> list[str]:
     return [c.replace("﻿", "").strip() for c in cells]
 
 
-def entries(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """Table name and content of each CSV in an archive, and in archives within it; folders don't matter."""
+def entries(data: bytes, size: int = chunks.CHUNK_BYTES) -> Iterator[tuple[str, Iterator[bytes]]]:
+    """Table name and content, piece by piece, of each CSV in an archive, and in archives within it; folders don't matter."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for info in z.infolist():
             name = info.filename.rsplit("/", 1)[-1]
             if name.lower().endswith(".csv"):
-                yield name[:-4], z.read(info)
+                with z.open(info) as stream:
+                    yield name[:-4], iter(partial(stream.read, size), b"")
             elif name.lower().endswith(".zip"):
-                yield from entries(z.read(info))
+                yield from entries(z.read(info), size)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, chunk_bytes: int = chunks.CHUNK_BYTES) -> DataFrame:
     """path, table, row_pos, header, cells of all rows of all archives.
 
-    First the central directories are read, then each CSV entry is a row of its own
-    and one task's work, so a large entry doesn't hold up the others of its archive.
+    A task unpacks an archive as a stream of chunks; from then on every chunk of
+    an entry is a task's work, however its quotes lie (see ``chunks``).
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for where, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for table, content in entries(data):
-                    yield pa.RecordBatch.from_arrays([pa.array([where]), pa.array([table]), pa.array([content], pa.binary())], names=["path", "table", "content"])
+                for n, (table, pieces) in enumerate(entries(data, chunk_bytes)):
+                    for k, (sep, header, content) in enumerate(chunks.cut_up(pieces, delimiter, parse_csv)):
+                        yield pa.RecordBatch.from_pylist([{"path": where, "entry": n, "chunk": k, "table": table, "sep": sep, "header": clean_header(header), "content": content}], schema=CHUNK)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for where, table, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                rows = parse_csv(content.decode("utf-8", "replace"), delimiter(content))
-                header = clean_header(next(rows, []))
-                held: list[list[str]] = []
-                first = 0
-                for row in rows:
-                    held.append(row)
-                    if len(held) == 5000:
-                        yield _batch(where, table, first, header, held)
-                        first, held = first + len(held), []
-                if held:
-                    yield _batch(where, table, first, header, held)
-
-    each = files.mapInArrow(split, "path string, table string, content binary")
-    return each.repartition(max(2, 2 * spark.sparkContext.defaultParallelism), "path", "table").mapInArrow(work, ROWS)
+    each = files.mapInArrow(split, chunks.CHUNK).repartition(max(2, 2 * spark.sparkContext.defaultParallelism), "path", "entry", "chunk")
+    return chunks.rows_of(chunks.owned(written(each, "chunks")), parse_csv, ROWS)
 
 
 def archive_sums(spark: SparkSession, path: str) -> DataFrame:
@@ -173,11 +163,6 @@ def write_archives(rows: DataFrame, folder: str, sep: str = ";") -> DataFrame:
     return written(rows.groupBy("period", "stamp").applyInPandas(put, "period string, stamp string, sha256 string, path string"), "archives")
 
 
-def _batch(where: str, table: str, first: int, header: list[str], rows: list[list[str]]) -> pa.RecordBatch:
-    n = len(rows)
-    return pa.RecordBatch.from_arrays([pa.array([where] * n), pa.array([table] * n), pa.array(range(first, first + n), pa.int64()), pa.array([header] * n, pa.list_(pa.string())), pa.array(rows, pa.list_(pa.string()))], names=["path", "table", "row_pos", "header", "cells"])
-
-
 def archive_list(spark: SparkSession, path: str) -> DataFrame:
     """path, period, stamp, short: archives by name, without reading them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "length")

@@ -55,3 +55,31 @@ def replace(spark: SparkSession, made: str, target: str) -> None:
     if not fs.rename(new, old):
         raise OSError(f"{made} can't be moved to {target}")
     fs.delete(before, True)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that appears under its name only when it is whole; there must be none yet."""
+    made, fs = _hadoop(spark, f"{path}.{uuid.uuid4().hex}")
+    target, _ = _hadoop(spark, path)
+    fs.mkdirs(target.getParent())
+    out = fs.create(made)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(made, target):
+        raise OSError(f"{path} can't be written")
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    where, fs = _hadoop(spark, path)
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    where, fs = _hadoop(spark, path)
+    fs.delete(where, True)

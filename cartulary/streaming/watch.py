@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cartulary.functions import exprs as E
-from cartulary.operators import differ, index
-from cartulary.storage import exists
+from cartulary.operators import differ, state
 
 RECORD = "source string, period string, stamp string, table string, id string, byte_hash string, value_hash string"
 
@@ -20,11 +19,11 @@ def snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(RECORD).parquet(folder)
 
 
-def watch(spark: SparkSession, folder: str, state: str, feed: str, checkpoint: str, on_diff: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+def watch(spark: SparkSession, folder: str, copies_folder: str, feed: str, checkpoint: str, on_diff: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
     """Process what has landed since the last run: compare each new copy with the newest before it.
 
     The first copy of a period is its baseline. Changes go to ``feed`` as Parquet,
-    copies to ``state`` partitioned by period and stamp; both are written per
+    copies to ``copies_folder`` partitioned by period and stamp; both are written per
     batch under the batch's own name, so a batch that is run again replaces itself.
     Late copies are findings, not late data: nothing is dropped.
     """
@@ -35,9 +34,9 @@ def watch(spark: SparkSession, folder: str, state: str, feed: str, checkpoint: s
         copies = rows.select("source", "period", "stamp").distinct().orderBy("period", "stamp").collect()  # one row per copy
         for c in copies:
             mine = rows.filter((F.col("source") == c["source"]) & (F.col("period") == c["period"]) & (F.col("stamp") == c["stamp"]))
-            prior = _newest_before(session, state, c["source"], c["period"], c["stamp"])
+            prior = _newest_before(session, copies_folder, c["source"], c["period"], c["stamp"])
             where = f"source={c['source']}/period={c['period']}/stamp={c['stamp']}"
-            mine.drop("source", "period", "stamp").write.mode("overwrite").parquet(f"{state}/{where}")
+            mine.drop("source", "period", "stamp").write.mode("overwrite").parquet(f"{copies_folder}/{where}")
             if prior is not None:
                 made = differ.diff(prior, mine).withColumn("period", F.lit(c["period"])).withColumn("detected", F.lit(c["stamp"]))
                 made.write.mode("overwrite").parquet(f"{feed}/{where}")
@@ -61,33 +60,29 @@ def reporter(spark: SparkSession, folder: str, source: str, grace_days: int = 2)
     return report
 
 
-def fold(spark: SparkSession, landed: str, state: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Keep an index table current from landed rows: each batch is folded into the state, newest month first, and replaces it whole.
+def fold(spark: SparkSession, landed: str, folder: str, table: str, checkpoint: str) -> StreamingQuery:
+    """Keep an index table current from landed rows (the table's columns with source_month, archive_stamp and row_pos).
 
-    Rows have the table's columns with source_month and archive_stamp. A batch that
-    is run again changes nothing, as the same rows win again.
+    Each batch rewrites the buckets of its keys only (see ``state``). Rows that tie in month and
+    stamp go by their place in the archive, then by content, so neither the files in which rows
+    land nor a batch that is run again change the result.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
-        session = rows.sparkSession
-        ranked = rows.withColumn("load_seq", F.col("archive_stamp")).withColumn("row_pos", F.lit(0).cast("long"))
-        if exists(session, f"{state}/{table}"):
-            held = session.read.parquet(f"{state}/{table}")
-            ranked = ranked.unionByName(held.withColumn("load_seq", F.col("archive_stamp")).withColumn("row_pos", F.lit(-1).cast("long")), allowMissingColumns=True)
-        index.save(session, state, table, index.load(ranked, table).drop("load_seq", "row_pos"))
+        state.fold(rows.sparkSession, folder, table, rows)
 
     schema = spark.read.parquet(landed).schema
     return spark.readStream.schema(schema).parquet(landed).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _newest_before(spark: SparkSession, state: str, source: str, period: str, stamp: str) -> DataFrame | None:
+def _newest_before(spark: SparkSession, held: str, source: str, period: str, stamp: str) -> DataFrame | None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(f"{state}/source={source}/period={period}")
+    folder = hadoop.Path(f"{held}/source={source}/period={period}")
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(folder):
         return None
     stamps = sorted(s for f in fs.listStatus(folder) if (s := f.getPath().getName().removeprefix("stamp=")) < stamp)
-    return spark.read.parquet(f"{state}/source={source}/period={period}/stamp={stamps[-1]}") if stamps else None
+    return spark.read.parquet(f"{held}/source={source}/period={period}/stamp={stamps[-1]}") if stamps else None
 
 
 def activity(events: DataFrame, window: str = "1 day", late: str = "2 days") -> DataFrame:

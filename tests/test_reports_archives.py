@@ -13,6 +13,7 @@ from cartulary import cli
 from cartulary.functions import exprs as E
 from cartulary.functions import stats as S
 from cartulary.operators import bundle, canonical, collusion, delivery, index, merkle, reports, snapshots, versions
+from cartulary.operators import state as keyed
 from cartulary.schemas import CHANGE_KINDS, CR_TABLES, PA_TABLES, TableDef, source
 from cartulary.sources import archive
 from cartulary.storage import written
@@ -183,7 +184,7 @@ def test_stream_keeps_the_newest_rows_and_reports(spark, tmp_path):
     fold(spark, land, state, "tender", cp).awaitTermination(120)
     put(("1", "late", "202312", "s2"), ("2", "newer", "202402", "s2"))
     fold(spark, land, state, "tender", cp).awaitTermination(120)
-    assert {(r["nro_sicop"], r["cartel_nm"]) for r in spark.read.parquet(f"{state}/tender").collect()} == {("1", "a"), ("2", "newer")}
+    assert {(r["nro_sicop"], r["cartel_nm"]) for r in keyed.read(spark, state, "tender").collect()} == {("1", "a"), ("2", "newer")}
     drop = lambda stamp, b: spark.createDataFrame([("cr", "202401", stamp, "T", "1", b, b)], RECORD).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/copies")
     for stamp, b in (("20240201T000000Z", "x"), ("20240401T000000Z", "y")):
         drop(stamp, b)
