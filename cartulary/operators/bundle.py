@@ -2,7 +2,7 @@
 
 The digest of a bundle covers its lines one after another, so they pass through one
 hash: partitions are sorted by all executors and stream through the driver, which
-holds one of them at a time (some 200 MB of lines a second). Lines are written by
+holds one of them at a time. Lines are written by
 the executors as gzipped JSON lines, one file for each sorted partition.
 """
 
@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.functions import exprs as E
-from cartulary.operators import canonical, differ
-from cartulary.schemas import BUNDLE_VERSION, CHANGE_KINDS
+from cartulary.operators import canonical, differ, merkle, snapshots, versions
+from cartulary.schemas import BUNDLE_VERSION, CANON_VERSION, CHANGE_KINDS
+from cartulary.sources import archive
 from cartulary.storage import written
 
 #: What the digest covers, in this order.
@@ -173,6 +174,46 @@ def verify_against(m: dict, lines: DataFrame, before: DataFrame, after: DataFram
     ]
 
 
+def verify_archives(spark: SparkSession, folder: str, archives: str) -> list[tuple[str, bool, str]]:
+    """Checks of a written bundle by itself and against the two archives that it names, from their bytes.
+
+    Archives are found by period and stamp under a folder. Their digests are taken from the files,
+    their records and roots from parsing them; nothing that the bundle says is used but to compare.
+    """
+    m, lines = read(spark, folder)
+    checks = verify(m, lines)
+    listed = {r["stamp"]: r["path"] for r in archive.archive_list(spark, archives).filter(F.col("period") == m["period"]).collect()}  # copies of one period
+    sides = {side: listed.get(m[f"{side}_stamp"]) for side in ("from", "to")}
+    lacking = [(f"{name} archive", False, f"no archive {m['period']} {m[f'{side}_stamp']}") for name, side in (("earlier", "from"), ("later", "to")) if sides[side] is None]
+    if lacking:
+        return checks + lacking
+    held, heads = _copies(spark, [sides["from"], sides["to"]], m["source"], [m["from_stamp"], m["to_stamp"]], m["canon_version"])
+    return checks + verify_against(m, lines, *held, *heads)
+
+
+def _copies(spark: SparkSession, paths: list[str], source: str, stamps: list[str], version: str) -> tuple[list[DataFrame], list[dict]]:
+    """Records and headers (stamp, sha256, root) of archives, read and reduced in the same jobs."""
+    made = written(snapshots.records_of(spark, paths, source, version), "records")
+    sums = {r["path"]: r["sha256"] for r in archive.archive_sums(spark, paths).collect()}  # a row per archive
+    roots = {r["path"]: r["root"] for r in merkle.roots(made, "path").collect()}
+    held = [made.filter(F.col("path") == p).drop("path") for p in paths]
+    return held, [{"stamp": s, "sha256": sums[p], "root": roots.get(p, merkle.EMPTY_ROOT)} for p, s in zip(paths, stamps, strict=True)]
+
+
+def from_archives(spark: SparkSession, archives: str, source: str, period: str, out: str, first: str | None = None, second: str | None = None, kinds: Iterable[str] = CHANGE_KINDS, max_detail: int = 200_000) -> str:
+    """Build and write the bundle of two copies of a period (the newest, or named ones) from their archives; its folder."""
+    a, b = versions.pair(archive.archive_list(spark, archives), period, first, second)
+    listed = {r["stamp"]: r["path"] for r in archive.archive_list(spark, archives).filter(F.col("period") == period).collect()}  # copies of one period
+    held, heads = _copies(spark, [listed[a], listed[b]], source, [a, b], CANON_VERSION)
+    one, two = held
+    lines = written(build(one, two, canonical.fields(one), canonical.fields(two), kinds, max_detail), "lines")
+    counts = {r["kind"]: r["changes"] for r in differ.kind_counts(differ.diff(one, two)).collect()}  # five rows
+    m = manifest(lines, counts, source, period, *heads, kinds=kinds, max_detail=max_detail, canon_version=CANON_VERSION)
+    folder = folder_of(out, source, period, a, b, CANON_VERSION)
+    write(lines, m, folder)
+    return folder
+
+
 def summary_text(period: str, counts: dict[str, int], records: tuple[int, int], schema_changes: list[tuple[str, str | None, str | None]] = (), rules_differ: bool = False) -> str:
     """A comparison of two copies in words."""
     out = [f"period {period}", f"  records {records[0]:,} -> {records[1]:,}"]

@@ -223,49 +223,93 @@ def contract_amendments(contract: DataFrame) -> DataFrame:
     return rows.groupBy("nro_contrato").agg(F.max(F.when(F.col("n") == 1, F.col("secuencia"))).alias("first_sequence"), F.count_if(F.col("n") > 1).alias("amendments"))
 
 
-def releases(tender: DataFrame, bid: DataFrame, bid_line: DataFrame, award: DataFrame, contract: DataFrame, supplier: DataFrame, institution: DataFrame, prefix: str = "ocds-x-", scheme: str = "X-ID") -> DataFrame:
-    """ocid, release (JSON): a release for each tender; members without a value are left out.
+def _has(df: DataFrame, name: str) -> Column:
+    """A column's trimmed text; null if it is blank or the table lacks it."""
+    return F.when(E.filled(name), F.trim(F.col(name))) if name in df.columns else F.lit(None).cast("string")
 
-    Every child table is grouped by procedure once and joined; nulls and empty lists drop out of the JSON.
+
+def _some(struct: Column, *parts: str) -> Column:
+    """A struct, or null if none of its named parts has a value, so that no empty object is written."""
+    return F.when(F.coalesce(*[struct[p].cast("string") for p in parts]).isNotNull(), struct)
+
+
+def _release_items(lines: DataFrame, keys: list[str], prefix: Column) -> DataFrame:
+    """keys, items: an item for each line number, the first of equal numbers by offer, code and price."""
+    w = W.partitionBy(*keys, "nro_linea").orderBy(F.col("nro_oferta"), F.col("codigo_producto"), F.col("precio_unitario"))
+    code = F.trim("codigo_producto")
+    unspsc = F.when(code.rlike(r"^\d{8}"), F.struct(F.lit("UNSPSC").alias("scheme"), F.substring(code, 1, 8).alias("id")))
+    unit = F.when(F.col("precio_unitario").isNotNull(), F.struct(F.struct(F.col("precio_unitario").alias("amount"), E.ocds_currency("moneda").alias("currency")).alias("value")))
+    item = F.struct(F.concat(prefix, F.lit("-item-"), F.col("nro_linea")).alias("id"), unspsc.alias("classification"), F.col("cantidad").alias("quantity"), unit.alias("unit"))
+    return lines.withColumn("n", F.row_number().over(w)).filter("n = 1").groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
+def _release_contracts(contract: DataFrame) -> DataFrame:
+    """nro_sicop, contracts, currency: contracts with their amendments in order; the currency of the first one that states any."""
+    order = F.struct(E.leading_int("secuencia").alias("k"), F.col("secuencia").alias("s"))
+    changed = E.ocds_time(F.coalesce(_has(contract, "fecha_modificacion"), _has(contract, "fecha_elaboracion")))
+    row = F.struct(order.alias("o"), "secuencia", changed.alias("date"), _has(contract, "tipo_modificacion").alias("rationale"), E.ocds_time(_has(contract, "fecha_elaboracion")).alias("signed"), E.ocds_time(_has(contract, "fecha_notificacion")).alias("start"), _has(contract, "vigencia").alias("text"), _has(contract, "moneda").alias("money"))
+    rows = contract.groupBy("nro_sicop", "nro_contrato").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    by = rows.withColumn("currency", F.get(F.filter(F.transform("rows", lambda r: r["money"]), lambda m: m.isNotNull()), F.lit(0)))
+    first, rest = F.get("rows", F.lit(0)), F.slice("rows", 2, 1_000_000)
+    amendments = F.transform(rest, lambda r: F.struct(F.concat_ws("-", "nro_contrato", r["secuencia"]).alias("id"), r["date"].alias("date"), r["rationale"].alias("rationale")))
+    paper = F.struct(
+        F.col("nro_contrato").alias("id"), F.lit("active").alias("status"), first["signed"].alias("dateSigned"), F.when(first["start"].isNotNull(), F.struct(first["start"].alias("startDate"))).alias("period"),
+        first["text"].alias("description"), F.when(F.size("rows") > 1, amendments).alias("amendments"),
+    )
+    return by.groupBy("nro_sicop").agg(F.array_sort(F.collect_list(paper)).alias("contracts"), F.min_by("currency", F.when(F.col("currency").isNotNull(), F.col("nro_contrato"))).alias("currency"))
+
+
+def releases(tender: DataFrame, bid: DataFrame, bid_line: DataFrame, award: DataFrame, contract: DataFrame, supplier: DataFrame, institution: DataFrame, prefix: str = "ocds-x-", scheme: str = "X-ID", language: str = "es") -> DataFrame:
+    """ocid, source_month, release (JSON): a release for each tender; members without a value are left out.
+
+    Every child table is grouped by procedure once and joined; nulls, empty lists and
+    empty objects don't reach the JSON. A release's id names the copy that it was read from, so
+    releases of two copies of a month stay apart.
     """
     party = lambda c: F.concat(F.lit(f"{scheme}-"), c)
-    roles = tender.select("nro_sicop", F.col("cedula_institucion").alias("who"), F.lit("buyer").alias("role"))
+    names = supplier.select(F.trim("cedula_proveedor").alias("who"), F.trim("nombre").alias("name")).unionByName(institution.select(F.trim("cedula").alias("who"), F.trim("nombre").alias("name"))).groupBy("who").agg(F.max("name").alias("name"))
+    roles = tender.select("nro_sicop", F.trim("cedula_institucion").alias("who"), F.lit("buyer").alias("role"))
     for df, role in ((bid, "tenderer"), (award, "supplier"), (contract, "supplier")):
-        roles = roles.unionByName(df.select("nro_sicop", F.col("cedula_proveedor").alias("who"), F.lit(role).alias("role")))
-    names = supplier.select(F.col("cedula_proveedor").alias("who"), "nombre").unionByName(institution.select(F.col("cedula").alias("who"), "nombre")).groupBy("who").agg(F.max("nombre").alias("name"))
+        roles = roles.unionByName(df.select("nro_sicop", F.trim("cedula_proveedor").alias("who"), F.lit(role).alias("role")))
     each = roles.filter(E.filled("who")).groupBy("nro_sicop", "who").agg(F.array_sort(F.collect_set("role")).alias("roles")).join(names, "who", "left")
     person = F.struct(party(F.col("who")).alias("id"), "name", F.struct(F.lit(scheme).alias("scheme"), F.col("who").alias("id"), F.col("name").alias("legalName")).alias("identifier"), "roles")
-    parties = each.groupBy("nro_sicop").agg(F.array_sort(F.collect_list(person)).alias("parties"))
-
-    w = W.partitionBy("nro_sicop", "nro_linea").orderBy(F.col("nro_oferta"), F.col("codigo_producto"), F.col("precio_unitario"))
-    code = F.trim("codigo_producto")
-    unspsc = F.when(code.rlike(r"^\d{8}"), F.struct(F.lit("UNSPSC").alias("scheme"), F.substring(code, 1, 8).alias("id")))
-    unit = F.when(F.col("precio_unitario").isNotNull(), F.struct(F.struct(F.col("precio_unitario").alias("amount"), E.ocds_currency("moneda").alias("currency")).alias("value")))
-    item = F.struct(F.concat("nro_sicop", F.lit("-item-"), F.col("nro_linea")).alias("id"), unspsc.alias("classification"), F.col("cantidad").alias("quantity"), unit.alias("unit"))
-    items = bid_line.withColumn("n", F.row_number().over(w)).filter("n = 1").groupBy("nro_sicop").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    known = F.struct(party(F.col("who")).alias("id"), "name")
+    parties = each.groupBy("nro_sicop").agg(
+        F.array_sort(F.collect_list(person)).alias("parties"), F.array_sort(F.collect_list(F.when(F.array_contains("roles", "tenderer"), known))).alias("tenderers"),
+        F.min(F.when(F.array_contains("roles", "buyer"), known)).alias("buyer"),
+    )
 
-    value = award_values(latest_award_lines(award))
-    one = F.struct(F.concat_ws("-", "nro_acto", "cedula_proveedor").alias("id"), F.lit("active").alias("status"), F.when(F.col("amount").isNotNull(), F.struct("amount", "currency")).alias("value"), F.array(F.struct(party(F.col("cedula_proveedor")).alias("id"))).alias("suppliers"))
+    items = _release_items(bid_line, ["nro_sicop"], F.col("nro_sicop"))
+    lines = latest_award_lines(award).withColumn("who", F.trim("cedula_proveedor"))
+    awarded = _release_items(lines, ["nro_sicop", "nro_acto", "cedula_proveedor"], F.concat_ws("-", "nro_sicop", "nro_acto"))
+    value = award_values(lines).join(awarded, ["nro_sicop", "nro_acto", "cedula_proveedor"], "left").withColumn("who", F.trim("cedula_proveedor")).join(names, "who", "left")
+    to = F.when(E.filled("who"), F.array(F.struct(party(F.col("who")).alias("id"), "name")))
+    one = F.struct(F.concat_ws("-", "nro_acto", "who").alias("id"), F.lit("active").alias("status"), to.alias("suppliers"), "items", F.when(F.col("amount").isNotNull(), F.struct("amount", "currency")).alias("value"))
     awards = value.groupBy("nro_sicop").agg(F.array_sort(F.collect_list(one)).alias("awards"))
-    numbers = contract.groupBy("nro_sicop", "nro_contrato").agg(F.count("*").alias("rows"))
-    paper = F.struct(F.col("nro_contrato").alias("id"), F.lit("active").alias("status"), (F.col("rows") - 1).alias("amendments"))
-    contracts = numbers.groupBy("nro_sicop").agg(F.array_sort(F.collect_list(paper)).alias("contracts"))
-    bidders = bid.filter(E.filled("cedula_proveedor")).groupBy("nro_sicop").agg(F.count("*").alias("offers"))
+    bidders = bid.groupBy("nro_sicop").agg(F.count("*").alias("offers"))
 
     out = tender
-    for df in (parties, items, awards, contracts, bidders):
+    for df in (parties, items, awards, _release_contracts(contract), bidders):
         out = out.join(df, "nro_sicop", "left")
+    number, exception = F.coalesce(_has(tender, "nro_procedimiento"), F.col("nro_sicop")), _has(tender, "des_excepcion")
+    amount = F.when(F.col("monto_est").isNotNull(), F.struct(F.col("monto_est").alias("amount"), E.ocds_currency("currency").alias("currency")))
+    planning = _some(F.struct(exception.alias("rationale"), F.when(F.col("monto_est").isNotNull(), F.struct(number.alias("id"), amount.alias("amount"))).alias("budget")), "rationale", "budget")
+    period = _some(F.struct(E.ocds_time(_has(tender, "fecha_publicacion")).alias("startDate"), E.ocds_time(_has(tender, "fechah_apertura")).alias("endDate")), "startDate", "endDate")
+    month = F.concat(F.substring("source_month", 1, 4), F.lit("-"), F.substring("source_month", 5, 2), F.lit("-01T00:00:00Z"))
+    # a contract belongs to the award if there is just one
+    sole = F.when(F.size("awards") == 1, F.get("awards", F.lit(0))["id"])
+    papers = F.transform("contracts", lambda c: F.struct(c["id"].alias("id"), sole.alias("awardID"), *[c[x].alias(x) for x in ("status", "dateSigned", "period", "description", "amendments")]))
     body = F.struct(
-        F.concat(F.lit(prefix), F.col("nro_sicop")).alias("ocid"), F.col("source_month").alias("id"),
-        F.array_compact(F.array(F.lit("tender"), F.when(F.col("awards").isNotNull(), "award"), F.when(F.col("contracts").isNotNull(), "contract"))).alias("tag"),
-        "parties",
+        F.concat(F.lit(prefix), F.col("nro_sicop")).alias("ocid"), F.concat_ws("-", "nro_sicop", "source_month", _has(tender, "archive_stamp")).alias("id"),
+        F.coalesce(E.ocds_time(_has(tender, "fecha_publicacion")), month).alias("date"),
+        F.array_compact(F.array(F.when(planning.isNotNull(), "planning"), F.lit("tender"), F.when(F.col("awards").isNotNull(), "award"), F.when(F.col("contracts").isNotNull(), "contract"))).alias("tag"),
+        F.lit("tender").alias("initiationType"), F.lit(language).alias("language"), "parties", "buyer", planning.alias("planning"),
         F.struct(
-            F.coalesce("nro_procedimiento", "nro_sicop").alias("id"), F.col("cartel_nm").alias("title"), E.ocds_status("cartel_stat").alias("status"), "items",
-            F.when(F.col("monto_est").isNotNull(), F.struct(F.col("monto_est").alias("amount"), F.lit("CRC").alias("currency"))).alias("value"),
-            E.ocds_method("tipo_procedimiento").alias("procurementMethod"), F.col("des_excepcion").alias("procurementMethodRationale"), E.ocds_category("clas_obj").alias("mainProcurementCategory"),
-            F.struct(E.ocds_time("fecha_publicacion").alias("startDate"), E.ocds_time("fechah_apertura").alias("endDate")).alias("tenderPeriod"), F.col("offers").alias("numberOfTenderers"),
+            number.alias("id"), _has(tender, "cartel_nm").alias("title"), E.ocds_status("cartel_stat").alias("status"), F.col("buyer").alias("procuringEntity"), "items", amount.alias("value"),
+            E.ocds_method("tipo_procedimiento").alias("procurementMethod"), _has(tender, "tipo_procedimiento").alias("procurementMethodDetails"), exception.alias("procurementMethodRationale"), E.ocds_category("clas_obj").alias("mainProcurementCategory"),
+            period.alias("tenderPeriod"), F.col("offers").alias("numberOfTenderers"), F.when(F.size("tenderers") > 0, F.col("tenderers")).alias("tenderers"), _has(tender, "modalidad").alias("submissionMethodDetails"),
         ).alias("tender"),
-        "awards", "contracts",
+        "awards", papers.alias("contracts"),
     )
     return out.select(F.concat(F.lit(prefix), F.col("nro_sicop")).alias("ocid"), "source_month", F.to_json(body).alias("release"))
 

@@ -53,6 +53,17 @@ def price_rows(lines: DataFrame, tender: DataFrame, rules: Rules = RULES, w: Win
     return scoped_lines(lines, tender, w).filter((F.col("moneda") == rules.currency) & (F.col("precio_unitario") > 0) & (F.col("cantidad") > 0))
 
 
+def with_supplier(rows: DataFrame, bid: DataFrame | None = None) -> DataFrame:
+    """Price rows or outliers with cedula_proveedor: their own (award lines), or that of their offer (bid lines and bid).
+
+    Offers are keyed by (nro_sicop, nro_oferta), so a row meets one at most.
+    """
+    if bid is None:
+        return rows
+    offers = bid.groupBy("nro_sicop", "nro_oferta").agg(F.min("cedula_proveedor").alias("cedula_proveedor"))
+    return rows.drop("cedula_proveedor").join(offers, ["nro_sicop", "nro_oferta"], "left")
+
+
 def exclusions(lines: DataFrame, tender: DataFrame, rules: Rules = RULES, w: Window = ALL) -> DataFrame:
     """codigo_producto, other_currency, non_positive, missing; a line may count in several."""
     mine = F.col("moneda").eqNullSafe(rules.currency)
@@ -112,7 +123,8 @@ def outliers(lines: DataFrame, tender: DataFrame, rules: Rules = RULES, w: Windo
     price, m = F.col("precio_unitario"), F.col("median")
     z = F.when(F.col("rule") == "mad", rules.mad_scale * (price - m) / F.col("mad")).otherwise((price - m) / (rules.mean_scale * F.col("mean_ad")))
     out = rows.join(f, "codigo_producto").filter((price > F.col("fence")) & (price >= m * rules.min_ratio))
-    return out.select("codigo_producto", "nro_sicop", "nro_linea", "cantidad", "precio_unitario", (price / m).alias("ratio_to_median"), z.alias("modified_z"), ((price - m) * F.col("cantidad")).alias("excess_value"), "rule")
+    whose = [c for c in ("nro_oferta", "cedula_proveedor", "cedula_institucion") if c in out.columns]
+    return out.select("codigo_producto", "nro_sicop", "nro_linea", *whose, "cantidad", "precio_unitario", (price / m).alias("ratio_to_median"), z.alias("modified_z"), ((price - m) * F.col("cantidad")).alias("excess_value"), "rule")
 
 
 def scan(lines: DataFrame, tender: DataFrame, rules: Rules = RULES, codes: int = 50, per_code: int = 5, w: Window = ALL) -> DataFrame:

@@ -19,8 +19,8 @@ RECORD = "table string, id string, byte_hash string, value_hash string"
 HEADER = "canon_version string, source string, period string, stamp string, archive_sha256 string, root string, records long, tables array<struct<table:string,rows:long,schema:string,content_addressed:boolean,duplicate_keys:long>>"
 
 
-def records_of(spark: SparkSession, path: str, source_id: str, version: str = CANON_VERSION) -> DataFrame:
-    """Canonical records of all archives under a path, each with the path of its archive."""
+def records_of(spark: SparkSession, path: str | list[str], source_id: str, version: str = CANON_VERSION) -> DataFrame:
+    """Canonical records of all archives under a path or several, each with the path of its archive."""
     return canonical.records(archive.read_archives(spark, path), source(source_id).tables, version)
 
 

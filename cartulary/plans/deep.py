@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.functions import quantiles
-from cartulary.operators import canonical, history, institutions, merkle, occurrences, paging, reconcile, snapshots, state
-from cartulary.plans.extended import MIRROR, _published
+from cartulary.operators import bundle, canonical, history, institutions, loading, merkle, occurrences, paging, prices, reconcile, snapshots, state
+from cartulary.plans.extended import MIRROR, _published, _releases
 from cartulary.plans.registry import _metrics, _records, query, r
 from cartulary.schemas import source
 from cartulary.sources import archive
@@ -172,3 +172,87 @@ def snapshot_stored_twice(t: Lens) -> DataFrame:
         snapshots.store(held, made, heads)
     found = t.spark.read.option("basePath", f"{held}/records").parquet(f"{held}/records")
     return found.groupBy(F.col("period").cast("string").alias("period")).agg(F.count("*").alias("records"), F.countDistinct("id").alias("ids"))
+
+
+@query("""WITH l AS (SELECT l_orderkey::VARCHAR AS a, l_linenumber::VARCHAR AS b, strftime(l_shipdate, '%Y%m') AS month, l_partkey, l_quantity, l_linestatus FROM lineitem), w AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY month DESC, l_partkey DESC) AS rn FROM l)
+SELECT 'tender' AS tbl, o_orderkey::VARCHAR AS id, '' AS line, strftime(o_orderdate, '%Y%m') AS source_month, round(o_totalprice) + 0.5 AS amount, 'say "' || o_orderpriority || '"; or' || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) ELSE ',' END || 'not' AS text FROM orders
+UNION ALL SELECT 'bid_line', a, b, month, l_quantity, CASE l_linestatus WHEN 'F' THEN 'CRC' ELSE 'USD' END FROM w WHERE rn = 1""")
+def archives_loaded(t: Lens) -> DataFrame:
+    """Two tables of monthly archives loaded into the index at once, and again: the second load finds nothing to do."""
+    header = F.array(*map(F.lit, ("NRO_SICOP", "Nro_Oferta", "NRO_LINEA", "CODIGO_PRODUCTO", "CANTIDAD_OFERTADA", "TIPO_MONEDA")))
+    cells = F.array(F.col("l_orderkey").cast("string"), F.lit("1"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.regexp_replace(F.col("l_quantity").cast("string"), r"\.", ","), F.when(F.col("l_linestatus") == "F", "CRC").otherwise("USD"))
+    month = F.date_format("l_shipdate", "yyyyMM")
+    lines = t.raw("lineitem").select(month.alias("period"), F.concat(month, F.lit("28T120000Z")).alias("stamp"), F.lit("LineasOfertadas").alias("table"), F.col("l_partkey").alias("row_pos"), header.alias("header"), cells.alias("cells"))
+    mirror, held = _folder(t, "mirror"), _folder(t, "index")
+    archive.write_archives(_published(t).unionByName(lines), mirror)
+    loading.load_archives(t.spark, mirror, held, buckets=8)
+    if loading.load_archives(t.spark, mirror, held).head(1):
+        raise ValueError("an archive was loaded twice")
+    tender, line = loading.table(t.spark, held, "tender"), loading.table(t.spark, held, "bid_line")
+    return tender.select(F.lit("tender").alias("tbl"), F.col("nro_sicop").alias("id"), F.lit("").alias("line"), "source_month", F.col("monto_est").alias("amount"), F.col("cartel_nm").alias("text")).unionByName(
+        line.select(F.lit("bid_line").alias("tbl"), F.col("nro_sicop").alias("id"), F.col("nro_linea").alias("line"), "source_month", F.col("cantidad").alias("amount"), F.col("moneda").alias("text"))
+    )
+
+
+def _twice_published(t: Lens) -> DataFrame:
+    """The first month of orders as two archives; in the later one some rows are changed, left out or added."""
+    first = _published(t).withColumn("k", F.col("row_pos"))
+    month = first.agg(F.min("period")).first()[0]
+    mine = first.filter(F.col("period") == month)
+    edited = F.when(F.col("k") % 11 == 0, F.array(F.get("cells", F.lit(0)), F.lit("edited"), F.get("cells", F.lit(2)), F.get("cells", F.lit(3)))).otherwise(F.col("cells"))
+    later = mine.filter("k % 13 <> 0").withColumn("cells", edited).withColumn("stamp", F.regexp_replace("stamp", "28T120000Z", "29T120000Z"))
+    return mine.unionByName(later).drop("k")
+
+
+@query("""WITH m AS (SELECT min(strftime(o_orderdate, '%Y%m')) AS p FROM orders), o AS (SELECT o_orderkey AS k FROM orders, m WHERE strftime(o_orderdate, '%Y%m') = p), c AS (SELECT count(*) FILTER (k % 13 = 0) AS removed, count(*) FILTER (k % 13 <> 0 AND k % 11 = 0) AS revised FROM o)
+SELECT 'honest' AS bundle, 'removed' AS name, removed > 0 AS ok, removed AS n FROM c UNION ALL SELECT 'honest', 'silentRevision', revised > 0, revised FROM c UNION ALL
+SELECT b.bundle, v.name, NOT (b.bundle = 'other line' AND v.name IN ('changes', 'published changes')), 0 FROM (VALUES ('honest'), ('other line')) b(bundle),
+(VALUES ('digest'), ('changes'), ('lines'), ('counts'), ('policy'), ('arithmetic'), ('unique'), ('earlier archive'), ('later archive'), ('earlier root'), ('later root'), ('rebuilt changes'), ('rebuilt digest'), ('published changes')) v(name)
+UNION ALL SELECT 'no archive', 'later archive', false, 0""")
+def bundle_from_archives(t: Lens) -> DataFrame:
+    """A bundle of two archives checked from their bytes; the same with a line altered, and without one of the archives."""
+    mirror, out = _folder(t, "mirror"), _folder(t, "bundles")
+    made = archive.write_archives(_twice_published(t), mirror)
+    period = made.first()["period"]
+    folder = bundle.from_archives(t.spark, mirror, "cr", period, out)
+    m, lines = bundle.read(t.spark, folder)
+    rows = [("honest", name, ok, 0) for name, ok, _ in bundle.verify_archives(t.spark, folder, mirror)]
+    by = {r["kind"]: r["n"] for r in lines.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # five rows
+    rows += [("honest", kind, by.get(kind, 0) > 0, by.get(kind, 0)) for kind in ("removed", "silentRevision")]
+    bundle.write(lines.withColumn("line", F.regexp_replace("line", '"edited"', '"Edited"')), m, f"{out}/line")
+    rows += [("other line", name, ok, 0) for name, ok, _ in bundle.verify_archives(t.spark, f"{out}/line", mirror)]
+    half = _folder(t, "mirror")
+    archive.write_archives(_twice_published(t).filter("stamp like '%28T120000Z'"), half)
+    rows += [("no archive", name, ok, 0) for name, ok, _ in bundle.verify_archives(t.spark, folder, half) if name == "later archive"]
+    return t.spark.createDataFrame(rows, "bundle string, name string, ok boolean, n long")
+
+
+@query("""WITH b AS (SELECT nro_sicop, nro_oferta, min(cedula_proveedor) AS s FROM bid GROUP BY 1, 2) SELECT codigo_producto, nro_sicop, nro_linea, s AS cedula_proveedor, cedula_institucion, count(*) AS lines
+FROM prices LEFT JOIN b USING (nro_sicop, nro_oferta) LEFT JOIN tender USING (nro_sicop) GROUP BY ALL""")
+def price_suppliers(t: Lens) -> DataFrame:
+    """Price rows of offers with the supplier of the offer and the institution."""
+    made = prices.with_supplier(prices.price_rows(t.bid_line, t.tender), t.bid)
+    return made.groupBy("codigo_producto", "nro_sicop", "nro_linea", "cedula_proveedor", "cedula_institucion").agg(F.count("*").alias("lines"))
+
+
+@query("""WITH n AS (SELECT cedula_proveedor AS who, nombre FROM supplier_t UNION ALL SELECT cedula, nombre FROM institution), nm AS (SELECT who, max(nombre) AS name FROM n GROUP BY 1),
+b AS (SELECT nro_sicop, count(DISTINCT cedula_proveedor) AS tenderers FROM bid GROUP BY 1), bl AS (SELECT DISTINCT nro_sicop, nro_acto, cedula_proveedor, nro_linea FROM latest_award), al AS (SELECT nro_sicop, count(*) AS award_items, count(DISTINCT (nro_acto, cedula_proveedor)) AS awards, min(nro_acto || '-' || cedula_proveedor) AS first_award FROM bl GROUP BY 1),
+cs AS (SELECT l_orderkey::VARCHAR AS nro_sicop, 1 AS contracts, count(*) - 1 AS amendments, arg_min(CASE l_linestatus WHEN 'F' THEN 'CRC' ELSE 'USD' END, (l_linenumber, l_shipdate, l_linestatus)) AS currency, strftime(min_by(l_shipdate, (l_linenumber, l_shipdate)), '%Y-%m-%d') AS starts FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
+SELECT t.nro_sicop || '-' || t.source_month || '-' || replace(fecha_publicacion, '-', '') || 'T000000Z' AS id, fecha_publicacion || 'T00:00:00Z' AS date, array_to_string(list_filter([CASE WHEN monto_est IS NOT NULL OR des_excepcion IS NOT NULL THEN 'planning' END, 'tender', CASE WHEN awards IS NOT NULL THEN 'award' END, CASE WHEN contracts IS NOT NULL THEN 'contract' END], lambda x: x IS NOT NULL), ',') AS tags,
+'es' AS language, 'X-ID-' || cedula_institucion AS buyer, nm.name AS procuring, monto_est AS budget, CASE WHEN monto_est IS NOT NULL THEN coalesce(currency, 'CRC') END AS currency, coalesce(tenderers, 0) AS tenderers, coalesce(award_items, 0) AS award_items,
+CASE WHEN contracts IS NOT NULL AND awards = 1 THEN first_award END AS award_id, CASE WHEN contracts IS NOT NULL THEN coalesce(amendments, 0) END AS amendments, CASE WHEN contracts IS NOT NULL THEN starts || 'T00:00:00Z' END AS starts
+FROM tender t LEFT JOIN nm ON nm.who = t.cedula_institucion LEFT JOIN b USING (nro_sicop) LEFT JOIN al USING (nro_sicop) LEFT JOIN cs USING (nro_sicop)""")
+def release_members(t: Lens) -> DataFrame:
+    """Members of the releases' JSON, read back from it."""
+    party = "struct<id:string,name:string>"
+    schema = f"""id string, date string, tag array<string>, language string, buyer {party}, planning struct<rationale:string,budget:struct<id:string,amount:struct<amount:double,currency:string>>>,
+    tender struct<procuringEntity:{party},value:struct<amount:double,currency:string>,tenderers:array<{party}>>, awards array<struct<id:string,items:array<struct<id:string>>>>,
+    contracts array<struct<id:string,awardID:string,period:struct<startDate:string>,amendments:array<struct<id:string,date:string>>>>"""
+    rows = _releases(t).select(F.from_json("release", schema).alias("j")).select("j.*")
+    size = lambda c: F.coalesce(F.when(c.isNotNull(), F.size(c)), F.lit(0)).cast("long")
+    first = F.get("contracts", F.lit(0))
+    return rows.select(
+        "id", "date", F.array_join("tag", ",").alias("tags"), "language", F.col("buyer.id").alias("buyer"), F.col("tender.procuringEntity.name").alias("procuring"), F.col("planning.budget.amount.amount").alias("budget"), F.col("tender.value.currency").alias("currency"),
+        size(F.col("tender.tenderers")).alias("tenderers"), F.coalesce(F.aggregate("awards", F.lit(0).cast("long"), lambda n, x: n + size(x["items"])), F.lit(0)).cast("long").alias("award_items"), first["awardID"].alias("award_id"),
+        F.aggregate("contracts", F.lit(0).cast("long"), lambda n, x: n + size(x["amendments"])).alias("amendments"), first["period"]["startDate"].alias("starts"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cartulary.functions import exprs as E
 from cartulary.functions import stats as S
 from cartulary.operators import bundle, canonical, collusion, competition, delivery, differ, durations, index, merkle, prices, reports, snapshots, versions
-from cartulary.plans.registry import ARCHIVES, AS_OF, BY_LINE, COMPANIES, DATES, FEED, PAIRS, SPREAD, TREE, _archives, _companies, _feed, _loaded, _observations, _records, _stages, query, r, wilson
+from cartulary.plans.registry import ARCHIVES, AS_OF, BY_LINE, COMPANIES, DATES, FEED, PAIRS, SPREAD, _archives, _companies, _feed, _loaded, _observations, _records, _stages, query, r, wilson
 from cartulary.schemas import CANON_VERSION
 from cartulary.sources import archive
 from cartulary.sources.lens import Lens

@@ -39,6 +39,24 @@ INDEX_KEYS: dict[str, tuple[str, ...]] = {
 # Tables whose missing key parts count as the empty string instead of making the row unusable.
 COALESCED_KEYS = frozenset({"sanction", "inhibition"})
 
+# The published table of each index table, and the headers of its columns where they aren't the column's name in capitals.
+INDEX_SOURCES: dict[str, tuple[str, dict[str, tuple[str, ...]]]] = {
+    "tender": ("DetalleCarteles", {"modalidad": ("MODALIDAD_PROCEDIMIENTO",)}),
+    "bid": ("Ofertas", {"fecha_presenta": ("FECHA_PRESENTA_OFERTA",)}),
+    "bid_line": ("LineasOfertadas", {"cantidad": ("CANTIDAD_OFERTADA",), "precio_unitario": ("PRECIO_UNITARIO_OFERTADO",), "moneda": ("TIPO_MONEDA",)}),
+    "award_line": ("LineasAdjudicadas", {"cantidad": ("CANTIDAD_ADJUDICADA",), "precio_unitario": ("PRECIO_UNITARIO_ADJUDICADO",), "moneda": ("TIPO_MONEDA",)}),
+    "contract": ("Contratos", {"nro_procedimiento": ("NUMERO_PROCEDIMIENTO", "NRO_PROCEDIMIENTO")}),
+    "stage_dates": ("FechaPorEtapas", {"nro_procedimiento": ("NUMERO_PROCEDIMIENTO", "NRO_PROCEDIMIENTO")}),
+    "appeal": ("RecursosObjecion", {"fecha_presentacion": ("FECHA_PRESENTACION_RECURSO",), "nro_procedimiento": ("NRO_PROCEDIMIENTO", "NUMERO_PROCEDIMIENTO")}),
+    "supplier": ("Proveedores", {"nombre": ("NOMBRE_PROVEEDOR",), "tipo": ("TIPO_PROVEEDOR",), "tamano": ("TAMAÑO_PROVEEDOR", "TAMANO_PROVEEDOR"), "zona_geo": ("ZONA_GEO_PROV",)}),
+    "institution": ("InstitucionesRegistradas", {"nombre": ("NOMBRE_INSTITUCION",), "zona_geo": ("ZONA_GEO_INST",)}),
+    "sanction": ("SancionProveedores", {}),
+    "inhibition": ("FuncionariosInhibicion", {}),
+}
+#: Columns with dates, and those whose dates may be eight digits, day first.
+DATE_COLUMNS = ("publicacion", "adjudicacion_firme")
+COMPACT_DATES = frozenset({"fecha_constitucion", "inicio_sancion", "final_sancion"})
+
 # Status texts of the publisher, in its own wording.
 AWARDED_STATUS = ("Contrato", "Adjudicado", "Adjudicación", "Acto Final en Firme", "Adjudicación en firme", "Finiquitado")
 NO_AWARD_STATUS = ("Desierto", "Infructuoso", "Desierto/Infructuoso")

@@ -107,7 +107,7 @@ def entries(data: bytes, size: int = chunks.CHUNK_BYTES) -> Iterator[tuple[str,
                 yield from entries(z.read(info), size)
 
 
-def read_archives(spark: SparkSession, path: str, chunk_bytes: int = chunks.CHUNK_BYTES) -> DataFrame:
+def read_archives(spark: SparkSession, path: str | list[str], chunk_bytes: int = chunks.CHUNK_BYTES) -> DataFrame:
     """path, table, row_pos, header, cells of all rows of all archives.
 
     A task unpacks an archive as a stream of chunks; from then on every chunk of
@@ -126,7 +126,7 @@ def read_archives(spark: SparkSession, path: str, chunk_bytes: int = chunks.CHUN
     return chunks.rows_of(chunks.owned(written(each, "chunks")), parse_csv, ROWS)
 
 
-def archive_sums(spark: SparkSession, path: str) -> DataFrame:
+def archive_sums(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path, sha256, length of every archive; contents stay in the tasks."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.sha2("content", 256).alias("sha256"), "length")

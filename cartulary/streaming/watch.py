@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from cartulary.functions import exprs as E
 from cartulary.operators import differ, state
+from cartulary.schemas import CHANGE_KINDS, DETAIL_ORDER
 
 RECORD = "source string, period string, stamp string, table string, id string, byte_hash string, value_hash string"
 
@@ -47,14 +49,37 @@ def watch(spark: SparkSession, folder: str, copies_folder: str, feed: str, check
     return snapshots(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def reporter(spark: SparkSession, folder: str, source: str, grace_days: int = 2) -> Callable[[DataFrame], None]:
-    """A function for watch's on_diff that writes each comparison as a watch report: JSON, one file, named by the copy's stamp."""
+#: Changes that a report lists; its counts cover all of them.
+MOST_LISTED = 200
+
+
+def reporter(spark: SparkSession, folder: str, source: str, grace_days: int = 2, limit: int = MOST_LISTED, bundles: str | None = None) -> Callable[[DataFrame], None]:
+    """A function for watch's on_diff that writes each comparison as a watch report: JSON, one file, named by the copy's stamp.
+
+    A report counts every change by kind and lists the first ``limit`` in the order in which kinds
+    matter, then by table and id; the limit works in each task before the rows meet. With
+    ``bundles`` the comparison is written there whole, a line for each change, and the report says where.
+    """
 
     def report(changes: DataFrame) -> None:
-        one = F.struct("kind", "table", "id", F.col("before.byte_hash").alias("beforeHash"), F.col("after.byte_hash").alias("afterHash"))
+        rank = F.array_position(F.array(*map(F.lit, DETAIL_ORDER)), F.col("kind"))
+        order = Window.partitionBy("period", "detected").orderBy(rank, "table", "id")
+        first = changes.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit)
+        one = F.struct("n", "kind", "table", "id", F.col("before.byte_hash").alias("beforeHash"), F.col("after.byte_hash").alias("afterHash"))
+        listed = first.groupBy("period", "detected").agg(F.array_sort(F.collect_list(one)).alias("l"))
+        kinds = [F.count_if(F.col("kind") == k).cast("long").alias(k) for k in CHANGE_KINDS]
+        counts = changes.groupBy("period", "detected").agg(F.count("*").alias("total"), *kinds)
+        where = F.lit(None).cast("string")
+        if bundles:
+            for c in changes.select("period", "detected").distinct().collect():  # one row per copy
+                target = f"{bundles}/{source}/{c['period']}/{c['detected']}"
+                mine = changes.filter((F.col("period") == c["period"]) & (F.col("detected") == c["detected"]))
+                mine.select("kind", "table", "id", "before", "after").repartitionByRange("table", "id").sortWithinPartitions("table", "id").write.mode("overwrite").json(target)
+            where = F.concat_ws("/", F.lit(bundles), F.lit(source), "period", "detected")
         closed = E.after_close("period", "detected", grace_days)
-        # a report lists its changes, so it is one row; line policies keep open periods out of it
-        made = changes.groupBy("period", "detected").agg(F.array_sort(F.collect_list(one)).alias("changes")).select(F.col("detected").alias("ran_at"), F.lit(source).alias("source"), F.array(F.struct(F.col("period").alias("month"), closed.alias("closed_month"), "changes")).alias("findings"))
+        shown = F.transform("l", lambda x: F.struct(*[x[c].alias(c) for c in ("kind", "table", "id", "beforeHash", "afterHash")]))
+        finding = F.struct(F.col("period").alias("month"), closed.alias("closed_month"), F.struct(*CHANGE_KINDS).alias("counts"), (F.col("total") > limit).alias("truncated"), where.alias("bundle"), shown.alias("changes"))
+        made = counts.join(listed, ["period", "detected"]).select(F.col("detected").alias("ran_at"), F.lit(source).alias("source"), F.array(finding).alias("findings"))
         made.coalesce(1).write.mode("append").json(folder)
 
     return report

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from fractions import Fraction
@@ -11,11 +12,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cartulary import cli
 from cartulary.functions import quantiles
 from cartulary.functions import stats as S
-from cartulary.operators import differ, history, index, institutions, merkle, occurrences, paging, reconcile, snapshots, state
+from cartulary.operators import bundle, delivery, differ, history, index, institutions, loading, merkle, occurrences, paging, prices, reconcile, snapshots, state
 from cartulary.sources import archive, chunks
 from cartulary.storage import written
+from cartulary.streaming import watch
 
 
 def read_in_chunks(data: bytes, size: int) -> tuple[list[tuple[int, list[str]]], list[str]]:
@@ -241,3 +244,97 @@ def test_a_snapshot_stored_again_is_there_once(spark, tmp_path):
     for stamp in ("20240201T000000Z", "20240301T000000Z"):
         assert snapshots.read(spark, folder, "cr", "202401", stamp, "c").count() == 3
     assert snapshots.headers(spark, folder).count() == 2
+
+
+def published(spark, folder: str) -> None:
+    """Two copies of a month and one of the next, with two tables."""
+    tender, line = ["NRO_SICOP", "Cartel_Nm", "MONTO_EST", "FECHA_PUBLICACION", "CEDULA_INSTITUCION"], ["NRO_SICOP", "NRO_OFERTA", "NRO_LINEA", "CODIGO_PRODUCTO", "CANTIDAD_OFERTADA", "PRECIO_UNITARIO_OFERTADO", "TIPO_MONEDA"]
+    rows = []
+    for period, stamp, amount in (("202401", "20240201T000000Z", "1,5"), ("202401", "20240301T000000Z", "2,5"), ("202402", "20240301T000000Z", "9")):
+        keep = 6 if amount == "2,5" else 8
+        rows += [(period, stamp, "DetalleCarteles", k, tender, [f"{period[-1]}{k}", 'the "one"', amount, "05/01/2024 10:00", "I1"]) for k in range(keep)]
+        rows += [(period, stamp, "LineasOfertadas", k, line, [f"{period[-1]}{k}", "1", "1", "C", "2", "" if k == 3 else "7,25", "CRC"]) for k in range(4)]
+        rows += [(period, stamp, "Otra", 0, ["x"], ["y"])]
+    archive.write_archives(spark.createDataFrame(rows, "period string, stamp string, table string, row_pos long, header array<string>, cells array<string>"), folder)
+
+
+def test_all_tables_of_archives_are_loaded_once(spark, tmp_path):
+    mirror, held = f"file://{tmp_path}/m", f"file://{tmp_path}/i"
+    published(spark, mirror)
+    new = loading.load_archives(spark, mirror, held, buckets=4).collect()
+    assert len(new) == 3 and {r["source_month"]: r["row_counts"] for r in new}["202402"] == '{"bid_line":4,"tender":8}'
+    assert loading.load_archives(spark, mirror, held).count() == 0 and loading.ledger(spark, held).count() == 3
+    tender = {r["nro_sicop"]: (r["monto_est"], r["fecha_publicacion"], r["source_month"], r["archive_stamp"]) for r in loading.table(spark, held, "tender").collect()}
+    assert len(tender) == 16 and tender["10"] == (2.5, "2024-01-05", "202401", "20240301T000000Z") and tender["17"][0] == 1.5 and tender["20"][0] == 9.0
+    line = {r["nro_sicop"]: (r["cantidad"], r["precio_unitario"], r["moneda"]) for r in loading.table(spark, held, "bid_line").collect()}
+    assert line["10"] == (2.0, 7.25, "CRC") and line["13"][1] is None and loading.table(spark, held, "contract").count() == 0
+    loading.load_archives(spark, mirror, held, force=True)
+    assert {r["nro_sicop"]: (r["monto_est"], r["fecha_publicacion"], r["source_month"], r["archive_stamp"]) for r in loading.table(spark, held, "tender").collect()} == tender
+
+
+def test_verbs_of_archives(spark, tmp_path, capsys):
+    mirror, out = f"file://{tmp_path}/m", f"file://{tmp_path}/b"
+    published(spark, mirror)
+    assert cli.main(["bundle", "--archives", mirror, "--source", "cr", "--period", "202401", "--out", out]) == 0
+    folder = capsys.readouterr().out.strip().splitlines()[-1]
+    assert cli.main(["verify-bundle", "--archives", mirror, "--bundle", folder]) == 0 and "later root" in capsys.readouterr().out
+    m, lines = bundle.read(spark, folder)
+    bundle.write(lines, m | {"digest": "0" * 64}, f"{out}/false")
+    assert cli.main(["verify-bundle", "--archives", mirror, "--bundle", f"{out}/false"]) == 1 and "FAIL  digest" in capsys.readouterr().out
+    assert cli.main(["bundle", "--archives", mirror, "--source", "cr", "--period", "202402", "--out", out]) == 1 and "202402" in capsys.readouterr().err
+    got = cli.history_of(spark, mirror, "cr", "202401", "DetalleCarteles", "16").select("stamp", "step", "ok").collect()
+    assert [tuple(r) for r in got] == [("20240201T000000Z", "present", True), ("20240301T000000Z", "removed", None)]
+    assert cli.main(["history", "--archives", mirror, "--source", "cr", "--period", "202401", "--table", "DetalleCarteles", "--id", "none"]) == 1
+    held = {(r["period"], r["stamp"]): (r["copies"], r["newest"]) for r in cli.held_copies(spark, mirror, "cr").collect()}
+    assert held == {("202401", "20240201T000000Z"): (2, False), ("202401", "20240301T000000Z"): (2, True), ("202402", "20240301T000000Z"): (1, True)}
+    store = f"file://{tmp_path}/s"
+    assert cli.take_snapshots(spark, mirror, store, "cr").count() == 3
+    plan = cli.anchor_plan(spark, store, "cr", "2024-03-02", 5)
+    assert plan.count() == 5 and cli.recoverable(spark, store, "cr").count() >= 1
+
+
+def test_analyses_of_a_loaded_index_take_filters(spark, tmp_path):
+    mirror, held = f"file://{tmp_path}/m", f"file://{tmp_path}/i"
+    published(spark, mirror)
+    loading.load_archives(spark, mirror, held, buckets=4)
+    run = lambda *words: cli.analyse(spark, words[0], held, cli.parser().parse_args(["analyse", *words, "--index", held]))
+    figures = {(r["section"], r["name"]): r["value"] for r in run("competition").collect()}
+    assert figures["deserted", "published"] == 16
+    assert {(r["section"], r["name"]): r["value"] for r in run("competition", "--month", "202402").collect()}["deserted", "published"] == 8
+    assert {(r["section"], r["name"]): r["value"] for r in run("competition", "--institution", "I2").collect()}["deserted", "published"] == 0
+    for words in (("screens",), ("screens", "--screen", "bid-rotation", "--limit", "3"), ("prices", "--lines", "bid", "--code", "C", "--supplier", "S"), ("concentration",), ("institutions", "--min-tenders", "1"), ("suppliers", "--supplier", "S"), ("durations", "--as-of", "2024-05-01", "--stage", "award"), ("ranking", "--as-of", "2024-05-01"), ("peers", "--as-of", "2024-05-01", "--all-peers")):
+        run(*words).collect()
+
+
+def test_a_report_lists_the_first_changes_and_counts_all(spark, tmp_path):
+    changes = spark.range(500).select(F.when(F.col("id") % 5 == 0, "silentRevision").otherwise("added").alias("kind"), F.lit("T").alias("table"), F.lpad(F.col("id").cast("string"), 3, "0").alias("id"), F.struct(F.lit("a").alias("byte_hash"), F.lit("b").alias("value_hash")).alias("before"), F.struct(F.lit("c").alias("byte_hash"), F.lit("d").alias("value_hash")).alias("after"), F.lit("202401").alias("period"), F.lit("20240401T000000Z").alias("detected"))
+    watch.reporter(spark, f"file://{tmp_path}/r", "cr", limit=120, bundles=f"file://{tmp_path}/b")(changes)
+    found = spark.read.json(f"file://{tmp_path}/r").first()["findings"][0]
+    assert found["truncated"] and len(found["changes"]) == 120 and found["counts"]["added"] == 400 and found["counts"]["silentRevision"] == 100
+    assert [c["kind"] for c in found["changes"]] == ["silentRevision"] * 100 + ["added"] * 20 and found["changes"][0]["id"] == "000"
+    assert spark.read.json(found["bundle"]).count() == 500
+
+
+def test_suppliers_of_prices_come_from_offers(spark):
+    rows = spark.createDataFrame([("1", "a", "P", 5.0), ("1", "b", "P", 6.0), ("2", "a", "P", 7.0)], "nro_sicop string, nro_oferta string, codigo_producto string, precio_unitario double")
+    bid = spark.createDataFrame([("1", "a", "S1"), ("1", "b", "S2")], "nro_sicop string, nro_oferta string, cedula_proveedor string")
+    assert {(r["nro_sicop"], r["nro_oferta"]): r["cedula_proveedor"] for r in prices.with_supplier(rows, bid).collect()} == {("1", "a"): "S1", ("1", "b"): "S2", ("2", "a"): None}
+
+
+def test_release_members(spark):
+    empty = lambda names: spark.createDataFrame([], ", ".join(f"{n} {'double' if n in ('cantidad', 'precio_unitario', 'monto_est') else 'string'}" for n in names.split()))
+    tender = spark.createDataFrame([("T1", "P1", "I1", "2024-01-02", None, "LICITACION", " m ", "Contrato", "name", 10.0, "BIENES", None, "202401", "s1"), ("T2", None, None, None, None, None, None, None, None, None, None, None, "202402", "s2")], "nro_sicop string, nro_procedimiento string, cedula_institucion string, fecha_publicacion string, fechah_apertura string, tipo_procedimiento string, modalidad string, cartel_stat string, cartel_nm string, monto_est double, clas_obj string, des_excepcion string, source_month string, archive_stamp string")
+    bid = spark.createDataFrame([("T1", "1", "S1"), ("T1", "2", "S1"), ("T1", "3", "S2")], "nro_sicop string, nro_oferta string, cedula_proveedor string")
+    award = spark.createDataFrame([("T1", "1", "1", "A", "S1", "12345678", 2.0, 3.0, "USD", "202401"), ("T1", "1", "2", "A", "S1", "x", 1.0, 4.0, "USD", "202401")], "nro_sicop string, nro_oferta string, nro_linea string, nro_acto string, cedula_proveedor string, codigo_producto string, cantidad double, precio_unitario double, moneda string, source_month string")
+    contract = spark.createDataFrame([("C1", "2", "T1", "S1", None, "2024-03-01", "EUR", None, "2024-04-01", "more"), ("C1", "1", "T1", "S1", "2024-02-02", "2024-02-01", None, "1 year", None, None)], "nro_contrato string, secuencia string, nro_sicop string, cedula_proveedor string, fecha_notificacion string, fecha_elaboracion string, moneda string, vigencia string, fecha_modificacion string, tipo_modificacion string")
+    supplier = spark.createDataFrame([("S1", " One "), ("S2", "Two")], "cedula_proveedor string, nombre string")
+    made = delivery.releases(tender, bid, empty("nro_sicop nro_oferta nro_linea codigo_producto cantidad precio_unitario moneda"), award, contract, supplier, spark.createDataFrame([("I1", "Inst")], "cedula string, nombre string"))
+    one, two = (json.loads(r["release"]) for r in made.orderBy("ocid").collect())
+    assert one["id"] == "T1-202401-s1" and one["tag"] == ["planning", "tender", "award", "contract"] and one["date"] == "2024-01-02T00:00:00Z" and one["language"] == "es"
+    assert one["buyer"] == one["tender"]["procuringEntity"] == {"id": "X-ID-I1", "name": "Inst"}
+    assert one["planning"] == {"budget": {"id": "P1", "amount": {"amount": 10.0, "currency": "EUR"}}} and one["tender"]["value"]["currency"] == "EUR"
+    assert one["tender"]["tenderers"] == [{"id": "X-ID-S1", "name": "One"}, {"id": "X-ID-S2", "name": "Two"}] and one["tender"]["numberOfTenderers"] == 3
+    assert one["tender"]["submissionMethodDetails"] == "m" and one["tender"]["tenderPeriod"] == {"startDate": "2024-01-02T00:00:00Z"}
+    assert [i["id"] for i in one["awards"][0]["items"]] == ["T1-A-item-1", "T1-A-item-2"] and one["awards"][0]["suppliers"][0]["name"] == "One" and one["awards"][0]["value"] == {"amount": 10.0, "currency": "USD"}
+    assert one["contracts"] == [{"id": "C1", "awardID": "A-S1", "status": "active", "dateSigned": "2024-02-01T00:00:00Z", "period": {"startDate": "2024-02-02T00:00:00Z"}, "description": "1 year", "amendments": [{"id": "C1-2", "date": "2024-04-01T00:00:00Z", "rationale": "more"}]}]
+    assert two == {"ocid": "ocds-x-T2", "id": "T2-202402-s2", "date": "2024-02-01T00:00:00Z", "tag": ["tender"], "initiationType": "tender", "language": "es", "tender": {"id": "T2"}}
