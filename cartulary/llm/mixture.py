@@ -78,7 +78,13 @@ def balanced(cells: DataFrame, groupings: Sequence[tuple[str, DataFrame]], cap:
     words or with target 0 get rate 0. Iterations end when every group is CLOSE to its
     target, or after so many steps, as when targets contradict each other.
     """
-    lambdas = [materialise(t.select(F.col("group").alias(f"g{k}"), F.col("target").cast("double").alias(f"t{k}"), F.lit(0.0).alias(f"l{k}")), "lambdas") for k, (_, t) in enumerate(groupings)]
+    lambdas = [t.select(F.col("group").alias(f"g{k}"), F.col("target").cast("double").alias(f"t{k}"), F.lit(0.0).alias(f"l{k}")) for k, (_, t) in enumerate(groupings)]
+    # the first grouping starts where it alone would be solved; with no other one, the first step finds nothing left to do
+    name = groupings[0][0]
+    held = cells.groupBy(F.col(name).alias("in_cells")).agg(F.sum("size").cast("double").alias("held"))
+    alone = F.when((F.col("t0") > 0) & (F.col("held") > 0), F.ln(F.col("t0") / F.col("held"))).otherwise(0.0)
+    lambdas[0] = lambdas[0].join(held, F.col("g0").eqNullSafe(F.col("in_cells")), "left").select("g0", "t0", alone.alias("l0"))
+    lambdas = [materialise(t, "lambdas") for t in lambdas]
 
     def rated() -> DataFrame:
         out = cells

@@ -7,17 +7,20 @@ transfer framing; a record whose block exceeds ``segment_bytes`` is cut into a
 first segment and continuation records. Every record is a gzip member of its own.
 Tasks write files of their own, closed at about FILE_BYTES of records.
 
-Reading: tasks parse whole files. Unsegmented records are decoded in place.
-Segments are grouped by the identifier of the record that they continue, ordered
-by segment number, checked for gaps and against the stated total length, joined
-and then decoded from chunked framing; each group is one record. Digests are
-checked.
+Reading: tasks parse whole files, gzipped or not, of this or any other writer. Unsegmented
+records are decoded in place. Segments are grouped by the identifier of the record that they
+continue, ordered by segment number, checked for gaps and against the stated total length,
+joined and then decoded from chunked framing; each group is one record. Digests are
+checked. Records of KEPT types are returned, others (warcinfo, request, metadata, unknown ones) are passed
+over; ``inventory`` counts all. Identifiers are opaque text; only those that this module
+wrote name a page. Digests are optional, blocks that aren't HTTP are payloads as they are.
 
 Defined cases: a null payload counts as empty; a null id stays null and comes
 after all ids; rows with the same id and payload are of the same type; control
 characters in a URL are percent-encoded and a null URL is empty; a payload that
-fails its digest or length is an error; an empty table gives no records; other
-columns aren't read.
+fails its digest or length, or segments that lack one of their number, are an error, or with ``strict=False`` a row
+whose ``digest_ok`` is false (its payload is null where it can't be put together); digest_ok is null where
+nothing is stated that can be checked; an empty table gives no records; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import gzip
 import hashlib
 import io
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,8 +50,10 @@ GZIP_LEVEL = 4
 FILES_READ = 4
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS = "record_id string, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
+RECORDS = "record_id string, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, refers_to_id string, digest_ok boolean"
 PARTS = RECORDS + ", origin_id string, segment int, total_length long"
+#: Types of records that hold payloads or stand for one.
+KEPT = frozenset({"response", "revisit", "resource", "conversion", "continuation"})
 
 
 def digest(payload: bytes) -> str:
@@ -183,49 +189,99 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of each record."""
+    """Header fields (lower-case names) and block of each record of any version; folded lines are joined."""
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].decode().split("\r\n")
+        first, *lines = re.sub(r"\r\n[ \t]+", " ", data[at:end].decode("utf-8", "replace")).split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError("a record does not start where it should")
-        fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
         n = int(fields["content-length"])
         yield fields, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+        at = end + 4 + n
+        while data[at : at + 2] == b"\r\n":
+            at += 2
 
 
-def _opened(fields: dict[str, str], block: bytes) -> dict:
+def _unpacked(data: bytes) -> bytes:
+    return gzip.GzipFile(fileobj=io.BytesIO(data)).read() if data[:2] == b"\x1f\x8b" else data
+
+
+def _page(identifier: str | None) -> int | None:
+    """The page of an identifier that ``records_of`` made; null for any other."""
+    found = re.match(r"urn:page:(-?\d+):", identifier or "")
+    return int(found[1]) if found else None
+
+
+def _opened(fields: dict[str, str], block: bytes, strict: bool = True) -> dict:
     """A whole record's row, with its payload decoded and checked."""
-    head, _, body = block.partition(b"\r\n\r\n")
-    http = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode().split("\r\n")[1:])}
-    own, stated = fields["warc-record-id"].strip("<>"), fields["warc-payload-digest"].removeprefix("sha1:")
-    page = own.split(":")[2]
-    row = {"record_id": own, "page_id": int(page) if page else None, "url": fields.get("warc-target-uri", ""), "record_type": fields["warc-type"], "refers_to": None, "payload_digest": stated, "payload_bytes": int(http.get("x-payload-length", 0)), "payload": None}
-    if row["record_type"] == "revisit":
-        target = fields["warc-refers-to"].strip("<>").split(":")[2]
-        return row | {"refers_to": int(target) if target else None}
-    payload = from_chunks(body) if http.get("transfer-encoding") == "chunked" else body
-    if digest(payload) != stated:
+    own, target, kind = fields.get("warc-record-id", "").strip("<>"), fields.get("warc-refers-to"), fields["warc-type"]
+    http, body = {}, block
+    if kind in ("response", "revisit") and block[:5] == b"HTTP/":
+        head, _, body = block.partition(b"\r\n\r\n")
+        http = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    algorithm, _, stated = fields.get("warc-payload-digest", "").rpartition(":")
+    length = http.get("x-payload-length", "")
+    row = {"record_id": own, "page_id": _page(own), "url": fields.get("warc-target-uri", "").strip("<>"), "record_type": kind, "refers_to": None, "refers_to_id": None, "payload_digest": stated or None, "payload_bytes": int(length) if length.isdigit() else None, "payload": None, "digest_ok": None}
+    if kind == "revisit":
+        target = target.strip("<>") if target else None
+        return row | {"refers_to": _page(target), "refers_to_id": target}
+    whole = True
+    try:
+        payload = from_chunks(body) if http.get("transfer-encoding", "").lower() == "chunked" else body
+    except (ValueError, IndexError):
+        if strict:
+            raise
+        payload, whole = body, False
+    found = digest(payload)
+    known = bool(stated) and algorithm.lower() in ("", "sha1") and len(stated) == 32
+    ok = (found == stated.upper() if known else None) if whole else False
+    if strict and ok is False:
         raise ValueError(f"the payload of {own} fails its digest")
-    return row | {"payload": payload, "payload_bytes": len(payload)}
+    return row | {"payload": payload, "payload_bytes": len(payload), "payload_digest": stated or found, "digest_ok": ok}
 
 
-def reassemble(group: pd.DataFrame) -> pd.DataFrame:
+def reassemble(group: pd.DataFrame, strict: bool = True) -> pd.DataFrame:
     """The record whose segments these are."""
     group = group.drop_duplicates("segment").sort_values("segment")
-    if group["segment"].tolist() != list(range(1, len(group) + 1)):
-        raise ValueError(f"segments are missing from {group['origin_id'].iloc[0]}")
+    first, total = group.iloc[0], group["total_length"].iloc[-1]
     block = b"".join(group["payload"])
-    if len(block) != group["total_length"].iloc[-1]:
-        raise ValueError(f"the segments of {group['origin_id'].iloc[0]} fail the total length")
-    first = group.iloc[0]
-    fields = {"warc-record-id": first["record_id"], "warc-payload-digest": first["payload_digest"], "warc-type": first["record_type"], "warc-target-uri": first["url"]}
-    return pd.DataFrame([_opened(fields, block)]).astype({"page_id": "Int64", "refers_to": "Int64"})
+    wrong = None
+    if group["segment"].tolist() != list(range(1, len(group) + 1)) or pd.isna(total):
+        wrong = f"segments are missing from {first['origin_id']}"
+    elif len(block) != total:
+        wrong = f"the segments of {first['origin_id']} fail the total length"
+    if wrong and strict:
+        raise ValueError(wrong)
+    own = first["record_id"] if first["segment"] == 1 else first["origin_id"]
+    fields = {"warc-record-id": own, "warc-type": first["record_type"], "warc-target-uri": first["url"] or "", "warc-payload-digest": first["payload_digest"] or ""}
+    row = _opened(fields, b"" if wrong else block, strict)
+    if wrong:
+        row |= {"payload": None, "payload_bytes": None, "digest_ok": False}
+    return pd.DataFrame([row]).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64", "digest_ok": "boolean"})
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """A fixed number of parts: what the names of files weigh says nothing about the work."""
+    n = files.count()
+    return files.select("path").repartition(max(1, min(n, max(2 * files.sparkSession.sparkContext.defaultParallelism, -(-n // FILES_READ)))))
+
+
+def inventory(files: DataFrame) -> DataFrame:
+    """path, record_type, records: how many records of each type the archives hold, also of those that ``read`` passes over."""
+    ship_package(files.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                counts = Counter(fields.get("warc-type", "") for fields, _ in parse(_unpacked(read_bytes(path))))
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["path", "record_type", "records"])
 
-def read(files: DataFrame) -> DataFrame:
+    return _dealt(files).mapInArrow(run, "path string, record_type string, records long")
+
+
+def read(files: DataFrame, strict: bool = True) -> DataFrame:
     """Records of the archives that the column ``path`` names, segments put together."""
     ship_package(files.sparkSession)
 
@@ -233,12 +289,15 @@ def read(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows, size = [], 0
-                for fields, block in parse(gzip.GzipFile(fileobj=io.BytesIO(read_bytes(path))).read()):
+                for fields, block in parse(_unpacked(read_bytes(path))):
+                    if fields.get("warc-type") not in KEPT:
+                        continue
                     if "warc-segment-number" in fields:
-                        own = fields["warc-record-id"].strip("<>")
-                        rows.append({"record_id": own, "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "payload_digest": fields.get("warc-payload-digest"), "payload": block, "origin_id": fields.get("warc-segment-origin-id", own).strip("<>"), "segment": int(fields["warc-segment-number"]), "total_length": int(fields["warc-segment-total-length"]) if "warc-segment-total-length" in fields else None})
+                        own = fields.get("warc-record-id", "").strip("<>")
+                        total = fields.get("warc-segment-total-length", "")
+                        rows.append({"record_id": own, "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "payload_digest": fields.get("warc-payload-digest"), "payload": block, "origin_id": fields.get("warc-segment-origin-id", own).strip("<>"), "segment": int(fields["warc-segment-number"]), "total_length": int(total) if total.isdigit() else None})
                     else:
-                        rows.append(_opened(fields, block))
+                        rows.append(_opened(fields, block, strict))
                     size += len(block)
                     if size > 8 << 20:
                         yield _batch(rows)
@@ -246,17 +305,15 @@ def read(files: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    # a fixed number of parts: what the names of files weigh says nothing about the work
-    n = files.count()
-    parts = files.select("path").repartition(max(1, min(n, max(2 * files.sparkSession.sparkContext.defaultParallelism, -(-n // FILES_READ))))).mapInArrow(run, PARTS)
+    parts = _dealt(files).mapInArrow(run, PARTS)
     names = [c.split()[0] for c in RECORDS.split(", ")]
     whole = parts.filter("segment is null").select(*names)
-    joined = parts.filter("segment is not null").groupBy("origin_id").applyInPandas(reassemble, RECORDS)
+    joined = parts.filter("segment is not null").groupBy("origin_id").applyInPandas(lambda group: reassemble(group, strict), RECORDS)
     return whole.unionByName(joined)
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
     columns = [c.split() for c in PARTS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kinds[k]) for c, k in columns], names=[c for c, _ in columns])
 

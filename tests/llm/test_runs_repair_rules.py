@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import random
 import re
@@ -11,7 +13,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cartulary.llm import periodic, queries, repair, rules
+from cartulary.llm import mixture, periodic, queries, repair, rules, warc
 from cartulary.llm.wording import numbered
 
 TINY, SMALL = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -284,3 +286,48 @@ def test_rules_of_one_kind_of_labels_and_defined_cases(spark, quality):
     got = rules.judged(docs, made).collect()
     assert sorted(r["n_words"] for r in got) == [0, 0, 1, 2, 40_000] and not any(r["kept"] for r in got)
     assert rules.judged(docs.limit(0), rules.fitted(docs.limit(0), labels)).count() == 0
+
+
+def foreign(kind: str, identifier: str | None, block: bytes, version: str = "1.0", **fields: object) -> bytes:
+    """A record as other writers make them."""
+    lines = [f"WARC/{version}", f"WARC-Type: {kind}", *([f"WARC-Record-ID: <{identifier}>"] if identifier else []), *(f"{k.replace('_', '-')}: {v}" for k, v in fields.items())]
+    return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    body = "<p>é</p>".encode()
+    sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    plain = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    chunked = b"HTTP/1.1 200 OK\r\ntransfer-encoding: Chunked\r\n\r\n" + warc.to_chunks(body)
+    records = [
+        foreign("warcinfo", "urn:uuid:0", b"software: x\r\n"), foreign("request", "urn:uuid:1", b"GET / HTTP/1.1\r\n\r\n"),
+        foreign("response", "urn:uuid:2", plain, WARC_Target_URI="<http://a/>", WARC_Payload_Digest=f"sha1:{sha}"),
+        foreign("response", "urn:uuid:3", chunked, "1.1", WARC_Payload_Digest="sha256:abc", X_Note="folded\r\n  line"),
+        foreign("resource", "urn:uuid:4", b"HTTP/ is text here"), foreign("revisit", "urn:uuid:5", b"", WARC_Refers_To="<urn:uuid:2>"),
+        foreign("metadata", None, b"k: v"), foreign("strange", "urn:uuid:6", b"?"), foreign("response", "urn:uuid:7", plain, WARC_Payload_Digest="sha1:" + "A" * 32),
+        foreign("response", "urn:uuid:8", plain[:30], WARC_Segment_Number=1), foreign("continuation", "urn:uuid:9", plain[30:], WARC_Segment_Origin_ID="<urn:uuid:8>", WARC_Segment_Number=2, WARC_Segment_Total_Length=len(plain)),
+        foreign("continuation", "urn:uuid:11", b"tail", WARC_Segment_Origin_ID="<urn:uuid:10>", WARC_Segment_Number=2, WARC_Segment_Total_Length=9),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records[:6])))
+    (tmp_path / "b.warc").write_bytes(b"".join(records[6:]))
+    files = spark.createDataFrame([(f"file://{tmp_path}/{n}",) for n in ("a.warc.gz", "b.warc")], "path string")
+    got = {r["record_id"][9:]: r for r in warc.read(files, strict=False).collect()}
+    assert set(got) == {"2", "3", "4", "5", "7", "8", "10"} and all(r["page_id"] is None for r in got.values())
+    assert {k: (bytes(r["payload"]) if r["payload"] is not None else None, r["digest_ok"]) for k, r in got.items()} == {
+        "2": (body, True), "3": (body, None), "4": (b"HTTP/ is text here", None), "5": (None, None), "7": (body, False), "8": (body, None), "10": (None, False),
+    }
+    assert got["2"]["url"] == "http://a/" and got["5"]["refers_to_id"] == "urn:uuid:2" and got["4"]["payload_digest"] == warc.digest(b"HTTP/ is text here")
+    kinds = {r["record_type"]: r["n"] for r in warc.inventory(files).groupBy("record_type").agg(repair.F.sum("records").alias("n")).collect()}
+    assert kinds == {"warcinfo": 1, "request": 1, "response": 4, "resource": 1, "revisit": 1, "metadata": 1, "strange": 1, "continuation": 2}
+    with pytest.raises(Exception, match="digest|missing"):
+        warc.read(files).collect()
+
+
+def test_one_grouping_is_balanced_in_one_step(spark, monkeypatch):
+    cells = spark.createDataFrame([("a", 10.0), ("b", 40.0), (None, 5.0), ("c", 0.0), ("d", 8.0)], "cell string, size double")
+    targets = spark.createDataFrame([("a", 15.0), ("b", 20.0), (None, 10.0), ("c", 3.0), ("d", 0.0)], "group string, target double")
+    made: list[str] = []
+    keep = mixture.materialise
+    monkeypatch.setattr(mixture, "materialise", lambda df, what: made.append(what) or keep(df, what))
+    rates = {r["cell"]: r["rate"] for r in mixture.balanced(cells, [("cell", targets)]).collect()}
+    assert rates == pytest.approx({"a": 1.5, "b": 0.5, None: 2.0, "c": 0.0, "d": 0.0}) and made.count("lambdas") == 2
