@@ -75,7 +75,7 @@ def balanced(cells: DataFrame, groupings: Sequence[tuple[str, DataFrame]], cap:
     """cells (a column for each grouping, and size) with rate: entropy balancing under all groupings' targets.
 
     groupings name the columns, each with its table (group, target). Groups without
-    words or with target 0 get rate 0. Iterations end when every group is CLOSE to its
+    words or with target 0 get rate 0. Iterations end when every group that has words to take is CLOSE to its
     target, or after so many steps, as when targets contradict each other.
     """
     lambdas = [t.select(F.col("group").alias(f"g{k}"), F.col("target").cast("double").alias(f"t{k}"), F.lit(0.0).alias(f"l{k}")) for k, (_, t) in enumerate(groupings)]
@@ -106,7 +106,7 @@ def balanced(cells: DataFrame, groupings: Sequence[tuple[str, DataFrame]], cap:
         # at most 1 either way, so that far starts stay stable; a wholly stopped group that takes too much comes down too
         curve = F.coalesce(F.nullif(F.col("free"), F.lit(0.0)), F.col("taken"))
         move = F.when((F.col("taken") > 0) & (off != 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(off, curve)))).otherwise(0.0)
-        up = materialise(sums.select(f"g{k}", f"t{k}", (F.col(f"l{k}") + move).alias(f"l{k}"), F.try_divide(F.abs(off), F.col(f"t{k}")).alias("off")), "lambdas")
+        up = materialise(sums.select(f"g{k}", f"t{k}", (F.col(f"l{k}") + move).alias(f"l{k}"), F.when(F.col("taken") > 0, F.try_divide(F.abs(off), F.col(f"t{k}"))).alias("off")), "lambdas")
         far = up.agg(F.max(F.when(F.col(f"t{k}") > 0, F.col("off")))).first()[0]
         lambdas[k] = up.drop("off")
         settled = settled + 1 if far is None or far < CLOSE else 0
