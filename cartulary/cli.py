@@ -117,7 +117,7 @@ def recoverable(spark: SparkSession, store: str, source: str, entries: str | Non
     held = snapshots.headers(spark, store).filter(F.col("source") == source).select("source", "period", "stamp", F.col("archive_sha256").alias("sha256"), "root", "canon_version", "records")
     none = spark.createDataFrame([], "key string, type string, value string")
     family = CANON_VERSION.rpartition("-")[0]
-    found = versions.parse_versions(versions.read_entries(spark, entries) if entries else none)
+    found = versions.of_source(versions.parse_versions(versions.read_entries(spark, entries) if entries else none), source)
     anchored = found.withColumn("canon_version", F.concat(F.lit(f"{family}-"), F.col("canon").cast("string")))
     return versions.recovery(versions.captures(held, anchored), anchored)
 

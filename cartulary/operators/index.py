@@ -14,7 +14,7 @@ from cartulary.functions import exprs as E
 from cartulary.functions.names import initials_joined, normalised_name
 from cartulary.schemas import COALESCED_KEYS, INDEX_KEYS, TABLES
 from cartulary.sources.archive import table_or_empty
-from cartulary.storage import replace
+from cartulary.storage import replace, settle
 
 
 #: Columns that say where a row comes from or in which order it was loaded.
@@ -93,6 +93,7 @@ def save(spark: SparkSession, folder: str, table: str, rows: DataFrame) -> None:
 def ask(spark: SparkSession, folder: str, sql: str, args: dict | None = None) -> DataFrame:
     """SQL with named parameters over the saved index; tables that aren't there are empty."""
     for name, schema in TABLES.items():
+        settle(spark, f"{folder}/{name}")
         table_or_empty(spark, f"{folder}/{name}", schema).createOrReplaceTempView(name)
     return spark.sql(sql, args=args or {})
 

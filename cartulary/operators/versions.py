@@ -72,6 +72,11 @@ def _suffix(version: Column, mark: str) -> Column:
     return F.when(n == "1", "").otherwise(F.concat(F.lit(f"_{mark}"), n))
 
 
+def of_source(anchored: DataFrame, ns: str | None, first: str = "cr") -> DataFrame:
+    """Parsed entries of one publisher; those without a namespace are of the first one, whose keys had none."""
+    return anchored.filter(F.coalesce("ns", F.lit(first)) == (ns or first))
+
+
 def version_entries(caps: DataFrame, ns: str | None = None) -> DataFrame:
     """key, type, value: a root and a meta entry for each capture (with records)."""
     tail = F.concat(F.lit(f"{ns}_" if ns else ""), F.col("period"), F.lit("_"), F.substring("sha256", 1, 12), _suffix(F.col("canon_version"), "c"))

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.functions import quantiles
-from cartulary.operators import bundle, canonical, history, institutions, loading, merkle, occurrences, paging, prices, reconcile, snapshots, state
+from cartulary.functions.exprs import Window
+from cartulary.operators import bundle, canonical, competition, differ, history, institutions, loading, merkle, occurrences, paging, prices, reconcile, snapshots, state
 from cartulary.plans.extended import MIRROR, _published, _releases
 from cartulary.plans.registry import _metrics, _records, query, r
-from cartulary.schemas import source
+from cartulary.schemas import TableDef, source
 from cartulary.sources import archive
 from cartulary.sources.lens import Lens
 from cartulary.storage import shared_folder, written
@@ -256,3 +257,46 @@ def release_members(t: Lens) -> DataFrame:
         size(F.col("tender.tenderers")).alias("tenderers"), F.coalesce(F.aggregate("awards", F.lit(0).cast("long"), lambda n, x: n + size(x["items"])), F.lit(0)).cast("long").alias("award_items"), first["awardID"].alias("award_id"),
         F.aggregate("contracts", F.lit(0).cast("long"), lambda n, x: n + size(x["amendments"])).alias("amendments"), first["period"]["startDate"].alias("starts"),
     )
+
+
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem), c AS (SELECT o, n, o % 5 = 0 AND n > 1 AS only_later, o % 7 = 0 AND n = 1 AS only_earlier FROM a WHERE o % 3 = 0),
+before AS (SELECT * FROM c WHERE NOT only_later), after AS (SELECT * FROM c WHERE NOT only_earlier)
+SELECT o || '|' || n AS id, CASE WHEN o IN (SELECT o FROM before) THEN 'recordedAmendment' ELSE 'added' END AS kind FROM after WHERE only_later UNION ALL SELECT o || '|' || n, 'removed' FROM before WHERE only_earlier""")
+def amendments(t: Lens) -> DataFrame:
+    """Contracts of two copies: new sequences of a known contract are amendments, of an unknown one additions."""
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    keys = t.raw("lineitem").filter(o % 3 == 0).select(o, n).distinct()
+    cells = F.array(o.cast("string"), n.cast("string"))
+    rows = lambda df: df.select(F.lit("Contratos").alias("table"), (o * 10 + n).alias("row_pos"), F.array(F.lit("NRO_CONTRATO"), F.lit("SECUENCIA")).alias("header"), cells.alias("cells"))
+    defs = {"Contratos": source("cr").tables["Contratos"]}
+    one = canonical.records(rows(keys.filter(~((o % 5 == 0) & (n > 1)))), defs)
+    two = canonical.records(rows(keys.filter(~((o % 7 == 0) & (n == 1)))), defs)
+    return differ.diff(one, two).select("id", "kind")
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS row_pos, row_number() OVER w > 1 AS duplicate_key, CASE WHEN row_number() OVER w = 1 THEN l_orderkey::VARCHAR END AS id FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)""")
+def repeated_keys(t: Lens) -> DataFrame:
+    """Rows of a table whose declared key repeats: the first keeps it, the others are named by their content."""
+    lines = t.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    rows = canonical.rows_of(lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), "l_orderkey", "l_linenumber", "p"), "lines", "pos")
+    made = canonical.identified(rows, {"lines": TableDef(("l_orderkey",), ())})
+    return made.select("row_pos", "duplicate_key", F.when(~F.col("id").startswith("sha256:"), F.col("id")).alias("id"))
+
+
+@query("""WITH l AS (SELECT codigo_producto, moneda, CASE WHEN codigo_producto::BIGINT % 7 = 0 THEN NULL WHEN codigo_producto::BIGINT % 5 = 0 THEN -precio_unitario ELSE precio_unitario END AS p, CASE WHEN nro_linea = '3' THEN 0 ELSE cantidad END AS c FROM bid_line)
+SELECT codigo_producto, count(*) FILTER (moneda <> 'CRC') AS other_currency, count(*) FILTER (moneda = 'CRC' AND (p <= 0 OR c <= 0)) AS non_positive, count(*) FILTER (moneda = 'CRC' AND (p IS NULL OR c IS NULL)) AS missing FROM l GROUP BY 1""")
+def price_exclusions_counted(t: Lens) -> DataFrame:
+    """Lines that a price analysis leaves out, with missing and negative prices and empty quantities among them."""
+    k = F.col("codigo_producto").cast("long")
+    price = F.when(k % 7 == 0, None).when(k % 5 == 0, -F.col("precio_unitario")).otherwise(F.col("precio_unitario"))
+    lines = t.bid_line.withColumn("precio_unitario", price).withColumn("cantidad", F.when(F.col("nro_linea") == "3", 0.0).otherwise(F.col("cantidad")))
+    return prices.exclusions(lines, t.tender)
+
+
+@query("""WITH m AS (SELECT max(source_month) AS month FROM tender), t AS (SELECT * FROM tender, m WHERE source_month = month AND cedula_institucion IN (SELECT cedula_institucion FROM tender t2, m WHERE t2.source_month = m.month ORDER BY cedula_institucion LIMIT 1)),
+b AS (SELECT nro_sicop, count(DISTINCT cedula_proveedor) AS bidders FROM bid WHERE nro_sicop IN (SELECT nro_sicop FROM t) GROUP BY 1) SELECT nro_sicop, cedula_institucion, bidders FROM b JOIN t USING (nro_sicop)""")
+def window_of_institution(t: Lens) -> DataFrame:
+    """Bidders of one institution's tenders of one month."""
+    month = t.tender.agg(F.max("source_month")).first()[0]
+    institution = t.tender.filter(F.col("source_month") == month).agg(F.min("cedula_institucion")).first()[0]
+    return competition.bidder_counts(t.bid, t.tender, Window(month=month, institution=institution)).select("nro_sicop", "cedula_institucion", "bidders")

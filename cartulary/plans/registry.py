@@ -213,7 +213,7 @@ def losing_pairs(t: Lens) -> DataFrame:
 
 
 @query(f"""WITH {PAIRS}, tail AS (SELECT n, k, sum(c) OVER (PARTITION BY n ORDER BY k DESC) AS p FROM (
-  SELECT n, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)) AS c FROM range(5, 401) a(n), LATERAL (SELECT unnest(range(0, n + 1)) AS k) b))
+  SELECT n, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)) AS c FROM (SELECT DISTINCT encounters AS n FROM pairs) a, LATERAL (SELECT unnest(range(0, n + 1)) AS k) b))
 SELECT CASE WHEN a_wins >= b_wins THEN b ELSE a END AS loser, CASE WHEN a_wins >= b_wins THEN a ELSE b END AS winner, encounters, greatest(a_wins, b_wins) AS winner_wins, least(a_wins, b_wins) AS loser_wins,
 round(greatest(a_wins, b_wins) / encounters, 6) AS loss_rate, round(p, 8) AS p_value, round(least(1, p * (SELECT count(*) FROM pairs)), 6) AS p_adjusted FROM pairs JOIN tail ON n = encounters AND k = greatest(a_wins, b_wins)""")
 def losing_screen(t: Lens) -> DataFrame:

@@ -45,18 +45,40 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
 
 
 def replace(spark: SparkSession, made: str, target: str) -> None:
-    """Put a finished folder in the place of another: readers find the old one or the new one, never a part."""
+    """Put a finished folder in the place of another.
+
+    Never a part is seen, but between two renames there is nothing under the name; ``settle`` puts the
+    old folder back after a crash there. Tables that are read while they are replaced belong in ``operators.state``.
+    """
+    settle(spark, target)
     new, fs = _hadoop(spark, made)
     old, _ = _hadoop(spark, target)
-    before, _ = _hadoop(spark, f"{target}.before-{uuid.uuid4().hex}")
+    before, _ = _hadoop(spark, f"{target}{BEFORE}{uuid.uuid4().hex}")
     if fs.exists(old):
         fs.rename(old, before)
     fs.mkdirs(old.getParent())
     if not fs.rename(new, old):
+        settle(spark, target)
         raise OSError(f"{made} can't be moved to {target}")
     fs.delete(before, True)
 
 
+#: Between a folder's name and a number, while another takes its place.
+BEFORE = ".before-"
+
+
+def settle(spark: SparkSession, target: str) -> None:
+    """After a replacement that was broken off: the old folder back under its name, or out of the way if the new one is there."""
+    folder, name = target.rstrip("/").rpartition("/")[::2]
+    for left in names_in(spark, folder):
+        if left.startswith(f"{name}{BEFORE}"):
+            if exists(spark, target):
+                remove(spark, f"{folder}/{left}")
+            else:
+                where, fs = _hadoop(spark, f"{folder}/{left}")
+                fs.rename(where, _hadoop(spark, target)[0])
+
+
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file that appears under its name only when it is whole; there must be none yet."""
     made, fs = _hadoop(spark, f"{path}.{uuid.uuid4().hex}")

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 from cartulary.operators import index
-from cartulary.plans import registry
+from cartulary.plans import catalog
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -18,7 +18,9 @@ NAMES = (
     "bidder_counts", "bidder_distribution", "single_bidder_by_year", "exception_rates", "deserted_rate", "competition_by_institution", "latest_award_lines", "orphan_award_lines",
     "concentration_hhi", "rotation_screen", "losing_screen", "spread_screen", "sole_bid_pairs", "price_verdict", "price_outliers", "stage_summary", "km_median", "duration_by_institution",
     "supplier_win_rate", "rival_gap", "institution_peers", "canonical_records", "content_ids", "snapshot_diff", "detail_budget", "record_transitions", "recovery_inventory", "anchor_parse",
-    "latest_wins_load", "entity_groups", "alert_matches", "ocds_awards",
+    "latest_wins_load", "entity_groups", "alert_matches", "ocds_awards", "schema_changes", "binomial_table", "release_figures", "collusion_report", "supplier_profiles", "exact_deltas", "period_ranges",
+    "proofs_chosen", "bucket_diff", "bucketed_state", "record_history", "validity_intervals", "occurrence_numbers", "hot_quantiles", "peers_all", "deep_pages", "price_suppliers", "release_members",
+    "amendments", "repeated_keys", "price_exclusions_counted", "window_of_institution",
 )
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the generated tables are not here")
@@ -40,10 +42,10 @@ def duck():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, duck, name):
-    df = registry.queries()[name](spark, str(DATA))
+    df = catalog.queries()[name](spark, str(DATA))
     columns = sorted(df.columns)
     mine = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
-    found = duck.execute(registry.oracle_sql()[name])
+    found = duck.execute(catalog.oracle_sql()[name])
     order = [d[0] for d in found.description]
     assert sorted(order) == columns
     theirs = sorted(tuple(plain(r[order.index(c)]) for c in columns) for r in found.fetchall())
@@ -51,11 +53,11 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_sql_has_a_query():
-    assert set(registry.oracle_sql()) <= set(registry.queries())
+    assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
 
 def test_bundle_lines_have_all_values(spark):
-    lines = registry.queries()["bundle_lines"](spark, str(DATA.parent / "sf0.01"))
+    lines = catalog.queries()["bundle_lines"](spark, str(DATA.parent / "sf0.01"))
     kept = lines.selectExpr("count(*) as n", "count_if(line like '%\"valuesOmitted\":true%') as omitted").first()
     assert kept["n"] > 500 and kept["omitted"] == 0
 
