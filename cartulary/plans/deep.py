@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from cartulary.functions import quantiles
 from cartulary.functions.exprs import Window
-from cartulary.operators import bundle, canonical, competition, differ, history, institutions, loading, merkle, occurrences, paging, prices, reconcile, snapshots, state
+from cartulary.operators import bundle, canonical, competition, differ, durations, history, institutions, loading, merkle, occurrences, paging, prices, reconcile, snapshots, state
 from cartulary.plans.extended import MIRROR, _published, _releases
 from cartulary.plans.registry import _metrics, _records, query, r
-from cartulary.schemas import TableDef, source
+from cartulary.schemas import CHANGE_KINDS, TableDef, source
 from cartulary.sources import archive
 from cartulary.sources.lens import Lens
 from cartulary.storage import shared_folder, written
+from cartulary.streaming import watch
 
 
 def _folder(t: Lens, what: str) -> str:
@@ -300,3 +301,44 @@ def window_of_institution(t: Lens) -> DataFrame:
     month = t.tender.agg(F.max("source_month")).first()[0]
     institution = t.tender.filter(F.col("source_month") == month).agg(F.min("cedula_institucion")).first()[0]
     return competition.bidder_counts(t.bid, t.tender, Window(month=month, institution=institution)).select("nro_sicop", "cedula_institucion", "bidders")
+
+
+@query("""WITH i AS (SELECT min(cedula_institucion) AS i FROM tender) SELECT stage, count(*) AS lines, count(start) AS started, count(stop) AS stopped FROM stage_rows JOIN tender USING (nro_sicop), i WHERE cedula_institucion = i AND start IS NOT NULL GROUP BY 1""")
+def stages_of_institution(t: Lens) -> DataFrame:
+    """Stages of one institution's procedures, whose lines meet its tenders by a semi join."""
+    first = t.tender.agg(F.min("cedula_institucion")).first()[0]
+    rows = durations.unpivoted(t.stage_dates, Window(institution=first), tender=t.tender).filter("start is not null")
+    return rows.groupBy("stage").agg(F.count("*").alias("lines"), F.count("start").alias("started"), F.count("end").alias("stopped"))
+
+
+def _watched(t: Lens) -> tuple[str, str]:
+    """Feed and report folders after two copies of a month have landed, one after the other, and been compared by the stream."""
+    base = _folder(t, "watch")
+    places = {name: f"{base}/{name}" for name in ("landed", "copies", "feed", "checkpoint", "reports", "bundles")}
+    report = watch.reporter(t.spark, places["reports"], "cr", bundles=places["bundles"])
+    for stamp, second in (("20240201T000000Z", False), ("20240301T000000Z", True)):
+        key = [F.lit("cr").alias("source"), F.lit("202401").alias("period"), F.lit(stamp).alias("stamp")]
+        _records(t, second).select(*key, "table", "id", "byte_hash", "value_hash").write.mode("append").parquet(places["landed"])
+        watch.watch(t.spark, places["landed"], places["copies"], places["feed"], places["checkpoint"], report).awaitTermination()
+    return places["feed"], places["reports"]
+
+
+@query("SELECT kind, id, before_hash, after_hash, '20240301T000000Z' AS detected FROM changes")
+def watch_feed(t: Lens) -> DataFrame:
+    """The change feed of a stream of copies."""
+    feed, _ = _watched(t)
+    hashes = "struct<byte_hash:string,value_hash:string>"
+    rows = t.spark.read.option("recursiveFileLookup", "true").schema(f"kind string, table string, id string, before {hashes}, after {hashes}, period string, detected string").parquet(feed)
+    return rows.select("kind", "id", F.col("before.byte_hash").alias("before_hash"), F.col("after.byte_hash").alias("after_hash"), "detected")
+
+
+@query("""WITH k AS (SELECT k.kind, coalesce(n, 0) AS changes FROM (VALUES ('added'), ('recordedAmendment'), ('silentRevision'), ('reformatted'), ('removed')) k(kind) LEFT JOIN (SELECT kind, count(*) AS n FROM changes GROUP BY 1) c USING (kind)), a AS (SELECT sum(changes)::BIGINT AS n FROM k)
+SELECT '202401' AS month, true AS closed_month, kind, changes, least(n, 200) AS listed, n > 200 AS truncated, n AS in_bundle FROM k, a""")
+def watch_report(t: Lens) -> DataFrame:
+    """The stream's report: all changes counted, the first 200 listed, the others in its bundle."""
+    _, reports = _watched(t)
+    found = t.spark.read.json(reports).select(F.explode("findings").alias("f")).select("f.*")
+    whole = t.spark.read.json(found.select("bundle").first()[0]).count()
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"counts.{k}").alias("changes")) for k in CHANGE_KINDS])
+    rows = found.select("month", "closed_month", F.size("changes").cast("long").alias("listed"), "truncated", F.lit(whole).cast("long").alias("in_bundle"), F.explode(kinds).alias("k"))
+    return rows.select("month", "closed_month", "k.kind", "k.changes", "listed", "truncated", "in_bundle")
