@@ -15,6 +15,7 @@ from cartulary.functions import exprs as E
 from cartulary.functions import stats as S
 from cartulary.functions.exprs import ALL, Window
 from cartulary.operators.awards import latest_award_lines
+from cartulary.storage import written
 
 
 def bidders(bid: DataFrame, tender: DataFrame, w: Window = ALL) -> DataFrame:
@@ -31,13 +32,23 @@ def winners(award: DataFrame, tender: DataFrame, w: Window = ALL) -> DataFrame:
 
 def bidder_sets(bid: DataFrame, tender: DataFrame, w: Window = ALL) -> DataFrame:
     """nro_sicop, cedula_institucion, members (sorted array): exact bidder sets of tenders with two bidders or more."""
-    sets = bidders(bid, tender, w).groupBy("nro_sicop").agg(F.first("cedula_institucion").alias("cedula_institucion"), F.array_sort(F.collect_set("cedula_proveedor")).alias("members"))
+    return sets_of(bidders(bid, tender, w))
+
+
+def sets_of(b: DataFrame) -> DataFrame:
+    """bidder_sets, from the rows of ``bidders``."""
+    sets = b.groupBy("nro_sicop").agg(F.first("cedula_institucion").alias("cedula_institucion"), F.array_sort(F.collect_set("cedula_proveedor")).alias("members"))
     return sets.filter(F.size("members") >= 2)
 
 
 def rotation_groups(bid: DataFrame, tender: DataFrame, w: Window = ALL) -> DataFrame:
     """members (sorted array), tenders: how often each exact bidder set occurs."""
-    return bidder_sets(bid, tender, w).groupBy("members").agg(F.count("*").alias("tenders"))
+    return groups_of(bidder_sets(bid, tender, w))
+
+
+def groups_of(sets: DataFrame) -> DataFrame:
+    """rotation_groups, from the rows of ``bidder_sets``."""
+    return sets.groupBy("members").agg(F.count("*").alias("tenders"))
 
 
 def rotation(bid: DataFrame, award: DataFrame, tender: DataFrame, w: Window = ALL, min_tenders: int = 4, min_group: int = 3, min_exclusivity: float = 0.25) -> DataFrame:
@@ -46,14 +57,20 @@ def rotation(bid: DataFrame, award: DataFrame, tender: DataFrame, w: Window = AL
     Sets are counted first and cut down to candidates; tenders and members are
     looked up for these only, so the work follows the repeated sets.
     """
-    seen = bidders(bid, tender, w).groupBy("cedula_proveedor").agg(F.count("*").alias("appearances"))
-    groups = rotation_groups(bid, tender, w).filter((F.col("tenders") >= min_tenders) & (F.size("members") >= min_group))
+    b = bidders(bid, tender, w)
+    return rotation_of(b, sets_of(b), winners(award, tender, w), min_tenders, min_group, min_exclusivity)
+
+
+def rotation_of(b: DataFrame, sets: DataFrame, won: DataFrame, min_tenders: int = 4, min_group: int = 3, min_exclusivity: float = 0.25) -> DataFrame:
+    """rotation, from the rows of ``bidders``, ``bidder_sets`` and ``winners``."""
+    seen = b.groupBy("cedula_proveedor").agg(F.count("*").alias("appearances"))
+    groups = groups_of(sets).filter((F.col("tenders") >= min_tenders) & (F.size("members") >= min_group))
     groups = groups.withColumn("group_key", F.array_join("members", "|"))
     parts = groups.select("group_key", "tenders", F.explode("members").alias("cedula_proveedor"))
     exclusive = parts.join(seen, "cedula_proveedor").groupBy("group_key").agg(F.min(F.col("tenders") / F.col("appearances")).alias("exclusivity"))
-    where = bidder_sets(bid, tender, w).join(groups.select("members", "group_key"), "members").select("group_key", "nro_sicop", "cedula_institucion")
+    where = sets.join(groups.select("members", "group_key"), "members").select("group_key", "nro_sicop", "cedula_institucion")
     places = where.filter(E.filled("cedula_institucion")).groupBy("group_key").agg(F.array_sort(F.collect_set("cedula_institucion")).alias("institutions"))
-    cases = where.select("group_key", "nro_sicop").join(winners(award, tender, w), "nro_sicop")
+    cases = where.select("group_key", "nro_sicop").join(won, "nro_sicop")
     decided = cases.groupBy("group_key").agg(F.countDistinct("nro_sicop").alias("decided_tenders"))
     wins = cases.groupBy("group_key", F.col("winner").alias("cedula_proveedor")).agg(F.count("*").alias("wins"))
     even = parts.join(wins, ["group_key", "cedula_proveedor"], "left").withColumn("wins", F.coalesce("wins", F.lit(0))).groupBy("group_key").agg(
@@ -71,9 +88,13 @@ def losing_pairs(bid: DataFrame, award: DataFrame, tender: DataFrame, w: Window
     Only a winner's encounters count, so each winner meets the tender's losers: the
     rows are winners times losers of a tender, not all pairs of its bidders.
     """
-    won = winners(award, tender, w)
-    b = bidders(bid, tender, w).join(won.select("nro_sicop").distinct(), "nro_sicop", "left_semi")
-    marked = b.join(won.withColumnRenamed("winner", "cedula_proveedor").withColumn("won", F.lit(True)), ["nro_sicop", "cedula_proveedor"], "left")
+    return pairs_of(bidders(bid, tender, w), winners(award, tender, w), min_tenders)
+
+
+def pairs_of(b: DataFrame, won: DataFrame, min_tenders: int = 5) -> DataFrame:
+    """losing_pairs, from the rows of ``bidders`` and ``winners``."""
+    here = b.join(won.select("nro_sicop").distinct(), "nro_sicop", "left_semi")
+    marked = here.join(won.withColumnRenamed("winner", "cedula_proveedor").withColumn("won", F.lit(True)), ["nro_sicop", "cedula_proveedor"], "left")
     up = marked.filter("won").select("nro_sicop", F.col("cedula_proveedor").alias("winner"))
     down = marked.filter("won is null").select("nro_sicop", F.col("cedula_proveedor").alias("loser"))
     met = up.join(down, "nro_sicop").groupBy("winner", "loser").agg(F.count("*").alias("n"))
@@ -85,7 +106,11 @@ def losing_pairs(bid: DataFrame, award: DataFrame, tender: DataFrame, w: Window
 
 def consistent_losing(bid: DataFrame, award: DataFrame, tender: DataFrame, w: Window = ALL, min_tenders: int = 5, alpha: float = 0.05) -> DataFrame:
     """loser, winner, encounters, winner_wins, p_value, p_adjusted: adjusted over all eligible pairs."""
-    pairs = losing_pairs(bid, award, tender, w, min_tenders)
+    return losing_of(losing_pairs(bid, award, tender, w, min_tenders), alpha)
+
+
+def losing_of(pairs: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """consistent_losing, from the rows of ``losing_pairs``."""
     tests = pairs.agg(F.count("*").alias("tests"))  # one row
     a_first = F.col("a_wins") >= F.col("b_wins")
     p = S.binomial_tail(F.greatest("a_wins", "b_wins"), F.col("encounters"))
@@ -142,7 +167,11 @@ def bid_spread(bid: DataFrame, bid_line: DataFrame, award: DataFrame, tender: Da
     gaps are the first ``most_gaps`` lines of a pair by tender and line; they are kept
     apart while aggregating, so a pair never gathers more than that.
     """
-    rows = spread_lines(bid, bid_line, award, tender, w, same)
+    return spread_of(spread_lines(bid, bid_line, award, tender, w, same), min_tenders, keep_unscored, most_gaps)
+
+
+def spread_of(rows: DataFrame, min_tenders: int = 5, keep_unscored: bool = False, most_gaps: int = 20) -> DataFrame:
+    """bid_spread, from the rows of ``spread_lines``."""
     by = rows.groupBy("winner", "loser").agg(F.count("*").alias("lines"), F.countDistinct("nro_sicop").alias("tenders"), F.percentile("gap_pct", F.lit(0.5)).alias("median_gap"), F.avg("gap_pct").alias("mean_gap"), S.variation("gap_pct").alias("cv"))
     stable = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (0.2 - F.col("cv")) / 0.12)), F.lit(0.0))
     out = by.filter((F.col("tenders") >= min_tenders) & (F.col("median_gap") >= 0.5)).withColumn("score", stable * F.least(F.lit(1.0), F.col("tenders") / (2 * min_tenders)))
@@ -155,9 +184,14 @@ def bid_spread(bid: DataFrame, bid_line: DataFrame, award: DataFrame, tender: Da
 
 def sole_bid_pairs(bid: DataFrame, award: DataFrame, tender: DataFrame, institution: DataFrame, w: Window = ALL, min_tenders: int = 3) -> DataFrame:
     """cedula_proveedor, cedula_institucion, nombre, sole_bids, sole_wins, both shares, score."""
-    b = bidders(bid, tender, w).filter(E.filled("cedula_institucion"))
+    return sole_of(bidders(bid, tender, w), winners(award, tender, w), institution, min_tenders)
+
+
+def sole_of(all_bidders: DataFrame, winning: DataFrame, institution: DataFrame, min_tenders: int = 3) -> DataFrame:
+    """sole_bid_pairs, from the rows of ``bidders`` and ``winners``."""
+    b = all_bidders.filter(E.filled("cedula_institucion"))
     count = b.groupBy("nro_sicop").agg(F.count("*").alias("n"))
-    won = winners(award, tender, w).select("nro_sicop", F.col("winner").alias("cedula_proveedor"), F.lit(True).alias("won"))
+    won = winning.select("nro_sicop", F.col("winner").alias("cedula_proveedor"), F.lit(True).alias("won"))
     marked = b.join(count, "nro_sicop").join(won, ["nro_sicop", "cedula_proveedor"], "left")
     sole = F.col("n") == 1
     pairs = marked.groupBy("cedula_proveedor", "cedula_institucion").agg(F.count("*").alias("total"), F.count_if(sole).alias("sole_bids"), F.count_if(sole & F.col("won")).alias("sole_wins"))
@@ -185,23 +219,26 @@ def listed(screen: str, hits: DataFrame, limit: int = 25) -> DataFrame:
 def report(bid: DataFrame, bid_line: DataFrame, award: DataFrame, tender: DataFrame, institution: DataFrame, w: Window = ALL, **guards) -> DataFrame:
     """screen, population, tests, hits, missing: a row for each screen, with the number of tenders or lines it looked at and of comparisons made.
 
+    Bidders, winners, bidder sets, pairs and lines are written once; all screens read them.
     Without tenders or bids every count is 0, and missing names the empty tables.
     """
     lacking = ",".join(name for name, df in (("tender", tender), ("bid", bid)) if not df.limit(1).count())
     spark = bid.sparkSession
     if lacking:
         return spark.createDataFrame([(s, 0, 0, 0, lacking) for s in ORDER], "screen string, population long, tests long, hits long, missing string")
-    b = bidders(bid, tender, w)
+    losing, spread = dict(guards.get("losing", {})), dict(guards.get("spread", {}))
+    b = written(bidders(bid, tender, w), "bidders")
+    won = written(winners(award, tender, w), "winners")
+    sets = written(sets_of(b), "bidder-sets")
+    pairs = written(pairs_of(b, won, losing.pop("min_tenders", 5)), "losing-pairs")
+    lines = written(spread_lines(bid, bid_line, award, tender, w, spread.pop("same", SAME_LINE)), "spread-lines")
     size = b.groupBy("nro_sicop").agg(F.count("*").alias("n"))
-    decided = winners(award, tender, w).select("nro_sicop").distinct()
-    shared = size.filter("n >= 2")
-    lines = spread_lines(bid, bid_line, award, tender, w)
-    pairs = losing_pairs(bid, award, tender, w, guards.get("losing", {}).get("min_tenders", 5))
+    here = b.filter(E.filled("cedula_institucion")).select("cedula_proveedor", "cedula_institucion").distinct()
     parts = {
-        "bid-rotation": (shared, rotation_groups(bid, tender, w), rotation(bid, award, tender, w, **guards.get("rotation", {}))),
-        "consistent-losing": (shared.join(decided, "nro_sicop", "left_semi"), pairs, consistent_losing(bid, award, tender, w, **guards.get("losing", {}))),
-        "bid-spread": (lines, lines.select("winner", "loser").distinct(), bid_spread(bid, bid_line, award, tender, w, **guards.get("spread", {}))),
-        "single-bidder-concentration": (size, b.filter(E.filled("cedula_institucion")).select("cedula_proveedor", "cedula_institucion").distinct(), sole_bid_pairs(bid, award, tender, institution, w, **guards.get("sole", {}))),
+        "bid-rotation": (sets, groups_of(sets), rotation_of(b, sets, won, **guards.get("rotation", {}))),
+        "consistent-losing": (sets.join(won, "nro_sicop", "left_semi"), pairs, losing_of(pairs, **losing)),
+        "bid-spread": (lines, lines.select("winner", "loser").distinct(), spread_of(lines, **spread)),
+        "single-bidder-concentration": (size, here, sole_of(b, won, institution, **guards.get("sole", {}))),
     }
     out = None
     for screen, (population, tests, hits) in parts.items():

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 from cartulary.functions import exprs as E
 from cartulary.functions.exprs import ALL, Window
 from cartulary.operators import awards, competition, suppliers
+from cartulary.storage import written
 
 FIGURE = "section string, name string, value double"
 
@@ -88,15 +89,17 @@ def supplier_profiles(bid: DataFrame, bid_line: DataFrame, award: DataFrame, ten
     cedula_proveedor, nombre; overall (appearances, decided, won, undecided, rate,
     ends of its interval); by_period (in order of period); beaten_by, products and
     institutions (the ``limit`` most frequent); appeals by result; own sanctions.
-    Filter by cedula_proveedor before use to compute just one profile.
+    Appearances and defeats are written once; all sections read them.
+    Filter the tables by cedula_proveedor before use to compute just one profile.
     """
     key = "cedula_proveedor"
-    rows = suppliers.appearances(bid, award, tender, w)
+    rows = written(suppliers.appearances(bid, award, tender, w), "appearances")
+    lost = written(suppliers.defeats(rows, award), "defeats")
     rate = ("appearances", "decided", "won", "undecided", "rate", "ci_low", "ci_high")
     overall = suppliers.win_rate(rows, key).select(key, F.struct(*rate).alias("overall"))
     dated = rows.withColumn("period", F.coalesce("period", F.lit("unknown")))
     periods = suppliers.win_rate(dated, key, "period").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("period", *rate))).alias("by_period"))
-    rivals = suppliers.sanctioned_rivals(suppliers.beaten_by(rows, award), sanction, supplier).join(suppliers.rival_gaps(bid, bid_line, rows, award), [key, "rival"], "left")
+    rivals = suppliers.sanctioned_rivals(suppliers.times_beaten(lost), sanction, supplier).join(suppliers.gaps_of(lost, bid, bid_line), [key, "rival"], "left")
     beaten = _first(rivals, key, (F.desc("times"), F.col("rival")), limit, ("rival", "rival_name", "times", "median_gap", "gap_lines", "sanctioned"), "beaten_by")
     goods = _first(suppliers.product_performance(bid, bid_line, award, tender, w), key, (F.desc("tenders_bid"), F.col("codigo_producto")), limit, ("codigo_producto", "tenders_bid", "tenders_won"), "products")
     places = _first(suppliers.institution_performance(rows, institution), key, (F.desc("tenders"), F.col("cedula_institucion")), limit, ("cedula_institucion", "nombre", "tenders", "decided", "won", "rate"), "institutions")

@@ -33,15 +33,29 @@ def win_rate(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("appearances"), n.alias("decided"), k.alias("won"), F.count_if(~F.col("decided")).alias("undecided"), E.ratio(k, n).alias("rate"), S.wilson_low(k, n).alias("ci_low"), S.wilson_high(k, n).alias("ci_high"))
 
 
+def defeats(rows: DataFrame, award: DataFrame) -> DataFrame:
+    """nro_sicop, cedula_proveedor, rival: who won the decided tenders that a supplier lost."""
+    lost = rows.filter("decided and not won").select("nro_sicop", "cedula_proveedor")
+    return lost.join(winner_sets(award).withColumnRenamed("winner", "rival"), "nro_sicop")
+
+
 def beaten_by(rows: DataFrame, award: DataFrame) -> DataFrame:
     """cedula_proveedor, rival, times, tenders (sorted): who won the decided tenders that a supplier lost."""
-    lost = rows.filter("decided and not won").select("cedula_proveedor", "nro_sicop")
-    return lost.join(winner_sets(award).withColumnRenamed("winner", "rival"), "nro_sicop").groupBy("cedula_proveedor", "rival").agg(F.count("*").alias("times"), F.array_sort(F.collect_set("nro_sicop")).alias("tenders"))
+    return defeats(rows, award).groupBy("cedula_proveedor", "rival").agg(F.count("*").alias("times"), F.array_sort(F.collect_set("nro_sicop")).alias("tenders"))
+
+
+def times_beaten(lost: DataFrame) -> DataFrame:
+    """cedula_proveedor, rival, times: counts of ``defeats``, without gathering a pair's tenders."""
+    return lost.groupBy("cedula_proveedor", "rival").agg(F.count("*").alias("times"))
 
 
 def rival_gaps(bid: DataFrame, bid_line: DataFrame, rows: DataFrame, award: DataFrame) -> DataFrame:
     """cedula_proveedor, rival, gap_lines, median_gap: the supplier's price over the rival's on lines of tenders lost to it."""
-    lost = rows.filter("decided and not won").select("nro_sicop", "cedula_proveedor").join(winner_sets(award).withColumnRenamed("winner", "rival"), "nro_sicop")
+    return gaps_of(defeats(rows, award), bid, bid_line)
+
+
+def gaps_of(lost: DataFrame, bid: DataFrame, bid_line: DataFrame) -> DataFrame:
+    """rival_gaps, from the rows of ``defeats``."""
     offers = bid.filter(E.filled("cedula_proveedor")).select("nro_sicop", "nro_oferta", "cedula_proveedor")
     priced = bid_line.filter(F.col("precio_unitario") > 0).select("nro_sicop", "nro_oferta", "nro_linea", "codigo_producto", "moneda", "precio_unitario").join(offers, ["nro_sicop", "nro_oferta"])
     mine = priced.select("nro_sicop", "nro_linea", "codigo_producto", "moneda", "cedula_proveedor", F.col("nro_oferta").alias("my_offer"), F.col("precio_unitario").alias("mine"))
