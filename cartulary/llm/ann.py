@@ -5,7 +5,9 @@ graph of each sampled vector's nearest others is cut into balanced parts, by
 halving along principal directions and then moving vertices to the part of most of
 their neighbours while it has room. A small network learns, for a vector, the
 parts in which its neighbours lie. How many parts a query visits is the least
-number that finds ``TARGET`` of the sampled vectors' neighbours.
+number that holds ``TARGET`` of the k nearest of sampled vectors that the network
+hasn't seen. Tables of so few vectors that they have LEAST_PARTS parts are searched
+in all of them, so their results are exact.
 
 Parts that hold more than twice PART_ROWS vectors are cut once more, each from a
 sample of its own vectors and with a network of its own, in a task for each part.
@@ -65,12 +67,14 @@ TILE = 256
 LEAD_SHARE = 6
 
 
-def nearest(x: np.ndarray, k: int) -> np.ndarray:
-    """For each row the k other rows of largest inner product."""
-    out = np.zeros((len(x), k), np.int64)
-    for i in range(0, len(x), 1024):
-        s = x[i : i + 1024] @ x.T
-        s[np.arange(len(s)), i + np.arange(len(s))] = -np.inf
+def nearest(x: np.ndarray, k: int, of: np.ndarray | None = None) -> np.ndarray:
+    """For each row (or each of the rows numbered in ``of``) the k other rows of largest inner product."""
+    of = np.arange(len(x)) if of is None else of
+    out = np.zeros((len(of), k), np.int64)
+    for i in range(0, len(of), 1024):
+        some = of[i : i + 1024]
+        s = x[some] @ x.T
+        s[np.arange(len(s)), some] = -np.inf
         out[i : i + 1024] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
 
@@ -167,8 +171,8 @@ def train(x: np.ndarray, wanted: np.ndarray, epochs: int = 40, rate: float = 0.0
     return Router(*params, probes=parts)
 
 
-def fit(sample: np.ndarray, rows: int, target: float = TARGET) -> Router:
-    """A router for a table of so many rows, from a sample of its vectors."""
+def fit(sample: np.ndarray, rows: int, target: float = TARGET, k: int = K) -> Router:
+    """A router for a table of so many rows, from a sample of its vectors; queries look for their k nearest."""
     dim = sample.shape[1] if len(sample) else 1
     parts = int(min(MOST_PARTS, len(sample) // PART_SAMPLE, max(LEAST_PARTS, rows // PART_ROWS)))
     if parts <= 1:
@@ -178,14 +182,14 @@ def fit(sample: np.ndarray, rows: int, target: float = TARGET) -> Router:
     wanted = np.zeros((len(sample), parts))
     np.add.at(wanted, (np.repeat(np.arange(len(sample)), graph.shape[1]), label[graph.ravel()]), 1.0)
     wanted[np.arange(len(sample)), label] += 1
-    # probes are set on vectors that the network hasn't seen
     seen = np.arange(len(sample)) % 5 > 0
     router = train(sample[seen], wanted[seen] / wanted[seen].sum(axis=1, keepdims=True))
     if parts <= LEAST_PARTS:
         return router
+    # probes are set on vectors that the network hasn't seen
     held = np.flatnonzero(~seen)
     ranks = np.argsort(np.argsort(-router.scores(sample[held]), axis=1, kind="stable"), axis=1)
-    places = router.part(sample)[graph[held]]
+    places = router.part(sample)[nearest(sample, min(k, len(sample) - 1), held)]
     needed = np.sort(ranks[np.arange(len(held))[:, None], places].ravel())
     router.probes = int(min(parts, needed[int(np.ceil(target * len(needed))) - 1] + 1))
     return router
@@ -273,7 +277,7 @@ def _turn() -> Column:
     return F.md5(F.col("vec_id").cast("string").cast("binary"))
 
 
-def inner_routers(rows: DataFrame, top: Router, dim: int) -> dict[int, Router]:
+def inner_routers(rows: DataFrame, top: Router, dim: int, k: int = K) -> dict[int, Router]:
     """Routers of the parts that hold more than twice PART_ROWS rows, each fitted in a task on a sample of the part's rows."""
     placed = materialise(_routed(rows, Routers(top, {}), dim, False).select("vec_id", "v", "part"), "parts")
     sizes = materialise(placed.groupBy("part").agg(F.count("*").alias("size")).filter(F.col("size") > 2 * PART_ROWS), "part-sizes")
@@ -282,7 +286,7 @@ def inner_routers(rows: DataFrame, top: Router, dim: int) -> dict[int, Router]:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         first = group.sort_values(["turn", "vec_id"]).head(SAMPLE)
-        made = fit(np.stack(first["v"].to_numpy()), int(group["size"].iloc[0]), INNER_TARGET)
+        made = fit(np.stack(first["v"].to_numpy()), int(group["size"].iloc[0]), INNER_TARGET, k)
         return pd.DataFrame({"part": [int(group["part"].iloc[0])], "router": [pickle.dumps(made)]})
 
     fitted = drawn.groupBy("part").applyInPandas(run, "part int, router binary")
@@ -330,8 +334,8 @@ def search(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id
     count = kept.count()
     turn = _turn()
     sample = kept.select("v", turn.alias("turn"), "vec_id").filter(likely_first(turn, count, SAMPLE)).orderBy("turn", "vec_id").limit(SAMPLE).select("v").toPandas()
-    top = fit(np.stack(sample["v"].to_numpy()) if len(sample) else np.zeros((0, dim)), count, target)
-    routers = Routers(top, inner_routers(kept, top, dim))
+    top = fit(np.stack(sample["v"].to_numpy()) if len(sample) else np.zeros((0, dim)), count, target, k)
+    routers = Routers(top, inner_routers(kept, top, dim, k))
 
     index = materialise(_routed(kept, routers, dim, False), "index")
     asked = materialise(_routed(rows.filter(is_query), routers, dim, True), "asked")

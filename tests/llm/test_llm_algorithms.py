@@ -283,6 +283,24 @@ def test_parts_of_parts_find_neighbours(monkeypatch):
     assert np.mean([places[v] in visited[k] for k in range(len(near)) for v in near[k]]) >= 0.9
 
 
+def test_more_neighbours_need_more_parts():
+    """Parts visited follow the number of neighbours that are looked for, and hold them."""
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(12, 16)) * 3
+    x = np.concatenate([c + rng.normal(size=(150, 16)) * 0.8 for c in centers])
+    asked = np.arange(0, len(x), 20)
+    probes = []
+    for k in (5, 20, 600):
+        router = ann.fit(x, 20_000, k=k)
+        place = router.part(x)
+        seen = np.argsort(-router.scores(x[asked]), axis=1, kind="stable")[:, : router.probes]
+        near = ann.nearest(x, k, asked)
+        assert (place[near][:, :, None] == seen[:, None, :]).any(axis=2).mean() >= 0.9
+        probes.append(router.probes)
+    assert (ann.nearest(x, 20, asked) == ann.nearest(x, 20)[asked]).all()
+    assert probes == sorted(probes) and probes[0] < probes[-1]
+
+
 def test_crowded_filters_set_fewer_bits():
     assert [exact_dedup.probe_count(n, 1 << 20) for n in (1, 1 << 16, 1 << 17, 1 << 18, 1 << 30)] == [4, 4, 2, 1, 1]
     h = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 1 << 16)
