@@ -12,8 +12,7 @@ import hashlib
 import json
 from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.functions import exprs as E
@@ -44,9 +43,43 @@ def serialize(line: dict) -> str:
     return json.dumps(out, ensure_ascii=False, separators=(",", ":")) + "\n"
 
 
+#: Characters that JSON texts escape, the backslash first.
+ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\f": "\\f", "\b": "\\b"}
+ESCAPES |= {chr(n): f"\\u{n:04x}" for n in range(32) if chr(n) not in ESCAPES}
+
+
+def json_text(text: Column) -> Column:
+    """A string as JSON, null as null; texts without control characters need two replacements only."""
+    plain = text
+    for c in ("\\", '"'):
+        plain = F.replace(plain, F.lit(c), F.lit(ESCAPES[c]))
+    rest = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(to).alias("to")) for c, to in ESCAPES.items() if c not in '\\"'])
+    odd = F.aggregate(rest, plain, lambda made, e: F.replace(made, e["c"], e["to"]))
+    return F.coalesce(F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1f]"), odd).otherwise(plain), F.lit('"')), F.lit("null"))
+
+
+def _object(pairs: Column) -> Column:
+    """A map as a JSON object, keys in order; null for a null map."""
+    entries = F.transform(F.array_sort(F.map_entries(pairs)), lambda e: F.concat(json_text(e["key"]), F.lit(":"), json_text(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))
+
+
+def line_text() -> Column:
+    """What ``serialize`` gives, from columns of the same names, without leaving the JVM."""
+    shown = lambda f: F.concat(F.lit('{"field":'), json_text(f["field"]), F.lit(',"before":'), json_text(f["before"]), F.lit(',"after":'), json_text(f["after"]), F.lit("}"))
+    fields = F.concat(F.lit(',"fields":['), F.array_join(F.transform("fields", shown), ","), F.lit("]"))
+    parts = [F.lit('{"kind":'), json_text(F.col("kind")), F.lit(',"table":'), json_text(F.col("table")), F.lit(',"id":'), json_text(F.col("id"))]
+    for name in ("before", "after"):
+        parts += [F.lit(f',"{name}Hash":'), F.coalesce(_object(F.col(name)), F.lit("null"))]
+    for key, name in (("old", "before"), ("new", "after")):
+        parts.append(F.when(F.size(key) > 0, F.concat(F.lit(f',"{name}":'), _object(F.col(key)))).otherwise(""))
+    return F.concat(*parts, F.coalesce(fields, F.lit("")), F.when(F.col("omitted"), ',"valuesOmitted":true').otherwise(""), F.lit("}\n"))
+
+
 def build(before: DataFrame, after: DataFrame, before_values: DataFrame, after_values: DataFrame, kinds: Iterable[str] = CHANGE_KINDS, max_detail: int = 200_000) -> DataFrame:
     """table, id, kind, line: the serialised lines; order them by (table, id) to write or hash them."""
-    changes = differ.line_policy(differ.diff(before, after), tuple(kinds))
+    # counted, cut by the budget and joined with values: the comparison runs once
+    changes = written(differ.line_policy(differ.diff(before, after), tuple(kinds)), "changes")
     marked = differ.detail_budget(changes, max_detail)
     chosen = differ.detailed(marked.filter("detailed").drop("detailed"), before_values, after_values).withColumn("omitted", F.lit(False))
     bare = marked.filter("not detailed").select("kind", "table", "id", "before", "after", F.lit(None).cast("map<string,string>").alias("old"), F.lit(None).cast("map<string,string>").alias("new"), F.lit(None).cast(chosen.schema["fields"].dataType).alias("fields"), F.lit(True).alias("omitted"))
@@ -54,17 +87,7 @@ def build(before: DataFrame, after: DataFrame, before_values: DataFrame, after_v
     side = lambda c: F.when(F.col(c).isNotNull(), F.create_map(F.lit("byteHash"), F.col(f"{c}.byte_hash"), F.lit("valueHash"), F.col(f"{c}.value_hash")))
     rows = chosen.unionByName(bare).select("kind", "table", "id", side("before").alias("before"), side("after").alias("after"), "old", "new", "fields", "omitted")
 
-    def work(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for batch in batches:
-            lines = []
-            for r in batch.to_dict("records"):
-                for c in ("before", "after", "old", "new"):
-                    r[c] = dict(r[c]) if r[c] is not None else None
-                r["fields"] = [{k: f[k] for k in ("field", "before", "after")} for f in r["fields"]] if r["fields"] is not None else None
-                lines.append(serialize(r))
-            yield pd.DataFrame({"table": batch["table"], "id": batch["id"], "kind": batch["kind"], "line": lines})
-
-    return rows.mapInPandas(work, "table string, id string, kind string, line string")
+    return rows.select("table", "id", "kind", line_text().alias("line"))
 
 
 def changes_digest(lines: DataFrame) -> tuple[str, int]:

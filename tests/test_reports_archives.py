@@ -101,6 +101,26 @@ def test_bundles_written_read_and_checked_against_copies(spark, tmp_path):
     assert "isn't sound" in bundle.summary_text("202401", counts, (3, 3), [("T", "a", None)], True)
 
 
+def test_lines_of_the_jvm_equal_the_plain_rule(spark):
+    """Every control character, quotes, slashes, marks, letters beyond the basic plane, nulls and empty maps."""
+    odd = ["".join(map(chr, range(32))), 'say "a\\"', "\\u0001 / \x7f \x85\u2028", "e\u0301 \U0001f600 ñ", "", "\n\\n", "plain"]
+    sides = [None, {}, {"byteHash": "b", "valueHash": None}]
+    rows = []
+    for i, a in enumerate(odd):
+        for side in sides:
+            b = odd[i - 1]
+            values = None if side is None else {} if not side else {a: b, "z": None, "B": a, "a": a, "é": b}
+            fields = None if side is None else [] if not side else [{"field": a, "before": None, "after": b}, {"field": b, "before": a, "after": a}]
+            rows.append((f"k{a}", a, b, side, side if i % 2 else None, values, None if i % 3 else values, fields, i % 2 == 0))
+    names = ("kind", "table", "id", "before", "after", "old", "new", "fields", "omitted")
+    text, pairs = "string", "map<string,string>"
+    types = (text, text, text, pairs, pairs, pairs, pairs, "array<struct<field:string,before:string,after:string>>", "boolean")
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)))
+    got = [r["line"] for r in df.repartition(1).select("table", "id", bundle.line_text().alias("line")).collect()]
+    assert sorted(got) == sorted(bundle.serialize(dict(zip(names, r, strict=True))) for r in rows)
+    assert all(json.loads(line)["table"] in odd for line in got)
+
+
 def test_reports_name_what_they_lack(spark):
     tender = spark.createDataFrame([("1", "i", "2024-01-01", "Contrato", None, None, "202401")], "nro_sicop string, cedula_institucion string, fecha_publicacion string, cartel_stat string, cod_excepcion string, des_excepcion string, source_month string")
     bid = spark.createDataFrame([], "nro_sicop string, nro_oferta string, cedula_proveedor string, source_month string")
