@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +74,8 @@ def variation(c: str) -> Column:
 POINTS = 64
 #: Integrands are followed until they have fallen by so many powers of e.
 FALL = 46.0
+#: Tails of up to so many tosses are sums of their terms.
+FEW = 64
 
 
 def _stirling_rest(m: Column) -> Column:
@@ -98,30 +103,51 @@ def _fair_tail_above(k: Column, n: Column) -> Column:
     return exactly * k * end * F.aggregate(points, F.lit(0.0), add)
 
 
+def _few_tosses_tail(k: Column, n: Column) -> Column:
+    """P(X >= k) of up to FEW fair tosses: the terms, from the last one on, by their logarithms."""
+    logs = F.array(*[F.lit(math.log(math.factorial(i)) if i < 7 else _log_gamma(i + 1.0, math.log)) for i in range(FEW + 1)])
+
+    def at(i: Column) -> Column:
+        return F.get(logs, i.cast("int"))
+
+    return F.aggregate(F.sequence(n, k, F.lit(-1)), F.lit(0.0), lambda acc, i: acc + F.exp(at(n) - at(i) - at(n - i) - n * math.log(2)))
+
+
 def binomial_tail(k: Column, n: Column) -> Column:
-    """Chance of k or more heads in n fair tosses, in the same number of steps for any n.
+    """Chance of k or more heads in n fair tosses, in a bounded number of steps for any n.
 
     The tail is the regularised incomplete beta function at a half, I(k, n - k + 1),
     taken as an integral that POINTS points give to about 1e-13 of its size. (Its continued fraction
     needs some sqrt(n) steps near the middle.) The lower half follows by symmetry.
+    Up to FEW tosses the terms are added: these tails can be exact halves of a rounded
+    digit (7 of 7 is 0.0078125), which then go the way of the SQL's sum.
     """
     kd, nd = k.cast("double"), n.cast("double")
     upper = 2 * kd > nd
     tail = _fair_tail_above(F.when(upper, kd).otherwise(nd - kd + 1), nd)
-    return F.when((n <= 0) | (k <= 0), 1.0).when(k > n, 0.0).when(upper, F.least(F.lit(1.0), tail)).otherwise(F.greatest(F.lit(0.0), 1 - tail))
+    known = F.when((n <= 0) | (k <= 0), 1.0).when(k > n, 0.0).when(n <= FEW, F.least(F.lit(1.0), _few_tosses_tail(k.cast("int"), n.cast("int"))))
+    return known.when(upper, F.least(F.lit(1.0), tail)).otherwise(F.greatest(F.lit(0.0), 1 - tail))
 
 
 #: From here on Stirling's series gives the factorial's logarithm to double precision.
 _STIRLING = 16
+#: Factors of the odd powers of 1/x in Stirling's series of the gamma function's logarithm; from x = 8 on the rest is under 1e-16.
+_SERIES = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156, -3617 / 122400)
+
+
+def _log_gamma(x: Column | float, ln: Callable) -> Column | float:
+    """Logarithm of the gamma function for x from 8 on, of a column or of a number."""
+    z = 1 / x
+    y, rest = z * z, _SERIES[-1]
+    for factor in _SERIES[-2::-1]:
+        rest = rest * y + factor
+    return (x - 0.5) * (ln(x) - 1) + (z * rest + (0.5 * math.log(2 * math.pi) - 0.5))
 
 
 def log_factorial(n: Column) -> Column:
-    """ln n! of whole numbers from 0 on: the product of the first factors, then Stirling's series."""
-    x = n.cast("double")
-    small = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n, F.lit(_STIRLING)).cast("int"))), F.lit(0.0), lambda acc, k: acc + F.ln(k.cast("double")))
-    series = 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3.0))) + 1 / (1260 * F.pow(x, F.lit(5.0))) - 1 / (1680 * F.pow(x, F.lit(7.0)))
-    large = x * F.ln(x) - x + 0.5 * F.ln(2 * F.pi() * x) + series
-    return F.when(n < 0, None).when(n <= _STIRLING, small).otherwise(large)
+    """ln n! of whole numbers from 0 on: of the product up to 6!, then Stirling's series."""
+    small = F.ln(F.factorial(F.least(n, F.lit(6)).cast("int")).cast("double"))
+    return F.when(n < 0, None).when(n < 7, small).otherwise(_log_gamma(n.cast("double") + 1, F.ln))
 
 
 def log_choose(n: Column, k: Column) -> Column:

@@ -7,7 +7,9 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from cartulary.functions import stats
 from cartulary.operators import index
 from cartulary.plans import catalog
 
@@ -52,6 +54,20 @@ def test_query_equals_sql(spark, duck, name):
     assert mine == theirs
 
 
+def test_fair_tails_at_exact_halves_round_as_in_sql(spark, duck):
+    """Up to 100 tosses at 6 and 8 digits, 7 of 7 (0.0078125) among them, then all digits of the queries that show tails."""
+    found = duck.execute("""WITH p AS (SELECT n, i AS k, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) AS c FROM range(1, 101) a(n), LATERAL (SELECT unnest(range(0, n + 1)) AS i)),
+    s AS (SELECT n, k, sum(c) OVER (PARTITION BY n ORDER BY k DESC) AS p FROM p) SELECT n, k, round(least(1.0, p), 6), round(least(1.0, p), 8) FROM s""").fetchall()
+    tail = stats.binomial_tail(F.col("k"), F.col("n"))
+    mine = spark.createDataFrame([(n, k) for n, k, _, _ in found], "n long, k long").select("n", "k", F.round(tail, 6), F.round(tail, 8)).collect()
+    assert sorted(map(tuple, mine)) == sorted(found) and (7, 7, 0.007813, 0.0078125) in found
+    for name in ("binomial_table", "losing_screen"):
+        df = catalog.queries()[name](spark, str(DATA))
+        cur = duck.execute(catalog.oracle_sql()[name])
+        order = [d[0] for d in cur.description]
+        assert sorted(map(tuple, df.select(*order).collect())) == sorted(cur.fetchall()), name
+
+
 def test_every_sql_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
