@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -80,6 +81,24 @@ def test_words_equal_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_are_looked_up_once_a_batch(monkeypatch):
+    pytest.importorskip("tokenizers")
+    seen = []
+    monkeypatch.setattr(token_file.Remembered, "__getitem__", lambda self, key: seen.append(key) or dict.__getitem__(self, key), raising=False)
+    words = token_file.Words(tokenizer_path("word_bpe_49k.json"))
+    got = words.encode(["the cat's 12 " * 5_000, "", "The cat " * 5_000])
+    assert len(seen) <= 5 and list(map(len, got)) == [4 * 25_000, 0, 4 * 10_000]
+
+
+def test_cut_equals_the_pattern():
+    rng = random.Random(11)
+    pattern = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+    for size in range(600):
+        text = "".join(rng.choices("a'bs'tm'drevlé \n0!.", k=size % 60))
+        starts, pieces = token_file.cut(np.frombuffer(text.encode("latin-1"), np.uint8))
+        assert [(m.start(), m[0]) for m in pattern.finditer(text)] == [(int(at), p.decode("latin-1")) for at, p in zip(starts, pieces.to_pylist(), strict=True)], text
+
+
 def test_remembered_keeps_what_is_used():
     m = token_file.Remembered(3)
     m.update(a=1, b=2, c=3, d=4)
