@@ -76,8 +76,11 @@ def line_text() -> Column:
     return F.concat(*parts, F.coalesce(fields, F.lit("")), F.when(F.col("omitted"), ',"valuesOmitted":true').otherwise(""), F.lit("}\n"))
 
 
-def build(before: DataFrame, after: DataFrame, before_values: DataFrame, after_values: DataFrame, kinds: Iterable[str] = CHANGE_KINDS, max_detail: int = 200_000) -> DataFrame:
-    """table, id, kind, line: the serialised lines; order them by (table, id) to write or hash them."""
+def build(before: DataFrame, after: DataFrame, before_values: DataFrame, after_values: DataFrame, kinds: Iterable[str] = CHANGE_KINDS, max_detail: int | None = 200_000) -> DataFrame:
+    """table, id, kind, line: the serialised lines; order them by (table, id) to write or hash them.
+
+    Changes beyond ``max_detail`` have lines without values; with None every line has them.
+    """
     # counted, cut by the budget and joined with values: the comparison runs once
     changes = written(differ.line_policy(differ.diff(before, after), tuple(kinds)), "changes")
     marked = differ.detail_budget(changes, max_detail)
@@ -106,7 +109,7 @@ def digest(manifest: dict) -> str:
     return hashlib.sha256(json.dumps(body, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
 
-def manifest(lines: DataFrame, counts: dict[str, int], source: str, period: str, before: dict, after: dict, kinds: Iterable[str] = CHANGE_KINDS, max_detail: int = 200_000, canon_version: str = "", bundle_version: str = BUNDLE_VERSION) -> dict:
+def manifest(lines: DataFrame, counts: dict[str, int], source: str, period: str, before: dict, after: dict, kinds: Iterable[str] = CHANGE_KINDS, max_detail: int | None = 200_000, canon_version: str = "", bundle_version: str = BUNDLE_VERSION) -> dict:
     """The manifest of written lines; before and after have stamp, sha256 and root."""
     changes_sha, n = changes_digest(lines)
     out = {"bundle_version": bundle_version, "canon_version": canon_version, "source": source, "period": period, "counts": [counts.get(k, 0) for k in CHANGE_KINDS], "line_policy": list(kinds), "max_detail": max_detail, "changes_sha256": changes_sha, "lines": n}
@@ -223,7 +226,7 @@ def _copies(spark: SparkSession, paths: list[str], source: str, stamps: list[str
     return held, [{"stamp": s, "sha256": sums[p], "root": roots.get(p, merkle.EMPTY_ROOT)} for p, s in zip(paths, stamps, strict=True)]
 
 
-def from_archives(spark: SparkSession, archives: str, source: str, period: str, out: str, first: str | None = None, second: str | None = None, kinds: Iterable[str] = CHANGE_KINDS, max_detail: int = 200_000) -> str:
+def from_archives(spark: SparkSession, archives: str, source: str, period: str, out: str, first: str | None = None, second: str | None = None, kinds: Iterable[str] = CHANGE_KINDS, max_detail: int | None = 200_000) -> str:
     """Build and write the bundle of two copies of a period (the newest, or named ones) from their archives; its folder."""
     a, b = versions.pair(archive.archive_list(spark, archives), period, first, second)
     listed = {r["stamp"]: r["path"] for r in archive.archive_list(spark, archives).filter(F.col("period") == period).collect()}  # copies of one period

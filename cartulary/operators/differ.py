@@ -89,12 +89,14 @@ def line_policy(changes: DataFrame, kinds: Sequence[str] = CHANGE_KINDS) -> Data
     return changes.filter(F.col("kind").isin(*kinds))
 
 
-def detail_budget(changes: DataFrame, most: int = 200_000) -> DataFrame:
+def detail_budget(changes: DataFrame, most: int | None = 200_000) -> DataFrame:
     """changes with the column detailed: whether values are written, by kind first and then by (table, id).
 
     Kinds that fit as a whole need only their counts; rows are numbered just within
-    the one kind that the budget cuts.
+    the one kind that the budget cuts. Without a budget (None) all values are written.
     """
+    if most is None:
+        return changes.withColumn("detailed", F.lit(True))
     if most < 0:
         raise ValueError("the budget can't be negative")
     counts = {r["kind"]: r["n"] for r in changes.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # five rows

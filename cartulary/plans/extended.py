@@ -115,7 +115,7 @@ def table_summary(t: Lens) -> DataFrame:
 @query("SELECT id FROM field_rows WHERE field = 'o_orderpriority'")
 def bundle_filtered(t: Lens) -> DataFrame:
     one, two = written(_records(t), "before"), written(_records(t, True), "after")
-    parsed = bundle.parsed(bundle.build(one, two, canonical.fields(one), canonical.fields(two)))
+    parsed = bundle.parsed(bundle.build(one, two, canonical.fields(one), canonical.fields(two), max_detail=None))
     return bundle.filtered(parsed, kind="silentRevision", table="orders", field="o_orderpriority", readable=True).select("id")
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartulary.functions import stats
-from cartulary.operators import index
+from cartulary.operators import bundle, index
 from cartulary.plans import catalog
 
 DATA = Path("/root/testdata/sf0.001")
@@ -78,6 +78,16 @@ def test_bundle_lines_have_all_values(spark):
     assert kept["n"] > 500 and kept["omitted"] == 0
 
 
+def test_bundle_lines_have_all_values_beyond_the_budget(spark, duck, monkeypatch):
+    """A bundle's own budget, here 5 values, doesn't cut a query whose SQL has all values."""
+    monkeypatch.setattr(bundle.build, "__defaults__", (*bundle.build.__defaults__[:-1], 5))
+    for name in ("bundle_lines", "bundle_filtered"):
+        cur = duck.execute(catalog.oracle_sql()[name])
+        order = [d[0] for d in cur.description]
+        theirs = sorted(cur.fetchall())
+        assert len(theirs) > 1 and sorted(map(tuple, catalog.queries()[name](spark, str(DATA)).select(*order).collect())) == theirs, name
+
+
 def test_nearest_rank_windows_run_over_distinct_values(spark):
     df = spark.createDataFrame([(v,) for v in [3, 1, 1, 2, 2, 2, 9, None]], "days int")
     out = index.nearest_rank(df, "days", (0.25, 0.5, 0.9))
