@@ -14,7 +14,7 @@ from cartulary.functions import exprs as E
 from cartulary.operators import index, state
 from cartulary.schemas import COMPACT_DATES, DATE_COLUMNS, INDEX_SOURCES, TABLES
 from cartulary.sources import archive
-from cartulary.storage import exists, written
+from cartulary.storage import alone, exists, written
 
 LEDGER = "source_month string, archive_stamp string, sha256 string, row_counts string"
 _WHERE = ("source_month", "archive_stamp")
@@ -56,8 +56,15 @@ def load_archives(spark: SparkSession, archives: str, folder: str, force: bool =
     paths = [r["path"] for r in fresh.select("path").collect()]  # one row per archive
     if not paths:
         return spark.createDataFrame([], LEDGER)
+    new = alone(spark, lambda: _folded(spark, archives, folder, fresh, buckets), "ledger")
+    new.write.mode("append").parquet(f"{folder}/ledger")
+    return new
+
+
+def _folded(spark: SparkSession, archives: str, folder: str, fresh: DataFrame, buckets: int) -> DataFrame:
+    """Fold the archives of ``fresh`` into the index tables; their rows for the ledger."""
     known = [name for name, _ in INDEX_SOURCES.values()]
-    rows = written(archive.read_archives(spark, archives).filter(F.col("table").isin(known)).join(F.broadcast(fresh.select("path", *_WHERE)), "path"), "published")
+    rows = alone(spark, lambda: archive.read_archives(spark, archives).filter(F.col("table").isin(known)).join(F.broadcast(fresh.select("path", *_WHERE)), "path"), "published")
     there = {r["table"] for r in rows.select("table").distinct().collect()}  # the published tables at most
     counts = fresh.select(*_WHERE).withColumn("n", F.lit(0).cast("long")).withColumn("table", F.lit("")).limit(0)
     for table in [t for t, (published, _) in INDEX_SOURCES.items() if published in there]:
@@ -65,9 +72,7 @@ def load_archives(spark: SparkSession, archives: str, folder: str, force: bool =
         state.fold(spark, folder, table, typed.drop("path"), buckets)
         counts = counts.unionByName(typed.groupBy(*_WHERE).agg(F.count("*").alias("n")).withColumn("table", F.lit(table)))
     said = counts.groupBy(*_WHERE).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("table", "n"))))).alias("row_counts"))
-    new = written(fresh.join(said, [*_WHERE], "left").select(*_WHERE, "sha256", F.coalesce("row_counts", F.lit("{}")).alias("row_counts")), "ledger")
-    new.write.mode("append").parquet(f"{folder}/ledger")
-    return new
+    return fresh.join(said, [*_WHERE], "left").select(*_WHERE, "sha256", F.coalesce("row_counts", F.lit("{}")).alias("row_counts"))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cartulary.operators.index import latest_wins
 from cartulary.schemas import COALESCED_KEYS, INDEX_KEYS
-from cartulary.storage import get_text, names_in, put_text, remove, written
+from cartulary.storage import freed, get_text, names_in, passing, put_text, remove, written
 
 BUCKETS = 64
 ORDER = ("source_month", "archive_stamp", "row_pos")
@@ -59,16 +59,25 @@ def fold(spark: SparkSession, folder: str, table: str, rows: DataFrame, buckets:
     if "row_pos" not in rows.columns:
         rows = rows.withColumn("row_pos", F.lit(None).cast("long"))
     n = at.get("buckets", buckets)
-    fresh = written(latest_wins(rows, keys, table in COALESCED_KEYS, ORDER).withColumn("bucket", _bucket(keys, n)), "batch")
-    touched = sorted(r[0] for r in fresh.select("bucket").distinct().collect())  # at most as many as there are buckets
-    if not touched:
-        return []
-    held = _rows(spark, folder, table, at, touched)
-    both = fresh.drop("bucket") if held is None else fresh.drop("bucket").unionByName(held, allowMissingColumns=True)
+    bucket = _bucket(keys, n)
+    made = latest_wins(rows, keys, table in COALESCED_KEYS, ORDER)
     place = uuid.uuid4().hex
-    made = latest_wins(both, keys, table in COALESCED_KEYS, ORDER)
     target = f"{folder}/{table}/data/place={place}"
-    made.withColumn("bucket", _bucket(keys, n)).repartition("bucket").write.partitionBy("bucket").parquet(target)
+    with passing(spark), freed(spark):
+        if at.get("places"):
+            fresh = written(made.withColumn("bucket", bucket), "batch")
+            touched = sorted(r[0] for r in fresh.select("bucket").distinct().collect())  # at most as many as there are buckets
+            if not touched:
+                return []
+            held = _rows(spark, folder, table, at, touched)
+            both = fresh.drop("bucket") if held is None else fresh.drop("bucket").unionByName(held, allowMissingColumns=True)
+            made = latest_wins(both, keys, table in COALESCED_KEYS, ORDER)
+        # a bucket has as many files as it fills, so no task sorts a whole one
+        made.withColumn("bucket", bucket).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(target)
+    touched = sorted(int(name.removeprefix("bucket=")) for name in names_in(spark, target) if name.startswith("bucket="))
+    if not touched:
+        remove(spark, target)
+        return []
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema.fields)
     places = {**at.get("places", {}), **{str(b): place for b in touched}}
     number = at.get("number", 0) + 1

@@ -15,7 +15,7 @@ from cartulary.plans.registry import _metrics, _records, query, r
 from cartulary.schemas import CHANGE_KINDS, TableDef, source
 from cartulary.sources import archive
 from cartulary.sources.lens import Lens
-from cartulary.storage import shared_folder, written
+from cartulary.storage import remove, shared_folder, written
 from cartulary.streaming import watch
 
 
@@ -190,6 +190,7 @@ def archives_loaded(t: Lens) -> DataFrame:
     loading.load_archives(t.spark, mirror, held, buckets=8)
     if loading.load_archives(t.spark, mirror, held).head(1):
         raise ValueError("an archive was loaded twice")
+    remove(t.spark, mirror)
     tender, line = loading.table(t.spark, held, "tender"), loading.table(t.spark, held, "bid_line")
     return tender.select(F.lit("tender").alias("tbl"), F.col("nro_sicop").alias("id"), F.lit("").alias("line"), "source_month", F.col("monto_est").alias("amount"), F.col("cartel_nm").alias("text")).unionByName(
         line.select(F.lit("bid_line").alias("tbl"), F.col("nro_sicop").alias("id"), F.col("nro_linea").alias("line"), "source_month", F.col("cantidad").alias("amount"), F.col("moneda").alias("text"))

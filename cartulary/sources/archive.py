@@ -9,9 +9,11 @@ import re
 import zipfile
 from collections.abc import Iterator
 from functools import partial
+from itertools import pairwise
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -123,7 +125,7 @@ def read_archives(spark: SparkSession, path: str | list[str], chunk_bytes: int =
                         yield pa.RecordBatch.from_pylist([{"path": where, "entry": n, "chunk": k, "table": table, "sep": sep, "header": clean_header(header), "content": content}], schema=CHUNK)
 
     each = files.mapInArrow(split, chunks.CHUNK).repartition(max(2, 2 * spark.sparkContext.defaultParallelism), "path", "entry", "chunk")
-    return chunks.rows_of(chunks.owned(written(each, "chunks")), parse_csv, ROWS)
+    return chunks.rows_of(chunks.owned(written(each, "chunks", chunks.STORED)), parse_csv, ROWS)
 
 
 def archive_sums(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -132,35 +134,93 @@ def archive_sums(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), "length")
 
 
+class _Hashed:
+    """A stream without places to go back to, which counts the digest of what passes."""
+
+    def __init__(self, out: pa.NativeFile) -> None:
+        self.out, self.sha = out, hashlib.sha256()
+
+    def write(self, data: bytes) -> int:
+        self.sha.update(data)
+        self.out.write(data)
+        return len(data)
+
+    def flush(self) -> None:
+        self.out.flush()
+
+
+class _Archive:
+    """An archive that is written row by row: only the row at hand is in memory. It has no name until it is whole."""
+
+    def __init__(self, folder: str, period: str, stamp: str, sep: str) -> None:
+        self.folder, self.period, self.stamp, self.sep = folder, period, stamp, sep
+        self.where, self.base = fs.FileSystem.from_uri(folder)
+        self.where.create_dir(f"{self.base}/{period}", recursive=True)
+        self.own = f"{self.base}/{period}/{stamp}.attempt-{TaskContext.get().taskAttemptId()}"
+        self.file = self.where.open_output_stream(self.own)
+        self.out = _Hashed(self.file)
+        self.zip = zipfile.ZipFile(self.out, "w")
+        self.table, self.text = None, None
+
+    def _end(self) -> None:
+        if self.text is not None:
+            self.text.close()
+
+    def put(self, table: str, header: list[str], rows: list[list[str]]) -> None:
+        """Rows of a table; tables come one after the other."""
+        if table != self.table:
+            self._end()
+            info = zipfile.ZipInfo(f"{table}.csv")
+            info.compress_type = zipfile.ZIP_DEFLATED
+            # sizes come after the content, so an entry may be of any length
+            self.table, self.text = table, io.TextIOWrapper(self.zip.open(info, "w", force_zip64=True), encoding="utf-8", newline="", write_through=False)
+            self.csv = csv.writer(self.text, delimiter=self.sep, lineterminator="\r\n")
+            self.csv.writerow(header)
+        self.csv.writerows(rows)
+
+    def done(self) -> dict[str, str]:
+        self._end()
+        self.zip.close()
+        self.file.close()
+        sha = self.out.sha.hexdigest()
+        name = f"{self.period}/{self.stamp}-{sha[:12]}.zip"
+        self.where.move(self.own, f"{self.base}/{name}")
+        return {"period": self.period, "stamp": self.stamp, "sha256": sha, "path": f"{self.folder}/{name}"}
+
+
 def write_archives(rows: DataFrame, folder: str, sep: str = ";") -> DataFrame:
     """Write rows (period, stamp, table, row_pos, header, cells) as archives; period, stamp, sha256, path for each.
 
     An archive is immutable: its name carries its stamp and the start of its digest,
-    and it is complete once it has that name. One archive is one task's work.
+    and it is complete once it has that name. One archive is one task's work: its rows are
+    sorted by the JVM, which spills, and stream into the file, whatever their number.
     """
+    names = ("period", "stamp", "table", "row_pos", "cells", "header")
+    schema = pa.schema([(n, pa.string()) for n in ("period", "stamp", "sha256", "path")])
 
-    def put(group: pd.DataFrame) -> pd.DataFrame:
-        period, stamp = group["period"].iloc[0], group["stamp"].iloc[0]
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-            for table, mine in group.sort_values(["table", "row_pos"]).groupby("table"):
-                text = io.StringIO()
-                out = csv.writer(text, delimiter=sep, lineterminator="\r\n")
-                out.writerow(list(mine["header"].iloc[0]))
-                out.writerows(mine["cells"])
-                z.writestr(zipfile.ZipInfo(f"{table}.csv"), text.getvalue())
-        data = held.getvalue()
-        sha = hashlib.sha256(data).hexdigest()
-        where, base = fs.FileSystem.from_uri(folder)
-        name = f"{base}/{period}/{stamp}-{sha[:12]}.zip"
-        where.create_dir(f"{base}/{period}", recursive=True)
-        own = f"{name}.attempt-{TaskContext.get().taskAttemptId()}"
-        with where.open_output_stream(own) as out:
-            out.write(data)
-        where.move(own, name)
-        return pd.DataFrame({"period": [period], "stamp": [stamp], "sha256": [sha], "path": [f"{folder}/{period}/{stamp}-{sha[:12]}.zip"]})
-
-    return written(rows.groupBy("period", "stamp").applyInPandas(put, "period string, stamp string, sha256 string, path string"), "archives")
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            where = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            ends = np.cumsum(pc.fill_null(batch.column(4).value_lengths(), 0).to_numpy(zero_copy_only=False)).tolist()
+            flat = batch.column(4).flatten().to_numpy(zero_copy_only=False).tolist()
+            cells = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            cuts = [0, *(np.flatnonzero(np.logical_or.reduce([w[1:] != w[:-1] for w in where])) + 1).tolist(), batch.num_rows]
+            for start, end in pairwise(cuts):
+                period, stamp, table = (w[start] for w in where)
+                if held is None or (held.period, held.stamp) != (period, stamp):
+                    if held is not None:
+                        yield pa.RecordBatch.from_pylist([held.done()], schema=schema)
+                    held = _Archive(folder, period, stamp, sep)
+                held.put(table, batch.column(5)[start].as_py(), cells[start:end])
+        if held is not None:
+            yield pa.RecordBatch.from_pylist([held.done()], schema=schema)
+
+    # rows of equal place go by content, so that a task that is run again writes the same bytes
+    ordered = rows.select(*names).repartition("period", "stamp").sortWithinPartitions(*names)
+    return written(ordered.mapInArrow(put, "period string, stamp string, sha256 string, path string"), "archives")
 
 
 def archive_list(spark: SparkSession, path: str) -> DataFrame:

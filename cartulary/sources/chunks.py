@@ -42,6 +42,8 @@ ENDS_HERE = (OUT, CLOSING, OUT_SAID, CLOSING_SAID)
 
 CHUNK = "path string, entry int, chunk int, table string, sep string, header array<string>, content binary"
 CHUNK_BYTES = 4 << 20
+#: How chunks are stored: a writer or reader holds 16 MiB of them. Parquet's own rule looks at sizes once in a hundred rows.
+STORED = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1}
 
 
 def transitions(data: bytes, sep: bytes) -> list[tuple[int, int, int, int]]:
@@ -143,8 +145,8 @@ def owned(chunks: DataFrame) -> DataFrame:
 
     def moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seps, contents = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            tables = [[n for row in transitions(c, s.encode()) for n in row] for c, s in zip(contents, seps, strict=True)]
+            # one content at a time leaves its buffer
+            tables = [[n for row in transitions(batch.column(4)[i].as_py(), batch.column(3)[i].as_py().encode()) for n in row] for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(tables, pa.list_(pa.int64()))], names=["path", "entry", "chunk", "moves"])
 
     tables = chunks.select("path", "entry", "chunk", "sep", "content").mapInArrow(moves, "path string, entry int, chunk int, moves array<bigint>")
@@ -162,7 +164,8 @@ def rows_of(chunks: DataFrame, parse: Callable[[str, str], Iterator[list[str]]],
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 if row["cut"] < 0:
                     continue
                 text = (row["content"][row["cut"] :] + b"".join(row["tails"] or ())).decode("utf-8", "replace")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,12 +22,66 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df from a Parquet table that it was written to."""
+#: Spark's setting for deleting an execution's shuffle files when it ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables written in the innermost ``passing``; None outside of any.
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes within are deleted when each ends; else they stay until the driver collects garbage."""
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREED)
+        else:
+            spark.conf.set(FREED, before)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes within are removed at the end: nothing that is used later may read them."""
+    noted: list[str] = []
+    token = _noted.set(noted)
+    try:
+        yield
+    finally:
+        _noted.reset(token)
+        for path in noted:
+            remove(spark, path)
+
+
+def _write(df: DataFrame, what: str, options: dict[str, int]) -> tuple[str, DataFrame]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cartulary/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with freed(spark):
+        df.write.options(**options).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def _note(path: str) -> None:
+    noted = _noted.get()
+    if noted is not None:
+        noted.append(path)
+
+
+def written(df: DataFrame, what: str, options: dict[str, int] | None = None) -> DataFrame:
+    """df from a Parquet table that it was written to; options are the writer's."""
+    path, made = _write(df, what, options or {})
+    _note(path)
+    return made
+
+
+def alone(spark: SparkSession, make: Callable[[], DataFrame], what: str) -> DataFrame:
+    """What make() gives, from a table that it was written to; the tables that were written on the way are removed."""
+    with passing(spark):
+        path, made = _write(make(), what, {})
+    _note(path)
+    return made
 
 
 def _hadoop(spark: SparkSession, path: str):
