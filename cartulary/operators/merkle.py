@@ -43,11 +43,12 @@ def leaves(records: DataFrame, *trees: str) -> DataFrame:
     before = F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("part", before.alias("start"))
     inside = F.col("at") - F.shiftleft(F.col("part"), 33)
-    out = placed.withColumn("part", part).join(starts, "part").select(*trees, (F.col("start") + inside).cast("long").alias("idx"), "table", "id", "hash")
+    # a row for each part or tree is sent to the leaves: they stay where they are
+    out = placed.withColumn("part", part).join(F.broadcast(starts), "part").select(*trees, (F.col("start") + inside).cast("long").alias("idx"), "table", "id", "hash")
     if not trees:
         return out
     first = out.groupBy(*trees).agg(F.min("idx").alias("first"))
-    return out.join(first, [*trees]).select(*trees, (F.col("idx") - F.col("first")).alias("idx"), "table", "id", "hash")
+    return out.join(F.broadcast(first), [*trees]).select(*trees, (F.col("idx") - F.col("first")).alias("idx"), "table", "id", "hash")
 
 
 def node(left: str, right: str) -> str:
@@ -168,14 +169,15 @@ def _asked(tree: list[DataFrame], wanted: DataFrame, *trees: str) -> list[DataFr
     """The rows of each table whose block holds a wanted node, or the block of one, with the column wanted.
 
     Blocks of a table meet the wanted numbers by a semi-join, so what is read goes by
-    the wanted leaves: at most 1024 rows of each table for each of them.
+    the wanted leaves: at most 1024 rows of each table for each of them. A block brings the
+    numbers that are wanted in it, so a table's rows are dealt out once, by their block.
     """
     out, asked = [], wanted.select(*trees, F.col("idx").cast("long")).distinct()
     for table in tree:
         asked = written(asked, "asked")
-        blocks = asked.select(*trees, F.shiftright("idx", BLOCK_LEVELS).alias("block")).distinct()
-        rows = table.withColumn("block", F.shiftright("idx", BLOCK_LEVELS)).join(blocks, [*trees, "block"], "left_semi")
-        out.append(rows.join(asked.withColumn("wanted", F.lit(True)), [*trees, "idx"], "left").withColumn("wanted", F.coalesce("wanted", F.lit(False))))
+        blocks = asked.groupBy(*trees, F.shiftright("idx", BLOCK_LEVELS).alias("block")).agg(F.collect_list("idx").alias("__asked"))
+        rows = table.withColumn("block", F.shiftright("idx", BLOCK_LEVELS)).join(blocks, [*trees, "block"])
+        out.append(rows.withColumn("wanted", F.array_contains("__asked", F.col("idx"))).drop("__asked"))
         asked = blocks.select(*trees, F.col("block").alias("idx"))
     return out
 

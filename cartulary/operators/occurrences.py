@@ -14,6 +14,8 @@ from pyspark.sql.window import Window as W
 
 from cartulary.storage import written
 
+#: Bits of the filter of ``likely``, in rows of 2^15 (8 MiB in all).
+FILTER_BITS = 1 << 26
 HOT = 100_000
 
 
@@ -51,3 +53,15 @@ def spread(rows: DataFrame, keys: list[str], order: str, to: str) -> DataFrame:
         meet &= F.col(c).eqNullSafe(F.col(f"{c}_s"))
     met = placed.withColumn("__part", part).join(starts, meet)
     return met.withColumn(to, (F.col("__before") + F.col("__at") - F.col("__first") + 1).cast("long")).select(*rows.columns, to)
+
+
+def likely(rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are among those asked for, and a few others: a semi join after it has little to shuffle.
+
+    A bitmap of the asked keys' hashes is broadcast; its size doesn't depend on how many there are. No asked row is missed.
+    """
+    at = lambda: F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS)) + 1
+    bits = asked.select(at().alias("__at")).groupBy(F.bitmap_bucket_number("__at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__at")).alias("__bits"))
+    met = rows.withColumn("__at", at()).withColumn("__bucket", F.bitmap_bucket_number("__at")).withColumn("__bit", F.bitmap_bit_position("__at").cast("int")).join(F.broadcast(bits), "__bucket")
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__bit / 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return met.filter(F.getbit(byte, F.col("__bit") % 8) == 1).select(*rows.columns)

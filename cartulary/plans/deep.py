@@ -15,7 +15,7 @@ from cartulary.plans.registry import _metrics, _records, query, r
 from cartulary.schemas import CHANGE_KINDS, TableDef, source
 from cartulary.sources import archive
 from cartulary.sources.lens import Lens
-from cartulary.storage import remove, shared_folder, written
+from cartulary.storage import alone, freed, passing, remove, shared_folder, written
 from cartulary.streaming import watch
 
 
@@ -94,6 +94,11 @@ def bucketed_state(t: Lens) -> DataFrame:
     return state.read(t.spark, folder, "bid_line").select("nro_sicop", "nro_linea", "source_month", "codigo_producto")
 
 
+def _copy(t: Lens, second: bool = False) -> DataFrame:
+    """table, id and hashes of a copy's records, written once; nothing else of it stays on disk."""
+    return alone(t.spark, lambda: _records(t, second).select("table", "id", "byte_hash", "value_hash"), "copy")
+
+
 @query("""WITH k AS (SELECT id FROM (SELECT id FROM snap1 UNION SELECT id FROM snap2) WHERE id::BIGINT % 40 = 0), c AS (SELECT '20240101T000000Z' AS stamp, 1 AS seq, s.* FROM snap1 s UNION ALL SELECT '20240201T000000Z', 2, s.* FROM snap2 s UNION ALL SELECT '20240301T000000Z', 3, s.* FROM snap1 s),
 n AS (SELECT stamp, seq, id, byte_hash, value_hash, row_number() OVER (PARTITION BY seq ORDER BY id) - 1 AS leaf_index FROM c), st AS (SELECT DISTINCT stamp, seq FROM c),
 g AS (SELECT k.id, st.stamp, st.seq, n.byte_hash, n.value_hash, n.leaf_index FROM k CROSS JOIN st LEFT JOIN n ON n.id = k.id AND n.seq = st.seq),
@@ -102,11 +107,11 @@ SELECT id, stamp, leaf_index, CASE WHEN byte_hash IS NOT NULL THEN true END AS o
 WHEN pb = byte_hash THEN 'unchanged' WHEN pv = value_hash THEN 'reformatted' ELSE 'silentRevision' END AS step FROM w""")
 def record_history(t: Lens) -> DataFrame:
     """Chosen records in three copies, each with its leaf and the check of its path to the copy's root."""
-    one, two = written(_records(t), "one"), written(_records(t, True), "two")
+    one, two = _copy(t), _copy(t, True)
     cut = lambda df, stamp: df.select(F.lit(stamp).alias("stamp"), "table", "id", "byte_hash", "value_hash")
     copies = cut(one, "20240101T000000Z").unionByName(cut(two, "20240201T000000Z")).unionByName(cut(one, "20240301T000000Z"))
     wanted = one.select("table", "id").unionByName(two.select("table", "id")).filter(F.col("id").cast("long") % 40 == 0)
-    return history.proven(copies, wanted).select("id", "stamp", "leaf_index", "ok", "step")
+    return alone(t.spark, lambda: history.proven(copies, wanted).select("id", "stamp", "leaf_index", "ok", "step"), "history")
 
 
 @query("""WITH c AS (SELECT 1 AS seq, s.* FROM snap1 s UNION ALL SELECT 2, s.* FROM snap2 s UNION ALL SELECT 3, s.* FROM snap2 s),
@@ -319,8 +324,12 @@ def _watched(t: Lens) -> tuple[str, str]:
     report = watch.reporter(t.spark, places["reports"], "cr", bundles=places["bundles"])
     for stamp, second in (("20240201T000000Z", False), ("20240301T000000Z", True)):
         key = [F.lit("cr").alias("source"), F.lit("202401").alias("period"), F.lit(stamp).alias("stamp")]
-        _records(t, second).select(*key, "table", "id", "byte_hash", "value_hash").write.mode("append").parquet(places["landed"])
+        with passing(t.spark), freed(t.spark):
+            _records(t, second).select(*key, "table", "id", "byte_hash", "value_hash").write.mode("append").option("compression", "zstd").parquet(places["landed"])
         watch.watch(t.spark, places["landed"], places["copies"], places["feed"], places["checkpoint"], report).awaitTermination()
+        # the copy is kept by the stream now
+        remove(t.spark, places["landed"])
+    remove(t.spark, places["copies"])
     return places["feed"], places["reports"]
 
 

@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from cartulary import storage
-from cartulary.operators import state
+from cartulary.operators import history, merkle, occurrences, state
 from cartulary.sources import archive, chunks
 
 ROWS = "period string, stamp string, table string, row_pos long, header array<string>, cells array<string>"
@@ -75,3 +75,26 @@ def test_first_batch_of_a_state_is_written_once(spark, tmp_path):
     assert state.fold(spark, folder, "bid_line", rows.withColumn("source_month", F.lit("202402")).filter("nro_sicop = '7'"), 4) != []
     assert sorted((int(r["nro_sicop"]), r["source_month"]) for r in state.read(spark, folder, "bid_line").collect()) == [(n, "202402" if n == 7 else "202401") for n in range(100)]
     assert not here(spark) - before
+
+
+def test_filter_keeps_all_that_is_asked_for(spark):
+    rows = spark.range(20000).select(F.concat(F.lit("k"), "id").alias("a"), (F.col("id") % 7).alias("b"), "id")
+    asked = rows.filter("id % 401 = 3").select("a", "b").unionByName(spark.createDataFrame([("none", 5)], "a string, b long"))
+    found = [r["id"] for r in occurrences.likely(rows, asked, ["a", "b"]).collect()]
+    assert set(found) >= set(range(3, 20000, 401)) and len(found) < 70 and len(found) == len(set(found))
+    assert not occurrences.likely(rows, asked.limit(0), ["a", "b"]).count()
+
+
+def test_history_deals_leaves_out_once(spark):
+    """Leaves of chosen proofs meet their blocks in one exchange, and rows that aren't asked for aren't exchanged before their interval."""
+    hashes = [F.sha2(F.concat_ws("|", "stamp", "id"), 256).alias(c) for c in ("byte_hash", "value_hash")]
+    rows = spark.range(6000).select(F.explode(F.array(F.lit("1"), F.lit("2"))).alias("stamp"), F.lit("t").alias("table"), F.col("id").cast("string").alias("id")).select("stamp", "table", "id", *hashes)
+    numbered = merkle.leaves(rows, "stamp")
+    tree = merkle.levels(numbered, "stamp")
+    bottom = merkle._asked(tree, numbered.filter("id like '%7'").select("stamp", "idx"), "stamp")[0]
+    leaves = plan(bottom.select("stamp", "block", "idx", "hash", "wanted"))
+    assert leaves.count("Join") - leaves.count("BroadcastHashJoin") <= 1 and bottom.filter("wanted").count() == 1200
+    before = here(spark)
+    made = storage.alone(spark, lambda: history.proven(rows, rows.filter("id like '%77'").select("table", "id")), "history")
+    assert len(here(spark) - before) == 1
+    assert {(r["stamp"], r["step"], r["ok"], r["n"]) for r in made.groupBy("stamp", "step", "ok").agg(F.count("*").alias("n")).collect()} == {("1", "present", True, 60), ("2", "silentRevision", True, 60)}
