@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from cartulary.functions import exprs as E
 from cartulary.operators import differ, state
 from cartulary.schemas import CHANGE_KINDS, DETAIL_ORDER
+from cartulary.storage import freed
 
 RECORD = "source string, period string, stamp string, table string, id string, byte_hash string, value_hash string"
 
@@ -32,19 +33,23 @@ def watch(spark: SparkSession, folder: str, copies_folder: str, feed: str, check
 
     def batch(rows: DataFrame, number: int) -> None:
         session = rows.sparkSession
-        rows = rows.persist()
+        with freed(session):
+            compared(session, rows)
+
+    def compared(session: SparkSession, rows: DataFrame) -> None:
+        # the landed files are read again for each use: held in memory they would spill to every disk
         copies = rows.select("source", "period", "stamp").distinct().orderBy("period", "stamp").collect()  # one row per copy
         for c in copies:
             mine = rows.filter((F.col("source") == c["source"]) & (F.col("period") == c["period"]) & (F.col("stamp") == c["stamp"]))
             prior = _newest_before(session, copies_folder, c["source"], c["period"], c["stamp"])
             where = f"source={c['source']}/period={c['period']}/stamp={c['stamp']}"
-            mine.drop("source", "period", "stamp").write.mode("overwrite").parquet(f"{copies_folder}/{where}")
+            mine.drop("source", "period", "stamp").write.mode("overwrite").option("compression", "zstd").parquet(f"{copies_folder}/{where}")
             if prior is not None:
                 made = differ.diff(prior, mine).withColumn("period", F.lit(c["period"])).withColumn("detected", F.lit(c["stamp"]))
-                made.write.mode("overwrite").parquet(f"{feed}/{where}")
+                made.write.mode("overwrite").option("compression", "zstd").parquet(f"{feed}/{where}")
                 if on_diff:
-                    on_diff(made)
-        rows.unpersist()
+                    # copies were compared once: what follows reads the changes that were written
+                    on_diff(session.read.schema(made.schema).parquet(f"{feed}/{where}"))
 
     return snapshots(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cartulary import storage
 from cartulary.operators import history, merkle, occurrences, state
 from cartulary.sources import archive, chunks
+from cartulary.streaming import watch
 
 ROWS = "period string, stamp string, table string, row_pos long, header array<string>, cells array<string>"
 
@@ -98,3 +99,20 @@ def test_history_deals_leaves_out_once(spark):
     made = storage.alone(spark, lambda: history.proven(rows, rows.filter("id like '%77'").select("table", "id")), "history")
     assert len(here(spark) - before) == 1
     assert {(r["stamp"], r["step"], r["ok"], r["n"]) for r in made.groupBy("stamp", "step", "ok").agg(F.count("*").alias("n")).collect()} == {("1", "present", True, 60), ("2", "silentRevision", True, 60)}
+
+
+def landed(spark, folder, stamp, rows):
+    """Records (id and hash) of a copy, landed for the stream."""
+    key = [F.lit("cr").alias("source"), F.lit("202401").alias("period"), F.lit(stamp).alias("stamp"), F.lit("t").alias("table")]
+    rows.select(*key, "id", F.col("h").alias("byte_hash"), F.col("h").alias("value_hash")).write.mode("append").parquet(folder)
+
+
+def test_watched_copies_are_compared_once(spark, tmp_path):
+    """What follows a comparison reads the changes that were written, and nothing is kept in memory or on executors' disks meanwhile."""
+    base, seen = f"file://{tmp_path}", []
+    rows = spark.range(50).select(F.col("id").cast("string").alias("id"), F.lit("a").alias("h"))
+    for stamp, df in (("20240201T000000Z", rows), ("20240301T000000Z", rows.withColumn("h", F.when(F.col("id") == "7", "b").otherwise("a")))):
+        landed(spark, f"{base}/landed", stamp, df)
+        watch.watch(spark, f"{base}/landed", f"{base}/copies", f"{base}/feed", f"{base}/checkpoint", lambda df: seen.append((plan(df), df.select("kind", "id", "detected").collect(), spark.sparkContext._jsc.sc().getPersistentRDDs().size()))).awaitTermination()
+    assert len(seen) == 1 and "Join" not in seen[0][0] and "FileScan parquet" in seen[0][0]
+    assert [tuple(r) for r in seen[0][1]] == [("silentRevision", "7", "20240301T000000Z")] and seen[0][2] == 0
