@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from cartulary import storage
-from cartulary.operators import history, merkle, occurrences, state
+from cartulary.operators import delivery, history, merkle, occurrences, state
 from cartulary.sources import archive, chunks
 from cartulary.streaming import watch
 
@@ -116,3 +116,19 @@ def test_watched_copies_are_compared_once(spark, tmp_path):
         watch.watch(spark, f"{base}/landed", f"{base}/copies", f"{base}/feed", f"{base}/checkpoint", lambda df: seen.append((plan(df), df.select("kind", "id", "detected").collect(), spark.sparkContext._jsc.sc().getPersistentRDDs().size()))).awaitTermination()
     assert len(seen) == 1 and "Join" not in seen[0][0] and "FileScan parquet" in seen[0][0]
     assert [tuple(r) for r in seen[0][1]] == [("silentRevision", "7", "20240301T000000Z")] and seen[0][2] == 0
+
+
+def test_releases_slice_by_slice(spark, monkeypatch):
+    """Slices hold every release once, packages are the same however many slices there are, and nothing is left beside the result."""
+    calls = []
+    monkeypatch.setattr(delivery, "releases", lambda tender, *_, prefix="ocds-x-", keep=(): tender.select(F.concat(F.lit(prefix), "nro_sicop").alias("ocid"), "source_month", F.concat(F.lit('{"id":"'), "nro_sicop", F.lit('"}')).alias("release"), *keep))
+    monkeypatch.setattr(delivery, "together", lambda spark, makes, what, by=None: calls.append(what) or storage.together(spark, makes, what, by))
+    tender = spark.range(90).select(F.col("id").cast("string").alias("nro_sicop"), F.when(F.col("id") % 3 == 0, "202401").otherwise("202402").alias("source_month"))
+    tables, before = [tender, *[tender] * 6], here(spark)
+    made = delivery.releases_in_slices(*tables, most=40)
+    assert sorted(r["ocid"] for r in made.collect()) == sorted(f"ocds-x-{n}" for n in range(90)) and len(here(spark) - before) == 1
+    whole = sorted(map(tuple, delivery.release_packages(delivery.releases(tender), tender, "2024-01-01T00:00:00Z", "cartulary", size=7).collect()))
+    for most, steps in ((40, ["paged-releases", "packages"]), (1000, ["packages"])):
+        calls.clear()
+        cut = delivery.packages_in_slices(*tables, "2024-01-01T00:00:00Z", "cartulary", size=7, most=most)
+        assert sorted(map(tuple, cut.collect())) == whole and calls == steps
