@@ -106,9 +106,10 @@ def supplier_profiles(bid: DataFrame, bid_line: DataFrame, award: DataFrame, ten
     raised = suppliers.appeals(appeal).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("result", "appeals"))).alias("appeals"))
     held = sanction.filter(E.filled(key)).groupBy(key).agg(F.count("*").alias("own_sanctions"))
     names = supplier.filter(E.filled(key)).groupBy(key).agg(F.max("nombre").alias("nombre"))
-    out = overall
+    out = written(overall, "overall")
+    # sections have a row for each supplier: written one by one, no more than one has its shuffle files on disk
     for part in (periods, beaten, goods, places):
-        out = out.join(part, key, "left")
+        out = out.join(written(part, "section"), key, "left")
     for part in (raised, held, names):
         out = out.join(part, key, "full_outer")
     return out.filter(E.filled(key)).withColumn("own_sanctions", F.coalesce("own_sanctions", F.lit(0)).cast("long"))

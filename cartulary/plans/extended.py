@@ -14,7 +14,7 @@ from cartulary.plans.registry import ARCHIVES, AS_OF, BY_LINE, COMPANIES, DATES,
 from cartulary.schemas import CANON_VERSION
 from cartulary.sources import archive
 from cartulary.sources.lens import Lens
-from cartulary.storage import shared_folder, written
+from cartulary.storage import alone, shared_folder, written
 
 # Archives: written from orders, read again, made canonical, stored
 
@@ -183,7 +183,7 @@ SELECT e.cedula_proveedor, s.nombre, appearances, decided, won, CASE WHEN decide
 coalesce(appeals, 0) AS appeals, (SELECT count(*) FROM sanction x WHERE x.cedula_proveedor = e.cedula_proveedor) AS own_sanctions
 FROM every e LEFT JOIN a USING (cedula_proveedor) LEFT JOIN top USING (cedula_proveedor) LEFT JOIN p USING (cedula_proveedor) LEFT JOIN ap USING (cedula_proveedor) LEFT JOIN supplier_t s USING (cedula_proveedor)""")
 def supplier_profiles(t: Lens) -> DataFrame:
-    made = reports.supplier_profiles(t.bid, t.bid_line, t.award_line, t.tender, t.institution, t.supplier, t.appeal, t.sanction)
+    made = alone(t.spark, lambda: reports.supplier_profiles(t.bid, t.bid_line, t.award_line, t.tender, t.institution, t.supplier, t.appeal, t.sanction), "profiles")
     size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
     first = F.get("beaten_by", F.lit(0))
     return made.select("cedula_proveedor", "nombre", "overall.appearances", "overall.decided", "overall.won", r(F.col("overall.rate"), "rate"), size("by_period").alias("periods"), size("beaten_by").alias("rivals"), first["rival"].alias("top_rival"), first["times"].alias("top_times"), size("products").alias("products"), size("institutions").alias("institutions"), size("appeals").alias("appeals"), "own_sanctions")

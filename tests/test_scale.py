@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cartulary import storage
 from cartulary.operators import delivery, history, merkle, occurrences, state
+from cartulary.plans import catalog
 from cartulary.sources import archive, chunks
 from cartulary.streaming import watch
 
@@ -132,3 +133,10 @@ def test_releases_slice_by_slice(spark, monkeypatch):
         calls.clear()
         cut = delivery.packages_in_slices(*tables, "2024-01-01T00:00:00Z", "cartulary", size=7, most=most)
         assert sorted(map(tuple, cut.collect())) == whole and calls == steps
+
+
+def test_profiles_leave_one_table(spark):
+    """Sections are written one by one and go when the profiles are whole."""
+    before = here(spark)
+    made = catalog.queries()["supplier_profiles"](spark, "/root/testdata/sf0.001")
+    assert [os.path.basename(f).rsplit("-", 1)[0] for f in here(spark) - before] == ["profiles"] and "Exchange" not in plan(made)
