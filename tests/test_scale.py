@@ -140,3 +140,11 @@ def test_profiles_leave_one_table(spark):
     before = here(spark)
     made = catalog.queries()["supplier_profiles"](spark, "/root/testdata/sf0.001")
     assert [os.path.basename(f).rsplit("-", 1)[0] for f in here(spark) - before] == ["profiles"] and "Exchange" not in plan(made)
+
+
+def test_watch_report_leaves_only_its_feed_and_reports(spark):
+    """Copies of the stream go when the query has its report; it reads no record again for it."""
+    before = here(spark)
+    made = catalog.queries()["watch_report"](spark, "/root/testdata/sf0.001")
+    left = here(spark) - before
+    assert len(left) == 1 and not {"landed", "copies"} & set(os.listdir(left.pop())) and made.count() == 5
